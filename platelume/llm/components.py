@@ -1,0 +1,38 @@
+"""Connected components of an edge table by alternating star contraction (Kiveris et al. 2014), as joins and pre-aggregated minima."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import hot_keys, join_by, keep
+
+
+def _star(edges: DataFrame, minima: DataFrame) -> DataFrame:
+    """Each (u, v) with u's least neighbour m."""
+    return join_by(edges, minima, "u", hot_keys(edges, "u"))
+
+
+def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+    """edges (a, b) -> (node, root) for each node that has an edge; root is the least node of its component.
+
+    Every round is written to the shared folder. Rounds grow with the logarithm of the longest path.
+    """
+    pairs = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct()
+    now = keep(pairs.select("u", "v"), "edges")
+    mark = None
+    for _ in range(limit):
+        # large star: u's larger neighbours go to the least node next to u
+        both = keep(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), "star")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = _star(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = keep(large, "large")
+        # small star: u and its smaller neighbours go to the least of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = _star(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = keep(small.filter("u <> v").distinct(), "small")
+        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if tuple(seen) == mark:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        mark = tuple(seen)
+    raise RuntimeError(f"components did not settle in {limit} rounds")
