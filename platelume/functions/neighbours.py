@@ -39,23 +39,22 @@ def unline(df: DataFrame, key: list[str], along: str, value: str = "value") -> D
     return df.select(*key, F.posexplode("vals").alias(along, value))
 
 
-def convolve(vals: Column, weights: list[float]) -> Column:
-    """A line's weighted window sums; beyond its ends it is mirrored, the end value repeated (d c b a | a b c d | d c b a)."""
-    r, n = len(weights) // 2, F.size(vals)
-
-    def at(i: Column) -> Column:
-        p = F.pmod(i, 2 * n)
-        return F.get(vals, F.when(p < n, p).otherwise(2 * n - 1 - p))
-
-    wide = F.transform(F.sequence(F.lit(-r), n - 1 + r), at)
-
-    def window(i: Column) -> Column:
-        total = F.get(wide, i) * F.lit(weights[0])
-        for k in range(1, len(weights)):
-            total = total + F.get(wide, i + k) * F.lit(weights[k])
-        return total
-
-    return F.transform(F.sequence(F.lit(0), n - 1), window)
+def convolve(line: DataFrame, weights: list[float]) -> DataFrame:
+    """line (key, vals) with vals' weighted window sums; beyond its ends a line is mirrored, the end value repeated (d c b a | a b c d | d c b a)."""
+    r = len(weights) // 2
+
+    @F.pandas_udf("array<double>")
+    def sums(vals: pd.Series) -> pd.Series:
+        def one(v: np.ndarray) -> np.ndarray:
+            wide = np.pad(v, r, mode="symmetric")
+            out = wide[: len(v)] * weights[0]
+            for k in range(1, len(weights)):
+                out = out + wide[k : k + len(v)] * weights[k]
+            return out
+
+        return vals.map(lambda v: one(np.asarray(v, float)))
+
+    return line.withColumn("vals", sums("vals"))
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:

@@ -69,7 +69,7 @@ def gaussian_blur(px: DataFrame, channel: int | None = None, sigma: float = 2.0,
         weights = gaussian_weights(sigma, truncate)
         for along in ("y", "x"):
             line, key = lines(out, along)
-            out = unline(line.withColumn("vals", convolve(F.col("vals"), weights)), key, along)
+            out = unline(convolve(line, weights), key, along)
     out = out.select(*px.columns)
     return out if channel is None else px.filter(F.col("channel") != channel).unionByName(out)
 

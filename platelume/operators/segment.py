@@ -34,9 +34,10 @@ def histogram(pl: DataFrame) -> DataFrame:
     return bins.join(counts, [*key, "bin"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "centre": centre})
 
 
-_UPTO = Window.partitionBy("image_id", "channel").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-_AFTER = Window.partitionBy("image_id", "channel").orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
-_ALL = Window.partitionBy("image_id", "channel")
+def _windows() -> tuple:
+    """Bins up to and with this one, bins after it, and all bins of a plane."""
+    whole = Window.partitionBy("image_id", "channel")
+    return whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), whole.orderBy("bin").rowsBetween(1, Window.unboundedFollowing), whole
 
 
 def _best(scored: DataFrame, score: Column, centre: Column | None = None) -> DataFrame:
@@ -49,27 +50,30 @@ def _best(scored: DataFrame, score: Column, centre: Column | None = None) -> Dat
 
 def threshold_otsu(pl: DataFrame) -> DataFrame:
     """(image_id, channel, threshold), Otsu 1979: the largest variance between classes."""
+    upto, after, _ = _windows()
     nc = F.col("n") * F.col("centre")
-    h = histogram(pl).withColumns({"w1": F.sum("n").over(_UPTO), "w2": F.sum("n").over(_AFTER), "s1": F.sum(nc).over(_UPTO), "s2": F.sum(nc).over(_AFTER)})
+    h = histogram(pl).withColumns({"w1": F.sum("n").over(upto), "w2": F.sum("n").over(after), "s1": F.sum(nc).over(upto), "s2": F.sum(nc).over(after)})
     gap = F.col("s1") / F.nullif(F.col("w1"), F.lit(0)) - F.col("s2") / F.nullif(F.col("w2"), F.lit(0))
     return _best(h.filter(f"bin < {BINS - 1}"), F.col("w1").cast("double") * F.col("w2") * gap * gap)
 
 
 def threshold_yen(pl: DataFrame) -> DataFrame:
     """Yen 1995: the largest correlation criterion."""
-    p = F.col("n") / F.sum("n").over(_ALL)
+    upto, after, whole = _windows()
+    p = F.col("n") / F.sum("n").over(whole)
     h = histogram(pl).withColumn("p", p)
-    h = h.withColumns({"p1": F.sum("p").over(_UPTO), "q1": F.sum(F.col("p") * F.col("p")).over(_UPTO), "q2": F.sum(F.col("p") * F.col("p")).over(_AFTER)})
+    h = h.withColumns({"p1": F.sum("p").over(upto), "q1": F.sum(F.col("p") * F.col("p")).over(upto), "q2": F.sum(F.col("p") * F.col("p")).over(after)})
     top = F.col("p1") * (1 - F.col("p1"))
     return _best(h.filter(f"bin < {BINS - 1}"), top * top / F.nullif(F.col("q1") * F.col("q2"), F.lit(0.0)))
 
 
 def threshold_triangle(pl: DataFrame) -> DataFrame:
     """Zack 1977: the bin farthest from the line between the peak and the end of the longer tail."""
+    whole = _windows()[2]
     h = histogram(pl)
     some = F.when(F.col("n") > 0, F.col("bin"))
     peak = F.first("bin").over(Window.partitionBy("image_id", "channel").orderBy(F.col("n").desc(), "bin"))
-    h = h.withColumns({"peak": peak, "top": F.max("n").over(_ALL), "low": F.min(some).over(_ALL), "high": F.max(some).over(_ALL)})
+    h = h.withColumns({"peak": peak, "top": F.max("n").over(whole), "low": F.min(some).over(whole), "high": F.max(some).over(whole)})
     flip = (F.col("peak") - F.col("low")) < (F.col("high") - F.col("peak"))
     # seen from the longer tail, x bins from its end to the peak
     h = h.withColumns({"flip": flip, "x": F.when(flip, F.col("high") - F.col("bin")).otherwise(F.col("bin") - F.col("low")), "width": F.when(flip, F.col("high") - F.col("peak")).otherwise(F.col("peak") - F.col("low"))})
@@ -83,8 +87,9 @@ def threshold_triangle(pl: DataFrame) -> DataFrame:
 
 def threshold_isodata(pl: DataFrame) -> DataFrame:
     """Ridler and Calvard 1978: the lowest bin that lies within a bin below the middle of its classes' means."""
+    upto, after, _ = _windows()
     nc = F.col("n") * F.col("centre")
-    h = histogram(pl).withColumns({"w1": F.sum("n").over(_UPTO), "w2": F.sum("n").over(_AFTER), "s1": F.sum(nc).over(_UPTO), "s2": F.sum(nc).over(_AFTER)})
+    h = histogram(pl).withColumns({"w1": F.sum("n").over(upto), "w2": F.sum("n").over(after), "s1": F.sum(nc).over(upto), "s2": F.sum(nc).over(after)})
     off = (F.col("s1") / F.nullif(F.col("w1"), F.lit(0)) + F.col("s2") / F.nullif(F.col("w2"), F.lit(0))) / 2 - F.col("centre")
     ok = (off >= 0) & (off < (F.col("hi") - F.col("lo")) / BINS)
     return h.groupBy("image_id", "channel").agg(F.coalesce(F.min(F.when(ok, F.col("centre"))), F.min("lo")).alias("threshold"))

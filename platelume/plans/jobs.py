@@ -26,6 +26,11 @@ class Frames:
     rois: DataFrame | None = None
     prob: DataFrame | None = None
     tables: dict[str, list[DataFrame]] = field(default_factory=dict)
+    changed: bool = False
+
+    def settled(self) -> Frames:
+        """Changed pixels are written once, before the first step that reads them more than once."""
+        return replace(self, px=keep(self.px), changed=False) if self.changed else self
 
     def mask(self, key: str) -> DataFrame:
         if key not in self.masks:
@@ -36,7 +41,7 @@ class Frames:
         return self.mask(key).select("image_id", "y", "x") if key else None
 
     def with_mask(self, key: str, lab: DataFrame, path: str = "") -> Frames:
-        return replace(self, masks={**self.masks, key: lab}, paths={**self.paths, key: path})
+        return replace(self, masks={**self.masks, key: keep(lab)}, paths={**self.paths, key: path})
 
     def with_rows(self, table: str, rows: DataFrame) -> Frames:
         return replace(self, tables={**self.tables, table: [*self.tables.get(table, []), rows]})
@@ -69,48 +74,53 @@ def _single(mask: DataFrame) -> DataFrame:
 
 @register_step("BackgroundSubtraction")
 def _background(f: Frames, channel: int, radius: float = 50.0, method: str = "rolling_ball") -> Frames:
-    return replace(f, px=intensity.background_subtract(f.px, channel, radius, method))
+    return replace(f, px=intensity.background_subtract(f.px, channel, radius, method), changed=True)
 
 
 @register_step("GaussianBlur")
 def _blur(f: Frames, channel: int, sigma: float = 2.0) -> Frames:
-    return replace(f, px=intensity.gaussian_blur(f.px, channel, sigma))
+    return replace(f, px=intensity.gaussian_blur(f.px, channel, sigma), changed=True)
 
 
 @register_step("Normalize")
 def _normalize(f: Frames, channel: int, method: str = "minmax", low_pct: float = 1.0, high_pct: float = 99.0) -> Frames:
-    return replace(f, px=intensity.normalize(f.px, channel, method, low_pct, high_pct))
+    return replace(f, px=intensity.normalize(f.px, channel, method, low_pct, high_pct), changed=True)
 
 
 @register_step("BrightnessContrast")
 def _contrast(f: Frames, channel: int, min_val: float = 0.0, max_val: float = 65535.0) -> Frames:
-    return replace(f, px=intensity.brightness_contrast(f.px, channel, min_val, max_val))
+    return replace(f, px=intensity.brightness_contrast(f.px, channel, min_val, max_val), changed=True)
 
 
 @register_step("ZProjection")
 def _project(f: Frames, channel: int = -1, method: str = "min") -> Frames:
+    f = f.settled()
     flat = intensity.z_project(f.px, method, None if channel == -1 else channel).withColumn("z", F.lit(0)).select(*f.px.columns)
     return replace(f, px=flat if channel == -1 else f.px.filter(F.col("channel") != channel).unionByName(flat))
 
 
 @register_step("AutoThreshold")
 def _threshold(f: Frames, channel: int, method: str = "otsu", z_projection: str = "max", min_size: int = 50) -> Frames:
+    f = f.settled()
     return f.with_mask(f"mask_ch{channel}", _single(segment.auto_threshold(f.px, channel, method, z_projection, min_size)))
 
 
 @register_step("WatershedSplit")
 def _watershed(f: Frames, channel: int, min_distance: int = 5) -> Frames:
+    f = f.settled()
     own = f.mask(f"mask_ch{channel}").select("image_id", "y", "x")
     return f.with_mask(f"mask_ch{channel}", segment.watershed_split(own, frame_of(f.px), min_distance).select("image_id", "label", "y", "x"))
 
 
 @register_step("ExtractROI")
 def _extract(f: Frames, channel: int, blur_sigma: float = 20.0, method: str = "otsu", roi_name: str = "roi") -> Frames:
+    f = f.settled()
     return f.with_mask(roi_name, _single(segment.extract_roi(f.px, channel, blur_sigma, method)))
 
 
 @register_step("LoadROI")
 def _load(f: Frames, path: str, roi_name: str = "roi") -> Frames:
+    f = f.settled()
     if f.rois is None:
         raise KeyError("the job has no table of regions")
     own = f.rois.filter(F.col("path") == path) if "path" in f.rois.columns else f.rois
@@ -126,6 +136,7 @@ def _probability(f: Frames, roi_name: str = "roi", threshold: float = 0.5, min_a
 
 @register_step("ParticleAnalysis")
 def _particles(f: Frames, channel: int, min_size_um2: float = 0.5, max_size_um2: float = 5000.0, min_circularity: float = 0.0, z_projection: str = "max", roi_mask: str = "") -> Frames:
+    f = f.settled()
     # several measures read the labels, so they are worked out once
     lab = keep(measure.fallback_labels(f.px, channel, f.masks.get(f"mask_ch{channel}"), z_projection))
     rows = keep(measure.particle_analysis(f.px, lab, f.images, channel, f.roi(roi_mask), roi_mask, f.paths.get(roi_mask, ""), min_size_um2, max_size_um2, min_circularity, z_projection))
@@ -135,11 +146,13 @@ def _particles(f: Frames, channel: int, min_size_um2: float = 0.5, max_size_um2:
 
 @register_step("IntensityMeasurement")
 def _intensity(f: Frames, channel: int, z_projection: str = "max", roi_mask: str = "") -> Frames:
+    f = f.settled()
     return f.with_rows("intensity_measurements", measure.intensity_measurement(f.px, f.images, channel, z_projection, f.roi(roi_mask), roi_mask, f.paths.get(roi_mask, "")))
 
 
 @register_step("ColocalizationAnalysis")
 def _coloc(f: Frames, primary_channel: int, secondary_channel: int, dilation_um: float = 0.0, z_projection: str = "max", roi_mask: str = "") -> Frames:
+    f = f.settled()
     key = f"particles_ch{primary_channel}"
     lab = f.masks.get(f"{key}/{roi_mask}") if roi_mask else None
     lab = f.mask(key) if lab is None else lab
