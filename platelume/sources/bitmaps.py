@@ -25,7 +25,7 @@ def bmp(rows: list[list[int]], channels: int) -> bytes:
 
 
 def write_bitmaps(lines: DataFrame, root: str, channels: int = 2) -> str:
-    """lines (image_id, rows) -> img_{id}.bmp under root, written by the executors into a folder that all of them share."""
+    """lines (image_id, rows) -> img_{id}.bmp under root. Spark has no sink for binary files, so root must be a mounted folder that all executors share."""
     local = root.removeprefix("file://")
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -28,10 +28,15 @@ def select_files(listing: DataFrame, extensions: list[str], contains: str = "")
     return out.filter(basename(F.col("path")).contains(contains)) if contains else out
 
 
+def _path(column: str) -> F.Column:
+    """Both readers' spelling of a local path: file:/."""
+    return F.regexp_replace(column, "^file:/+", "file:/")
+
+
 def scan_files(spark: SparkSession, root: str, extensions: list[str], contains: str = "", recursive: bool = True) -> DataFrame:
     """(path, length, modified) of the files under root, without reading their content."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    return select_files(found.select("path", "length", F.col("modificationTime").alias("modified")), extensions, contains).orderBy("path")
+    return select_files(found.select(_path("path").alias("path"), "length", F.col("modificationTime").alias("modified")), extensions, contains).orderBy("path")
 
 
 def read_bitmaps(spark: SparkSession, path: str) -> DataFrame:
@@ -41,7 +46,7 @@ def read_bitmaps(spark: SparkSession, path: str) -> DataFrame:
     n = F.col("nChannels")
     stored = F.col("i") % n
     return px.select(
-        F.col("origin").alias("path"),
+        _path("origin").alias("path"),
         F.when((n >= 3) & (stored < 3), 2 - stored).otherwise(stored).cast("int").alias("channel"),
         F.lit(0).alias("z"),
         F.floor(F.col("i") / n / F.col("width")).cast("int").alias("y"),
