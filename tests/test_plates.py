@@ -52,7 +52,7 @@ def test_query_agrees_with_sql(spark, sf, name):
 
 def test_every_query_is_known():
     assert set(queries.ORACLE) <= set(queries.QUERIES)
-    assert set(queries.QUERIES) - set(queries.ORACLE) == {"read_bitmaps", "threshold_li", "local_peaks", "watershed_split", "extract_roi", "particle_solidity", "run_sample_job", "batch_directory"}
+    assert set(queries.QUERIES) - set(queries.ORACLE) == {"threshold_li", "local_peaks", "watershed_split", "extract_roi", "particle_solidity", "run_sample_job"}
 
 
 SQUARE = "....... .#####. .#####. .#####. .#####. .#####. ......."
