@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -26,11 +28,9 @@ def bmp(rows: list[list[int]], channels: int) -> bytes:
 
 def write_bitmaps(lines: DataFrame, root: str, channels: int = 2) -> str:
     """lines (image_id, rows) -> img_{id}.bmp under root. Spark has no sink for binary files, so root must be a mounted folder that all executors share."""
-    local = root.removeprefix("file://")
+    local = re.sub("^file:/+", "/", root)
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
         os.makedirs(local, exist_ok=True)
         for pdf in batches:
             for i, rows in zip(pdf["image_id"], pdf["rows"], strict=True):
