@@ -127,7 +127,9 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
 
 @lru_cache(maxsize=1 << 16)
 def _path_ids(path: tuple) -> np.ndarray:
-    return np.array([zlib.crc32(p.encode()) % PATHS for p in path] or [0])
+    """Places of the path's tags, classes and ids, and of the words in these names (reader-comments has comment)."""
+    words = [f"~{w.rstrip('s')}" for p in path if p[0] in ".#" for w in re.split(r"[-_:]+", p[1:]) if w]
+    return np.array([zlib.crc32(p.encode()) % PATHS for p in (*path, *words)] or [0])
 
 
 _SPACE = np.array([b not in (9, 10, 11, 12, 13, 32) for b in range(256)])
@@ -228,7 +230,7 @@ class Labeller:
             dh, dc = dz @ wh.T, dc * f
         return dx
 
-    def fit(self, pages: list[tuple[list, np.ndarray]], labels: list[np.ndarray], rounds: int = 10, size: int = 24, rate: float = 0.01, seed: int = 3) -> None:
+    def fit(self, pages: list[tuple[list, np.ndarray]], labels: list[np.ndarray], rounds: int = 16, size: int = 24, rate: float = 0.01, seed: int = 3) -> None:
         """Adam on the mean log loss over blocks."""
         rng = np.random.default_rng(seed)
         m, v, n = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
@@ -273,7 +275,7 @@ class Labeller:
 
 #: What containers of main text, and of other things, are called.
 MAIN = [("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", "#content"), ("div", ".article"), ("div", "#main"), ("section", ".post"), ("div", ".entry-content"), ("div", ".article-body"), ("div", ".post-content"), ("div", ".story"), ("div", ".text"), ("td", ".content"), ("div", "#article"), ("section", ".content"), ("div", ".main-content"), ("div", ".body"), ("div", ".page-content"), ("article", ".post")]
-OTHER = [("nav", "ul", "li", "a"), ("header",), ("footer",), ("aside",), ("div", ".sidebar"), ("div", "#sidebar"), ("div", ".menu"), ("ul", ".menu", "li", "a"), ("div", ".nav"), ("div", "#nav"), ("div", ".ad"), ("div", ".ads"), ("div", ".advert"), ("div", ".advertisement"), ("div", ".sponsored"), ("div", ".banner"), ("div", ".promo"), ("div", ".cookie"), ("div", ".cookie-banner"), ("div", ".notice"), ("div", ".consent"), ("form",), ("form", "label"), ("form", "button"), ("div", ".newsletter"), ("div", ".subscribe"), ("div", ".comments"), ("div", "#comments"), ("section", ".comments"), ("div", ".comment"), ("ol", ".comment-list", "li"), ("section", "#comments", "div", ".comment"), ("div", ".related"), ("div", ".share"), ("div", ".social"), ("div", ".breadcrumb"), ("div", ".breadcrumbs"), ("div", ".header"), ("div", "#header"), ("div", ".footer"), ("div", "#footer"), ("div", ".copyright"), ("div", ".popup"), ("div", ".modal"), ("div", ".widget"), ("div", ".tags"), ("div", ".pagination"), ("div", ".login"), ("div", ".toolbar"), ("div", ".legal"), ("button",), ("table", ".nav", "tr", "td", "a")]
+OTHER = [("nav", "ul", "li", "a"), ("header",), ("footer",), ("aside",), ("div", ".sidebar"), ("div", "#sidebar"), ("div", ".menu"), ("ul", ".menu", "li", "a"), ("div", ".nav"), ("div", "#nav"), ("div", ".ad"), ("div", ".ads"), ("div", ".advert"), ("div", ".advertisement"), ("div", ".sponsored"), ("div", ".banner"), ("div", ".promo"), ("div", ".cookie"), ("div", ".cookie-banner"), ("div", ".notice"), ("div", ".consent"), ("form",), ("form", "label"), ("form", "button"), ("div", ".newsletter"), ("div", ".subscribe"), ("div", ".comments"), ("div", "#comments"), ("section", ".comments"), ("div", ".comment"), ("ol", ".comment-list", "li"), ("section", "#comments", "div", ".comment"), ("div", ".related"), ("div", ".share"), ("div", ".social"), ("div", ".breadcrumb"), ("div", ".breadcrumbs"), ("div", ".header"), ("div", "#header"), ("div", ".footer"), ("div", "#footer"), ("div", ".copyright"), ("div", ".popup"), ("div", ".modal"), ("div", ".widget"), ("div", ".tags"), ("div", ".pagination"), ("div", ".login"), ("div", ".toolbar"), ("div", ".legal"), ("div", ".search"), ("div", ".signup"), ("div", ".reader-comments"), ("div", ".alert"), ("div", ".disclaimer"), ("div", ".sponsor"), ("section", ".feedback"), ("div", ".reply"), ("nav",), ("menu", "li"), ("dialog",), ("fieldset",), ("div", ".privacy"), ("div", ".site-header"), ("div", ".site-footer"), ("div", ".navbar"), ("button",), ("table", ".nav", "tr", "td", "a")]
 _OTHER_PARTS = {p for path in OTHER for p in path} - {p for path in MAIN for p in path} - {"ul", "ol", "li", "a", "label", "table", "tr", "td", "div", "section"}
 
 
