@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.graph import components
+from ..functions.graph import components, keep
 from ..functions.neighbours import frame_of, frame_pixels
 from .intensity import gaussian_blur, z_project
 
@@ -259,6 +259,7 @@ def _by_object(mask: DataFrame, frame: DataFrame, min_distance: int, whole: bool
     """(.., y, x, seed) per pixel of a part, or per peak: work goes object by object, as no flood leaves one."""
     key = [c for c in mask.columns if c not in ("y", "x")]
     types = {f.name: f.dataType.simpleString() for f in mask.schema.fields}
+    mask = keep(mask)  # read for its objects, its background and its pixels
     lab = components(mask, 4)
     rows = distance_transform(mask, frame).join(lab, [*key, "y", "x"]).join(frame, "image_id")
     rows = rows.select(*key, "y", "x", F.coalesce("d2", F.lit(0)).alias("d2"), F.col("first.y").alias("fy"), F.col("first.x").alias("fx"), "height", "width")
@@ -268,7 +269,7 @@ def _by_object(mask: DataFrame, frame: DataFrame, min_distance: int, whole: bool
         y, x, d2 = (pdf[c].to_numpy() for c in ("y", "x", "d2"))
         at = peaks_of(y, x, d2, min_distance, int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0]))
         marks = np.zeros(len(y), np.int64)
-        marks[at] = np.sort(at) * 0 + at + 1
+        marks[at] = at + 1
         if whole:
             # neighbouring peaks are one marker
             for i in np.sort(at).tolist():
@@ -302,7 +303,7 @@ def watershed_split(mask: DataFrame, frame: DataFrame, min_distance: int = 5) ->
 
 def extract_roi(px: DataFrame, channel: int, sigma: float = 20.0, method: str = "otsu") -> DataFrame:
     """The mask (image_id, y, x) of a channel's bright region: projected, blurred, thresholded (unknown methods: Otsu) and filled."""
-    pl = gaussian_blur(z_project(px, "max", channel), None, sigma)
+    pl = keep(gaussian_blur(z_project(px, "max", channel), None, sigma))  # read for its range, its histogram and its mask
     found = THRESHOLDS.get(method, threshold_otsu)(pl)
     return fill_holes(above(pl, found).select("image_id", "y", "x"), frame_of(px))
 
@@ -394,7 +395,7 @@ def class_masks(classes: DataFrame, n: int = 3) -> DataFrame:
 def dilate_mask(lab: DataFrame, um: float, images: DataFrame, frame: DataFrame) -> DataFrame:
     """lab (image_id, label, y, x), each label grown by um in steps to the four neighbours; labels may overlap afterwards.
 
-    The pixels of a step are those that the step before did not hold, so a large growth costs its rim, not a disk a pixel.
+    Each pixel gives one run a line, and a line's runs are united before they are laid out, so no pixel of a label comes out twice.
     """
     key = [c for c in lab.columns if c not in ("y", "x")]
     px = F.bround(F.lit(float(um)) / F.col("pixel_size_um"), 0).cast("int")
@@ -402,7 +403,6 @@ def dilate_mask(lab: DataFrame, um: float, images: DataFrame, frame: DataFrame)
     # a column's reach along x shrinks by one a line
     rows = own.select(*key, "y", "x", "n", "height", "width", F.explode(F.sequence(-F.col("n"), F.col("n"))).alias("dy"))
     rows = rows.select(*key, (F.col("y") + F.col("dy")).alias("y"), "height", F.greatest(F.lit(0), F.col("x") - F.col("n") + F.abs("dy")).alias("a"), F.least(F.col("width") - 1, F.col("x") + F.col("n") - F.abs("dy")).alias("b"))
-    # runs of each line are united before they are laid out as pixels
     rows = rows.filter("y >= 0 AND y < height AND a <= b").distinct()
     before = F.max("b").over(Window.partitionBy(*key, "y").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
     free = rows.withColumn("done", before).withColumn("a", F.greatest(F.col("a"), F.coalesce(F.col("done") + 1, F.col("a")))).filter("a <= b")
