@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, held_out, texts_of
+from .common import append_columns, held_out, keep, texts_of
 
 NGRAMS = (4, 5)
 BITS = 18
@@ -69,29 +69,24 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 300, penalty: float = 3.0, rate: float = 0.5) -> Model:
-    """rows: each text's distinct buckets."""
-    weights, n, pos = np.zeros(BUCKETS), len(labels), int(labels.sum())
-    prior = (pos + 1e-9) / max(1, n)
-    if not pos or pos == n:
-        return Model(weights, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
-    flat, size = np.concatenate(rows), np.array(list(map(len, rows)))
-    owner = np.repeat(np.arange(n, dtype=np.int32), size)
-    toxic = np.bincount(flat[labels[owner] == 1], minlength=BUCKETS).astype(float)
-    clean = np.bincount(flat[labels[owner] == 0], minlength=BUCKETS).astype(float)
-    p, q = (toxic + 1) / (pos + 2), (clean + 1) / (n - pos + 2)
-    ratio = np.log(p / q)
+def choose(toxic: np.ndarray, clean: np.ndarray, pos: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The FEATURES buckets of the strongest evidence, and their log-count ratios, from how many texts of each class have a bucket."""
+    ratio = np.log(((toxic + 1) / (pos + 2)) / ((clean + 1) / (n - pos + 2)))
     # evidence: how far the toxic share is from the overall one, in standard errors
     seen = toxic + clean
     share = seen / n
     strength = np.where(seen >= 4, np.abs(toxic / pos - share) / np.sqrt(share * (1 - share) / pos + 1e-9), 0)
     chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
-    number = np.full(BUCKETS, -1, np.int32)
-    number[chosen] = np.arange(len(chosen))
-    mine = number[flat]
-    ok = mine >= 0
-    col, row, x = mine[ok], owner[ok], ratio[chosen][mine[ok]]
-    w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
+    return chosen, ratio[chosen]
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, rounds: int = 300, penalty: float = 3.0, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the logistic regression, by Adam; rows: which features each text has, each of value ratio."""
+    n, pos = len(labels), int(labels.sum())
+    col = np.concatenate(rows)
+    row = np.repeat(np.arange(n, dtype=np.int32), list(map(len, rows)))
+    x = ratio[col]
+    w, b = np.zeros(len(ratio)), float(np.log(pos / (n - pos)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = b + np.bincount(row, weights=x * w[col], minlength=n)
@@ -100,12 +95,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 300, penalty:
         gb = g.mean()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        step = rate / (1 + t / 50)
-        c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-        w -= step * 0.1 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-        b -= step * 0.1 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    weights[chosen] = w * ratio[chosen]
-    return Model(weights, b)
+        step, c1, c2 = rate / (1 + t / 50), 1 - 0.9**t, 1 - 0.999**t
+        w -= step * (m / c1) / (np.sqrt(v / c2) + 1e-8)
+        b -= step * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
+    return w, b
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str, text_col: str, mod: int = 5) -> DataFrame:
@@ -119,20 +112,46 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: st
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Only the buckets of the sampled texts, not the texts, come to the driver."""
+    """Counts and chosen features are worked out where the texts are; to the driver come BUCKETS counts, and the sampled rows' features."""
+    rows = keep(sample(docs, labels, label, most, id_col, text_col), "labelled")
+    size = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    n, pos = sum(size.values()), size.get(1, 0)
+    weights = np.zeros(BUCKETS)
+    if not pos or pos == n:
+        prior = (pos + 1e-9) / max(1, n)
+        return Model(weights, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
 
-    def run(batches):
+    def count(batches):
+        seen, counts = np.zeros(BUCKETS, np.int32), np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            for t, y in zip(batch.column(2), batch.column(1).to_pylist(), strict=True):
+                counts[int(y == 1), distinct(grams(t.as_py()), seen)] += 1
+        some = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[1, some]), pa.array(counts[0, some])], names=["bucket", "toxic", "clean"])
+
+    own = rows.select("__id", "label", "text")
+    sums = own.mapInArrow(count, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    both = np.zeros((2, BUCKETS))
+    for k, name in enumerate(("toxic", "clean")):
+        both[k, sums["bucket"].to_numpy()] = sums[name].to_numpy()
+    chosen, ratio = choose(both[0], both[1], pos, n)
+    number = np.full(BUCKETS, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+    sent = docs.sparkSession.sparkContext.broadcast(number)
+
+    def pick(batches):
         seen = np.zeros(BUCKETS, np.int32)
         for batch in batches:
-            texts = texts_of(batch, "text")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([distinct(grams(t), seen) for t in texts], pa.list_(pa.int32()))], names=["id", "label", "grams"])
+            got = [sent.value[distinct(grams(t.as_py()), seen)] for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[g >= 0] for g in got], pa.list_(pa.int32()))], names=["id", "label", "features"])
 
-    got = sample(docs, labels, label, most, id_col, text_col).mapInArrow(run, "id long, label int, grams array<int>").toArrow()
-    order = np.argsort(np.array(got["id"].to_numpy()), kind="stable")
-    column = got["grams"].combine_chunks()
+    got = own.mapInArrow(pick, "id long, label int, features array<int>").toArrow()
+    order = np.lexsort((got["label"].to_numpy(), got["id"].to_numpy()))
+    column = got["features"].combine_chunks()
     flat, at = column.values.to_numpy(), column.offsets.to_numpy()
-    rows = [flat[at[i] : at[i + 1]] for i in order.tolist()]
-    return fit(rows, got["label"].to_numpy()[order].astype(np.int64))
+    w, b = fit([np.sort(flat[at[i] : at[i + 1]]) for i in order.tolist()], (got["label"].to_numpy()[order] == 1).astype(np.int64), ratio)
+    weights[chosen] = w * ratio
+    return Model(weights, b)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", text_stays: bool = True) -> DataFrame:
