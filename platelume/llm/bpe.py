@@ -239,7 +239,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", id
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     fields += [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] * ids
-    return append_columns(docs, make, T.StructType(fields), [] if text_stays else [text_col])
+    # the more words are replayed together, the less a replay costs: make cuts its stretches itself
+    return append_columns(docs, make, T.StructType(fields), [] if text_stays else [text_col], rows=1 << 30)
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:

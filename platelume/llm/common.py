@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import reach_workers
+
 #: Python helpers work on slices of about this many text bytes, so that their arrays stay small.
 SLICE_BYTES = 1 << 20
 #: A key with more than 1/HOT_SHARE of all rows is joined by broadcast of its (single) right row; at most HOT_SHARE keys can be that frequent.
@@ -65,17 +67,23 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == rest, F.lit(False))
 
 
-def append_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], new: T.StructType, drop: Iterable[str] = ()) -> DataFrame:
-    """df, without the columns drop, with those that make(batch) returns for each Arrow batch; no shuffle, rows and their order stay."""
+def append_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], new: T.StructType, drop: Iterable[str] = (), rows: int = 1000) -> DataFrame:
+    """df, without the columns drop, with those that make(batch) returns for each Arrow batch; no shuffle, rows and their order stay.
+
+    make gets rows rows at most at once, so that Python objects exist for these only.
+    """
+    reach_workers(df.sparkSession)
     gone = {n.lower() for n in drop}
     base = without(df, {n.lower() for n in new.names} - gone)  # what drop names is there for make to read
     stay = [i for i, n in enumerate(base.columns) if n.lower() not in gone]
     names = [*(base.columns[i] for i in stay), *new.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = make(batch)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *(made[n] for n in new.names)], names=names)
+        for whole in batches:
+            for at in range(0, len(whole), rows):
+                batch = whole.slice(at, rows)
+                made = make(batch)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *(made[n] for n in new.names)], names=names)
 
     return base.mapInArrow(run, T.StructType([*(base.schema.fields[i] for i in stay), *new.fields]))
 
