@@ -5,6 +5,9 @@ with each dictionary, at the same level (a text of SHORT bytes at most at severa
 in whole bytes tells too little); the smallest wins (ties: the alphabetically first), and the lead over the second, as a share of
 the second's size, is the margin. A margin under REJECT marks the row rejected; the best guess is still given.
 
+A language with little text keeps its small dictionary and the others keep theirs whole. As a larger dictionary compresses any
+text better, what a smaller one misses is taken off its size: what the larger ones, cut to its length, lose on as long a text in another language.
+
 Defined cases: null text, and text without a letter, is `und` with score 0; with no learned language every text is
 `und`; rows alike are judged alike; no rows give no rows; extra columns pass through, and one named like an output is replaced.
 """
@@ -31,6 +34,8 @@ SHORT, SHORT_LEVELS = 400, (1, 3, 6, 12, 19)
 REJECT = 0.004
 #: A score of one half stands for this margin.
 HALF = 0.01
+#: Text lengths in bytes that a smaller dictionary's miss is measured at (up to SHORT and beyond), larger dictionaries that it is measured on, and texts of each.
+LENGTHS, LARGER, TRIED = (25, 50, 100, 200, 400, 401, 800, 1600, 3200), 4, 8
 OUT = ("held_out", "lang_pred", "score", "margin", "rejected")
 _LETTER = regex.compile(r"\p{L}")
 
@@ -45,15 +50,48 @@ def _compressors(dictionaries: tuple[bytes, ...], level: int) -> list:
     return made
 
 
-def judge(text: str | None, languages: list[str], dictionaries: tuple[bytes, ...]) -> tuple[str, float, float]:
-    """(language, score, margin)"""
-    if not languages or not text or not _LETTER.search(text):
-        return "und", 0.0, 0.0
-    raw = text.lower().encode()
-    sizes = [0] * len(languages)
+def _sizes(raw: bytes, dictionaries: tuple[bytes, ...]) -> list[int]:
+    sizes = [0] * len(dictionaries)
     for level in SHORT_LEVELS if len(raw) <= SHORT else (LEVEL,):
         for i, c in enumerate(_compressors(dictionaries, level)):
             sizes[i] += len(c.compress(raw))
+    return sizes
+
+
+def misses(dictionaries: tuple[bytes, ...]) -> list[tuple[float, ...]]:
+    """For each dictionary, how many bytes it misses at each of LENGTHS for being smaller than others; nothing for the largest."""
+    out: list[tuple[float, ...]] = []
+    whole: dict[tuple, list[list[int]]] = {}
+    for own in dictionaries:
+        larger = tuple(sorted((d for d in dictionaries if len(d) > len(own)), key=len, reverse=True)[:LARGER])
+        if not larger:
+            out.append((0.0,) * len(LENGTHS))
+            continue
+        # texts from the larger dictionaries, each tried with the others; with a single larger one, texts from the own
+        sources = larger if len(larger) > 1 else (own,)
+        starts = [(j, n, max(0, len(s) - n) * k // TRIED) for j, s in enumerate(sources) for n in LENGTHS for k in range(TRIED)]
+        texts = [sources[j][at : at + n] for j, n, at in starts]
+        key = (larger, sources)
+        if key not in whole:
+            whole[key] = [_sizes(t, larger) for t in texts]
+        cut = tuple(d[: len(own)] for d in larger)
+        lost: dict[int, list[int]] = {n: [] for n in LENGTHS}
+        for (j, n, _), text, known in zip(starts, texts, whole[key], strict=True):
+            lost[n] += [c - w for i, (c, w) in enumerate(zip(_sizes(text, cut), known, strict=True)) if larger[i] is not sources[j]]
+        out.append(tuple(max(0.0, float(np.median(lost[n]))) for n in LENGTHS))
+    if whole:
+        _compressors.cache_clear()
+    return out
+
+
+def judge(text: str | None, languages: list[str], dictionaries: tuple[bytes, ...], missed: list[tuple[float, ...]] | None = None) -> tuple[str, float, float]:
+    """(language, score, margin); missed: the misses of the dictionaries, where they are of several sizes."""
+    if not languages or not text or not _LETTER.search(text):
+        return "und", 0.0, 0.0
+    raw = text.lower().encode()
+    sizes = _sizes(raw, dictionaries)
+    if missed:
+        sizes = [n - float(np.interp(len(raw), (0, *LENGTHS), (0.0, *m))) if any(m) else n for n, m in zip(sizes, missed, strict=True)]
     best = min(range(len(sizes)), key=lambda i: (sizes[i], languages[i]))
     if len(sizes) == 1:
         return languages[0], 1.0, 1.0
@@ -80,18 +118,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         # an even cut of each piece, so that no long one fills the dictionary
         each = max(256, 2 * DICT_BYTES // max(1, len(seen)))
         made[lang] = "\n".join(p[:each] for p in seen).encode()[:DICT_BYTES]
-    # dictionaries of one size, as a larger one compresses better whatever the language
-    size = max(1024, min(map(len, made.values())))
-    return {k: v[:size] for k, v in made.items()}
+    return {k: v for k, v in made.items() if v}
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", text_stays: bool = True) -> DataFrame:
     """docs with held_out, lang_pred, score, margin and rejected."""
-    sent = docs.sparkSession.sparkContext.broadcast((list(dictionaries), tuple(dictionaries.values())))
+    known = tuple(dictionaries.values())
+    sent = docs.sparkSession.sparkContext.broadcast((list(dictionaries), known, misses(known)))
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        languages, known = sent.value
-        got = [judge(t.as_py(), languages, known) for t in batch.column(batch.schema.get_field_index(text_col))]
+        languages, known, missed = sent.value
+        got = [judge(t.as_py(), languages, known, missed) for t in batch.column(batch.schema.get_field_index(text_col))]
         margins = np.array([g[2] for g in got], float)
         return {"lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64()), "margin": pa.array(margins), "rejected": pa.array(margins < REJECT)}
 

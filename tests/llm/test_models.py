@@ -34,6 +34,19 @@ def test_language_on_held_out_rows(spark):
     assert ratio(rows, "lang", "lang_pred") >= 0.95
 
 
+def test_language_beside_a_tiny_one(spark):
+    own = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text", "lang")
+    text = "Tämä on lyhyt suomenkielinen teksti, jossa kerrotaan metsästä ja järvestä. Kesällä lapset uivat rannalla."
+    tiny = next(i for i in range(10**9, 10**9 + 99) if zlib.crc32(str(i).encode()) % 4 != 2)
+    plain, made = language.train(own), language.train(own.unionByName(spark.createDataFrame([(tiny, text, "fi")], own.schema)))
+    assert {k: v for k, v in made.items() if k != "fi"} == plain and made["fi"] == text.lower().encode()
+    assert not any(map(any, language.misses(tuple(b"x" * 99 for _ in plain)))) and language.misses((b"", b"a b" * 50))[1] == (0.0,) * len(language.LENGTHS)
+    rows = [r for r in language.identify(own, made).collect() if r.held_out]
+    assert ratio(rows, "lang", "lang_pred") >= 0.95
+    new = spark.createDataFrame([(1, "Kesällä metsässä ja järven rannalla on lapset, ja lapset uivat rannalla.")], "doc_id long, text string")
+    assert [r.lang_pred for r in language.identify(new, made).collect()] == ["fi"]
+
+
 def test_models_defined_cases(spark):
     own, none = docs(spark), spark.createDataFrame([], "doc_id long, toxic int, quality int")
     bad = toxicity.train(own, none)
