@@ -9,7 +9,8 @@ stands in <article> or <main>, and not in a menu, form, advert, notice or commen
 texts are dealt into made-up page layouts as well, so that it knows containers that these pages don't use.
 
 Defined cases: null and empty html, and pages without main text, give the empty text; markup that is cut off or not
-closed is read as far as it goes; scripts, styles and comments are never text, whatever they hold; pages with the same id or
+closed is read as far as it goes (a head ends at the first tag or text that can't stand in one; an svg, template, form control or the like
+without an end tag is skipped as a tag only); scripts, styles and comments are never text, whatever they hold; pages with the same id or
 html are each extracted; no rows give no rows; extra columns pass through, and one named like an output is replaced.
 """
 
@@ -35,7 +36,8 @@ IN = PATH_DIM + WORD_DIM + COUNTS
 OUT = ("text", "n_chars")
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|object)\b.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>]).*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    r"|(?P<title><title(?=[\s/>])[^>]*>(?:(?!<(?:/?title|/?svg|/head|body)(?=[\s/>])).)*</title(?=[\s/>])[^>]*>)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -43,9 +45,14 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 #: Tags that do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that are no text up to their end tag.
+SKIPPED = frozenset("noscript template iframe svg textarea select object".split())
+_SKIPPED = re.compile(rf"<(?:{'|'.join(sorted(SKIPPED))})(?=[\s/>])", re.I)
 #: A start tag of the first kind ends an open one of the second.
-ENDS = {"li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}, "body": {"head", "title"}}
+ENDS = {"li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 HEAD = frozenset(("head", "title"))
+#: Tags that can stand in a head; any other one ends it.
+IN_HEAD = frozenset("html head title base basefont bgsound link meta noscript noframes template".split())
 
 # ---- blocks --------------------------------------------------------------------------------
 
@@ -58,39 +65,73 @@ def path_parts(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(parts)
 
 
+def skipped(html: str) -> dict[int, int]:
+    """Where each element of SKIPPED that has an end tag starts, and where that end tag ends."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for m in _TOKEN.finditer(html) if _SKIPPED.search(html) else ():
+        tag = (m["tag"] or "").lower()
+        if tag not in SKIPPED:
+            continue
+        if not m["end"]:
+            if tag != "svg" or not m["attrs"].rstrip().endswith("/"):
+                open_.setdefault(tag, []).append(m.start())
+        elif open_.get(tag):
+            out[open_[tag].pop()] = m.end()
+    return out
+
+
 def blocks(html: str) -> list[tuple[tuple, str, int]]:
     """(path, text, characters in links) of each block that has text, in page order."""
     out: list[tuple[tuple, str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
-    links = open_links = 0
+    links = open_links = heads = 0
 
     def flush() -> None:
         nonlocal text, links
         if text:
             joined = " ".join(unescape("".join(text)).split())
-            if joined and not any(t in HEAD for t, _ in stack):
+            if joined and not heads:
                 out.append((tuple(p for _, parts in stack for p in parts), joined, links))
             text, links = [], 0
 
     def pop(at: int) -> None:
-        nonlocal open_links
+        nonlocal open_links, heads
         open_links -= sum(t == "a" for t, _ in stack[at:])
+        heads -= sum(t in HEAD for t, _ in stack[at:])
         del stack[at:]
 
-    at = 0
+    def end_head() -> None:
+        flush()
+        pop(next(k for k, (t, _) in enumerate(stack) if t in HEAD))
+
+    def add(part: str) -> None:
+        nonlocal links
+        if heads and stack[-1][0] == "head" and part.strip():
+            end_head()
+        text.append(part)
+        links += len(part) * (open_links > 0)
+
+    at, ends_at = 0, skipped(html)
     for m in _TOKEN.finditer(html):
+        if m.start() < at:
+            continue
         if m.start() > at:
-            part = html[at : m.start()]
-            text.append(part)
-            links += len(part) * (open_links > 0)
+            add(html[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if tag is None:
-            if m["raw"]:
+            if m["raw"] or m["title"]:
                 flush()
             continue
         tag = tag.lower()
+        if heads and not m["end"] and tag not in IN_HEAD:
+            end_head()
+        if tag in SKIPPED:
+            flush()
+            at = ends_at.get(m.start(), at)
+            continue
         if tag == "br":
             text.append(" ")
             continue
@@ -115,9 +156,10 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
                         break
             stack.append((tag, path_parts(tag, m["attrs"])))
             open_links += tag == "a"
+            heads += tag in HEAD
     if at < len(html):
         rest = html[at:]
-        text.append(rest[: rest.rindex("<")] if re.search(r"<[/a-zA-Z!][^>]*\Z", rest) else rest)
+        add(rest[: rest.rindex("<")] if re.search(r"<[/a-zA-Z!][^>]*\Z", rest) else rest)
     flush()
     return out
 

@@ -87,6 +87,21 @@ def test_extraction_of_other_layouts(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, html string"), model).count() == 0
 
 
+def test_blocks_of_open_heads_and_skipped_elements():
+    texts = lambda html: [t for _, t, _ in html_text.blocks(html)]
+    for head in ("<html><head><title>T</title>", "<html><head><title>T<meta x>", "<head><title>T</title></head><body>", "<head><title>T<body>", "<title>T", "<head><title>A <p> & B</title><link x>"):
+        assert texts(f"{head}<h1>One</h1><p>two<svg><title>no</title></svg><p>three") == ["One", "two", "three"], head
+    assert texts("<head><title>T</title>\n Plain text<br>goes <b>on</b>") == ["Plain text goes on"]
+    assert texts("<head><title>T</title><a href=x>One</a> two") == ["One two"]
+    for odd in ("<svg class=i/>", '<svg class="i" />', "<svg class=i>", "<object data=x>", "<iframe src=x>", "<template>", "<noscript>", "<svg><g></svg>", "<svg>no<svg>no</svg>no</svg>", "<select><option>no</select>", "<script>'<svg>'</script>", "<textarea><p>no</textarea>"):
+        assert texts(f"<body><div>menu {odd}</div><p>One</p><p>two</p><svg><text>no</text></svg><object>no</object>three") == ["menu", "One", "two", "three"], odd
+    paths = {t: path for path, t, _ in html_text.blocks("<nav>menu<svg class=i></nav><article>One</article>")}
+    assert "nav" in paths["menu"] and "nav" not in paths["One"]
+    for own in ("template-card", "svg-icon", "object-view", "script-box", "style-guide", "title-bar"):
+        assert texts(f"<body><{own} x=1>One</{own}><p>two") == ["One", "two"], own
+    assert texts("<p>One<script>no <p>no") == ["One"] and texts("<p>One<style>no") == ["One"]
+
+
 def test_chat_query(spark, sf):
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()]
     hard = "\\### Assistant: </turn> ok"
