@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import append_columns, held_out
 
 DICT_BYTES = 110 << 10
-#: Sampled rows of a language that its dictionary is cut from, about; of each the first PIECE characters at most.
+#: Sampled rows of a language that its dictionary is cut from, about; of each PIECE characters at most, from a hashed place on.
 ROWS, PIECE = 150, 4000
 LEVEL = 6
 SHORT, SHORT_LEVELS = 400, (1, 3, 6, 12, 19)
@@ -108,16 +108,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return {}
     share = docs.sparkSession.createDataFrame([(k, min(1.0, 2 * ROWS / n)) for k, n in counts.items()], "__lang string, __share double")
     draw = F.pmod(F.xxhash64(F.lit(11), id_col), F.lit(1 << 30)) / float(1 << 30)
-    rows = own.select(F.col(lang_col).alias("__lang"), draw.alias("draw"), F.lower(F.substring(text_col, 1, PIECE)).alias("piece")).join(F.broadcast(share), "__lang").filter("draw < __share")
-    pieces: dict[str, list[tuple[float, str]]] = {}
-    for r in rows.select("__lang", "draw", "piece").limit(4 * ROWS * len(counts)).toLocalIterator():
-        pieces.setdefault(r[0], []).append((r[1], r[2]))
+    # by the text, so that copies give the same piece
+    place = F.pmod(F.xxhash64(F.lit(12), text_col), F.lit(1 << 30)) / float(1 << 30)
+    start = F.floor(place * F.greatest(F.length(text_col) - PIECE + 1, F.lit(1))).cast("int") + 1
+    piece = F.lower(F.substring(F.col(text_col), start, F.lit(PIECE)))
+    rows = own.select(F.col(lang_col).alias("__lang"), draw.alias("draw"), place.alias("place"), piece.alias("piece")).join(F.broadcast(share), "__lang").filter("draw < __share")
+    pieces: dict[str, list[tuple[float, str, float]]] = {}
+    for r in rows.select("__lang", "draw", "piece", "place").limit(4 * ROWS * len(counts)).toLocalIterator():
+        pieces.setdefault(r[0], []).append((r[1], r[2], r[3]))
     made = {}
     for lang in sorted(pieces):
-        seen = list(dict.fromkeys(p for _, p in sorted(pieces[lang])))
-        # an even cut of each piece, so that no long one fills the dictionary
+        seen = list(dict.fromkeys((p, at) for _, p, at in sorted(pieces[lang])))
+        # an even cut of each piece, so that no long one fills the dictionary, from the same hashed place in it
         each = max(256, 2 * DICT_BYTES // max(1, len(seen)))
-        made[lang] = "\n".join(p[:each] for p in seen).encode()[:DICT_BYTES]
+        made[lang] = "\n".join(p[int(at * max(0, len(p) - each + 1)) :][:each] for p, at in seen).encode()[:DICT_BYTES]
     return {k: v for k, v in made.items() if v}
 
 

@@ -47,6 +47,17 @@ def test_language_beside_a_tiny_one(spark):
     assert [r.lang_pred for r in language.identify(new, made).collect()] == ["fi"]
 
 
+def test_language_learns_from_whole_texts(spark):
+    ids = [i for i in range(900) if zlib.crc32(str(i).encode()) % 4 != 2][:400]
+    # an opening, a middle and an end of their own, beyond what a piece or its cut holds
+    rows = [(i, f"{i} " + "opening " * 400 + "middle " * 400 + "ending " * 400, "aa") for i in ids] + [(i, f"{i} " + "start " * 200 + "finish " * 200, "bb") for i in ids]
+    made = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(w in made["aa"] for w in (b"opening opening", b"middle middle", b"ending ending"))
+    assert all(w in made["bb"] for w in (b"start start", b"finish finish"))
+    same = language.train(spark.createDataFrame([(i, "x" + "copied text " * 900, "aa") for i in ids], "doc_id long, text string, lang string"))
+    assert len(same["aa"]) <= language.PIECE
+
+
 def test_models_defined_cases(spark):
     own, none = docs(spark), spark.createDataFrame([], "doc_id long, toxic int, quality int")
     bad = toxicity.train(own, none)
