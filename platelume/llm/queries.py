@@ -67,4 +67,19 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op7_chat_format": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, role, text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        made AS (
+            SELECT conv_id, count(*) AS n_turns,
+                   string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns,
+                   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (role = 'assistant'), '') AS loss,
+                   sum(length('<turn ></turn>' || chr(10))
+                       + length(replace(replace(replace(coalesce(role, '') || coalesce(text, ''), '\', '\\'), '<', '\l'), '>', '\g'))) AS chars
+            FROM rows GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+               CAST(chars AS BIGINT) AS formatted_chars
+        FROM made""",
 }

@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,14 @@ def test_chat_query(spark, sf):
     assert text == {k: v[3] for k, v in want.items()}
 
 
+def test_chat_query_agrees_with_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    want, got = con.sql(queries.ORACLE["op7_chat_format"]), queries.op7_chat_format(spark, sf)
+    assert want.columns == got.columns
+    assert sorted(want.fetchall()) == sorted(map(tuple, got.collect()))
+
+
 def test_chat_defined_cases(spark):
     rows = [(1, None, None, None), (1, 2, "a>s<s", "x"), (1, 2, "a>s<s", "x"), (None, 1, "assistant", ""), (2, 1, "assistant", "é" * 70000)]
     got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}

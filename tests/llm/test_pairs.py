@@ -182,6 +182,15 @@ def test_contamination(spark, sf, block):
     assert got == want and sum(w[4] for w in want.values()) > 4
 
 
+def test_contamination_query(spark, sf):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = {r.doc_id: slow_hits(r.text, items) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = queries.op8_decontaminate(spark, sf).collect()
+    assert len(out) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out} == want
+    assert any(w[4] for w in want.values())
+
+
 def test_contamination_defined_cases(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     out = decontaminate.contamination(docs(spark), none).collect()
