@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TILE = 512
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        place = tempfile.mkdtemp(prefix="platelume-")
-        spark.sparkContext.setCheckpointDir(place)
-    return place
-
+from . import contract
+from .scratch import keep
 
-def keep(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, so that its lineage is cut."""
-    path = f"{scratch(df.sparkSession)}/plates/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+TILE = 512
 
 
 def label_pixels(y: np.ndarray, x: np.ndarray, connectivity: int) -> np.ndarray:
@@ -50,27 +34,11 @@ def label_pixels(y: np.ndarray, x: np.ndarray, connectivity: int) -> np.ndarray:
             up = up[up]
 
 
-def contract(edges: DataFrame, limit: int = 60) -> DataFrame:
-    """edges (a, b) -> (node, root), root the least node of the component; alternating stars, each round written."""
-    now = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
-    mark = None
-    for _ in range(limit):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = keep(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = keep(small.filter("u <> v").distinct())
-        seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = seen
-    raise RuntimeError(f"components did not settle in {limit} rounds")
-
-
-def components(mask: DataFrame, connectivity: int = 8, tile: int = TILE) -> DataFrame:
+def components(mask: DataFrame, connectivity: int = 8, tile: int = TILE, frame: DataFrame | None = None) -> DataFrame:
     """mask (image_id, .., y, x) -> with first: a struct (y, x) of its component's first pixel in raster order.
 
+    frame (image_id, height, width), where the caller has it, tells whether any image is larger than a tile without a look at the mask.
+
     Columns besides image_id, y and x are taken as part of what separates masks (such as a class or a mask key).
     """
     if connectivity not in (4, 8):
@@ -88,9 +56,9 @@ def components(mask: DataFrame, connectivity: int = 8, tile: int = TILE) -> Data
 
     schema = ", ".join(f"`{c}` {types[c]}" for c in key) + ", y int, x int, ty int, tx int, fy int, fx int"
     local = own.groupBy(*key, "ty", "tx").applyInPandas(run, schema)
-    size = mask.agg(F.max(F.greatest("y", "x"))).first()[0]
-    if size is not None and size >= tile:
-        local = keep(local)
+    size = frame.agg(F.max(F.greatest("height", "width"))).first()[0] if frame is not None else (mask.agg(F.max(F.greatest("y", "x"))).first()[0] or 0) + 1
+    if size is not None and size > tile:
+        local = keep(local, "tiles")
         edge = lambda c: (F.col(c) % tile == 0) | (F.col(c) % tile == tile - 1)
         rim = local.filter(edge("y") | edge("x"))
         steps = [(0, 1), (1, 0), *(((1, 1), (1, -1)) if connectivity == 8 else ())]
@@ -98,7 +66,7 @@ def components(mask: DataFrame, connectivity: int = 8, tile: int = TILE) -> Data
         to = to.select(*key, F.struct("fy", "fx").alias("fa"), (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.col("ty").alias("ty0"), F.col("tx").alias("tx0"))
         pairs = to.join(rim.select(*key, "y", "x", "ty", "tx", F.struct("fy", "fx").alias("fb")), [*key, "y", "x"]).filter("ty <> ty0 OR tx <> tx0")
         node = lambda f: F.struct(*[F.col(k) for k in key], F.col(f).alias("f"))
-        found = contract(pairs.select(node("fa").alias("a"), node("fb").alias("b")))
+        found = contract.components(pairs.select(node("fa").alias("a"), node("fb").alias("b")))
         merged = found.select(*[F.col(f"node.{k}").alias(k) for k in key], F.col("node.f.fy").alias("fy"), F.col("node.f.fx").alias("fx"), F.col("root.f").alias("g"))
         local = local.join(merged, [*key, "fy", "fx"], "left").withColumns({"fy": F.coalesce("g.fy", "fy"), "fx": F.coalesce("g.fx", "fx")}).drop("g")
     return local.select(*key, "y", "x", F.struct(F.col("fy").alias("y"), F.col("fx").alias("x")).alias("first"))

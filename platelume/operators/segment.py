@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.graph import components, keep
+from ..functions.graph import components
 from ..functions.neighbours import frame_of, frame_pixels
+from ..functions.scratch import keep
 from .intensity import gaussian_blur, z_project
 
 BINS = 256

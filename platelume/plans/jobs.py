@@ -9,8 +9,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.graph import keep
 from ..functions.neighbours import frame_of
+from ..functions.scratch import keep
 from ..operators import intensity, measure, segment
 from ..sources import files, results
 

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.graph import keep, scratch
 from ..functions.neighbours import frame_of
+from ..functions.scratch import folder, keep
 from ..operators import intensity, measure, plate, segment
 from ..sources import files, fixtures, results
 from ..sources.bitmaps import write_bitmaps
@@ -99,7 +99,7 @@ def _bitmaps(spark, d, place):
 @query(sql("plane", "SELECT image_id, channel, count(*) AS n, sum(value) AS total FROM (SELECT * FROM plane UNION ALL SELECT image_id, 2, y, x, 0 FROM p0) GROUP BY ALL".replace("FROM p0", "FROM plane WHERE channel=0")))
 def read_bitmaps(spark, d):
     """Bitmaps of the images read back as pixels."""
-    back = files.read_bitmaps(spark, _bitmaps(spark, d, f"{scratch(spark)}/bitmaps/{uuid.uuid4().hex}"))
+    back = files.read_bitmaps(spark, _bitmaps(spark, d, f"{folder(spark)}/bitmaps/{uuid.uuid4().hex}"))
     return back.groupBy("path", "channel").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.regexp_extract("path", r"img_(\d+)", 1).cast("long").alias("image_id"), "channel", "n", "total")
 
 
@@ -132,7 +132,7 @@ def _intensities(spark, d):
 
 @query(sql("p0", "SELECT image_id, 'DAPI' AS channel, 'whole_image' AS roi_mask, '' AS roi_path, sum(value) AS sum_intensity, count(*) AS area_px, 'exp1' AS experiment FROM p0 GROUP BY image_id UNION ALL SELECT s_suppkey, '', 'whole_image', '', 0, 0, 'exp2' FROM supplier"))
 def write_results(spark, d):
-    out = f"{scratch(spark)}/results/{uuid.uuid4().hex}"
+    out = f"{folder(spark)}/results/{uuid.uuid4().hex}"
     results.write_results({"intensity_measurements": _intensities(spark, d)}, out, "exp1")
     results.write_results({"intensity_measurements": fixtures.images(spark, d).select("image_id")}, out, "exp2")
     return results.read_results(spark, out, "intensity_measurements").select("image_id", "channel", "roi_mask", "roi_path", "sum_intensity", "area_px", F.col("experiment").cast("string").alias("experiment"))
@@ -140,7 +140,7 @@ def write_results(spark, d):
 
 @query(sql("p0", "SELECT image_id, sum(value) AS sum_intensity FROM p0 GROUP BY image_id"))
 def export_parquet(spark, d):
-    out = f"{scratch(spark)}/export/{uuid.uuid4().hex}"
+    out = f"{folder(spark)}/export/{uuid.uuid4().hex}"
     tables = {"intensity_measurements": _intensities(spark, d), "particle_measurements": spark.createDataFrame([], results.schema("particle_measurements"))}
     done = results.export_parquet(tables, out)
     return spark.read.parquet(f"{out}/{done[0]}").select("image_id", "sum_intensity")
@@ -772,7 +772,7 @@ def run_sample_job(spark, d):
 @query(sql("p1, cc4, frame", f"SELECT 'ok' AS status, count(*) AS n_runs, count(*) AS n_rows, sum(total) AS total FROM (SELECT image_id, coalesce(sum(value), 0) AS total FROM frame LEFT JOIN (SELECT * FROM p1 SEMI JOIN ({_SMALL}) k USING (image_id, y, x)) USING (image_id) GROUP BY 1)"))
 def batch_directory(spark, d):
     """A folder of bitmaps through a job, written and read back."""
-    place = f"{scratch(spark)}/batch/{uuid.uuid4().hex}"
+    place = f"{folder(spark)}/batch/{uuid.uuid4().hex}"
     jobs.batch_directory(spark, {**PLAIN, "steps": [s for s in PLAIN["steps"] if s["type"] != "BrightnessContrast"]}, _bitmaps(spark, d, f"{place}/in"), f"{place}/out", "exp1")
     runs = results.read_results(spark, f"{place}/out", "pipeline_runs").groupBy("status").agg(F.count("*").alias("n_runs"))
     rows = results.read_results(spark, f"{place}/out", "intensity_measurements").agg(F.count("*").alias("n_rows"), F.sum("sum_intensity").alias("total"))

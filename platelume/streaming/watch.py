@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.graph import keep
+from ..functions.scratch import drop, keep
 from ..plans.jobs import Frames, run_pipeline
 from ..sources import results
 
