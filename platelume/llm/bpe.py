@@ -1,11 +1,12 @@
 """Byte-level BPE by corpus-level merge replay.
 
-A task takes its part of the corpus a stretch at a time: the stretch's distinct words (matches of the
+A task takes its part of the corpus a stretch at a time: the stretch's new distinct words (matches of the
 splitting pattern) are laid side by side as one sequence of tokens, an inverted index leads from each
 adjacent token pair (by the rank it merges to) to its positions, and merges are applied in rank order to all words at
 once. A merge touches its two neighbours' pairs only. If it makes a pair of a lower rank than its own, that
-word is done again alone, so each word ends as the rank file's library would have it. Words stay known to the worker, up to MEMORY of them; that
-bound changes how often a word is replayed, never its result.
+word is done again alone, so each word ends as the rank file's library would have it. Words stay known until the task ends, up to MEMORY of
+them, and a stretch ends early at NEW_WORDS new words or NEW_CHARS characters of them, inside a text too; these
+bounds change how often a word is replayed, never its result. Memory beyond them grows with the longest text and the longest word.
 
 Defined cases: null text counts as empty and has no ids; special tokens are not recognised, their strings are
 ordinary text; a text whose bytes are all unknown can't be, as each byte is a token; no rows give no rows; equal
@@ -17,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
 
@@ -27,12 +27,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import append_columns, slices, texts_of
-
-#: Words whose ids a worker remembers.
-MEMORY = 500_000
-#: Bytes of text whose words are replayed together.
-STRETCH = 24 << 20
+from .common import append_columns, texts_of
+
+#: Words whose ids a task remembers.
+MEMORY = 1 << 18
+#: New words, and characters of them, that are replayed together at most.
+NEW_WORDS, NEW_CHARS = 1 << 17, 1 << 20
+#: A longer text's words are taken in parts of this many, a text of LONG characters at most at once.
+PART, LONG = 1 << 16, 1 << 19
+#: Bytes of text whose words are replayed together, unless bounds on new words come first.
+STRETCH = 16 << 20
+#: Ids that are turned into bytes at once.
+IDS = 1 << 17
 OUT = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -178,20 +184,33 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype("<u4"), count
 
 
+class _Numbers(dict):
+    """Numbers words in order of appearance; what is new since the last replay is listed."""
+
+    def __init__(self):
+        self.new: list[str] = []
+        self.chars = 0
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        self.chars += len(word)
+        return n
+
+
 class Codec:
-    """Encodes and decodes texts by a rank file; one to a Python worker."""
+    """Encodes and decodes texts by a rank file; one to a Python worker, which keeps no words from task to task."""
 
     _known: dict[tuple[str, str], Codec] = {}
 
     def __init__(self, path: str, pattern: str):
         self.merges = Merges(read_ranks(path))
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = defaultdict()
-        self.number.default_factory = self.number.__len__
-        self.ids, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self.number = _Numbers()
+        self.ids, self.size, self.start = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
@@ -199,23 +218,50 @@ class Codec:
             cls._known[path, pattern] = cls(path, pattern)
         return cls._known[path, pattern]
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Each text's ids. The texts are a stretch of the corpus, whose new words are replayed together."""
-        if len(self.number) > MEMORY:
-            self.forget()
-        known, parts = len(self.size), []
-        for t in texts:
-            parts.append(np.fromiter(map(self.number.__getitem__, self.find(t)), np.int32))
-        new = [w.encode() for w in islice(self.number, known, None)]
-        if new:
-            ids, size = replay(new, self.merges)
+    def words(self, text: str) -> Iterator[list[str]]:
+        """The text's words in order, a part at a time."""
+        if len(text) <= LONG:
+            yield self.pattern.findall(text)
+            return
+        found = (m[0] for m in self.pattern.finditer(text))
+        while part := list(islice(found, PART)):
+            yield part
+
+    def learn(self) -> None:
+        """Replays the new words."""
+        if self.number.new:
+            ids, size = replay([w.encode() for w in self.number.new], self.merges)
             self.ids, self.size = np.concatenate((self.ids, ids)), np.concatenate((self.size, size))
             self.start = np.cumsum(self.size) - self.size
-        for p in parts:
-            yield self.ids[spread(self.start[p], self.size[p])] if len(p) else np.zeros(0, "<u4")
+            self.number.new, self.number.chars = [], 0
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return self.merges.flat[spread(self.merges.start[ids], self.merges.size[ids])].tobytes() if len(ids) else b""
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Each text's ids. The texts are a stretch of the corpus, whose new words are replayed together."""
+        got: list[list[np.ndarray]] = [[] for _ in texts]
+        waiting: list[tuple[int, np.ndarray]] = []
+
+        def settle() -> None:
+            self.learn()
+            for i, p in waiting:
+                got[i].append(self.ids[spread(self.start[p], self.size[p])])
+            waiting.clear()
+            if len(self.number) > MEMORY:
+                self.forget()
+
+        for i, t in enumerate(texts):
+            for part in self.words(t):
+                waiting.append((i, np.fromiter(map(self.number.__getitem__, part), np.int32, len(part))))
+                if len(self.number.new) > NEW_WORDS or self.number.chars > NEW_CHARS:
+                    settle()
+        settle()
+        for parts in got:
+            yield parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, "<u4")])
+
+    def decode(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The ids' bytes, in blocks."""
+        for a in range(0, len(ids), IDS):
+            part = ids[a : a + IDS]
+            yield self.merges.flat[spread(self.merges.start[part], self.merges.size[part])].tobytes()
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ids: bool = False, text_stays: bool = True) -> DataFrame:
@@ -225,22 +271,24 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", id
     """
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        codec, texts = Codec.of(ranks, pattern), texts_of(batch, text_col)
+        codec = Codec.of(ranks, pattern)
         n, digest, back, all_ids = [], [], [], []
-        for a, b in slices(list(map(len, texts)), STRETCH):
-            for coded in codec.encode(texts[a:b]):
-                n.append(len(coded))
-                digest.append(hashlib.sha256(coded.tobytes()).hexdigest())
-                back.append(hashlib.sha256(codec.decode(coded)).hexdigest())
-                if ids:
-                    all_ids.append(coded.astype(np.int32))
+        for coded in codec.encode(texts_of(batch, text_col)):
+            n.append(len(coded))
+            digest.append(hashlib.sha256(coded.tobytes()).hexdigest())
+            again = hashlib.sha256()
+            for part in codec.decode(coded):
+                again.update(part)
+            back.append(again.hexdigest())
+            if ids:
+                all_ids.append(coded.astype(np.int32))
         made = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(digest, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
         return made | ({"token_ids": pa.array(all_ids, pa.list_(pa.int32()))} if ids else {})
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     fields += [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] * ids
-    # the more words are replayed together, the less a replay costs: make cuts its stretches itself
-    return append_columns(docs, make, T.StructType(fields), [] if text_stays else [text_col], rows=1 << 30)
+    # the more words are replayed together, the less a replay costs: a stretch is bounded by its bytes alone
+    return append_columns(docs, make, T.StructType(fields), [] if text_stays else [text_col], rows=1 << 30, size=STRETCH, end=lambda: Codec.of(ranks, pattern).forget())
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:
@@ -249,6 +297,6 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, ids_col: str = "token_i
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         codec = Codec.of(ranks, pattern)
         rows = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-        return {"decoded": pa.array([codec.decode(np.array(r or [], np.int64)).decode(errors="replace") for r in rows], pa.string())}
+        return {"decoded": pa.array([b"".join(codec.decode(np.array(r or [], np.int64))).decode(errors="replace") for r in rows], pa.string())}
 
     return append_columns(encoded, make, T.StructType([T.StructField("decoded", T.StringType())]))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,61 +15,52 @@ from .. import reach_workers
 
 #: Python helpers work on slices of about this many text bytes, so that their arrays stay small.
 SLICE_BYTES = 1 << 20
-#: A key with more than 1/HOT_SHARE of all rows is joined by broadcast of its (single) right row; at most HOT_SHARE keys can be that frequent.
-HOT_SHARE = 500
+#: Text bytes of an Arrow batch that are Python objects at once, unless one row has more.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder shared by all executors; a temporary one only where the session names none (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        place = tempfile.mkdtemp(prefix="platelume-")
-        spark.sparkContext.setCheckpointDir(place)
-    return place
-
-
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back: its lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/platelume/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df without columns of these names, in any case: an operator's own outputs take their place."""
     gone = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
-def hot_keys(df: DataFrame, key: str) -> list:
-    """Keys that hold over 1/HOT_SHARE of df's rows; HOT_SHARE of them at most."""
-    counts = df.groupBy(key).count()
-    total = df.count()
-    return [r[0] for r in counts.filter((F.col("count") > max(1000, total // HOT_SHARE)) & F.col(key).isNotNull()).select(key).collect()] if total > 1000 else []
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[..., DataFrame]]:
+    """df with its columns named c0, c1, .., so that no name an operator uses can be one of them.
+
+    Also a function from a column's own name to its number's, and one that gives a result of these columns their own names again:
+    own(result, outputs, gone) selects df's columns, without those named like an output (which replace them) or in gone, and the outputs.
+    """
+    names = df.columns
+    of = {n.lower(): f"c{i}" for i, n in reversed(list(enumerate(names)))}
+
+    def number(name: str) -> str:
+        if name.lower() not in of:
+            raise ValueError(f"no column {name!r}; there are {', '.join(names)}")
+        return of[name.lower()]
 
+    def own(result: DataFrame, outputs: Iterable[str] = (), gone: Iterable[str] = ()) -> DataFrame:
+        out = list(outputs)
+        hidden = {n.lower() for n in [*out, *gone]}
+        return result.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n.lower() not in hidden], *out)
 
-def join_by(left: DataFrame, right: DataFrame, key: str, hot: list) -> DataFrame:
-    """Left join on a key that is unique in right; rows of the hot keys meet their few right rows by broadcast, where they are."""
-    if not hot:
-        return left.join(right, key, "left")
-    often = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    cold = left.filter(~often).join(right, key, "left")
-    return cold.unionByName(left.filter(often).join(F.broadcast(right.filter(F.col(key).isin(hot))), key, "left"))
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), number, own
 
 
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == rest, F.lit(False))
 
 
-def append_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], new: T.StructType, drop: Iterable[str] = (), rows: int = 1000) -> DataFrame:
+def append_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], new: T.StructType, drop: Iterable[str] = (), rows: int = 1000, size: int = BATCH_BYTES, end: Callable[[], None] | None = None) -> DataFrame:
     """df, without the columns drop, with those that make(batch) returns for each Arrow batch; no shuffle, rows and their order stay.
 
-    make gets rows rows at most at once, so that Python objects exist for these only.
+    make gets rows rows and about size bytes of text at most at once (or one row), so that Python objects exist for these only.
+    end is called when a task is done, to give back what make has gathered in the worker.
     """
     reach_workers(df.sparkSession)
     gone = {n.lower() for n in drop}
@@ -79,25 +69,38 @@ def append_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.
     names = [*(base.columns[i] for i in stay), *new.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), rows):
-                batch = whole.slice(at, rows)
-                made = make(batch)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *(made[n] for n in new.names)], names=names)
+        try:
+            for whole in batches:
+                for a, b in slices(text_bytes(whole), size, rows):
+                    batch = whole.slice(a, b - a)
+                    made = make(batch)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *(made[n] for n in new.names)], names=names)
+        finally:
+            if end:
+                end()
 
     return base.mapInArrow(run, T.StructType([*(base.schema.fields[i] for i in stay), *new.fields]))
 
 
+def text_bytes(batch: pa.RecordBatch) -> list[int]:
+    """The bytes of each row's texts."""
+    total = np.zeros(len(batch), np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return total.tolist()
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The column's texts; null counts as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about limit bytes; a larger row is a run of its own."""
+def slices(sizes: list[int], limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Runs of rows rows and about limit bytes at most; a larger row is a run of its own."""
     start, total = 0, 0
     for i, n in enumerate(sizes):
-        if i > start and total + n > limit:
+        if i > start and (total + n > limit or i - start == rows):
             yield start, i
             start, total = i, 0
         total += n
@@ -107,18 +110,18 @@ def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 # ---- words of many texts at once, as arrays -------------------------------------------------
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Bytes whose word hashes are worked out together; a longer word takes several such blocks.
+HASH_BLOCK = 1 << 17
+_BASE = 0x9E3779B97F4A7C15 | 1
+
 
+def _powers(base: int) -> np.ndarray:
+    x = np.full(HASH_BLOCK, base, np.uint64)
+    x[0] = 1
+    return np.cumprod(x, dtype=np.uint64)
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
-        for k, base in (("up", _BASE), ("down", _BASE_INV)):
-            x = np.full(n + n // 4, base, np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"]
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 #: A-Z to a-z, all other bytes as they are.
@@ -132,6 +135,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each word the sum of its bytes' values times powers of _BASE by place in the word, a block of words at a time."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        first = int(starts[i])
+        j = int(np.searchsorted(ends, first + HASH_BLOCK, side="right"))  # words i..j-1 lie in the block
+        if j > i:
+            sums = np.zeros(int(ends[j - 1]) - first + 1, np.uint64)
+            np.cumsum(_VALUE[data[first : int(ends[j - 1])]] * _UP[: len(sums) - 1], dtype=np.uint64, out=sums[1:])
+            out[i:j] = (sums[ends[i:j] - first] - sums[starts[i:j] - first]) * _DOWN[starts[i:j] - first]
+            i = j
+            continue
+        total = 0  # a word longer than a block
+        for k, a in enumerate(range(first, int(ends[i]), HASH_BLOCK)):
+            part = data[a : min(a + HASH_BLOCK, int(ends[i]))]
+            total += int((_VALUE[part] * _UP[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, k * HASH_BLOCK, 1 << 64)
+        out[i] = total & (1 << 64) - 1
+        i += 1
+    return out
+
+
 class Words:
     """Words of several texts: places in one byte buffer, a 64-bit hash each, and each text's first word."""
 
@@ -142,9 +167,7 @@ class Words:
         inside = is_word[data]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         self.starts, self.ends = edge[::2], edge[1::2]
-        up, down = _powers(len(data))
-        sums = np.cumsum(_VALUE[data] * up, dtype=np.uint64)
-        self.hashes = mix((sums[self.ends - 1] - sums[self.starts - 1]) * down[self.starts])
+        self.hashes = mix(_polynomials(data, self.starts, self.ends))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.bounds = np.searchsorted(self.starts, np.concatenate(([1], 1 + np.cumsum(sizes))))
 
