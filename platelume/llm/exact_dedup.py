@@ -1,91 +1,80 @@
 """Exact deduplication by content sort, in DataFrame functions alone.
 
-Sampled splitters range-partition the normalised bytes (a bounded head of them and their digest stand for
-the whole in the splitters, so that what is sampled stays small), each partition is sorted externally by the
-whole text, equals stand next to each other, and each row is compared in full with its neighbour.
+Sampled splitters range-partition the normalised bytes (a bounded head of them stands for the whole in the splitters, so
+that what is sampled stays small; the digest breaks ties of heads). Each partition is sorted externally by the
+text itself, which puts equals next to each other, and the window over the sorted rows tells where a run of equals ends by comparing each
+whole text with its neighbour's.
 
 A text that holds more than 1/SPREAD of all rows would fill one sort partition. Such texts (SPREAD at most)
-are found by a pre-aggregated count of digests and dealt over salts; the first rows of the salted runs, again
-at most 2 * SPREAD of them, go through the same sort once more and their result returns by broadcast.
+are found by a pre-aggregated count of digests. Their rows are written once with a salt by id and row number, so that rows alike in everything
+are dealt out as well; the first rows of the salted runs, at most 2 * SPREAD of them, go through the same sort once more, and their result
+returns by broadcast.
 
 Defined cases: null text counts as empty and so equals ''. A null doc_id sorts last: it stays only if no row of
 its text has an id. Of rows with the same text and doc_id one, whichever comes first, stays. No rows give no rows. Extra
-columns pass through; one named like an output is replaced.
+columns of any name pass through; one named like an output is replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import without
+from ..functions.scratch import keep
+from .common import numbered
 
-#: A text with more than 1/SPREAD of the rows is salted.
-SPREAD = 2000
+#: A text with more than 1/SPREAD of the rows, and more than FEW of them, is salted.
+SPREAD, FEW = 2000, 64
 #: Characters of the text that go into the splitters.
 HEAD = 24
 OUT = ("keep_id", "group_size", "kept", "text_sha256")
+#: What rows are dealt by, and what the rows of one run have in common.
+SPLIT, SAME = ("head", "text_sha256"), ("head", "text", "text_sha256")
+
+
+def _runs(df: DataFrame, order: list[Column], *more: str, size: Column, best: Column) -> DataFrame:
+    """df range-partitioned, sorted by text, with each run's keep_id and group_size, and each row's place nth in its run."""
+    place = Window.partitionBy(*SAME, *more).orderBy(*order)
+    run = place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.repartitionByRange(*SPLIT, *more).withColumns({"keep_id": best.over(run), "group_size": size.over(run), "nth": F.row_number().over(place)})
+
+
+def _sorted_runs(docs: DataFrame, normalise: Callable[[Column], Column] | None, largest: bool, bid: str, text: Column) -> DataFrame:
+    """docs (c0, c1, ..) with OUT."""
+    text = F.coalesce(text, F.lit(""))
+    rows = docs.withColumn("text", normalise(text) if normalise else text)
+    rows = rows.withColumns({"head": F.substring("text", 1, HEAD), "text_sha256": F.sha2("text", 256)})
+    by = lambda c: F.col(c).desc_nulls_last() if largest else F.col(c).asc_nulls_last()
+    done = [*docs.columns, "keep_id", "group_size", (F.col("nth") == 1).alias("kept"), "text_sha256"]
+    share = max(FEW, docs.count() // SPREAD)
+    often = rows.groupBy("text_sha256").count().filter(F.col("count") > share).collect()  # SPREAD rows at most
+    one = {"size": F.count("*"), "best": F.first(bid)}
+    if not often:
+        return _runs(rows, [by(bid)], **one).select(*done)
+
+    salts = F.broadcast(docs.sparkSession.createDataFrame([(r[0], r[1] // share + 1) for r in often], "text_sha256 string, salts int"))
+    cold = _runs(rows.join(salts, "text_sha256", "left_anti"), [by(bid)], **one).select(*done)
+    salt = F.pmod(F.xxhash64(bid, F.monotonically_increasing_id()), F.col("salts")).cast("int")
+    hot = keep(rows.join(salts, "text_sha256").withColumn("salt", salt).drop("salts"), "hot-texts")
+    parts = _runs(hot, [by(bid)], "salt", **one)
+    # the first row of each salted run, compared in full with the others of its text
+    firsts = parts.filter("nth = 1").select(*SAME, "salt", F.col("keep_id").alias("own"), F.col("group_size").alias("rows"))
+    whole = _runs(firsts, [by("own"), F.col("salt")], size=F.sum("rows"), best=F.first("own"))
+    whole = whole.select("text_sha256", "salt", "keep_id", "group_size", (F.col("nth") == 1).alias("top"))
+    again = keep(whole, "hot-runs")
+    parts = parts.drop("keep_id", "group_size").join(F.broadcast(again), ["text_sha256", "salt"])
+    return cold.unionByName(parts.withColumn("kept", (F.col("nth") == 1) & F.col("top")).select(*cold.columns))
+
+
+def exact_dedup(docs: DataFrame, normalise: Callable[[Column], Column] | None = None, largest: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with keep_id, group_size, kept and text_sha256. largest: whether the largest id of equal texts stays, or the smallest."""
+    plain, number, own = numbered(docs)
+    return own(_sorted_runs(plain, normalise, largest, number(id_col), F.col(number(text_col))), OUT)
 
 
-def _runs(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """df range-partitioned and sorted by keys and text, with __run: which run of equal neighbours in a key a row is in."""
-    place = Window.partitionBy(*keys).orderBy(F.col("__text"), *order)
-    before = F.lag("__text").over(place)
-    new = F.when(before.isNull() | (before != F.col("__text")), 1).otherwise(0)
-    return df.repartitionByRange(*keys).withColumn("__new", new).withColumn("__run", F.sum("__new").over(place.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
-
-
-def exact_dedup(docs: DataFrame, normalise=None, largest: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with keep_id, group_size, kept and text_sha256. largest: whether the largest id of equal texts stays, or the smallest."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    text = normalise(text) if normalise else text
-    base = without(docs, OUT)
-    own = base.columns
-    base = base.withColumn("__text", text).withColumn("text_sha256", F.sha2("__text", 256))
-    bid = F.col(id_col)
-    first = [bid.desc_nulls_last() if largest else bid.asc_nulls_last()]
-    best = F.max if largest else F.min
-
-    total = docs.count()
-    share = max(64, total // SPREAD)
-    often = base.groupBy("text_sha256").agg(F.count("*").alias("__n")).filter(F.col("__n") > share).collect()  # SPREAD rows at most
-    head = F.substring("__text", 1, HEAD)
-    if not often:
-        rows = base.withColumn("__head", head).withColumn("__salt", F.lit(0))
-    else:
-        salts = docs.sparkSession.createDataFrame([(r[0], r[1] // share + 1) for r in often], "text_sha256 string, __salts int")
-        salt = F.coalesce(F.pmod(F.xxhash64(bid), F.col("__salts")).cast("int") + 1, F.lit(0))
-        rows = base.join(F.broadcast(salts), "text_sha256", "left").withColumn("__head", head).withColumn("__salt", salt).drop("__salts")
-    keys = ["__head", "text_sha256", "__salt"]
-
-    run = Window.partitionBy(*keys, "__run")
-
-    def summed(df: DataFrame) -> DataFrame:
-        """Each run's best id and size, and which of its rows comes first."""
-        return df.withColumn("keep_id", best(id_col).over(run)).withColumn("group_size", F.count("*").over(run)).withColumn("__nth", F.row_number().over(run.orderBy(*first)))
-
-    wanted = [F.col(f"`{c}`") for c in own]
-    done = summed(_runs(rows, keys, first).select(*wanted, *keys, "__run"))
-    if often:
-        # the first row of each salted run, compared in full with the others of its digest
-        firsts = _runs(rows.filter("__salt > 0").select(F.col(id_col), "__text", *keys), keys, first)
-        firsts = firsts.groupBy(*keys, "__run").agg(best(id_col).alias("__best"), F.count("*").alias("__size"), F.min("__text").alias("__text"))
-        again = _runs(firsts.withColumnRenamed("__run", "__part"), ["__head", "text_sha256"], [F.col("__salt")])
-        whole = Window.partitionBy("__head", "text_sha256", "__run")
-        top = F.row_number().over(whole.orderBy(F.col("__best").desc_nulls_last() if largest else F.col("__best").asc_nulls_last(), "__salt"))
-        merged = again.select("text_sha256", "__salt", F.col("__part").alias("__run"), best("__best").over(whole).alias("__k"), F.sum("__size").over(whole).alias("__s"), (top == 1).alias("__top"))
-        done = done.join(F.broadcast(merged), ["text_sha256", "__salt", "__run"], "left")
-        done = done.withColumn("__hot", F.col("__s").isNotNull())
-        done = done.withColumn("keep_id", F.when(F.col("__hot"), F.col("__k")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("__s", "group_size"))
-        stays = (F.col("__nth") == 1) & F.coalesce("__top", F.lit(True))
-    else:
-        stays = F.col("__nth") == 1
-    return done.select(*wanted, "keep_id", "group_size", stays.alias("kept"), "text_sha256")
-
-
-def drop_copies(docs: DataFrame, **options) -> DataFrame:
+def drop_copies(docs: DataFrame, normalise: Callable[[Column], Column] | None = None, largest: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text another row keeps; its columns, clashing names too, are those of docs."""
-    names = docs.columns
-    plain = [f"__own{i}" if c.lower() in OUT else c for i, c in enumerate(names)]
-    left = exact_dedup(docs.toDF(*plain), **options).filter("kept").select(*[F.col(f"`{c}`") for c in plain])
-    return left.toDF(*names)
+    plain, number, own = numbered(docs)
+    return own(_sorted_runs(plain, normalise, largest, number(id_col), F.col(number(text_col))).filter("kept"))
