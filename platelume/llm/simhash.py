@@ -14,12 +14,14 @@ not their pairs; the paths' components are the classes.
 
 Defined cases: null or blank text has the fingerprint zero, linked like any other; a text of fewer words than a
 shingle is one shingle; rows with the same text or id count each; a null id is never a class's id unless
-it has no other; no rows give no rows; extra columns pass through, and one named like an output is replaced.
+it has no other; no rows give no rows; extra columns of any name pass through, and one named like an output is replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, append_columns, hot_keys, join_by, keep, texts_of, without
-from .components import components
+from .. import reach_workers
+from ..functions.contract import components, hot_keys, join_by
+from ..functions.scratch import drop, keep
+from .common import LOWER, append_columns, numbered, texts_of
 
 SHINGLE = 3
 DISTANCE = 3
@@ -43,15 +47,29 @@ BROADCAST_KEYS = 20_000
 OUT = ("fingerprint", "component_id")
 
 
+#: Bytes of a text whose words are Python objects at once, about.
+BLOCK = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
 def fingerprint(text: str, width: int = SHINGLE) -> int:
-    words = text.encode().translate(LOWER).split()
-    if not words:
-        return 0
-    grams = list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))) if len(words) >= width else [b" ".join(words)]
-    total, n, digest = np.zeros(64, np.int64), len(grams), xxhash.xxh64_intdigest
-    for i in range(0, n, 1 << 14):
-        part = np.array([digest(g, 42) for g in grams[i : i + (1 << 14)]], np.uint64)
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    raw = text.encode().translate(LOWER)
+    total, n, digest = np.zeros(64, np.int64), 0, xxhash.xxh64_intdigest
+    words: list[bytes] = []
+    at = 0
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + BLOCK)
+        end = cut.start() if cut else len(raw)
+        words += raw[at:end].split()  # after the last ones of the block before
+        at = end
+        if at == len(raw) and not n and 0 < len(words) < width:
+            grams = iter([b" ".join(words)])
+        else:
+            grams = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+        while part := [digest(g, 42) for g in islice(grams, 1 << 14)]:
+            n += len(part)
+            total += np.unpackbits(np.array(part, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        words = words[-(width - 1) :] if width > 1 else []
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -155,6 +173,7 @@ def _bucket_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def links(prints: DataFrame) -> DataFrame:
     """prints (fp, distinct) -> edges (a, b) whose components are those of all pairs at DISTANCE or less."""
+    reach_workers(prints.sparkSession)
     key = ["start", "mask", "part"]
     masks = {s: [_signed(m) for m in ms] for s, ms in first_masks().items()}
     choose = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(m).alias("mask")) for s, ms in masks.items() for m in ms])
@@ -182,37 +201,40 @@ def links(prints: DataFrame) -> DataFrame:
         after = {m: [_signed(x) for x in next_masks(m & (1 << 64) - 1)] for m in level - set(closed)}
         masks = {s: [x for m in ms if m in after for x in after[m]] for s, ms in masks.items()}
         wider = F.create_map(*[x for m, xs in after.items() for x in (F.lit(m), F.array(*map(F.lit, xs)))])
-        rows = keep(large, "large").select("fp", "start", F.explode(wider[F.col("mask")]).alias("mask"))
+        rows = keep(large, "deal").select("fp", "start", F.explode(wider[F.col("mask")]).alias("mask"))
         rows = rows.select("start", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp")
 
 
 def _prints(docs: DataFrame, text_col: str, text_stays: bool) -> DataFrame:
-    """docs with fp and a row number, written once: what follows reads them more than once."""
-    made = add_fingerprints(without(docs, ("fp", "__row")), text_col, "fp", drop=[] if text_stays else [text_col])
-    return keep(made.withColumn("__row", F.monotonically_increasing_id()), "prints")
+    """docs (c0, c1, ..) with fp and a row number, written once: what follows reads them more than once."""
+    made = add_fingerprints(docs, text_col, "fp", drop=[] if text_stays else [text_col])
+    return keep(made.withColumn("row", F.monotonically_increasing_id()), "prints")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """rows (.., fp), narrow, with __root: a number that the rows of one near-duplicate class share."""
+    """rows (row, id, fp) with root: a number that the rows of one near-duplicate class share."""
     prints = keep(rows.select("fp").distinct(), "distinct")
-    found = components(links(prints)).select(F.col("node").alias("fp"), F.col("root").alias("__root"))
-    return keep(join_by(rows, found, "fp", hot_keys(rows, "fp")).withColumn("__root", F.coalesce("__root", "fp")), "classes")
+    found = components(links(prints)).withColumnRenamed("node", "fp")
+    made = keep(join_by(rows, found, "fp", hot_keys(rows, "fp")).withColumn("root", F.coalesce("root", "fp")), "classes")
+    drop(prints)
+    return made
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_stays: bool = True) -> DataFrame:
     """docs with fingerprint (16 hex digits) and component_id, the least id of each row's class."""
-    rows = _prints(without(docs, OUT), text_col, text_stays)
-    classes = _classes(rows.select("__row", F.col(id_col).alias("__id"), "fp"))
-    least = classes.groupBy("__root").agg(F.min("__id").alias("component_id"))
-    found = join_by(classes, least, "__root", hot_keys(classes, "__root")).select("__row", "component_id")
-    return rows.join(found, "__row").withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0")).drop("fp", "__row")
+    plain, number, own = numbered(docs)
+    rows = _prints(plain, number(text_col), text_stays)
+    classes = _classes(rows.select("row", F.col(number(id_col)).alias("id"), "fp"))
+    least = classes.groupBy("root").agg(F.min("id").alias("component_id"))
+    found = join_by(classes, least, "root", hot_keys(classes, "root")).select("row", "component_id")
+    made = rows.join(found, "row").withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0"))
+    return own(made, OUT, [] if text_stays else [text_col])
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class, that of the least id; its columns are those of docs."""
-    names = docs.columns
-    plain = [f"__own{i}" if c.lower() in ("fp", "__row") else c for i, c in enumerate(names)]
-    rows = _prints(docs.toDF(*plain), text_col, True)
-    classes = _classes(rows.select("__row", F.col(id_col).alias("__id"), "fp"))
-    first = classes.groupBy("__root").agg(F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__row"))).alias("s"))
-    return rows.join(first.select(F.col("s.__row").alias("__row")), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in plain]).toDF(*names)
+    plain, number, own = numbered(docs)
+    rows = _prints(plain, number(text_col), True)
+    classes = _classes(rows.select("row", F.col(number(id_col)).alias("id"), "fp"))
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("s"))
+    return own(rows.join(first.select(F.col("s.row").alias("row")), "row", "left_semi"))
