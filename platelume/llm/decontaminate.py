@@ -9,7 +9,9 @@ the join has to look at is |w| - |w| + 1 = 1 shingle long: the rarest one, by co
   4. the join (one pass, no shuffle): where a document has a prefix shingle, the window must fit between the
      document's first and last word (length and position), and its words must equal the document's.
 
-Windows are broadcast in blocks of BLOCK at most; with more windows there are more passes, each over all documents.
+Windows are broadcast in blocks of about BLOCK at most; with more windows there are more passes, each over all documents.
+A window of many items is as many rows of ITEMS items or so, each of which counts as a window, so that neither a task nor a block
+holds all items of a common passage. Two windows are the same only if their words are.
 
 Defined cases: null and wordless texts have no words, no hits and no items; items without words have no
 windows; equal items count each; a null item id is written as the empty string; no items, or no documents, give
@@ -27,12 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, Words, append_columns, keep, slices, texts_of, without
+from .. import reach_workers
+from ..functions.scratch import drop, keep
+from .common import LOWER, Words, append_columns, numbered, slices, texts_of
 
 WINDOW = 13
 SHINGLE = 5
-#: Windows in one broadcast block, of about 150 bytes each.
+#: Windows in one broadcast block, of about 150 bytes and ITEMS ids at most each.
 BLOCK = 200_000
+#: Ids that a window's row holds, about; a further row holds more of them.
+ITEMS = 16
 OUT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 #: Word bytes once A-Z is lower-cased: digits, a-z, and every byte of a character above 0x7F.
 IS_WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -43,7 +49,7 @@ def words_of(texts: list[str]) -> Words:
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
-    """items -> (block, win, item, words, tokens): one row a window, tokens being its shingles' hashes."""
+    """items -> (words, width, tokens, items): one row a window and ITEMS of its items, tokens being its shingles' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,11 +67,15 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int = WIN
                     cols = list(zip(*rows[k : k + 5000], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.int64()))], names=["item", "words", "width", "tokens"])
 
+    reach_workers(items.sparkSession)
     source = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     rows = source.mapInArrow(run, "item string, words binary, width int, tokens array<long>")
-    # windows with the same words are one window of several items
-    same = rows.groupBy("words", "width").agg(F.first("tokens").alias("tokens"), F.array_sort(F.collect_set("item")).alias("items"))
-    return same.withColumn("win", F.xxhash64("words"))
+    rows = keep(rows.groupBy("words", "width", "item").agg(F.first("tokens").alias("tokens")), "item-windows")
+    # windows with the same words are one window of several items, whose ids are dealt over parts
+    size = rows.groupBy("words").agg(F.ceil(F.count("*") / ITEMS).cast("int").alias("parts"))
+    many = size.filter("parts > 1")
+    dealt = rows.join(many, "words", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("item"), F.col("parts")), F.lit(0)))
+    return dealt.groupBy("words", "width", "part").agg(F.first("tokens").alias("tokens"), F.array_sort(F.collect_list("item")).alias("items")).drop("part")
 
 
 def shingle_counts(docs: DataFrame, text_col: str, tokens: np.ndarray, widths: list[int]) -> DataFrame:
@@ -111,40 +121,46 @@ class Index:
 
     def __init__(self, rows: list):
         """rows: (token, offset, width, words, items)"""
-        self.rows = sorted(rows, key=lambda r: (r[0], r[1], r[3]))
-        tokens = np.array([r[0] for r in self.rows], np.int64)
-        self.near = _Near(tokens)
-        by = np.searchsorted(self.near.tokens, tokens.view(np.uint64))
-        self.of: list[list] = [[] for _ in self.near.tokens]
-        for i, r in zip(by.tolist(), self.rows, strict=True):
-            self.of[i].append(r[1:])
-        self.widths = sorted({min(SHINGLE, r[2]) for r in self.rows})
+        self.near = _Near(np.array([r[0] for r in rows], np.int64))
+        places: list[set] = [set() for _ in self.near.tokens]
+        by = np.searchsorted(self.near.tokens, np.array([r[0] for r in rows], np.int64).view(np.uint64))
+        self.items: dict[bytes, list] = {}
+        for i, (_, offset, width, words, items) in zip(by.tolist(), rows, strict=True):
+            places[i].add((offset, width))
+            self.items.setdefault(words, []).extend(items)
+        # where a window with this shingle can begin, and how long it can be: few, however many windows share the shingle
+        self.places = [sorted(p) for p in places]
+        self.widths = sorted({min(SHINGLE, r[2]) for r in rows})
 
     def hits(self, w: Words) -> tuple[np.ndarray, list[set]]:
         """Which words lie in an occurring window, and for each text the items whose windows occur."""
         n = len(w.hashes)
         edge = np.zeros(n + 1, np.int64)
         items: list[set] = [set() for _ in range(len(w.bounds) - 1)]
+        found: list[set] = [set() for _ in items]
         seen = set()
         for step in self.widths:
             at, which = self.near.find(w.shingles(step))
             text = np.searchsorted(w.bounds, at, side="right") - 1
             for i, t, d in zip(at.tolist(), which.tolist(), text.tolist(), strict=True):
-                for offset, width, words, ids in self.of[t]:
+                for offset, width in self.places[t]:
                     start = i - offset
                     # position and length: the window must lie in this text
-                    if min(SHINGLE, width) != step or start < w.bounds[d] or start + width > w.bounds[d + 1] or (start, words) in seen:
+                    if min(SHINGLE, width) != step or start < w.bounds[d] or start + width > w.bounds[d + 1] or (start, width) in seen:
                         continue
-                    if w.joined(start, start + width) == words:
-                        seen.add((start, words))
+                    words = w.joined(start, start + width)
+                    if words in self.items:
+                        seen.add((start, width))
                         edge[start] += 1
                         edge[start + width] -= 1
-                        items[d].update(ids)
+                        if words not in found[d]:
+                            found[d].add(words)
+                            items[d].update(self.items[words])
         return np.cumsum(edge[:-1]) > 0, items
 
 
 def block_index(docs: DataFrame, part: DataFrame, text_col: str) -> Index:
-    """The index of one block of windows: at most BLOCK rows come to the driver."""
+    """The index of one block of windows: about BLOCK rows come to the driver."""
     terms = part.select("win", F.posexplode("tokens").alias("offset", "token"))
     tokens = np.array([r[0] for r in terms.select("token").distinct().collect()], np.int64)
     widths = sorted(r[0] for r in part.select(F.least(F.lit(SHINGLE), "width")).distinct().collect())
@@ -184,22 +200,28 @@ def matcher(sent, text_col: str, earlier: bool, last: bool, share: int):
 
 def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: int = 20, text_stays: bool = True, block: int = BLOCK) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and share * n_hit >= n_words)."""
-    windows = keep(item_windows(items, item_id, item_text), "windows")
+    plain, number, own = numbered(docs)
+    return own(_matched(plain, items, number(text_col), item_id, item_text, share, block), OUT, [] if text_stays else [text_col])
+
+
+def _matched(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, share: int, block: int) -> DataFrame:
+    """docs (c0, c1, ..) with OUT."""
+    # numbered once and written: a number is a window row's key from here on
+    windows = keep(item_windows(items, item_id, item_text).withColumn("win", F.monotonically_increasing_id()), "windows")
     blocks = max(1, -(-windows.count() // max(1, block * 3 // 4)))
-    base = without(docs, (*OUT, *STATE.names))
+    base = docs
     for k in range(blocks):
-        index = block_index(docs, windows.filter(F.pmod("win", F.lit(blocks)) == k), text_col)
+        index = block_index(docs, windows.filter(F.pmod(F.xxhash64("win"), F.lit(blocks)) == k), text_col)
         sent, last = docs.sparkSession.sparkContext.broadcast(index), k == blocks - 1
-        make = matcher(sent, text_col, k > 0, last, share)
-        drop = [*(STATE.names if k else ()), *(() if text_stays or not last else (text_col,))]
+        made = append_columns(base, matcher(sent, text_col, k > 0, last, share), RESULT if last else STATE, STATE.names if k else ())
         if last:
-            return append_columns(base, make, RESULT, drop)
-        base = keep(append_columns(base, make, STATE, drop), "matched")
+            return made
+        before, base = base, keep(made, "matched")
+        drop(before)
     return base
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: int = 20, block: int = BLOCK) -> DataFrame:
     """docs without its contaminated rows; its columns are those of docs."""
-    names = docs.columns
-    plain = [f"__own{i}" if c.lower() in OUT else c for i, c in enumerate(names)]
-    return contamination(docs.toDF(*plain), items, **options).filter(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in plain]).toDF(*names)
+    plain, number, own = numbered(docs)
+    return own(_matched(plain, items, number(text_col), item_id, item_text, share, block).filter(~F.col("contaminated")))
