@@ -4,7 +4,7 @@ Each row's 64-bit key is the XXH64 of its id. Places (slots) in a shard are coun
 holds a shard: rows are numbered in CHUNKS parts of each shard, and each part starts where those before it end.
 
 Defined cases: a null id is a key like any other; null text counts as empty; rows with the same id go to the
-same shard, to slots of their own; no rows give no rows; extra columns pass through, and one named like an output is replaced.
+same shard, to slots of their own; no rows give no rows; extra columns of any name pass through, and one named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import without
+from ..functions.scratch import keep
+from .common import numbered
 
 #: Parts of a shard that are numbered apart.
 CHUNKS = 512
@@ -46,21 +47,20 @@ def shard_of(key: Column, shards: int) -> Column:
     return place(key)
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", chunks: int = CHUNKS) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", chunks: int = CHUNKS, text_stays: bool = True) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot and grown_shard (the shard among shards + 1)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # the text itself is not needed beyond its size and checksum unless the caller asks for it
-    rows = without(docs.withColumns({"__size": F.octet_length(text).cast("long") + 16, "__crc": F.crc32(text)}), OUT)
-    rows = rows.withColumnsRenamed({"__size": "size", "__crc": "text_crc32"}).withColumn("law", F.lit("key"))
-    key = F.xxhash64(F.col(id_col))
-    rows = rows.withColumns({"shard": shard_of(key, shards), "grown_shard": shard_of(key, shards + 1)})
-    rows = rows.withColumn("__chunk", F.pmod(F.xxhash64(F.col(id_col), F.col("text_crc32"), F.col("size")), F.lit(chunks)).cast("int"))
-    part = Window.partitionBy("shard", "__chunk")
-    rows = rows.withColumn("__nth", F.row_number().over(part.orderBy(id_col, "size", "text_crc32")))
-    # shards * chunks rows at most
-    counts = rows.groupBy("shard", "__chunk").agg(F.max("__nth").cast("long").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    placed = rows.join(F.broadcast(starts), ["shard", "__chunk"])
-    own = [c for c in docs.columns if c.lower() not in OUT]
-    return placed.withColumn("slot", F.col("__start") + F.col("__nth") - 1).select(*[F.col(f"`{c}`") for c in own], *OUT)
+    plain, number, own = numbered(docs)
+    bid, text = F.col(number(id_col)), F.coalesce(F.col(number(text_col)), F.lit(""))
+    key = F.xxhash64(bid)
+    rows = plain.withColumns({"size": F.octet_length(text).cast("long") + 16, "text_crc32": F.crc32(text), "shard": shard_of(key, shards), "grown_shard": shard_of(key, shards + 1)})
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    # written once, so that a row keeps its number; by it, rows alike in everything are spread over a shard's chunks
+    rows = keep(rows if text_stays else rows.drop(number(text_col)), "sharded")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(key, "row"), F.lit(chunks)).cast("int"))
+    counts = rows.groupBy("shard", "chunk").count()  # shards * chunks rows at most
+    before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy(bid, "size", "text_crc32", "row"))
+    placed = rows.withColumn("nth", nth).join(F.broadcast(starts), ["shard", "chunk"])
+    placed = placed.withColumns({"slot": F.col("start") + F.col("nth") - 1, "law": F.lit("key")})
+    return own(placed, OUT, [] if text_stays else [text_col])
