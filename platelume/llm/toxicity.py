@@ -1,60 +1,66 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios (Wang and Manning 2012).
 
-A text's features are which character n-grams (NGRAMS long, lower-cased, hashed to BUCKETS) it has. On the
-training sample, each gram's ratio r is log of its smoothed share in toxic over that in clean texts; the FEATURES
-grams with the strongest evidence are kept, and a logistic regression with an L2 penalty is fitted on
-presence times r. A score is read off the product r * weight per gram, over the whole text.
+A text's features are which character n-grams (NGRAMS long, lower-cased, hashed to BUCKETS) it has, over the whole
+text. On the training sample, each gram's ratio r is the log of its smoothed share in toxic over that in clean texts, taken
+in full where it stands SURE standard errors off the common share and less, by the square, where it is less sure. A logistic
+regression with an L2 penalty is fitted on presence times r over all buckets; a score is read off r * weight per gram.
 
-The classifier is fitted on TRAIN_ROWS labelled rows at most, chosen by a hash of the id; scoring covers all rows.
+The classifier is fitted on TRAIN_ROWS labelled rows of each class at most, chosen by a hash of the id; the intercept is put right
+for the classes' shares among all labelled rows outside the held-out fifth. Scoring covers all rows.
 
 Defined cases: null text counts as empty, and the empty text has the score of the bare intercept; with no labelled
 rows of either class every score is the prior (0 with no labels at all); rows with the same id or text are scored
-alike, each; no rows give no rows; extra columns pass through, and one named like an output is replaced.
+alike, each; ids may be of any type; no rows give no rows; extra columns pass through, and one named like an output is replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, held_out, keep, texts_of
+from .. import reach_workers
+from .common import append_columns, held_out, numbered, slices, texts_of
 
-NGRAMS = (4, 5)
+NGRAMS = (1, 2, 3, 4, 5)
 BITS = 18
 BUCKETS = 1 << BITS
-#: Labelled rows that the classifier is fitted on.
-TRAIN_ROWS = 6000
-FEATURES = 2048
+#: Labelled rows of each class (1: toxic) that the classifier is fitted on.
+TRAIN_ROWS = {1: 1000, 0: 3000}
+SURE = 6.0
 #: Texts are read in stretches of this many characters, which overlap by a gram.
-STRETCH = 1 << 18
+STRETCH = 1 << 17
 OUT = ("held_out", "score", "predicted")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(text: str) -> np.ndarray:
-    """Hash bucket of each character n-gram, repeats included."""
-    raw = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    out = []
-    for a in range(0, max(1, len(raw)), STRETCH):
-        chars = raw[a : a + STRETCH + max(NGRAMS) - 1].astype(np.uint64)
-        h, k = np.zeros(len(chars), np.uint64), 0
+def grams(text: str) -> Iterator[np.ndarray]:
+    """Hash bucket of each character n-gram, repeats included, a stretch of the text at a time."""
+    low = text.lower()
+    for a in range(0, max(1, len(low)), STRETCH):
+        chars = np.frombuffer(low[a : a + STRETCH + max(NGRAMS) - 1].encode("utf-32-le"), np.uint32).astype(np.uint64)
+        h, out = np.zeros(len(chars) + 1, np.uint64), []
         for n in range(1, max(NGRAMS) + 1):
-            h = h[: len(chars) - k] * np.uint64(0x100000001B3) + chars[k:] if len(chars) > k else h[:0]
-            k += 1
+            h = h[:-1] * np.uint64(0x100000001B3) + chars[n - 1 :] if len(chars) >= n else h[:0]
             if n in NGRAMS:
-                own = h[: min(len(h), STRETCH)]
+                own = h[:STRETCH]
                 out.append((((own ^ (own >> np.uint64(29))) * _MULTIPLY + np.uint64(n)) * _MULTIPLY >> np.uint64(64 - BITS)).astype(np.int32))
-    return np.concatenate(out)
+        yield np.concatenate(out)
 
 
-def distinct(buckets: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Each bucket once; seen is a worker's own array of BUCKETS places, used again and again."""
-    at = np.arange(len(buckets), dtype=np.int32)
-    seen[buckets] = at
-    return buckets[seen[buckets] == at]
+def gram_set(text: str, seen: np.ndarray) -> np.ndarray:
+    """Each bucket that the text has, once; seen is a worker's own array of BUCKETS places, used again and again."""
+    parts = []
+    for buckets in grams(text):
+        at = np.arange(len(buckets), dtype=np.int32)
+        seen[buckets] = at
+        parts.append(buckets[seen[buckets] == at])
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
 class Model:
@@ -63,95 +69,100 @@ class Model:
         self.seen = np.zeros(len(weights), np.int32)
 
     def score(self, text: str) -> float:
-        own = grams(text)
-        own = own[self.weights[own] != 0]
-        z = self.intercept + float(self.weights[distinct(own, self.seen)].sum())
+        z = self.intercept + float(self.weights[gram_set(text, self.seen)].sum())
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def choose(toxic: np.ndarray, clean: np.ndarray, pos: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The FEATURES buckets of the strongest evidence, and their log-count ratios, from how many texts of each class have a bucket."""
+def ratios(toxic: np.ndarray, clean: np.ndarray, pos: int, n: int) -> np.ndarray:
+    """Each bucket's log-count ratio, by how sure it is, from how many texts of each class have it; 0 for buckets never seen."""
     ratio = np.log(((toxic + 1) / (pos + 2)) / ((clean + 1) / (n - pos + 2)))
-    # evidence: how far the toxic share is from the overall one, in standard errors
-    seen = toxic + clean
-    share = seen / n
-    strength = np.where(seen >= 4, np.abs(toxic / pos - share) / np.sqrt(share * (1 - share) / pos + 1e-9), 0)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
-    return chosen, ratio[chosen]
+    share = (toxic + clean) / n
+    off = np.abs(toxic / pos - share) / np.sqrt(share * (1 - share) / pos + 1e-9)
+    return np.where(toxic + clean > 0, ratio * np.minimum(1, off / SURE) ** 2, 0)
+
 
+def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, rounds: int = 16, parts: int = 8, penalty: float = 3.0, rate: float = 0.05, seed: int = 1) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the logistic regression, by Adam on parts of the rows in turn.
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, rounds: int = 300, penalty: float = 3.0, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Weights and intercept of the logistic regression, by Adam; rows: which features each text has, each of value ratio."""
+    rows: which buckets each text has, each a feature of value ratio; emptied, as the parts take the rows' place.
+    """
     n, pos = len(labels), int(labels.sum())
-    col = np.concatenate(rows)
-    row = np.repeat(np.arange(n, dtype=np.int32), list(map(len, rows)))
-    x = ratio[col]
+    rng = np.random.default_rng(seed)
+    parts = max(1, min(parts, n))
+    order, own = rng.permutation(n), []
+    for k in range(parts):
+        at = np.sort(order[k::parts])
+        size = np.array([len(rows[i]) for i in at.tolist()])
+        own.append((np.concatenate([rows[i] for i in at.tolist()]), np.cumsum(size) - size, size, labels[at]))
+    rows.clear()
     w, b = np.zeros(len(ratio)), float(np.log(pos / (n - pos)))
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, rounds + 1):
-        z = b + np.bincount(row, weights=x * w[col], minlength=n)
-        g = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels
-        gw = np.bincount(col, weights=x * g[row], minlength=len(w)) / n + penalty * w / n
-        gb = g.mean()
-        m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        step, c1, c2 = rate / (1 + t / 50), 1 - 0.9**t, 1 - 0.999**t
-        w -= step * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-        b -= step * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
+    m, v, mb, vb, t = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0
+    for _ in range(rounds):
+        for k in rng.permutation(parts).tolist():
+            t += 1
+            col, at, size, y = own[k]
+            g = 1 / (1 + np.exp(-np.clip(b + np.add.reduceat((w * ratio)[col], at), -60, 60))) - y
+            gw = ratio * np.bincount(col, weights=np.repeat(g, size), minlength=len(w)) / len(y) + penalty * w / n
+            gb = float(g.mean())
+            m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
+            mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+            step, c1, c2 = rate * (1 - (t - 1) / (rounds * parts)), 1 - 0.9**t, 1 - 0.999**t
+            w -= step * (m / c1) / (np.sqrt(v / c2) + 1e-8)
+            b -= step * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
     return w, b
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str, text_col: str, mod: int = 5) -> DataFrame:
-    """(text, label) of labelled rows outside the held-out fifth, most of them at most."""
-    marks = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label")).filter("label is not null").distinct()
-    own = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = own.filter(~held_out(F.col("__id"), mod, 0))
-    # the ids are chosen before the texts are read
-    ids = marks.filter(~held_out(F.col("__id"), mod, 0)).orderBy(F.xxhash64("__id"), "__id", "label").limit(most)
-    return own.join(F.broadcast(ids), "__id").groupBy("__id", "label").agg(F.min("text").alias("text")).select("__id", "text", "label")
+def marked(labels: DataFrame, label: str, mod: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """(id, label 0 or 1) of what is labelled outside the held-out fifth; an id with both labels has both rows."""
+    plain, number, _ = numbered(labels)
+    marks = plain.select(F.col(number(id_col)).alias("id"), F.col(number(label)).alias("label")).filter("label is not null and id is not null")
+    return marks.select("id", (F.col("label").cast("int") == 1).cast("int").alias("label")).distinct().filter(~held_out(F.col("id"), mod, 0))
+
 
+def sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(id, label, text, more..) of the documents with these ids, a bounded number of them; repeated rows of an id count once."""
+    plain, number, _ = numbered(docs)
+    own = plain.select(F.col(number(id_col)).alias("id"), F.coalesce(F.col(number(text_col)), F.lit("")).alias("text"), *[F.col(number(c)).alias(f"more{i}") for i, c in enumerate(more)])
+    rows = own.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min(F.struct("text", *[f"more{i}" for i in range(len(more))])).alias("s"))
+    return rows.select("id", "label", "s.*")
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Counts and chosen features are worked out where the texts are; to the driver come BUCKETS counts, and the sampled rows' features."""
-    rows = keep(sample(docs, labels, label, most, id_col, text_col), "labelled")
-    size = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    n, pos = sum(size.values()), size.get(1, 0)
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: dict[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """To the driver come the buckets of the sampled texts, not the texts."""
+    reach_workers(docs.sparkSession)
+    marks, most = marked(labels, label), most or TRAIN_ROWS
+    shares = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
+    by = lambda k: marks.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most[k])
+    rows = sample(docs, by(1).unionByName(by(0)), id_col, text_col)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS, np.int32)
+        for batch in batches:
+            for a, b in slices([1] * len(batch), 100):
+                own = batch.slice(a, b - a)
+                got = [np.sort(gram_set(t.as_py(), seen)) for t in own.column(2)]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(got, pa.list_(pa.int32()))], names=["id", "label", "features"])
+
+    schema = T.StructType([rows.schema["id"], T.StructField("label", T.IntegerType()), T.StructField("features", T.ArrayType(T.IntegerType()))])
+    got = rows.mapInArrow(pick, schema).toArrow()
+    order = pc.sort_indices(got.select(["id", "label"]), [("id", "ascending"), ("label", "ascending")]).to_numpy()
+    y = got["label"].to_numpy()[order]
+    n, pos = len(y), int(y.sum())
     weights = np.zeros(BUCKETS)
     if not pos or pos == n:
         prior = (pos + 1e-9) / max(1, n)
         return Model(weights, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
-
-    def count(batches):
-        seen, counts = np.zeros(BUCKETS, np.int32), np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
-            for t, y in zip(batch.column(2), batch.column(1).to_pylist(), strict=True):
-                counts[int(y == 1), distinct(grams(t.as_py()), seen)] += 1
-        some = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[1, some]), pa.array(counts[0, some])], names=["bucket", "toxic", "clean"])
-
-    own = rows.select("__id", "label", "text")
-    sums = own.mapInArrow(count, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
-    both = np.zeros((2, BUCKETS))
-    for k, name in enumerate(("toxic", "clean")):
-        both[k, sums["bucket"].to_numpy()] = sums[name].to_numpy()
-    chosen, ratio = choose(both[0], both[1], pos, n)
-    number = np.full(BUCKETS, -1, np.int32)
-    number[chosen] = np.arange(len(chosen))
-    sent = docs.sparkSession.sparkContext.broadcast(number)
-
-    def pick(batches):
-        seen = np.zeros(BUCKETS, np.int32)
-        for batch in batches:
-            got = [sent.value[distinct(grams(t.as_py()), seen)] for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[g >= 0] for g in got], pa.list_(pa.int32()))], names=["id", "label", "features"])
-
-    got = own.mapInArrow(pick, "id long, label int, features array<int>").toArrow()
-    order = np.lexsort((got["label"].to_numpy(), got["id"].to_numpy()))
     column = got["features"].combine_chunks()
+    del got
     flat, at = column.values.to_numpy(), column.offsets.to_numpy()
-    w, b = fit([np.sort(flat[at[i] : at[i + 1]]) for i in order.tolist()], (got["label"].to_numpy()[order] == 1).astype(np.int64), ratio)
-    weights[chosen] = w * ratio
-    return Model(weights, b)
+    texts = [flat[at[i] : at[i + 1]] for i in order.tolist()]
+    counts = np.zeros((2, BUCKETS))
+    for text, k in zip(texts, y.tolist(), strict=True):
+        counts[k, text] += 1
+    ratio = ratios(counts[1], counts[0], pos, n)
+    del column, flat, text
+    w, b = fit(texts, y, ratio)
+    return Model(w * ratio, b + float(np.log(shares[1] / shares[0]) - np.log(pos / (n - pos))))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", text_stays: bool = True) -> DataFrame:
@@ -166,8 +177,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
     return append_columns(docs, make, new, [] if text_stays else [text_col]).withColumn("held_out", held_out(F.col(id_col), 5, 0))
 
 
-def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows predicted toxic; its columns are those of docs."""
-    names = docs.columns
-    plain = [f"__own{i}" if c.lower() in OUT else c for i, c in enumerate(names)]
-    return score(docs.toDF(*plain), model, threshold).filter("predicted = 0").select(*[F.col(f"`{c}`") for c in plain]).toDF(*names)
+    plain, number, own = numbered(docs)
+    return own(score(plain, model, threshold, number(id_col), number(text_col)).filter("predicted = 0"))
