@@ -4,7 +4,7 @@ A page is cut into its leaf blocks (runs of text between block-level tags). A bi
 page's blocks in order, each as the mean vector of its tag path (tags, classes and ids; trained), the mean of
 its hashed words' vectors (fixed) and a few counts, and labels every block as main text or not with the whole page as context.
 
-The labeller is trained on PAGES sampled pages at most. Their blocks are labelled by what markup says outright (what
+The labeller is trained on PAGES sampled pages of PAGE_BYTES at most. Their blocks are labelled by what markup says outright (what
 stands in <article> or <main>, and not in a menu, form, advert, notice or comment there), and their
 texts are dealt into made-up page layouts as well, so that it knows containers that these pages don't use.
 
@@ -27,12 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, Words, append_columns, slices
+from .. import reach_workers
+from .common import LOWER, Words, append_columns, numbered, slices
 
 #: Sampled pages that the labeller is trained on, and made-up layouts to each.
 PAGES, LAYOUTS = 120, 3
 PATHS, PATH_DIM, WORDS, WORD_DIM, COUNTS, HIDDEN = 4096, 16, 8192, 6, 5, 16
 IN = PATH_DIM + WORD_DIM + COUNTS
+#: A sampled page's size in bytes at most, so that the driver's sample is bounded.
+PAGE_BYTES = 1 << 18
+#: Blocks that are labelled at once, and steps whose inputs are worked out together.
+CELLS, STEPS = 1 << 14, 1 << 11
 OUT = ("text", "n_chars")
 
 _TOKEN = re.compile(
@@ -234,28 +239,31 @@ class Labeller:
             real[:n, j] = 1
         return x, real
 
-    def _direction(self, x: np.ndarray, real: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        pre = x @ self.p[f"wx{d}"] + self.p[f"b{d}"]
+    def _direction(self, x: np.ndarray, real: np.ndarray, d: str, tape: list | None) -> np.ndarray:
+        """The states after each step; what training has to know of a step goes on the tape."""
         h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
-        out, tape = np.zeros((len(x), x.shape[1], HIDDEN), np.float32), []
+        out, pre = np.zeros((len(x), x.shape[1], HIDDEN), np.float32), np.zeros(0)
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            z = pre[t] + h @ self.p[f"wh{d}"]
+            if d == "f" and t % STEPS == 0 or d == "b" and (t == len(x) - 1 or t % STEPS == STEPS - 1):
+                a = t - t % STEPS  # inputs of a stretch of steps at once
+                pre = x[a : a + STEPS] @ self.p[f"wx{d}"] + self.p[f"b{d}"]
+            z = pre[t - a] + h @ self.p[f"wh{d}"]
             i, f, o = np.split(_sigmoid(z[:, : 3 * HIDDEN]), 3, axis=1)
             g = np.tanh(z[:, 3 * HIDDEN :])
             m = real[t][:, None]
             c1 = (f * c + i * g) * m  # padding holds zeros, before and after a page
             y = np.tanh(c1)
             h1 = o * y * m
-            tape.append((t, h, c, i, f, o, g, y, m))
+            if tape is not None:
+                tape.append((t, h, c, i, f, o, g, y, m))
             h, c = h1, c1
             out[t] = h
-        return out, tape
+        return out
 
-    def forward(self, x: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, tuple]:
-        hf, tf = self._direction(x, real, "f")
-        hb, tb = self._direction(x, real, "b")
-        h = np.concatenate((hf, hb), axis=2)
-        return _sigmoid(h @ self.p["out"] + self.p["bias"]), (h, tf, tb)
+    def forward(self, x: np.ndarray, real: np.ndarray, tapes: tuple[list, list] | tuple[None, None] = (None, None)) -> tuple[np.ndarray, np.ndarray]:
+        """Each block's probability, and the states of both directions."""
+        h = np.concatenate([self._direction(x, real, d, tape) for d, tape in zip("fb", tapes, strict=True)], axis=2)
+        return _sigmoid(h @ self.p["out"] + self.p["bias"]), h
 
     def _back(self, x: np.ndarray, dout: np.ndarray, tape: list, d: str, grad: dict) -> np.ndarray:
         dx = np.zeros_like(x)
@@ -285,7 +293,8 @@ class Labeller:
                 y = np.zeros(real.shape, np.float32)
                 for j, i in enumerate(groups[k].tolist()):
                     y[: len(labels[i]), j] = labels[i]
-                p, (h, tf, tb) = self.forward(x, real)
+                tf, tb = [], []
+                p, h = self.forward(x, real, (tf, tb))
                 dz = (p - y) * real / real.sum()
                 grad = {k: np.zeros_like(x) for k, x in self.p.items()}
                 grad["out"] = np.einsum("tph,tp->h", h, dz)
@@ -301,15 +310,18 @@ class Labeller:
                     v[key] = 0.999 * v[key] + 0.001 * g * g
                     self.p[key] -= (rate * (m[key] / (1 - 0.9**n)) / (np.sqrt(v[key] / (1 - 0.999**n)) + 1e-6)).astype(np.float32)
 
-    def label(self, pages: list[tuple[list, np.ndarray]], size: int = 64) -> list[np.ndarray]:
-        """Each block's probability of being main text; all pages, in their order."""
+    def label(self, pages: list[tuple[list, np.ndarray]], size: int = 64, cells: int = CELLS) -> list[np.ndarray]:
+        """Each block's probability of being main text; all pages, in their order. size pages of cells blocks, padding included, at once, or one page."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((i for i in range(len(pages)) if pages[i][0]), key=lambda i: len(pages[i][0]))
-        for a in range(0, len(order), size):
-            part = order[a : a + size]
+        while order:
+            n = 1
+            while n < min(size, len(order)) and (n + 1) * len(pages[order[n]][0]) <= cells:
+                n += 1
+            part, order = order[:n], order[n:]
             p, _ = self.forward(*self.inputs([pages[i] for i in part]))
             for j, i in enumerate(part):
-                out[i] = p[: len(pages[i][0]), j]
+                out[i] = p[: len(pages[i][0]), j].copy()
         return out
 
 
@@ -363,7 +375,11 @@ def layout(page: list[tuple[tuple, str, int]], labels: np.ndarray, rng: np.rando
 
 
 def train(pages: DataFrame, most: int = PAGES, layouts: int = LAYOUTS, id_col: str = "page_id", html_col: str = "html") -> Labeller:
-    """A labeller from most pages at most, chosen by a hash of the id."""
+    """A labeller from most pages of PAGE_BYTES at most, chosen by a hash of the id."""
+    reach_workers(pages.sparkSession)
+    plain, number, _ = numbered(pages)
+    pages = plain.select(F.col(number(id_col)).alias("id"), F.col(number(html_col)).alias("html")).filter(F.coalesce(F.octet_length("html"), F.lit(0)) <= PAGE_BYTES)
+    id_col, html_col = "id", "html"
     ids = pages.select(F.col(id_col).alias("__id")).filter("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(most)
     rows = pages.select(F.col(id_col).alias("__id"), F.col(html_col).alias("html")).join(F.broadcast(ids), "__id")
     rows = rows.groupBy("__id").agg(F.min("html").alias("html")).collect()  # most rows at most
