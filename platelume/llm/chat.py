@@ -1,16 +1,19 @@
 """Chat formatting by a template compiler.
 
-A template is parsed into a syntax tree, constants are folded (neighbouring literals, filters of literals, branches
+A template is parsed into a syntax tree, constants are folded (neighbouring literals, filters and operators of literals, branches
 whose condition is a literal), and Python closures are generated from the tree. The language is sandboxed: a template sees
-only the names it is given, fields of mappings, the filters of FILTERS and the operators of _Parser; it has no calls,
-no attributes of objects and no imports.
-  {{ expr }}   {% for m in messages %}..{% endfor %}   {% if a %}..{% elif b %}..{% else %}..{% endif %}
-  {% generation %}..{% endgeneration %}   marks what a loss covers
+only the names it is given, fields and items of mappings and sequences, the filters of FILTERS, the tests of TESTS and the operators
+of _Parser; it has no calls, no attributes of objects and no imports.
+  {{ expr }}   {% set x = expr %}   {% for m in messages %}..{% endfor %}   {% if a %}..{% elif b %}..{% else %}..{% endif %}
+  {% generation %}..{% endgeneration %}   marks what a loss covers      {# comment #}
+  A - inside a tag's brackets ({{- -}} {%- -%}) takes away the white space on its side. In a loop, loop.first, loop.last, loop.index and
+  loop.index0 are known. What is set in a loop ends with its turn.
 A rendered template is a stream of (text, under the loss mask?), so that a conversation of any length passes
-through a task a turn at a time: rows are sorted by conversation and turn and never gathered.
+through a task a turn at a time: rows are sorted by conversation and turn and never gathered. messages is a stream too: it can be looped over
+once, whole or from an item on (messages[1:]), and items can be looked at ahead of the loop (messages[0].role), as far as they are named.
 
 Defined cases: null text and null role are empty; a conversation's rows go by turn (null turns first), then role, then
-text; repeated rows are turns of their own; rows with a null conv_id are one conversation; empty texts and
+text; repeated rows are turns of their own; rows with a null conv_id are one conversation; conv_id and turn may be of any type that sorts; empty texts and
 empty tables work; extra columns are not read.
 """
 
@@ -18,11 +21,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .. import reach_workers
 
 Piece = tuple[str, bool]
 
@@ -38,7 +45,23 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: {"l": "<", "g": ">"}.get(m[1], m[1]), text, flags=re.S)
 
 
-FILTERS: dict[str, Callable[[str], str]] = {"escape": escape, "trim": str.strip, "lower": str.lower, "upper": str.upper}
+FILTERS: dict[str, Callable] = {
+    "escape": lambda x: escape(_text(x)),
+    "trim": lambda x: _text(x).strip(),
+    "lower": lambda x: _text(x).lower(),
+    "upper": lambda x: _text(x).upper(),
+    "length": lambda x: len(x) if isinstance(x, (str, list, tuple, dict)) else 0,
+    "default": lambda x, other="": other if x is None else x,
+    "join": lambda x, between="": _text(between).join(map(_text, x or ())),
+}
+TESTS: dict[str, Callable[[object], bool]] = {
+    "none": lambda x: x is None,
+    "string": lambda x: isinstance(x, str),
+    "mapping": lambda x: isinstance(x, dict),
+    "number": lambda x: isinstance(x, (int, float)) and not isinstance(x, bool),
+    "true": lambda x: x is True,
+    "false": lambda x: x is False,
+}
 
 #: Each turn is <turn role>text</turn> and a line end; an assistant's text and nothing else is under the loss mask.
 TEMPLATE = (
@@ -49,81 +72,148 @@ TEMPLATE = (
 
 # ---- parsing -------------------------------------------------------------------------------
 
-_TAG = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
-_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[|+.()]))", re.S)
+_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-|+~.()\[\]:,=<>%]))", re.S)
+_END = {kind: re.compile(rf"\s*(-?){end}") for kind, end in (("{{", r"\}\}"), ("{%", r"%\}"))}
+Token = tuple[str, str]
 
 
 class TemplateError(ValueError):
     pass
 
 
+def lex(source: str) -> Iterator[tuple[str, str | list[Token]]]:
+    """("text", s), ("{{", tokens) and ("{%", tokens) in order; a tag ends outside its strings."""
+    at, strip = 0, False
+    while at < len(source):
+        m = re.compile(r"\{[{%#]").search(source, at)
+        text, end = source[at : m.start() if m else len(source)], m.end() if m else len(source)
+        text = text.lstrip() if strip else text
+        if m and source[end : end + 1] == "-" and m[0] != "{#":
+            text, end = text.rstrip(), end + 1
+        if text:
+            yield "text", text
+        at, strip = end, False
+        if not m:
+            return
+        if m[0] == "{#":
+            at = source.find("#}", at) + 2
+            if at < 2:
+                raise TemplateError("a comment is not ended")
+            continue
+        tokens: list[Token] = []
+        while not (over := _END[m[0]].match(source, at)):
+            t = _TOKEN.match(source, at)
+            if not t:
+                raise TemplateError(f"not understood: {source[at : at + 40].strip()!r}" if source[at:].strip() else f"{m[0]} is not ended")
+            tokens.append((t.lastgroup, t[t.lastgroup]))
+            at = t.end()
+        at, strip = over.end(), bool(over[1])
+        yield m[0], tokens
+
+
 class _Parser:
-    """Expressions: or, and, not, == and !=, +, | filter, .field, names, numbers, strings, parentheses."""
-
-    def __init__(self, source: str):
-        self.tokens, at = [], 0
-        while source[at:].strip():
-            m = _TOKEN.match(source, at)
-            if not m:
-                raise TemplateError(f"not understood: {source[at:].strip()!r}")
-            self.tokens.append((m.lastgroup, m[m.lastgroup]))
-            at = m.end()
-        self.at = 0
+    """Expressions: or, and, not, comparisons, in, is, + - ~, | filter, .field, [item], [from:to], names, numbers, strings, parentheses."""
+
+    def __init__(self, tokens: list[Token]):
+        self.tokens, self.at = tokens, 0
 
     def peek(self) -> str | None:
         kind, value = self.tokens[self.at] if self.at < len(self.tokens) else (None, None)
         return value if kind in ("op", "name") else None
 
-    def take(self, value: str | None = None) -> tuple[str, str]:
-        if self.at >= len(self.tokens) or value and self.tokens[self.at][1] != value:
+    def take(self, value: str | None = None) -> Token:
+        if self.at >= len(self.tokens) or value and (self.tokens[self.at][1] != value or self.tokens[self.at][0] == "str"):
             raise TemplateError(f"{value or 'a value'} is missing")
         self.at += 1
         return self.tokens[self.at - 1]
 
-    def whole(self) -> tuple:
-        tree = self.either()
+    def may(self, *values: str) -> str | None:
+        """The next token, taken, if it is one of these."""
+        if (found := self.peek()) in values:
+            self.at += 1
+            return found
+        return None
+
+    def name(self) -> str:
+        kind, value = self.take()
+        if kind != "name":
+            raise TemplateError(f"not a name: {value!r}")
+        return value
+
+    def end(self) -> None:
         if self.at != len(self.tokens):
             raise TemplateError(f"too much: {self.tokens[self.at][1]!r}")
+
+    def whole(self) -> tuple:
+        tree = self.either()
+        self.end()
         return tree
 
     def either(self) -> tuple:
         tree = self.both()
-        while self.peek() == "or":
-            self.take()
+        while self.may("or"):
             tree = ("or", tree, self.both())
         return tree
 
     def both(self) -> tuple:
         tree = self.negated()
-        while self.peek() == "and":
-            self.take()
+        while self.may("and"):
             tree = ("and", tree, self.negated())
         return tree
 
     def negated(self) -> tuple:
-        if self.peek() == "not":
-            self.take()
+        if self.may("not"):
             return ("not", self.negated())
         tree = self.sum()
-        while self.peek() in ("==", "!="):
-            tree = (self.take()[1], tree, self.sum())
-        return tree
+        while True:
+            if op := self.may("==", "!=", "<", "<=", ">", ">=", "in"):
+                tree = (op, tree, self.sum())
+            elif self.may("not"):
+                self.take("in")
+                tree = ("not", ("in", tree, self.sum()))
+            elif self.may("is"):
+                no, test = self.may("not"), self.name()
+                if test == "defined":
+                    found = ("defined", tree)
+                elif test in TESTS:
+                    found = ("test", test, tree)
+                else:
+                    raise TemplateError(f"no test {test!r}; there are defined, {', '.join(sorted(TESTS))}")
+                tree = ("not", found) if no else found
+            else:
+                return tree
 
     def sum(self) -> tuple:
         tree = self.filtered()
-        while self.peek() == "+":
-            self.take()
-            tree = ("+", tree, self.filtered())
+        while op := self.may("+", "-", "~", "%"):
+            tree = (op, tree, self.filtered())
         return tree
 
     def filtered(self) -> tuple:
-        tree = self.atom()
-        while self.peek() == "|":
-            self.take()
-            name = self.take()[1]
+        tree = self.item()
+        while self.may("|"):
+            name, more = self.name(), []
             if name not in FILTERS:
                 raise TemplateError(f"no filter {name!r}; there are {', '.join(sorted(FILTERS))}")
-            tree = ("filter", name, tree)
+            if name in ("default", "join") and self.may("("):
+                more.append(self.either())
+                self.take(")")
+            tree = ("filter", name, tree, *more)
+        return tree
+
+    def item(self) -> tuple:
+        tree = self.atom()
+        while op := self.may(".", "["):
+            if op == ".":
+                tree = ("item", tree, ("lit", self.name()))
+                continue
+            first = None if self.peek() == ":" else self.either()
+            if self.may(":"):
+                last = None if self.peek() == "]" else self.either()
+                tree = ("slice", tree, first or ("lit", None), last or ("lit", None))
+            else:
+                tree = ("item", tree, first)
+            self.take("]")
         return tree
 
     def atom(self) -> tuple:
@@ -132,66 +222,69 @@ class _Parser:
             return ("lit", re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), value[1:-1], flags=re.S))
         if kind == "num":
             return ("lit", int(value))
+        if value == "-":
+            return ("-", ("lit", 0), self.item())
         if value == "(":
             tree = self.either()
             self.take(")")
             return tree
-        if kind != "name" or value in ("and", "or", "not"):
+        if kind != "name" or value in ("and", "or", "not", "in", "is"):
             raise TemplateError(f"not a value: {value!r}")
-        tree = ("lit", value == "true") if value in ("true", "false") else ("name", value)
-        while self.peek() == ".":
-            self.take()
-            tree = ("field", tree, self.take()[1])
-        return tree
+        return ("lit", {"true": True, "false": False, "none": None}[value.lower()]) if value.lower() in ("true", "false", "none") else ("name", value)
 
 
 def parse(source: str) -> list[tuple]:
-    """The template's syntax tree: ("text", s), ("out", expr), ("for", name, expr, body), ("if", [(expr, body)]), ("generation", body)."""
+    """The template's syntax tree: ("text", s), ("out", expr), ("set", name, expr), ("for", name, expr, body), ("if", [(expr, body)]), ("generation", body)."""
     root: list[tuple] = []
     stack: list[tuple[str, list]] = [("", root)]
-    at = 0
 
     def close(kind: str) -> None:
         if stack[-1][0] != kind:
             raise TemplateError(f"end{kind} does not fit {stack[-1][0] or 'the start'}")
         stack.pop()
 
-    for m in _TAG.finditer(source):
-        if m.start() > at:
-            stack[-1][1].append(("text", source[at : m.start()]))
-        at = m.end()
-        if m[1] is not None:
-            stack[-1][1].append(("out", _Parser(m[1]).whole()))
+    def open_(kind: str, node: Callable[[list], tuple]) -> None:
+        body: list = []
+        stack[-1][1].append(node(body))
+        stack.append((kind, body))
+
+    for kind, value in lex(source):
+        if kind == "text":
+            stack[-1][1].append(("text", value))
+            continue
+        p = _Parser(value)
+        if kind == "{{":
+            stack[-1][1].append(("out", p.whole()))
             continue
-        word, _, rest = m[2].strip().partition(" ")
+        word = p.name() if value else ""
         if word == "for":
-            name, _, expr = rest.strip().partition(" in ")
-            if not name.strip().isidentifier() or not expr.strip():
-                raise TemplateError(f"not a loop: {m[2].strip()!r}")
-            body: list = []
-            stack[-1][1].append(("for", name.strip(), _Parser(expr).whole(), body))
-            stack.append(("for", body))
+            name = p.name()
+            p.take("in")
+            values = p.whole()
+            open_("for", lambda body: ("for", name, values, body))  # noqa: B023
+        elif word == "set":
+            name = p.name()
+            p.take("=")
+            stack[-1][1].append(("set", name, p.whole()))
         elif word == "if":
-            body = []
-            stack[-1][1].append(("if", [(_Parser(rest).whole(), body)]))
-            stack.append(("if", body))
+            test = p.whole()
+            open_("if", lambda body: ("if", [(test, body)]))  # noqa: B023
         elif word in ("elif", "else"):
             close("if")
-            body = []
-            stack[-1][1][-1][1].append((_Parser(rest).whole() if word == "elif" else ("lit", True), body))
+            test = p.whole() if word == "elif" else ("lit", True)
+            body: list = []
+            stack[-1][1][-1][1].append((test, body))
             stack.append(("if", body))
         elif word == "generation":
-            body = []
-            stack[-1][1].append(("generation", body))
-            stack.append(("generation", body))
+            open_("generation", lambda body: ("generation", body))
         elif word in ("endfor", "endif", "endgeneration"):
             close(word[3:])
         else:
             raise TemplateError(f"no tag {word!r}")
+        if word not in ("for", "set", "if", "elif"):
+            p.end()
     if len(stack) > 1:
         raise TemplateError(f"{stack[-1][0]} is not ended")
-    if source[at:]:
-        root.append(("text", source[at:]))
     return root
 
 
@@ -199,19 +292,14 @@ def parse(source: str) -> list[tuple]:
 
 
 def fold_expr(e: tuple) -> tuple:
-    kind = e[0]
-    if kind == "filter":
-        inner = fold_expr(e[2])
-        return ("lit", FILTERS[e[1]](_text(inner[1]))) if inner[0] == "lit" else ("filter", e[1], inner)
-    if kind == "field":
-        return ("field", fold_expr(e[1]), e[2])
-    if kind == "not":
-        inner = fold_expr(e[1])
-        return ("lit", not inner[1]) if inner[0] == "lit" else ("not", inner)
-    if kind in ("or", "and", "+", "==", "!="):
-        a, b = fold_expr(e[1]), fold_expr(e[2])
-        return ("lit", expression((kind, a, b))({})) if a[0] == b[0] == "lit" else (kind, a, b)
-    return e
+    """e with each part worked out that depends on no name."""
+    if e[0] in ("lit", "name"):
+        return e
+    parts = [fold_expr(x) if isinstance(x, tuple) else x for x in e[1:]]
+    folded = (e[0], *parts)
+    if all(x[0] == "lit" for x in parts if isinstance(x, tuple)):
+        return ("lit", expression(folded)({}))
+    return folded
 
 
 def fold(nodes: list[tuple]) -> list[tuple]:
@@ -228,6 +316,8 @@ def fold(nodes: list[tuple]) -> list[tuple]:
         if node[0] == "out":
             e = fold_expr(node[1])
             add(("text", _text(e[1])) if e[0] == "lit" else ("out", e))
+        elif node[0] == "set":
+            add(("set", node[1], fold_expr(node[2])))
         elif node[0] == "for":
             add(("for", node[1], fold_expr(node[2]), fold(node[3])))
         elif node[0] == "generation":
@@ -254,40 +344,104 @@ def fold(nodes: list[tuple]) -> list[tuple]:
 # ---- generation of closures ----------------------------------------------------------------
 
 
+class Stream:
+    """Messages that come one after the other: looped over once, and looked at ahead of that by their place."""
+
+    def __init__(self, items: Iterable):
+        self.items, self.ahead, self.begun = iter(items), [], False
+
+    def __iter__(self) -> Iterator:
+        self.begun = True
+        while self.ahead:
+            yield self.ahead.pop(0)
+        yield from self.items
+
+    def at(self, i: int):
+        if self.begun or i < 0:
+            raise TemplateError("messages are a stream: an item is known by its place from the start, before the loop over them")
+        self.ahead += islice(self.items, max(0, i + 1 - len(self.ahead)))
+        return self.ahead[i] if i < len(self.ahead) else None
+
+
 def _text(x) -> str:
     return "" if x is None else str(x)
 
 
+def _item(x, key):
+    if isinstance(x, dict):
+        return x.get(key)
+    if isinstance(x, Stream) and isinstance(key, int):
+        return x.at(key)
+    if isinstance(x, (list, tuple, str)) and isinstance(key, int) and -len(x) <= key < len(x):
+        return x[key]
+    return None
+
+
+def _slice(x, first, last):
+    if isinstance(x, Stream):
+        if (first or 0) < 0 or (last or 0) < 0:
+            raise TemplateError("messages are a stream: a part of them is counted from the start")
+        return islice(x, first, last)
+    return x[first:last] if isinstance(x, (list, tuple, str)) else None
+
+
+def _plus(a, b):
+    return a + b if all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in (a, b)) else _text(a) + _text(b)
+
+
+def _number(x) -> float:
+    return x if isinstance(x, (int, float)) else 0
+
+
+def _less(a, b) -> bool:
+    return a < b if type(a) is type(b) and isinstance(a, (int, float, str)) else _number(a) < _number(b)
+
+
+_BINARY: dict[str, Callable] = {
+    "==": lambda a, b: a == b,
+    "!=": lambda a, b: a != b,
+    "<": _less,
+    ">": lambda a, b: _less(b, a),
+    "<=": lambda a, b: not _less(b, a),
+    ">=": lambda a, b: not _less(a, b),
+    "in": lambda a, b: a in b if isinstance(b, (list, tuple, dict)) else isinstance(b, str) and _text(a) in b,
+    "+": _plus,
+    "-": lambda a, b: _number(a) - _number(b),
+    "%": lambda a, b: _number(a) % _number(b) if _number(b) else 0,
+    "~": lambda a, b: _text(a) + _text(b),
+    "item": _item,
+}
+
+
 def expression(e: tuple) -> Callable[[dict], object]:
     kind = e[0]
     if kind == "lit":
         return lambda env, v=e[1]: v
     if kind == "name":
         return lambda env, n=e[1]: env.get(n)
-    if kind == "field":
-        inner, name = expression(e[1]), e[2]
-
-        def field(env):
-            x = inner(env)
-            return x.get(name) if isinstance(x, dict) else None
-
-        return field
+    if kind == "defined":
+        if e[1][0] == "name":
+            return lambda env, n=e[1][1]: n in env
+        inner = expression(e[1])
+        return lambda env: inner(env) is not None
     if kind == "filter":
-        inner, f = expression(e[2]), FILTERS[e[1]]
-        return lambda env: f(_text(inner(env)))
+        inner, f, more = expression(e[2]), FILTERS[e[1]], [expression(x) for x in e[3:]]
+        return lambda env: f(inner(env), *[m(env) for m in more])
+    if kind == "test":
+        inner, test = expression(e[2]), TESTS[e[1]]
+        return lambda env: test(inner(env))
     if kind == "not":
         inner = expression(e[1])
         return lambda env: not inner(env)
+    if kind == "slice":
+        x, first, last = map(expression, e[1:])
+        return lambda env: _slice(x(env), first(env), last(env))
     a, b = expression(e[1]), expression(e[2])
     if kind == "or":
         return lambda env: a(env) or b(env)
     if kind == "and":
         return lambda env: a(env) and b(env)
-    if kind == "==":
-        return lambda env: a(env) == b(env)
-    if kind == "!=":
-        return lambda env: a(env) != b(env)
-    return lambda env: _text(a(env)) + _text(b(env))
+    return lambda env, f=_BINARY[kind]: f(a(env), b(env))
 
 
 def statements(nodes: list[tuple], masked: bool = False) -> Callable[[dict], Iterator[Piece]]:
@@ -308,6 +462,14 @@ def _statement(node: tuple, masked: bool) -> Callable[[dict], Iterator[Piece]]:
     if kind == "out":
         value = expression(node[1])
         return lambda env: iter(((_text(value(env)), masked),))
+    if kind == "set":
+        name, value = node[1], expression(node[2])
+
+        def put(env: dict) -> Iterator[Piece]:
+            env[name] = value(env)
+            return iter(())
+
+        return put
     if kind == "generation":
         return statements(node[1], True)
     if kind == "if":
@@ -323,23 +485,32 @@ def _statement(node: tuple, masked: bool) -> Callable[[dict], Iterator[Piece]]:
     name, values, body = node[1], expression(node[2]), statements(node[3], masked)
 
     def loop(env: dict) -> Iterator[Piece]:
-        for value in values(env) or ():
-            yield from body({**env, name: value})
+        rest = iter(values(env) or ())
+        over = object()
+        value, n = next(rest, over), 0
+        while value is not over:
+            after = next(rest, over)
+            yield from body({**env, name: value, "loop": {"first": n == 0, "last": after is over, "index": n + 1, "index0": n}})
+            value, n = after, n + 1
 
     return loop
 
 
 def compile_template(source: str) -> Callable[[dict], Iterator[Piece]]:
     """source -> a function from names to the stream of pieces. Messages may be any iterable, read once and lazily."""
-    return statements(fold(parse(source)))
+    run = statements(fold(parse(source)))
+    return lambda names: run({k: v if isinstance(v, (str, int, float, dict, list, tuple, bool, type(None))) else Stream(v) for k, v in names.items()})
 
 
 # ---- over tables ---------------------------------------------------------------------------
 
 
 def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows, each with the type of its first column."""
     for batch in batches:
-        yield from zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+        for a in range(0, len(batch), 1000):
+            part = batch.slice(a, 1000)
+            yield from zip(*(part.column(i).to_pylist() for i in range(4)), repeat(part.schema.field(0).type, len(part)), strict=True)
 
 
 def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
@@ -348,6 +519,7 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
     Joined in order of seq, a conversation's pieces are its formatted text.
     """
     compile_template(template)  # a faulty template fails here
+    reach_workers(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
@@ -355,12 +527,12 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
         ahead = next(turns, None)
         out: list[tuple] = []
         while ahead is not None:
-            conv = ahead[0]
+            conv, kind = ahead[0], ahead[-1]
 
             def messages() -> Iterator[dict]:
                 nonlocal ahead
-                while ahead is not None and ahead[0] == conv:
-                    _, turn, role, text = ahead
+                while ahead is not None and _same(ahead[0], conv):
+                    _, turn, role, text, _ = ahead
                     yield {"turn": turn, "role": role or "", "text": text or ""}
                     ahead = next(turns, None)
 
@@ -368,21 +540,26 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
             for seq, (piece, masked) in enumerate(render({"messages": own})):
                 out.append((conv, seq, piece, masked))
                 if len(out) >= 2048 or len(piece) > 1 << 16:
-                    yield _pieces(out)
+                    yield _pieces(out, kind)
                     out = []
             for _ in own:  # what the template left unread
                 pass
         if out:
-            yield _pieces(out)
+            yield _pieces(out, kind)
 
     own = rows.select("conv_id", "turn", "role", "text")
     order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    return own.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(run, "conv_id long, seq long, piece string, masked boolean")
+    schema = T.StructType([own.schema["conv_id"], T.StructField("seq", T.LongType()), T.StructField("piece", T.StringType()), T.StructField("masked", T.BooleanType())])
+    return own.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(run, schema)
+
 
+def _same(a, b) -> bool:
+    return a == b or a != a and b != b
 
-def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+
+def _pieces(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_())], names=["conv_id", "seq", "piece", "masked"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.string(), pa.bool_()), strict=True)], names=["conv_id", "seq", "piece", "masked"])
 
 
 _OPEN, _CLOSE = "<turn ", "</turn>\n"
@@ -416,23 +593,28 @@ class _Reader:
         return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
-def read_back(pieces: DataFrame) -> DataFrame:
-    """format_conversations' rows as it made them -> (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)."""
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+def read_back(pieces: DataFrame, sort: bool = True) -> DataFrame:
+    """format_conversations' rows -> (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars).
+
+    sort=False: pieces come straight from format_conversations, in the order that it made; another order is an error, not a wrong result.
+    """
+    names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, out = None, []
+        reader, out, last, kind = None, [], -1, pa.null()
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [kind, *kinds], strict=True)], names=["conv_id", *names])
 
-        for conv, seq, piece, masked in _turns(batches):
+        for conv, seq, piece, masked, kind in _turns(batches):
             if seq == 0:
                 if reader:
                     out.append(reader.row())
                 reader = _Reader(conv)
+            elif not reader or seq != last + 1 or not _same(conv, reader.conv):
+                raise ValueError(f"conversation {conv!r}: piece {seq} is out of order; read_back with sort=True puts pieces in order")
+            last = seq
             reader.take(piece, masked)
             if len(out) >= 2048:
                 yield batch()
@@ -442,4 +624,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
         if out:
             yield batch()
 
-    return pieces.mapInArrow(run, schema)
+    own = pieces.select("conv_id", "seq", "piece", "masked")
+    own = own.repartition("conv_id").sortWithinPartitions("conv_id", "seq") if sort else own
+    schema = T.StructType([own.schema["conv_id"], *[T.StructField(n, T.LongType() if k == pa.int64() else T.StringType()) for n, k in zip(names, kinds, strict=True)]])
+    return own.mapInArrow(run, schema)

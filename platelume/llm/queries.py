@@ -30,19 +30,19 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), text_stays=False)
 
 
 def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40).drop("text")
+    return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40, text_stays=False)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
+    return chat.read_back(chat.format_conversations(rows.unionByName(extra)), sort=False)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
