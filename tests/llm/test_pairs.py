@@ -11,7 +11,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from platelume.llm import bpe, decontaminate, exact_dedup, queries, sharding, simhash
+from platelume.llm import bpe, common, decontaminate, exact_dedup, queries, sharding, simhash
 
 SCHEMA = "doc_id long, text string, kept string, `we ird` int"
 ODD = [
@@ -56,6 +56,54 @@ def test_exact_dedup_hot_text(spark):
     assert sorted(r[0] for r in small) == sorted(min(g) for g in groups.values())
 
 
+def test_exact_dedup_sorts_by_content_once(spark):
+    """Without and with a hot text, texts are dealt out by range alone: the window's keys are what the sort has put together."""
+    for n in (0, 400):
+        rows = [(i, f"text {i % 90}" if i >= n else "hot", None, None) for i in range(900)]
+        out = exact_dedup.exact_dedup(docs(spark, rows))
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        final = out._jdf.queryExecution().executedPlan().toString()
+        assert final.count("Exchange rangepartitioning") == (2 if n else 1) and "Exchange hashpartitioning" not in final, final
+        assert "Window" in plan
+        assert out.filter("kept").count() == len({t for _, t, *_ in rows})
+
+
+def test_exact_dedup_hot_rows_alike(spark):
+    """A hot text whose rows have one id, or none, is dealt over salts all the same; one row of it stays."""
+    rows = [(7, "one id", None, None)] * 300 + [(None, "no id", None, None)] * 300 + [(i, f"t{i}", None, None) for i in range(300)] + [(9, "no id", None, None)]
+    out = exact_dedup.exact_dedup(docs(spark, rows))
+    kept = {(r.text, r.keep_id, r.group_size) for r in out.filter("kept").collect()}
+    assert kept == {("one id", 7, 300), ("no id", 9, 301)} | {(f"t{i}", i, 1) for i in range(300)}
+    assert out.count() == len(rows) and out.filter("kept").count() == 302
+
+
+CLASH = ["head", "salt", "nth", "row", "fp", "root", "chunk", "start", "c0", "__text", "KEPT", "Shard", "fingerprint", "n_hit", "score", "held_out", "__hits", "id", "label"]
+
+
+def clashing(spark, rows=ODD):
+    """docs with a column of each name that an operator could use itself, all holding their own name."""
+    return docs(spark, rows).select("doc_id", "text").withColumns({c: F.lit(c) for c in CLASH})
+
+
+@pytest.mark.parametrize(
+    "apply",
+    [exact_dedup.exact_dedup, sharding.assign_shards, simhash.near_duplicates, lambda d: decontaminate.contamination(d, d.sparkSession.createDataFrame([(1, "a b c d e")], "item_id long, text string"))],
+)
+def test_no_column_is_lost(spark, apply):
+    out = apply(clashing(spark))
+    outputs = {c.lower() for c in (*exact_dedup.OUT, *sharding.OUT, *simhash.OUT, *decontaminate.OUT)}
+    names = {c.lower() for c in out.columns}
+    assert len(names) == len(out.columns) and {c.lower() for c in CLASH} <= names
+    rows = out.collect()
+    assert len(rows) == len(ODD) and all(r[c] == c for r in rows for c in CLASH if c.lower() not in outputs)
+
+
+@pytest.mark.parametrize("apply", [exact_dedup.drop_copies, simhash.one_of_each, lambda d: decontaminate.drop_contaminated(d, d.sparkSession.createDataFrame([(1, "a b c d e")], "item_id long, text string"))])
+def test_filters_leave_columns_as_they_are(spark, apply):
+    rows = apply(clashing(spark)).collect()
+    assert rows and all(r[c] == c for r in rows for c in CLASH) and apply(clashing(spark, [])).count() == 0
+
+
 def slow_jump(key, n):
     key, b, j = key & (1 << 64) - 1, -1, 0
     while j < n:
@@ -72,7 +120,8 @@ def test_jump_shards(spark, sf):
     out = queries.op6_jump_shards(spark, sf).collect()
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert len(out) == len(texts)
-    by = {}
+    by, key = {}, {i: xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42) for i in texts}
+    assert all((r.shard, r.grown_shard) == (slow_jump(key[r.doc_id], 40), slow_jump(key[r.doc_id], 41)) for r in out)
     for r in out:
         raw = texts[r.doc_id].encode()
         assert (r["size"], r.text_crc32, r.law) == (len(raw) + 16, zlib.crc32(raw), "key")
@@ -122,10 +171,11 @@ def test_simhash_query(spark, sf):
     assert got == want
 
 
-@pytest.mark.parametrize("bucket", [4, 512])
-def test_pigeonring_links_lose_nothing(spark, monkeypatch, bucket):
-    """Thousands of prints around few centres: buckets are hot, and are dealt anew."""
+@pytest.mark.parametrize(("bucket", "keys"), [(4, 20_000), (4, 3), (512, 20_000)])
+def test_pigeonring_links_lose_nothing(spark, monkeypatch, bucket, keys):
+    """Thousands of prints around few centres: buckets are hot, and are dealt anew; many hot ones are marked by a salted join."""
     monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", keys)
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
     prints = set()
@@ -144,6 +194,13 @@ def test_pigeonring_links_lose_nothing(spark, monkeypatch, bucket):
     assert len(set(zip(got, cls, strict=True))) == len(set(got)) == len(set(cls))
 
 
+def test_fingerprint_in_blocks(monkeypatch):
+    texts = ["", " \t", "One", "one two", "A b\u00a0c d", " lead and trail ", "w\x0bx\x0cy z " * 40, "\u00e9\u00c9 \u65e5\u672c " * 30]
+    for block in (1, 7, 1 << 20):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert [simhash.fingerprint(t) for t in texts] == [slow_print(t) for t in texts]
+
+
 def test_simhash_defined_cases(spark):
     out = simhash.near_duplicates(docs(spark)).collect()
     assert len(out) == len(ODD)
@@ -191,6 +248,18 @@ def test_contamination_query(spark, sf):
     assert any(w[4] for w in want.values())
 
 
+def test_contamination_of_common_windows(spark, monkeypatch):
+    """One passage in hundreds of items, and windows that share their rarest shingle: no link is lost, however they are dealt."""
+    monkeypatch.setattr(decontaminate, "ITEMS", 4)
+    common = " ".join(f"w{i}" for i in range(15))
+    items = [(i, common) for i in range(120)] + [(200 + i, f"same same same same same x{i} a b c d e f g") for i in range(40)]
+    texts = [f"say {common} now", "same same same same same x7 a b c d e f g", "same same same same same x99 a b c d e f g", common[:-4]]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    for block in (50, 200_000):
+        out = decontaminate.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block=block).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out} == {i: slow_hits(t, items) for i, t in enumerate(texts)}
+
+
 def test_contamination_defined_cases(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     out = decontaminate.contamination(docs(spark), none).collect()
@@ -230,3 +299,29 @@ def test_bpe_odd_merge_orders():
         for w, n in zip(words, size.tolist(), strict=True):
             assert ids[at : at + n].tolist() == own.encode_ordinary(w), (seed, w)
             at += n
+
+
+def test_bpe_bounds_change_nothing(monkeypatch):
+    """However few new words a replay takes and however soon words are forgotten, ids are the library's; a long text in parts too."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = ["The   quick brown fox, isn't it? 12345\n\n  ", "", "na\u00efve \u65e5\u672c\u8a9e  \t x " * 50, "Words of words of it. " * 30]
+    for name, value in (("MEMORY", 3), ("NEW_WORDS", 2), ("NEW_CHARS", 5), ("LONG", 20), ("PART", 3), ("IDS", 2)):
+        monkeypatch.setattr(bpe, name, value)
+        codec = bpe.Codec(path, public_tokenizers.PATTERN)
+        for _ in range(2):
+            got = [c.tolist() for c in codec.encode(texts)]
+            assert got == [own.encode_ordinary(t) for t in texts], name
+        assert [b"".join(codec.decode(np.array(c, np.int64))).decode() for c in got] == texts
+
+
+def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
+    raw = "one two three four " * 40 + "x" * 500 + " one two"
+    whole = common.Words([raw.encode(), b"two one"], np.array([b != 32 for b in range(256)]))
+    hashes = {}
+    for a, b, h in zip(whole.starts.tolist(), whole.ends.tolist(), whole.hashes.tolist(), strict=True):
+        assert hashes.setdefault(whole.raw[a:b], h) == h
+    assert len(set(hashes.values())) == len(hashes) == 5
+    monkeypatch.setattr(common, "HASH_BLOCK", 64)
+    small = common.Words([raw.encode(), b"two one"], np.array([b != 32 for b in range(256)]))
+    assert small.hashes.tolist() == whole.hashes.tolist()
