@@ -1,7 +1,13 @@
 """The cleaning pipeline over documents: toxicity, exact dedup, near-dedup, decontamination, tokenising.
 
 Each stage takes (spark, docs, sf_dir) and all rows that the one before kept, and is written as Parquet and read
-again before the next.
+again before the next. All but the last return the columns of docs, whatever these are called besides doc_id and text.
+
+Defined cases, each stage by its operator's rules: null text counts as empty (never toxic by itself, equal to the empty text, of fingerprint
+zero, without words, of no tokens); of rows with equal texts that with the largest id stays and of near copies that with the least, a null id only if its group has
+no other, and of ties one row; repeated rows are copies of each other; texts of any length are read whole; an empty table stays empty, and
+empty labels or benchmark tables reject nothing. Columns named like an operator's outputs pass the first four stages as they are; the last
+stage replaces those named n_tokens, ids_sha256 and decoded_sha256.
 """
 
 from __future__ import annotations
@@ -9,8 +15,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from platelume.functions.scratch import drop, written
 from platelume.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
-from platelume.llm.common import keep, table
+from platelume.llm.common import table
 
 
 def clean_speech(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,5 +49,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        docs = written(lambda: stage(spark, before, sf_dir), f"stage-{name}")  # noqa: B023
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir).drop("text")
