@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.graph import components
+from ..functions.graph import components, label_pixels
 from ..functions.neighbours import frame_of, frame_pixels
-from ..functions.scratch import keep
+from ..functions.scratch import drop, keep
 from .intensity import gaussian_blur, z_project
 
 BINS = 256
@@ -96,28 +96,37 @@ def threshold_isodata(pl: DataFrame) -> DataFrame:
     return h.groupBy("image_id", "channel").agg(F.coalesce(F.min(F.when(ok, F.col("centre"))), F.min("lo")).alias("threshold"))
 
 
+#: Rounds of the fixed point between two looks at whether all planes have settled.
+ROUNDS = 6
+
+
 def threshold_li(pl: DataFrame, rounds: int = 200) -> DataFrame:
-    """Li and Tam 1998: the fixed point of minimum cross entropy, from the mean; over each plane's distinct values and their counts."""
-    lo = pl.groupBy("image_id", "channel").agg(F.min("value").alias("lo"))
-    counts = pl.groupBy("image_id", "channel", "value").agg(F.count("*").alias("n"))
-    vals = counts.groupBy("image_id", "channel").agg(F.array_sort(F.collect_list(F.struct(F.col("value").alias("v"), F.col("n").cast("double").alias("n")))).alias("vs")).join(lo, ["image_id", "channel"])
-    vs = F.transform("vs", lambda s: F.struct((s["v"] - F.col("lo")).alias("v"), s["n"].alias("n")))
-    total = lambda keep, of: F.aggregate(F.filter("vs", keep), F.lit(0.0), lambda a, s: a + of(s))
-    gaps = F.array_min(F.zip_with(F.slice("vs", 2, F.greatest(F.size("vs") - 1, F.lit(0))), F.slice("vs", 1, F.greatest(F.size("vs") - 1, F.lit(0))), lambda b, a: b["v"] - a["v"]))
-    every = lambda s: F.lit(True)
-    start = vals.withColumn("vs", vs).withColumns({"tol": F.coalesce(gaps / 2, F.lit(0.0)), "mean": total(every, lambda s: s["v"] * s["n"]) / total(every, lambda s: s["n"])})
-
-    def step(state: Column, _: Column) -> Column:
-        t = state["t"]
-        mean = lambda keep: total(keep, lambda s: s["v"] * s["n"]) / F.nullif(total(keep, lambda s: s["n"]), F.lit(0.0))
-        fore, back = mean(lambda s: s["v"] > t), mean(lambda s: s["v"] <= t)
-        new = F.when((back <= 0) | fore.isNull() | back.isNull(), t).otherwise((back - fore) / F.nullif(F.log(back) - F.log(fore), F.lit(0.0)))
-        new = F.coalesce(new, t)
-        return F.when(state["done"], state).otherwise(F.struct(new.alias("t"), (F.abs(new - t) <= F.col("tol")).alias("done")))
-
-    first = F.struct(F.col("mean").alias("t"), F.lit(False).alias("done"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step)
-    return start.select("image_id", "channel", (F.col("lo") + found["t"]).alias("threshold"))
+    """Li and Tam 1998: the fixed point of minimum cross entropy, from the mean; over each plane's distinct values and their counts.
+
+    A round sums the values above and below each plane's threshold, in each task before the shuffle; planes that have settled take no part.
+    """
+    key = ["image_id", "channel"]
+    lo = pl.groupBy(*key).agg(F.min("value").alias("lo"))
+    counts = pl.groupBy(*key, "value").agg(F.count("*").cast("double").alias("n")).join(lo, key)
+    counts = keep(counts.select(*key, "lo", (F.col("value") - F.col("lo")).alias("v"), "n"), "values")
+    gap = F.col("v") - F.lag("v").over(Window.partitionBy(*key).orderBy("v"))
+    start = counts.withColumn("gap", gap).groupBy(*key).agg(F.min("lo").alias("lo"), F.coalesce(F.min("gap") / 2, F.lit(0.0)).alias("tol"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("t"))
+    now = keep(start.withColumn("done", F.lit(False)), "start")
+    v, n, t = F.col("v"), F.col("n"), F.col("t")
+    part = lambda on: F.sum(F.when(on, v * n)) / F.nullif(F.sum(F.when(on, n)), F.lit(0.0))
+    for _ in range(0, rounds, ROUNDS):
+        state = now
+        for _ in range(ROUNDS):
+            means = counts.select(*key, "v", "n").join(state.filter(~F.col("done")).select(*key, "t"), key).groupBy(*key).agg(part(v > t).alias("fore"), part(v <= t).alias("back"))
+            back, fore = F.col("back"), F.col("fore")
+            new = F.when((back <= 0) | fore.isNull() | back.isNull(), t).otherwise((back - fore) / F.nullif(F.log(back) - F.log(fore), F.lit(0.0)))
+            state = state.join(means, key, "left").withColumn("new", F.coalesce(new, t))
+            state = state.select(*key, "lo", "tol", F.when(F.col("done"), t).otherwise(F.col("new")).alias("t"), (F.col("done") | (F.abs(F.col("new") - t) <= F.col("tol"))).alias("done"))
+        before, now = now, keep(state, "settled")
+        drop(before)
+        if now.filter(~F.col("done")).isEmpty():
+            break
+    return now.select(*key, (F.col("lo") + t).alias("threshold"))
 
 
 THRESHOLDS = {"otsu": threshold_otsu, "yen": threshold_yen, "triangle": threshold_triangle, "isodata": threshold_isodata, "li": threshold_li}
@@ -136,7 +145,7 @@ def above(pl: DataFrame, found: DataFrame) -> DataFrame:
 
 def auto_threshold(px: DataFrame, channel: int | None = None, method: str = "otsu", projection: str = "max", min_size: int = 50) -> DataFrame:
     """The mask (image_id, channel, y, x) of what is above the threshold, without small objects."""
-    pl = z_project(px, projection, channel)
+    pl = keep(z_project(px, projection, channel), "plane")  # read for its range, its histogram and its mask
     mask = above(pl, thresholds(pl, method))
     return remove_small_objects(mask, min_size) if min_size > 0 else mask
 
@@ -171,22 +180,34 @@ def fill_holes(mask: DataFrame, frame: DataFrame) -> DataFrame:
     return mask.unionByName(out.join(open_, [*key, "first"], "left_anti").select(*mask.columns))
 
 
+def envelope(g: np.ndarray) -> np.ndarray:
+    """min over q of (x - q)^2 + g[q]^2 for each x of a line, by the lower envelope of its parabolas; NaN: no background in a column."""
+    at = np.flatnonzero(~np.isnan(g)).tolist()
+    if not at:
+        return np.full(len(g), np.nan)
+    f = (g * g).tolist()
+    low, begins = [at[0]], [-np.inf]  # the parabolas of the envelope, and where each takes over
+    for q in at[1:]:
+        while True:
+            p = low[-1]
+            s = (f[q] + q * q - f[p] - p * p) / (2 * (q - p))
+            if s > begins[-1]:
+                break
+            low.pop()
+            begins.pop()
+        low.append(q)
+        begins.append(s)
+    x = np.arange(len(g))
+    own = np.array(low)[np.searchsorted(begins, x, side="right") - 1]
+    return (x - own) ** 2 + g[own] ** 2
+
+
 def _line_distance(dense: DataFrame, key: list[str]) -> DataFrame:
     """d2 of each pixel of rows (key, x, g), g being the distance along y to the nearest background or null."""
 
     @F.pandas_udf("array<double>")
     def best(gs: pd.Series) -> pd.Series:
-        def line(g: np.ndarray) -> np.ndarray:
-            g = np.where(np.isnan(g), np.inf, g) ** 2
-            n, out = len(g), np.full(len(g), np.inf)
-            for d in range(n):  # in order of distance along the line, until no place can gain
-                if d and (d * d >= out).all():
-                    break
-                out[d:] = np.minimum(out[d:], g[: n - d] + d * d)
-                out[: n - d] = np.minimum(out[: n - d], g[d:] + d * d)
-            return np.where(np.isinf(out), np.nan, out)
-
-        return gs.map(lambda g: line(np.asarray(g, float)))
+        return gs.map(lambda g: envelope(np.asarray(g, float)))
 
     whole = dense.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("x", F.coalesce("g", F.lit(float("nan"))).alias("g")))), lambda s: s["g"]).alias("gs"))
     return whole.withColumn("d", best("gs")).select(*key, F.posexplode("d").alias("x", "d2"))
@@ -229,10 +250,16 @@ def peaks_of(y: np.ndarray, x: np.ndarray, d2: np.ndarray, min_distance: int, he
     ok = (d2 > 0) & (d2 == high[y - top, x - left]) & (y >= edge) & (x >= edge) & (y < height - edge) & (x < width - edge)
     at = np.flatnonzero(ok)
     at = at[np.lexsort((x[at], y[at], -d2[at]))]
+    # a cell as wide as the spacing holds one peak at most, and only those in the cells around it can be too near
     taken: list[int] = []
+    cells: dict[tuple[int, int], int] = {}
+    side = min_distance + 1
     for i in at.tolist():
-        if all(max(abs(y[i] - y[j]), abs(x[i] - x[j])) > min_distance for j in taken):
+        a, b = int(y[i]) // side, int(x[i]) // side
+        near = [cells[c] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (c := (a + dy, b + dx)) in cells]
+        if all(max(abs(y[i] - y[j]), abs(x[i] - x[j])) > min_distance for j in near):
             taken.append(i)
+            cells[a, b] = i
     return np.array(taken, np.int64)
 
 
@@ -273,10 +300,9 @@ def _by_object(mask: DataFrame, frame: DataFrame, min_distance: int, whole: bool
         marks[at] = at + 1
         if whole:
             # neighbouring peaks are one marker
-            for i in np.sort(at).tolist():
-                for j in np.sort(at).tolist():
-                    if abs(y[i] - y[j]) + abs(x[i] - x[j]) == 1:
-                        marks[marks == max(marks[i], marks[j])] = min(marks[i], marks[j])
+            at = np.sort(at)
+            if len(at):
+                marks[at] = at[label_pixels(y[at], x[at], 4)] + 1
             marks = flood(y, x, d2, marks)
         out = pdf.loc[marks > 0, [*key, "y", "x"]].copy()
         out["sy"], out["sx"], out["d2"] = y[marks[marks > 0] - 1], x[marks[marks > 0] - 1], d2[marks > 0]
@@ -316,20 +342,30 @@ def rasterize_polygons(rois: DataFrame, frame: DataFrame) -> DataFrame:
     outline's vertices or edges; ROIs of fewer than three vertices are left out, and an image's ROIs are united.
     """
     own = rois.filter(F.size("vertices") >= 3)
-    own = own.join(frame, "image_id") if "image_id" in rois.columns else own.join(F.broadcast(frame))
+    own = own.join(frame, "image_id") if "image_id" in rois.columns else frame.crossJoin(F.broadcast(own))  # ROIs for every image are few
     clip = lambda v, size: F.greatest(F.lit(0), F.least(v.cast("int"), F.col(size) - 1))
     own = own.withColumn("vs", F.transform("vertices", lambda s: F.struct(clip(s["row"], "height").alias("r"), clip(s["col"], "width").alias("c"))))
     own = own.withColumn("edges", F.zip_with("vs", F.concat(F.slice("vs", 2, F.size("vs")), F.slice("vs", 1, 1)), lambda a, b: F.struct(a["r"].alias("r1"), a["c"].alias("c1"), b["r"].alias("r2"), b["c"].alias("c2"))))
     ext = lambda f, k: f(F.transform("vs", lambda s: s[k]))
-    rows = own.select("image_id", "edges", F.explode(F.sequence(ext(F.array_min, "r"), ext(F.array_max, "r"))).alias("y"), ext(F.array_min, "c").alias("c0"), ext(F.array_max, "c").alias("c1"))
-    cells = rows.select("image_id", "edges", "y", F.explode(F.sequence("c0", "c1")).alias("x"))
-    y, x = F.col("y"), F.col("x")
-    side = lambda e: (x - e["c1"]) * (e["r2"] - e["r1"]) - (y - e["r1"]) * (e["c2"] - e["c1"])
-    on = F.exists("edges", lambda e: (side(e) == 0) & y.between(F.least(e["r1"], e["r2"]), F.greatest(e["r1"], e["r2"])) & x.between(F.least(e["c1"], e["c2"]), F.greatest(e["c1"], e["c2"])))
-    # an edge that starts above and ends at or below the pixel's line (or the other way) crosses it to the right
-    crosses = lambda e: ((e["r1"] > y) != (e["r2"] > y)) & F.when(e["r2"] > e["r1"], side(e) < 0).otherwise(side(e) > 0)
-    odd = F.size(F.filter("edges", crosses)) % 2 == 1
-    return cells.filter(on | odd).select("image_id", "y", "x").distinct()
+    rows = own.select("image_id", "edges", F.explode(F.sequence(ext(F.array_min, "r"), ext(F.array_max, "r"))).alias("y"))
+    # a line at a time: between its first and second crossing, third and fourth, .. a pixel is in; so is what lies on an edge
+    y = F.col("y")
+    place = lambda e: e["c1"] + (y - e["r1"]) * (e["c2"] - e["c1"]) / (e["r2"] - e["r1"])
+    rows = rows.select(
+        "image_id",
+        "y",
+        F.array_sort(F.transform(F.filter("edges", lambda e: (e["r1"] > y) != (e["r2"] > y)), place)).alias("cross"),
+        F.transform(F.filter("edges", lambda e: (e["r1"] != e["r2"]) & y.between(F.least(e["r1"], e["r2"]), F.greatest(e["r1"], e["r2"]))), place).alias("hits"),
+        F.transform(F.filter("edges", lambda e: (e["r1"] == y) & (e["r2"] == y)), lambda e: _run(F.least(e["c1"], e["c2"]), F.greatest(e["c1"], e["c2"]))).alias("flat"),
+    )
+    pairs = F.when(F.size("cross") > 0, F.transform(F.sequence(F.lit(0), (F.size("cross") / 2 - 1).cast("int")), lambda k: _run(F.ceil(F.get("cross", (2 * k).cast("int"))), F.floor(F.get("cross", (2 * k + 1).cast("int"))))))
+    on = F.transform(F.filter("hits", lambda h: h == F.floor(h)), lambda h: _run(h, h))
+    runs = rows.select("image_id", "y", F.explode(F.concat(F.coalesce(pairs, F.array().cast("array<struct<a:int,b:int>>")), on, "flat")).alias("run")).filter("run.a <= run.b")
+    return runs.select("image_id", "y", F.explode(F.sequence("run.a", "run.b")).alias("x")).distinct()
+
+
+def _run(a: Column, b: Column) -> Column:
+    return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
 
 
 def rasterize_bbox(rois: DataFrame, frame: DataFrame) -> DataFrame:

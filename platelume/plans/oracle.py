@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.neighbours import gaussian_weights
 from ..sources.fixtures import SELECTIONS, SIDE, VALUE
 
 
@@ -71,23 +72,45 @@ PARTS: dict[str, tuple[str, str]] = {
     ),
     # planes, thresholds and masks
     "plane": ("pixels", "SELECT image_id, channel, y, x, max(value) AS value FROM pixels GROUP BY ALL"),
-    "rng": ("plane", "SELECT image_id, channel, min(value) AS lo, max(value) AS hi FROM plane GROUP BY ALL"),
-    "hist": (
-        "plane, rng",
-        """SELECT image_id, channel, lo, hi, bin, coalesce(n, 0) AS n, lo + (bin+0.5)*(hi-lo)/256 AS centre FROM rng CROSS JOIN (SELECT CAST(range AS INT) AS bin FROM range(256))
-          LEFT JOIN (SELECT image_id, channel, CAST(least(255, floor((value-lo)/(hi-lo)*256)) AS INT) AS bin, count(*) AS n FROM plane JOIN rng USING (image_id, channel) GROUP BY ALL) USING (image_id, channel, bin)""",
-    ),
-    "sums": (
-        "hist",
-        """SELECT *, sum(n) OVER u::DOUBLE AS w1, sum(n) OVER a::DOUBLE AS w2, sum(n*centre) OVER u AS s1, sum(n*centre) OVER a AS s2 FROM hist
-          WINDOW u AS (PARTITION BY image_id, channel ORDER BY bin ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY image_id, channel ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)""".replace("sum(n) OVER u::DOUBLE", "CAST(sum(n) OVER u AS DOUBLE)").replace("sum(n) OVER a::DOUBLE", "CAST(sum(n) OVER a AS DOUBLE)"),
-    ),
-    "otsu": ("sums", "SELECT image_id, channel, centre AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY image_id, channel ORDER BY w1*w2*(s1/w1-s2/w2)*(s1/w1-s2/w2) DESC, bin) AS k FROM sums WHERE bin<255) WHERE k=1"),
     "m": ("plane, otsu", "SELECT image_id, y, x FROM plane JOIN otsu USING (image_id, channel) WHERE channel=0 AND value>threshold"),
     "frame": ("pixels", "SELECT image_id, CAST(max(y)+1 AS INT) AS height, CAST(max(x)+1 AS INT) AS width FROM pixels GROUP BY 1"),
     "p0": ("plane", "SELECT image_id, y, x, value FROM plane WHERE channel=0"),
     "p1": ("plane", "SELECT image_id, y, x, value FROM plane WHERE channel=1"),
 }
+
+
+def otsu_parts(prefix: str, plane: str) -> None:
+    """Adds {prefix}rng, hist, sums and otsu: plane's ranges, histograms, their sums and thresholds."""
+    rng, hist, sums = f"{prefix}rng", f"{prefix}hist", f"{prefix}sums"
+    PARTS[rng] = (plane, f"SELECT image_id, channel, min(value) AS lo, max(value) AS hi FROM {plane} GROUP BY ALL")
+    PARTS[hist] = (
+        f"{plane}, {rng}",
+        f"""SELECT image_id, channel, lo, hi, bin, coalesce(n, 0) AS n, lo + (bin+0.5)*(hi-lo)/256 AS centre FROM {rng} CROSS JOIN {_range(256, "bin")}
+          LEFT JOIN (SELECT image_id, channel, CAST(least(255, floor((value-lo)/(hi-lo)*256)) AS INT) AS bin, count(*) AS n FROM {plane} JOIN {rng} USING (image_id, channel) GROUP BY ALL) USING (image_id, channel, bin)""",
+    )
+    PARTS[sums] = (
+        hist,
+        f"""SELECT *, CAST(sum(n) OVER u AS DOUBLE) AS w1, CAST(sum(n) OVER a AS DOUBLE) AS w2, sum(n*centre) OVER u AS s1, sum(n*centre) OVER a AS s2 FROM {hist}
+          WINDOW u AS (PARTITION BY image_id, channel ORDER BY bin ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY image_id, channel ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)""",
+    )
+    PARTS[f"{prefix}otsu"] = (sums, f"SELECT image_id, channel, centre AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY image_id, channel ORDER BY w1*w2*(s1/w1-s2/w2)*(s1/w1-s2/w2) DESC, bin) AS k FROM {sums} WHERE bin<255) WHERE k=1")
+
+
+def blur(sigma: float) -> str:
+    """(image_id, y, x, value) of p0 blurred."""
+    w = gaussian_weights(sigma)
+    r, n = len(w) // 2, SIDE
+    mirror = lambda c: f"CASE WHEN ({c}+k) < 0 THEN -1-({c}+k) WHEN ({c}+k) >= {n} THEN {2 * n - 1}-({c}+k) ELSE {c}+k END"
+    ws = "(VALUES " + ", ".join(f"({k - r}, CAST({x!r} AS DOUBLE))" for k, x in enumerate(w)) + ") AS g(k, wt)"
+    return f"""SELECT a.image_id, a.y, a.x, sum(wt*b.value) AS value FROM p0 a CROSS JOIN {ws} JOIN
+      (SELECT a.image_id, a.y, a.x, sum(wt*b.value) AS value FROM p0 a CROSS JOIN {ws} JOIN p0 b ON b.image_id=a.image_id AND b.x=a.x AND b.y={mirror("a.y")} GROUP BY ALL) b
+      ON b.image_id=a.image_id AND b.y=a.y AND b.x={mirror("a.x")} GROUP BY ALL"""
+
+
+otsu_parts("", "plane")
+PARTS["blurred"] = ("p0", f"SELECT image_id, 0 AS channel, y, x, value FROM ({blur(2.0)})")
+otsu_parts("b", "blurred")
+PARTS["bm"] = ("blurred, botsu", "SELECT image_id, y, x FROM blurred JOIN botsu USING (image_id, channel) WHERE value>threshold")
 _EARLIER = {8: "(-1,-1),(-1,0),(-1,1),(0,-1)", 4: "(-1,0),(0,-1)"}
 _STEPS = {8: "(-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)", 4: "(-1,0),(0,-1),(0,1),(1,0)"}
 
@@ -109,12 +132,13 @@ def flood(name: str, mask: str, needs: str, connectivity: int, extra: str = "")
 flood("cc8", "m", "m", 8)
 flood("cc4", "m", "m", 4)
 PARTS["lab"] = ("cc8", "SELECT image_id, y, x, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY s) AS INT) AS label FROM cc8")
-PARTS["bg"] = ("frame, m", f"SELECT image_id, y, x FROM frame CROSS JOIN {_range(SIDE, 'y')} CROSS JOIN {_range(SIDE, 'x')} ANTI JOIN m USING (image_id, y, x)")
-flood("ccb", "bg", "bg", 4)
-PARTS["filled"] = (
-    "ccb, m",
-    f"""SELECT image_id, y, x FROM m UNION ALL SELECT image_id, y, x FROM ccb WHERE (image_id, s) NOT IN (SELECT (image_id, s) FROM ccb WHERE y IN (0, {SIDE - 1}) OR x IN (0, {SIDE - 1}))""",
-)
+for _mask, _rest, _filled in (("m", "bg", "filled"), ("bm", "bbg", "bfilled")):
+    PARTS[_rest] = (f"frame, {_mask}", f"SELECT image_id, y, x FROM frame CROSS JOIN {_range(SIDE, 'y')} CROSS JOIN {_range(SIDE, 'x')} ANTI JOIN {_mask} USING (image_id, y, x)")
+    flood(f"cc_{_rest}", _rest, _rest, 4)
+    PARTS[_filled] = (
+        f"cc_{_rest}, {_mask}",
+        f"""SELECT image_id, y, x FROM {_mask} UNION ALL SELECT image_id, y, x FROM cc_{_rest} WHERE (image_id, s) NOT IN (SELECT (image_id, s) FROM cc_{_rest} WHERE y IN (0, {SIDE - 1}) OR x IN (0, {SIDE - 1}))""",
+    )
 PARTS["fg"] = ("classes", "SELECT image_id, y, x FROM classes WHERE prob>=0.5")
 flood("ccf", "fg", "fg", 8)
 flood("ccc", "classes", "classes", 8, "label")
@@ -150,6 +174,19 @@ PARTS["roi"] = ("vertices, frame", f"""SELECT image_id, y, x FROM frame CROSS JO
   SELECT image_id, max(vrow) FILTER (ord=1) AS cy, max(vcol) FILTER (ord=0) AS cx FROM vertices GROUP BY 1) USING (image_id) WHERE abs(y-cy)+abs(x-cx) <= 8""")
 
 
+# Li's fixed point: a round a row, from the mean, over each plane's distinct values less its lowest
+PARTS["vals"] = ("plane, rng", "SELECT image_id, channel, value-lo AS v, CAST(count(*) AS DOUBLE) AS n FROM plane JOIN rng USING (image_id, channel) GROUP BY ALL")
+PARTS["tols"] = ("vals", "SELECT image_id, channel, coalesce(min(gap)/2, 0) AS tol, sum(v*n)/sum(n) AS mean FROM (SELECT *, v-lag(v) OVER (PARTITION BY image_id, channel ORDER BY v) AS gap FROM vals) GROUP BY ALL")
+PARTS["li"] = (
+    "vals, tols",
+    """SELECT image_id, channel, mean AS t, false AS done, 0 AS k FROM tols UNION ALL
+      SELECT image_id, channel, new AS t, abs(new-t) <= tol AS done, k+1 AS k FROM (
+        SELECT *, CASE WHEN back<=0 OR back IS NULL OR fore IS NULL THEN t ELSE coalesce((back-fore)/nullif(ln(back)-ln(fore), 0), t) END AS new FROM (
+          SELECT image_id, channel, any_value(t) AS t, any_value(k) AS k, any_value(tol) AS tol, sum(v*n) FILTER (v>t)/sum(n) FILTER (v>t) AS fore, sum(v*n) FILTER (v<=t)/sum(n) FILTER (v<=t) AS back
+          FROM li JOIN vals USING (image_id, channel) JOIN tols USING (image_id, channel) WHERE NOT done AND k<200 GROUP BY ALL))""",
+)
+
+
 def sql(needs: str, body: str) -> str:
     """body with the parts that it needs, each once and before what uses it."""
     order: list[str] = []

@@ -41,12 +41,12 @@ def _plane(spark: SparkSession, d: str, channel: int | None = None) -> DataFrame
 
 def _mask(spark: SparkSession, d: str) -> DataFrame:
     """What lies above Otsu's threshold in channel 0; written once, as what follows reads it several times."""
-    pl = _plane(spark, d, 0)
-    return keep(segment.above(pl, segment.threshold_otsu(pl)).select("image_id", "y", "x"))
+    pl = keep(_plane(spark, d, 0), "plane")
+    return keep(segment.above(pl, segment.threshold_otsu(pl)).select("image_id", "y", "x"), "mask")
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    return keep(segment.connected_components(_mask(spark, d), 8).select("image_id", "label", "y", "x"))
+    return keep(segment.connected_components(_mask(spark, d), 8).select("image_id", "label", "y", "x"), "labels")
 
 
 def _roi(spark: SparkSession, d: str) -> DataFrame:
@@ -284,11 +284,7 @@ def detected_selections(spark, d):
 
 @query(sql("pixels", "SELECT image_id, channel, y, x, max(value) AS vmax, min(value) AS vmin, round(avg(value), 6) AS vmean, sum(value) AS vsum FROM pixels GROUP BY ALL"))
 def z_project(spark, d):
-    px = fixtures.pixels(spark, d)
-    out = None
-    for m in ("max", "min", "mean", "sum"):
-        own = intensity.z_project(px, m).withColumnRenamed("value", f"v{m}")
-        out = own if out is None else out.join(own, ["image_id", "channel", "y", "x"])
+    out = intensity.z_projections(fixtures.pixels(spark, d), {f"v{m}": m for m in ("max", "min", "mean", "sum")})
     return out.withColumn("vmean", F.round("vmean", 6))
 
 
@@ -313,19 +309,7 @@ def brightness_contrast(spark, d):
     return px.withColumn("value", F.when(F.col("channel") == 0, F.round("value", 6)).otherwise(F.col("value")))
 
 
-def _blur_sql(sigma: float) -> str:
-    from ..functions.neighbours import gaussian_weights
-
-    w = gaussian_weights(sigma)
-    r, n = len(w) // 2, fixtures.SIDE
-    mirror = lambda c: f"CASE WHEN ({c}+k) < 0 THEN -1-({c}+k) WHEN ({c}+k) >= {n} THEN {2 * n - 1}-({c}+k) ELSE {c}+k END"
-    ws = "(VALUES " + ", ".join(f"({k - r}, CAST({x!r} AS DOUBLE))" for k, x in enumerate(w)) + ") AS g(k, wt)"
-    return f"""SELECT a.image_id, a.y, a.x, round(sum(wt*b.value), 6) AS value FROM p0 a CROSS JOIN {ws} JOIN
-      (SELECT a.image_id, a.y, a.x, sum(wt*b.value) AS value FROM p0 a CROSS JOIN {ws} JOIN p0 b ON b.image_id=a.image_id AND b.x=a.x AND b.y={mirror("a.y")} GROUP BY ALL) b
-      ON b.image_id=a.image_id AND b.y=a.y AND b.x={mirror("a.x")} GROUP BY ALL"""
-
-
-@query(sql("p0", _blur_sql(2.0)))
+@query(sql("blurred", "SELECT image_id, y, x, round(value, 6) AS value FROM blurred"))
 def gaussian_blur(spark, d):
     return intensity.gaussian_blur(_plane(spark, d, 0), None, 2.0).select("image_id", "y", "x", _r("value"))
 
@@ -341,9 +325,16 @@ def background_rolling_ball(spark, d):
 
 
 def _tophat_sql(r: int) -> str:
-    offs = ", ".join(f"({a}, {b})" for a in range(-r, r + 1) for b in range(-r, r + 1) if a * a + b * b <= r * r)
-    near = lambda f, t: f"SELECT a.image_id, a.y, a.x, {f}(b.value) AS value FROM {t} a CROSS JOIN (VALUES {offs}) AS o(dy, dx) JOIN {t} b ON b.image_id=a.image_id AND b.y=a.y+dy AND b.x=a.x+dx GROUP BY ALL"
-    return f"SELECT image_id, y, x, round(p0.value-o.value, 6) AS value FROM p0 JOIN ({near('max', '(' + near('min', 'p0') + ')')}) o USING (image_id, y, x)"
+    """Erosion, then dilation, each by windows: along each line as wide as the disk is there, then over the lines of a column."""
+    wide = [max(dx for dx in range(r + 1) if dy * dy + dx * dx <= r * r) for dy in range(r + 1)]
+
+    def step(f: str, among: str, table: str) -> str:
+        line = ", ".join(f"{f}(v) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN {w} PRECEDING AND {w} FOLLOWING) AS w{w}" for w in sorted(set(wide)))
+        near = ", ".join(f"{side}(w{wide[dy]}, {dy}) OVER c" for dy in range(1, r + 1) for side in ("lag", "lead"))
+        return f"SELECT image_id, y, x, value, {among}(w{wide[0]}, {near}) AS v FROM (SELECT *, {line} FROM ({table})) WINDOW c AS (PARTITION BY image_id, x ORDER BY y)"
+
+    eroded = step("min", "least", "SELECT *, value AS v FROM p0")
+    return f"SELECT image_id, y, x, round(value-v, 6) AS value FROM ({step('max', 'greatest', eroded)})"
 
 
 @query(sql("p0", _tophat_sql(2)))
@@ -445,7 +436,7 @@ def threshold_isodata(spark, d):
     return _thresholds(spark, d, "isodata")
 
 
-@query()
+@query(sql("li, rng", "SELECT image_id, channel, round(lo+arg_max(t, k), 6) AS threshold FROM li JOIN rng USING (image_id, channel) GROUP BY image_id, channel, lo"))
 def threshold_li(spark, d):
     return _thresholds(spark, d, "li")
 
@@ -488,7 +479,7 @@ def fill_holes(spark, d):
     return segment.fill_holes(_mask(spark, d), frame_of(fixtures.pixels(spark, d)))
 
 
-@query()
+@query(sql("bfilled", "SELECT image_id, y, x FROM bfilled"))
 def extract_roi(spark, d):
     return segment.extract_roi(fixtures.pixels(spark, d), 0, 2.0)
 

@@ -7,6 +7,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,14 +15,14 @@ from pyspark.sql import functions as F
 
 def bmp(rows: list[list[int]], channels: int) -> bytes:
     """rows of x-major channel values (at most three channels, first is red) as a 24-bit bitmap."""
-    height, width = len(rows), len(rows[0]) // channels
-    pad = -width * 3 % 4
-    body = b""
-    for row in reversed(rows):
-        for x in range(width):
-            own = [min(255, max(0, int(v))) for v in row[x * channels : x * channels + channels]] + [0] * (3 - channels)
-            body += bytes(own[2::-1])
-        body += b"\0" * pad
+    own = np.clip(np.array(rows, np.int64), 0, 255).reshape(len(rows), -1, channels)
+    height, width = own.shape[:2]
+    wide = np.zeros((height, -(-width * 3 // 4) * 4), np.uint8)  # lines from the last to the first, blue first, filled up to four bytes
+    colours = np.zeros((height, width, 3), np.uint8)
+    for c in range(channels):
+        colours[:, :, 2 - c] = own[::-1, :, c]
+    wide[:, : width * 3] = colours.reshape(height, -1)
+    body = wide.tobytes()
     head = struct.pack("<2sIHHI", b"BM", 54 + len(body), 0, 0, 54)
     return head + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
 

@@ -53,10 +53,15 @@ def register_images(files: DataFrame, info: DataFrame, experiment: str = "", tim
     return with_defaults(out.withColumn("run_timestamp", timestamp if timestamp is not None else F.current_timestamp()), "images")
 
 
-def write_results(tables: dict[str, DataFrame], out: str, experiment: str) -> None:
-    """Appends each table under out, partitioned by experiment; a run's earlier rows stay."""
+def write_results(tables: dict[str, DataFrame], out: str, experiment: str, batch: int | None = None) -> None:
+    """Appends each table under out, partitioned by experiment; a run's earlier rows stay. A batch of a stream that is written again replaces its own rows."""
     for name, df in tables.items():
-        with_defaults(df, name).withColumn("experiment", F.lit(experiment)).write.mode("append").partitionBy("experiment").parquet(f"{out}/{name}")
+        own = with_defaults(df, name).withColumn("experiment", F.lit(experiment))
+        if batch is None:
+            own.write.mode("append").partitionBy("experiment").parquet(f"{out}/{name}")
+        else:
+            writer = own.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("experiment", "batch").parquet(f"{out}/{name}")
 
 
 def read_results(spark: SparkSession, out: str, name: str) -> DataFrame:

@@ -14,16 +14,18 @@ PIXELS = "image_id long, channel int, z int, y int, x int, value double"
 
 
 def watch_folder(spark: SparkSession, folder: str, spec: dict, out: str, checkpoint: str, experiment: str = "", files_per_batch: int = 64) -> StreamingQuery:
-    """Runs spec on each batch of new Parquet pixel files in folder and appends its result tables under out.
+    """Runs spec on each batch of new Parquet pixel files in folder and writes its result tables under out, a partition a batch.
 
-    An image must lie in one file. The checkpoint remembers which files are done, so a restart takes up the rest.
+    An image must lie in one file: one whose pixels come in two batches is measured twice, each time in part. The checkpoint remembers which files are
+    done, so a restart takes up the rest; a batch that failed half-way is run again under its own number and replaces what it had written.
     """
     arriving = spark.readStream.schema(PIXELS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
     def batch(px: DataFrame, n: int) -> None:
-        own = keep(px)
+        own = keep(px, "arrived")
         images = own.select("image_id").distinct().withColumns({"path": F.lit(folder), "channel_names": F.array().cast("array<string>"), "pixel_size_um": F.lit(1.0), "z_step_um": F.lit(1.0)})
         done = run_pipeline(spec, Frames(own, images))
-        results.write_results({k: done.table(k) for k in done.tables}, out, experiment)
+        results.write_results({k: done.table(k) for k in done.tables}, out, experiment, batch=n)
+        drop(own)
 
     return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
