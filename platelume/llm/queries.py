@@ -67,6 +67,24 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    # windows of each width that items have; words as in the contract; every document, every window
+    "op8_decontaminate": r"""
+        WITH low AS (
+            SELECT 'd' AS kind, doc_id, '' AS item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+            UNION ALL SELECT 'b', 0, coalesce(CAST(item_id AS VARCHAR), ''), translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+        split AS (SELECT kind, doc_id, item_id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM low),
+        wins AS (
+            SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS words
+            FROM (SELECT item_id, w, least(13, len(w)) AS k, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS i FROM split WHERE kind = 'b' AND len(w) > 0)),
+        places AS (
+            SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS words
+            FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM split CROSS JOIN (SELECT DISTINCT k FROM wins) WHERE kind = 'd' AND len(w) >= k)),
+        found AS (SELECT doc_id, places.k, i, item_id FROM places JOIN wins USING (k, words)),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM (SELECT DISTINCT doc_id, k, i FROM found)) GROUP BY 1),
+        items AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY 1)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
+        FROM split d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) WHERE kind = 'd'""",
     "op7_chat_format": r"""
         WITH rows AS (
             SELECT conv_id, turn, role, text FROM conversations
