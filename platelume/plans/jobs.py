@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -161,17 +162,51 @@ def _coloc(f: Frames, primary_channel: int, secondary_channel: int, dilation_um:
     return f.with_rows("colocalization_per_particle", each).with_rows("colocalization_results", whole)
 
 
-def run_pipeline(spec: dict | str, frames: Frames, trace: Callable[[int, str, Frames], None] | None = None) -> Frames:
-    """The spec's steps in order; a later step sees what earlier ones made. Steps with "enabled": false are left out."""
-    steps = (json.loads(spec) if isinstance(spec, str) else spec)["steps"]
-    for n, step in enumerate(steps):
-        kind = step["type"]
+def _params(step: dict) -> dict:
+    return {k: v for k, v in step.items() if k not in ("type", "enabled")}
+
+
+def check_spec(spec: dict | str) -> dict:
+    """The spec, with its steps' names and parameters known to be right; the error names all that are wrong."""
+    spec = json.loads(spec) if isinstance(spec, str) else spec
+    if not isinstance(spec.get("steps"), list):
+        raise ValueError("a job spec needs a list of steps")
+    wrong = []
+    for n, step in enumerate(spec["steps"]):
+        kind = step.get("type")
         if kind not in STEPS:
-            raise ValueError(f"unknown step {kind!r}; there are {', '.join(sorted(STEPS))}")
+            wrong.append(f"step {n}: unknown step {kind!r}; there are {', '.join(sorted(STEPS))}")
+            continue
+        try:
+            inspect.signature(STEPS[kind]).bind(None, **_params(step))
+        except TypeError as e:
+            wrong.append(f"step {n}, {kind}: {e}")
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return spec
+
+
+def save_spec(spark: SparkSession, spec: dict, path: str) -> None:
+    """spec as JSON in a folder of one text file, in place of what was there."""
+    text = json.dumps(check_spec(spec), indent=2)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_spec(spark: SparkSession, path: str) -> dict:
+    """The spec of a JSON file, or of a folder that save_spec wrote."""
+    found = spark.read.text(path, wholetext=True).filter("trim(value) <> ''").head(2)
+    if len(found) != 1:
+        raise ValueError(f"{path} holds {'no' if not found else 'more than one'} job spec")
+    return check_spec(found[0].value)
+
+
+def run_pipeline(spec: dict | str, frames: Frames, trace: Callable[[int, str, Frames], None] | None = None) -> Frames:
+    """The spec's steps in order; a later step sees what earlier ones made. Steps with "enabled": false are left out. A wrong spec fails before its first step."""
+    for n, step in enumerate(check_spec(spec)["steps"]):
         if step.get("enabled", True):
-            frames = STEPS[kind](frames, **{k: v for k, v in step.items() if k not in ("type", "enabled")})
+            frames = STEPS[step["type"]](frames, **_params(step))
             if trace:
-                trace(n, kind, frames)
+                trace(n, step["type"], frames)
     return frames
 
 

@@ -129,6 +129,12 @@ def flood(name: str, mask: str, needs: str, connectivity: int, extra: str = "")
     PARTS[name] = (f"{name}_r", f"SELECT image_id{e}, y, x, min(s) AS s FROM {name}_r GROUP BY ALL")
 
 
+#: Mosaics hold this many images one below the other, this far apart and this far down, so that objects lie over the borders of tiles.
+MOSAIC, STRIDE, DOWN = 20, 64, 48
+for _name, _from, _cols in (("mosaic", "m", ""), ("mosaic0", "p0", ", value")):
+    PARTS[_name] = (_from, f"SELECT CAST(image_id//{MOSAIC} AS BIGINT) AS image_id, CAST(image_id%{MOSAIC}*{STRIDE}+y+{DOWN} AS INT) AS y, x{_cols} FROM {_from}")
+
+flood("ccm", "mosaic", "mosaic", 8)
 flood("cc8", "m", "m", 8)
 flood("cc4", "m", "m", 4)
 PARTS["lab"] = ("cc8", "SELECT image_id, y, x, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY s) AS INT) AS label FROM cc8")
@@ -174,6 +180,17 @@ PARTS["roi"] = ("vertices, frame", f"""SELECT image_id, y, x FROM frame CROSS JO
   SELECT image_id, max(vrow) FILTER (ord=1) AS cy, max(vcol) FILTER (ord=0) AS cx FROM vertices GROUP BY 1) USING (image_id) WHERE abs(y-cy)+abs(x-cx) <= 8""")
 
 
+# a line's stretch (l to r) of each label's convex hull: the farthest that a chord from a point above to one below comes to lie
+PARTS["rim"] = (
+    "lab",
+    """SELECT image_id, label, y+dy AS py, min(x+dx) AS a, max(x+dx) AS b FROM lab CROSS JOIN (VALUES (0.5::DOUBLE, 0.0::DOUBLE), (-0.5, 0.0), (0.0, 0.5), (0.0, -0.5)) AS o(dy, dx) GROUP BY ALL""",
+)
+PARTS["hull"] = (
+    "rim, lab",
+    """SELECT k.image_id, k.label, k.y, min(CASE WHEN q.py=p.py THEN p.a ELSE p.a+(k.y-p.py)*(q.a-p.a)/(q.py-p.py) END) AS l, max(CASE WHEN q.py=p.py THEN p.b ELSE p.b+(k.y-p.py)*(q.b-p.b)/(q.py-p.py) END) AS r
+      FROM (SELECT DISTINCT image_id, label, y FROM lab) k JOIN rim p ON p.image_id=k.image_id AND p.label=k.label AND p.py<=k.y JOIN rim q ON q.image_id=k.image_id AND q.label=k.label AND q.py>=k.y GROUP BY ALL""",
+)
+
 # Li's fixed point: a round a row, from the mean, over each plane's distinct values less its lowest
 PARTS["vals"] = ("plane, rng", "SELECT image_id, channel, value-lo AS v, CAST(count(*) AS DOUBLE) AS n FROM plane JOIN rng USING (image_id, channel) GROUP BY ALL")
 PARTS["tols"] = ("vals", "SELECT image_id, channel, coalesce(min(gap)/2, 0) AS tol, sum(v*n)/sum(n) AS mean FROM (SELECT *, v-lag(v) OVER (PARTITION BY image_id, channel ORDER BY v) AS gap FROM vals) GROUP BY ALL")

@@ -14,7 +14,7 @@ from ..operators import intensity, measure, plate, segment
 from ..sources import files, fixtures, results
 from ..sources.bitmaps import write_bitmaps
 from . import jobs
-from .oracle import sql
+from .oracle import DOWN, MOSAIC, STRIDE, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +49,12 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
     return keep(segment.connected_components(_mask(spark, d), 8).select("image_id", "label", "y", "x"), "labels")
 
 
+def _mosaic(rows: DataFrame) -> DataFrame:
+    """The rows of several images in one tall frame, larger than a tile."""
+    y = F.col("image_id") % MOSAIC * STRIDE + F.col("y") + DOWN
+    return rows.withColumn("y", y.cast("int")).withColumn("image_id", F.floor(F.col("image_id") / MOSAIC).cast("long"))
+
+
 def _roi(spark: SparkSession, d: str) -> DataFrame:
     v = fixtures.roi_vertices(spark, d).groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("vrow").alias("row"), F.col("vcol").alias("col")))), lambda s: F.struct(s["row"].alias("row"), s["col"].alias("col"))).alias("vertices"))
     return segment.rasterize_polygons(v, frame_of(fixtures.pixels(spark, d)))
@@ -314,9 +320,9 @@ def gaussian_blur(spark, d):
     return intensity.gaussian_blur(_plane(spark, d, 0), None, 2.0).select("image_id", "y", "x", _r("value"))
 
 
-def _ball_sql(r: int) -> str:
+def _ball_sql(r: int, table: str = "p0") -> str:
     offs = [(a, b, r - (r * r - a * a - b * b) ** 0.5) for a in range(-r, r + 1) for b in range(-r, r + 1) if a * a + b * b <= r * r]
-    return f"SELECT a.image_id, a.y, a.x, round(greatest(0, any_value(a.value)-min(b.value+h)), 6) AS value FROM p0 a CROSS JOIN (VALUES {', '.join(f'({a}, {b}, CAST({h!r} AS DOUBLE))' for a, b, h in offs)}) AS o(dy, dx, h) JOIN p0 b ON b.image_id=a.image_id AND b.y=a.y+dy AND b.x=a.x+dx GROUP BY a.image_id, a.y, a.x"
+    return f"SELECT a.image_id, a.y, a.x, round(greatest(0, any_value(a.value)-min(b.value+h)), 6) AS value FROM {table} a CROSS JOIN (VALUES {', '.join(f'({a}, {b}, CAST({h!r} AS DOUBLE))' for a, b, h in offs)}) AS o(dy, dx, h) JOIN {table} b ON b.image_id=a.image_id AND b.y=a.y+dy AND b.x=a.x+dx GROUP BY a.image_id, a.y, a.x"
 
 
 @query(sql("p0", _ball_sql(5)))
@@ -324,6 +330,12 @@ def background_rolling_ball(spark, d):
     return intensity.background_subtract(_plane(spark, d, 0), None, 5.0).select("image_id", "y", "x", _r("value"))
 
 
+@query(sql("mosaic0", _ball_sql(5, "mosaic0")))
+def mosaic_background(spark, d):
+    """background_rolling_ball over the borders of tiles."""
+    return intensity.background_subtract(_mosaic(_plane(spark, d, 0)), None, 5.0).select("image_id", "y", "x", _r("value"))
+
+
 def _tophat_sql(r: int) -> str:
     """Erosion, then dilation, each by windows: along each line as wide as the disk is there, then over the lines of a column."""
     wide = [max(dx for dx in range(r + 1) if dy * dy + dx * dx <= r * r) for dy in range(r + 1)]
@@ -459,6 +471,12 @@ def connected_components(spark, d):
     return _labels(spark, d)
 
 
+@query(sql("ccm", "SELECT image_id, y, x, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY s) AS INT) AS label FROM ccm"))
+def mosaic_components(spark, d):
+    """connected_components over the borders of tiles."""
+    return segment.connected_components(_mosaic(_mask(spark, d)), 8)
+
+
 @query(sql("m, frame", "SELECT a.image_id, a.y, a.x, CAST(min((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) AS BIGINT) AS d2 FROM m a JOIN (SELECT image_id, y, x FROM frame CROSS JOIN (SELECT CAST(range AS INT) AS y FROM range(32)) CROSS JOIN (SELECT CAST(range AS INT) AS x FROM range(32)) ANTI JOIN m USING (image_id, y, x)) b USING (image_id) GROUP BY ALL"))
 def distance_transform(spark, d):
     return segment.distance_transform(_mask(spark, d), frame_of(fixtures.pixels(spark, d)))
@@ -590,9 +608,9 @@ def particle_eccentricity(spark, d):
     return measure.particle_eccentricity(_labels(spark, d)).withColumn("eccentricity", F.round("eccentricity", 5))
 
 
-@query()
+@query(sql("hull, lab", "SELECT image_id, label, round(n/sum(floor(r+1e-9)-ceil(l-1e-9)+1), 6) AS solidity FROM hull JOIN (SELECT image_id, label, count(*) AS n FROM lab GROUP BY ALL) USING (image_id, label) GROUP BY image_id, label, n"))
 def particle_solidity(spark, d):
-    return measure.particle_solidity(_labels(spark, d))
+    return measure.particle_solidity(_labels(spark, d)).withColumn("solidity", F.round("solidity", 6))
 
 
 _SIZED = "SELECT image_id, label, area_px, area_px*0.25 AS area_um2, circularity FROM shape"

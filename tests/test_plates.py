@@ -37,7 +37,7 @@ def array_of(rows, shape):
     return out
 
 
-@pytest.mark.parametrize("name", ["where_what", "pair_wells_by_serial", "resolve_well_roi", "z_project", "threshold_otsu", "threshold_triangle", "connected_components", "distance_transform", "fill_holes", "extract_roi", "threshold_li", "background_tophat", "particle_perimeter", "coloc_per_particle", "rotate90", "run_log"])
+@pytest.mark.parametrize("name", ["where_what", "pair_wells_by_serial", "resolve_well_roi", "z_project", "threshold_otsu", "threshold_triangle", "connected_components", "distance_transform", "fill_holes", "extract_roi", "threshold_li", "background_tophat", "mosaic_components", "mosaic_background", "particle_solidity", "particle_perimeter", "coloc_per_particle", "rotate90", "run_log"])
 def test_query_agrees_with_sql(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -52,7 +52,7 @@ def test_query_agrees_with_sql(spark, sf, name):
 
 def test_every_query_is_known():
     assert set(queries.ORACLE) <= set(queries.QUERIES)
-    assert set(queries.QUERIES) - set(queries.ORACLE) == {"local_peaks", "watershed_split", "particle_solidity", "run_sample_job"}
+    assert set(queries.QUERIES) - set(queries.ORACLE) == {"local_peaks", "watershed_split", "run_sample_job"}
 
 
 SQUARE = "....... .#####. .#####. .#####. .#####. .#####. ......."
@@ -212,6 +212,22 @@ def test_jobs(spark, sf, tmp_path):
     assert results.read_results(spark, out, "intensity_measurements").select(F.sum("sum_intensity")).first()[0] == 54
 
 
+def test_specs(spark, tmp_path):
+    place = str(tmp_path / "spec")
+    jobs.save_spec(spark, queries.PLAIN, place)
+    jobs.save_spec(spark, queries.SPEC, place)
+    assert jobs.load_spec(spark, place) == queries.SPEC
+    (tmp_path / "one.json").write_text('{"steps": []}')
+    assert jobs.load_spec(spark, str(tmp_path / "one.json")) == {"steps": []}
+    with pytest.raises(ValueError, match="step 0, GaussianBlur: .*sigmma.*step 1: unknown step 'Nope'.*step 2, Normalize: .*channel"):
+        jobs.check_spec({"steps": [{"type": "GaussianBlur", "channel": 0, "sigmma": 1.0}, {"type": "Nope"}, {"type": "Normalize", "enabled": False}]})
+    with pytest.raises(ValueError, match="list of steps"):
+        jobs.check_spec("{}")
+    (tmp_path / "none.json").write_text(" ")
+    with pytest.raises(ValueError, match="no job spec"):
+        jobs.load_spec(spark, str(tmp_path / "none.json"))
+
+
 def test_channel_by_name(spark):
     px = pixels_of(spark, np.eye(2), channel=1)
     images = spark.createDataFrame([(0, ["A", "B"])], "image_id long, channel_names array<string>")
