@@ -131,8 +131,7 @@ def flood(name: str, mask: str, needs: str, connectivity: int, extra: str = "")
 
 #: Mosaics hold this many images one below the other, this far apart and this far down, so that objects lie over the borders of tiles.
 MOSAIC, STRIDE, DOWN = 20, 64, 48
-for _name, _from, _cols in (("mosaic", "m", ""), ("mosaic0", "p0", ", value")):
-    PARTS[_name] = (_from, f"SELECT CAST(image_id//{MOSAIC} AS BIGINT) AS image_id, CAST(image_id%{MOSAIC}*{STRIDE}+y+{DOWN} AS INT) AS y, x{_cols} FROM {_from}")
+PARTS["mosaic"] = ("m", f"SELECT CAST(image_id//{MOSAIC} AS BIGINT) AS image_id, CAST(image_id%{MOSAIC}*{STRIDE}+y+{DOWN} AS INT) AS y, x FROM m")
 
 flood("ccm", "mosaic", "mosaic", 8)
 flood("cc8", "m", "m", 8)

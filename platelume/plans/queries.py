@@ -320,9 +320,9 @@ def gaussian_blur(spark, d):
     return intensity.gaussian_blur(_plane(spark, d, 0), None, 2.0).select("image_id", "y", "x", _r("value"))
 
 
-def _ball_sql(r: int, table: str = "p0") -> str:
+def _ball_sql(r: int) -> str:
     offs = [(a, b, r - (r * r - a * a - b * b) ** 0.5) for a in range(-r, r + 1) for b in range(-r, r + 1) if a * a + b * b <= r * r]
-    return f"SELECT a.image_id, a.y, a.x, round(greatest(0, any_value(a.value)-min(b.value+h)), 6) AS value FROM {table} a CROSS JOIN (VALUES {', '.join(f'({a}, {b}, CAST({h!r} AS DOUBLE))' for a, b, h in offs)}) AS o(dy, dx, h) JOIN {table} b ON b.image_id=a.image_id AND b.y=a.y+dy AND b.x=a.x+dx GROUP BY a.image_id, a.y, a.x"
+    return f"SELECT a.image_id, a.y, a.x, round(greatest(0, any_value(a.value)-min(b.value+h)), 6) AS value FROM p0 a CROSS JOIN (VALUES {', '.join(f'({a}, {b}, CAST({h!r} AS DOUBLE))' for a, b, h in offs)}) AS o(dy, dx, h) JOIN p0 b ON b.image_id=a.image_id AND b.y=a.y+dy AND b.x=a.x+dx GROUP BY a.image_id, a.y, a.x"
 
 
 @query(sql("p0", _ball_sql(5)))
@@ -330,7 +330,8 @@ def background_rolling_ball(spark, d):
     return intensity.background_subtract(_plane(spark, d, 0), None, 5.0).select("image_id", "y", "x", _r("value"))
 
 
-@query(sql("mosaic0", _ball_sql(5, "mosaic0")))
+#: The gaps of a mosaic are wider than the ball, so each image's part is what it is alone.
+@query(sql("p0", f"SELECT CAST(image_id//{MOSAIC} AS BIGINT) AS image_id, CAST(image_id%{MOSAIC}*{STRIDE}+y+{DOWN} AS INT) AS y, x, value FROM ({_ball_sql(5)})"))
 def mosaic_background(spark, d):
     """background_rolling_ball over the borders of tiles."""
     return intensity.background_subtract(_mosaic(_plane(spark, d, 0)), None, 5.0).select("image_id", "y", "x", _r("value"))
