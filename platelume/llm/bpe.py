@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import append_columns, texts_of
+from .common import append_columns
 
 #: Words whose ids a task remembers.
 MEMORY = 1 << 18
@@ -235,9 +235,9 @@ class Codec:
             self.start = np.cumsum(self.size) - self.size
             self.number.new, self.number.chars = [], 0
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Each text's ids. The texts are a stretch of the corpus, whose new words are replayed together."""
-        got: list[list[np.ndarray]] = [[] for _ in texts]
+        got: list[list[np.ndarray]] = []
         waiting: list[tuple[int, np.ndarray]] = []
 
         def settle() -> None:
@@ -249,6 +249,7 @@ class Codec:
                 self.forget()
 
         for i, t in enumerate(texts):
+            got.append([])
             for part in self.words(t):
                 waiting.append((i, np.fromiter(map(self.number.__getitem__, part), np.int32, len(part))))
                 if len(self.number.new) > NEW_WORDS or self.number.chars > NEW_CHARS:
@@ -273,7 +274,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", id
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         codec = Codec.of(ranks, pattern)
         n, digest, back, all_ids = [], [], [], []
-        for coded in codec.encode(texts_of(batch, text_col)):
+        texts = batch.column(batch.schema.get_field_index(text_col))
+        for coded in codec.encode(t.as_py() or "" for t in texts):  # a text at a time is a Python object
             n.append(len(coded))
             digest.append(hashlib.sha256(coded.tobytes()).hexdigest())
             again = hashlib.sha256()

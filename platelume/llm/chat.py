@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import reach_workers
+from .common import small_batches
 
 Piece = tuple[str, bool]
 
@@ -519,7 +519,7 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
     Joined in order of seq, a conversation's pieces are its formatted text.
     """
     compile_template(template)  # a faulty template fails here
-    reach_workers(rows.sparkSession)
+    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)

@@ -15,12 +15,13 @@ from .. import reach_workers
 
 #: Python helpers work on slices of about this many text bytes, so that their arrays stay small.
 SLICE_BYTES = 1 << 20
-#: Text bytes of an Arrow batch that are Python objects at once, unless one row has more.
+#: Text bytes of an Arrow batch that are Python objects at once, unless one row has more; batches come about this large.
 BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    reach_workers(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,13 +57,20 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == rest, F.lit(False))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most, where the session says nothing else: a batch is held by the executor and by its worker at once."""
+    reach_workers(spark)
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def append_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], new: T.StructType, drop: Iterable[str] = (), rows: int = 1000, size: int = BATCH_BYTES, end: Callable[[], None] | None = None) -> DataFrame:
     """df, without the columns drop, with those that make(batch) returns for each Arrow batch; no shuffle, rows and their order stay.
 
     make gets rows rows and about size bytes of text at most at once (or one row), so that Python objects exist for these only.
     end is called when a task is done, to give back what make has gathered in the worker.
     """
-    reach_workers(df.sparkSession)
+    small_batches(df.sparkSession)
     gone = {n.lower() for n in drop}
     base = without(df, {n.lower() for n in new.names} - gone)  # what drop names is there for make to read
     stay = [i for i, n in enumerate(base.columns) if n.lower() not in gone]
@@ -70,7 +78,7 @@ def append_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            for whole in batches:
+            for whole in stretches(batches, size):
                 for a, b in slices(text_bytes(whole), size, rows):
                     batch = whole.slice(a, b - a)
                     made = make(batch)
@@ -78,10 +86,26 @@ def append_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.
         finally:
             if end:
                 end()
+            pa.default_memory_pool().release_unused()  # the worker lives on
 
     return base.mapInArrow(run, T.StructType([*(base.schema.fields[i] for i in stay), *new.fields]))
 
 
+def stretches(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches one after the other, joined while they have limit bytes of text at most together."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        n = sum(text_bytes(batch))
+        if held and total + n > limit:
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
+            held, total = [], 0
+        held.append(batch)
+        total += n
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
 def text_bytes(batch: pa.RecordBatch) -> list[int]:
     """The bytes of each row's texts."""
     total = np.zeros(len(batch), np.int64)

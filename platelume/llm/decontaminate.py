@@ -29,9 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import reach_workers
 from ..functions.scratch import drop, keep
-from .common import LOWER, Words, append_columns, numbered, slices, texts_of
+from .common import LOWER, Words, append_columns, numbered, slices, small_batches, texts_of
 
 WINDOW = 13
 SHINGLE = 5
@@ -67,7 +66,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int = WIN
                     cols = list(zip(*rows[k : k + 5000], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.int64()))], names=["item", "words", "width", "tokens"])
 
-    reach_workers(items.sparkSession)
+    small_batches(items.sparkSession)
     source = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     rows = source.mapInArrow(run, "item string, words binary, width int, tokens array<long>")
     rows = keep(rows.groupBy("words", "width", "item").agg(F.first("tokens").alias("tokens")), "item-windows")

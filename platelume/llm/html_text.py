@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import reach_workers
-from .common import LOWER, Words, append_columns, numbered, slices
+from .common import LOWER, Words, append_columns, numbered, slices, small_batches
 
 #: Sampled pages that the labeller is trained on, and made-up layouts to each.
 PAGES, LAYOUTS = 120, 3
@@ -376,7 +375,7 @@ def layout(page: list[tuple[tuple, str, int]], labels: np.ndarray, rng: np.rando
 
 def train(pages: DataFrame, most: int = PAGES, layouts: int = LAYOUTS, id_col: str = "page_id", html_col: str = "html") -> Labeller:
     """A labeller from most pages of PAGE_BYTES at most, chosen by a hash of the id."""
-    reach_workers(pages.sparkSession)
+    small_batches(pages.sparkSession)
     plain, number, _ = numbered(pages)
     pages = plain.select(F.col(number(id_col)).alias("id"), F.col(number(html_col)).alias("html")).filter(F.coalesce(F.octet_length("html"), F.lit(0)) <= PAGE_BYTES)
     id_col, html_col = "id", "html"

@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import reach_workers
-from .common import LOWER, Words, append_columns, held_out, slices, texts_of
+from .common import LOWER, Words, append_columns, held_out, slices, small_batches, texts_of
 from .toxicity import marked, sample
 
 WORD_BITS = 16
@@ -185,7 +184,7 @@ def _meta(batch: pa.RecordBatch, names: Iterable[str]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = META) -> Machine:
     """Only the features of the sampled texts, not the texts, come to the driver."""
-    reach_workers(docs.sparkSession)
+    small_batches(docs.sparkSession)
     there = [c for c in meta if c.lower() in {n.lower() for n in docs.columns}]
     ids = marked(labels, label).orderBy(F.xxhash64("id"), "id", "label").limit(most)
     rows = sample(docs, ids, id_col, text_col, *there)

@@ -30,10 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import reach_workers
 from ..functions.contract import components, hot_keys, join_by
 from ..functions.scratch import drop, keep
-from .common import LOWER, append_columns, numbered, texts_of
+from .common import LOWER, append_columns, numbered, small_batches, texts_of
 
 SHINGLE = 3
 DISTANCE = 3
@@ -173,7 +172,7 @@ def _bucket_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def links(prints: DataFrame) -> DataFrame:
     """prints (fp, distinct) -> edges (a, b) whose components are those of all pairs at DISTANCE or less."""
-    reach_workers(prints.sparkSession)
+    small_batches(prints.sparkSession)
     key = ["start", "mask", "part"]
     masks = {s: [_signed(m) for m in ms] for s, ms in first_masks().items()}
     choose = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(m).alias("mask")) for s, ms in masks.items() for m in ms])

@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import reach_workers
-from .common import append_columns, held_out, numbered, slices, texts_of
+from .common import append_columns, held_out, numbered, slices, small_batches, texts_of
 
 NGRAMS = (1, 2, 3, 4, 5)
 BITS = 18
@@ -129,7 +128,7 @@ def sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, *more: s
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: dict[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """To the driver come the buckets of the sampled texts, not the texts."""
-    reach_workers(docs.sparkSession)
+    small_batches(docs.sparkSession)
     marks, most = marked(labels, label), most or TRAIN_ROWS
     shares = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
     by = lambda k: marks.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most[k])
