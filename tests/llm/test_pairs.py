@@ -6,10 +6,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from platelume.llm import bpe, common, decontaminate, exact_dedup, queries, sharding, simhash
 
@@ -325,3 +327,25 @@ def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
     monkeypatch.setattr(common, "HASH_BLOCK", 64)
     small = common.Words([raw.encode(), b"two one"], np.array([b != 32 for b in range(256)]))
     assert small.hashes.tolist() == whole.hashes.tolist()
+
+
+def test_stretches_join_small_batches_only():
+    batches = [pa.RecordBatch.from_arrays([pa.array(t, pa.string())], names=["text"]) for t in (["a" * 4, None], ["b" * 4], ["c" * 20], [], ["d" * 3, "e" * 3], ["f" * 6])]
+    got = [b.column(0).to_pylist() for b in common.stretches(batches, 12)]
+    assert sum(got, []) == ["aaaa", None, "bbbb", "c" * 20, "ddd", "eee", "ffffff"]
+    assert got == [["aaaa", None, "bbbb"], ["c" * 20], ["ddd", "eee", "ffffff"]]
+    assert list(common.stretches([], 12)) == []
+
+
+def test_batches_are_bounded_and_lose_no_row(spark):
+    rows = spark.range(3000).select(F.col("id"), F.repeat(F.lit("x"), 9000).alias("text")).coalesce(1)
+    made = common.append_columns(rows, lambda b: {"n": pa.array([b.nbytes] * len(b), pa.int64())}, T.StructType([T.StructField("n", T.LongType())]), ["text"], rows=1 << 30)
+    got = made.agg(F.count("*"), F.sum("id"), F.max("n")).first()
+    assert got[:2] == (3000, 3000 * 2999 // 2) and got[2] < 1.1 * common.BATCH_BYTES
+    assert spark.conf.get(common.BATCH_SETTING) == f"{common.BATCH_BYTES}b"
+    spark.conf.set(common.BATCH_SETTING, "1m")  # a session's own bound stays
+    try:
+        common.small_batches(spark)
+        assert spark.conf.get(common.BATCH_SETTING) in ("1m", "1048576b")
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)
