@@ -9,13 +9,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Paths written by this process and not removed yet, and the tables read from them.
-_PATHS: list[str] = []
+_PATHS: set[str] = set()
 _OF: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: What the innermost written() of this thread has kept so far; other threads have lists of their own.
+_WITHIN: ContextVar[list[str] | None] = ContextVar("within", default=None)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -48,28 +51,51 @@ def keep(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
-    _PATHS.append(path)
+    _PATHS.add(path)
     _OF[made] = path
+    if (own := _WITHIN.get()) is not None:
+        own.append(path)
     return made
 
 
-def _remove(spark: SparkSession, paths: list[str]) -> None:
-    for path in paths:
+def _remove(spark: SparkSession, path: str) -> None:
+    if path in _PATHS:
+        _PATHS.discard(path)
         fs, where = _at(spark, path)
         fs.delete(where, True)
-        _PATHS.remove(path)
 
 
 def drop(*tables: DataFrame | None) -> None:
     """Removes tables that keep() returned and that nothing reads any more; other tables are left alone."""
     for t in tables:
-        if t is not None and _OF.get(t) in _PATHS:
-            _remove(t.sparkSession, [_OF[t]])
+        if t is not None and t in _OF:
+            _remove(t.sparkSession, _OF[t])
+
+
+def _within(make: Callable[[], DataFrame | None], label: str | None) -> DataFrame | None:
+    own: list[str] = []
+    token = _WITHIN.set(own)
+    stays = None
+    try:
+        made = make()
+        if label is not None:
+            made = keep(made, label)
+            stays = _OF[made]
+        return made
+    finally:
+        _WITHIN.reset(token)
+        for path in own:
+            if path != stays:
+                _remove(SparkSession.builder.getOrCreate(), path)
+        if stays is not None and (outer := _WITHIN.get()) is not None:
+            outer.append(stays)
 
 
 def written(make: Callable[[], DataFrame], label: str) -> DataFrame:
-    """make()'s result, kept; the tables that were kept on the way to it are removed."""
-    before = set(_PATHS)
-    made = keep(make(), label)
-    _remove(made.sparkSession, [p for p in _PATHS if p not in before and p != _OF[made]])
-    return made
+    """make()'s result, kept; the tables that this call's thread kept on the way to it are removed."""
+    return _within(make, label)
+
+
+def passing(make: Callable[[], None]) -> None:
+    """Runs make, which needs nothing afterwards of what this call's thread keeps on the way: it is removed."""
+    _within(make, None)

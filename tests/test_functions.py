@@ -3,6 +3,7 @@
 import math
 import os
 import tempfile
+import threading
 
 import numpy as np
 import pytest
@@ -43,6 +44,31 @@ def test_scratch_is_given_back(spark):
     assert not os.path.exists(path) and made.count() == 3
 
 
+def test_scratch_of_threads(spark):
+    """What one thread keeps stays while another gives its own tables back; nested calls hand their result to the outer one."""
+    held, go, done = [], threading.Event(), threading.Event()
+
+    def other():
+        held.append(scratch.keep(spark.range(4), "theirs"))
+        go.set()
+        done.wait(60)
+
+    t = threading.Thread(target=other)
+
+    def make():
+        t.start()
+        go.wait(60)
+        return scratch.written(lambda: scratch.keep(spark.range(3), "deep"), "nested").unionByName(scratch.keep(spark.range(2), "inner"))
+
+    made = scratch.written(make, "outer")
+    done.set()
+    t.join()
+    assert made.count() == 5 and held[0].count() == 4
+    assert not [p for p in scratch._PATHS if any(f"/{n}-" in p for n in ("deep", "nested", "inner"))]
+    scratch.passing(lambda: scratch.drop(scratch.keep(spark.range(2), "gone")))
+    scratch.drop(made, held[0])
+
+
 def test_percentiles(spark):
     rng = np.random.default_rng(4)
     groups = {1: rng.integers(0, 9, 200).astype(float), 2: rng.normal(0, 1, 77), 3: np.array([5.0]), 4: np.array([2.0, 4.0])}
