@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -201,7 +201,7 @@ class _Numbers(dict):
 class Codec:
     """Encodes and decodes texts by a rank file; one to a Python worker, which keeps no words from task to task."""
 
-    _known: dict[tuple[str, str], Codec] = {}
+    _known: dict[tuple[str, ...], Codec] = {}
 
     def __init__(self, path: str, pattern: str):
         self.merges = Merges(read_ranks(path))
@@ -213,10 +213,10 @@ class Codec:
         self.ids, self.size, self.start = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @classmethod
-    def of(cls, path: str, pattern: str) -> Codec:
-        if (path, pattern) not in cls._known:
-            cls._known[path, pattern] = cls(path, pattern)
-        return cls._known[path, pattern]
+    def of(cls, *how: str) -> Codec:
+        if how not in cls._known:
+            cls._known[how] = cls(*how)
+        return cls._known[how]
 
     def words(self, text: str) -> Iterator[list[str]]:
         """The text's words in order, a part at a time."""
@@ -227,10 +227,16 @@ class Codec:
         while part := list(islice(found, PART)):
             yield part
 
+    def replay(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return replay([w.encode() for w in words], self.merges)
+
+    def digest(self, ids: np.ndarray) -> str:
+        return hashlib.sha256(ids.tobytes()).hexdigest()
+
     def learn(self) -> None:
         """Replays the new words."""
         if self.number.new:
-            ids, size = replay([w.encode() for w in self.number.new], self.merges)
+            ids, size = self.replay(self.number.new)
             self.ids, self.size = np.concatenate((self.ids, ids)), np.concatenate((self.size, size))
             self.start = np.cumsum(self.size) - self.size
             self.number.new, self.number.chars = [], 0
@@ -265,19 +271,16 @@ class Codec:
             yield self.merges.flat[spread(self.merges.start[part], self.merges.size[part])].tobytes()
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ids: bool = False, text_stays: bool = True) -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256 (of the ids decoded again), and with ids also token_ids.
-
-    ranks: path of a rank file that every executor has, as the installed vocabularies are.
-    """
+def encode_by(docs: DataFrame, codec_of: Callable[[], Codec], text_col: str, ids: bool, text_stays: bool) -> DataFrame:
+    """docs with what codec_of()'s codec, one to a worker, says of each text."""
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        codec = Codec.of(ranks, pattern)
+        codec = codec_of()
         n, digest, back, all_ids = [], [], [], []
         texts = batch.column(batch.schema.get_field_index(text_col))
         for coded in codec.encode(t.as_py() or "" for t in texts):  # a text at a time is a Python object
             n.append(len(coded))
-            digest.append(hashlib.sha256(coded.tobytes()).hexdigest())
+            digest.append(codec.digest(coded))
             again = hashlib.sha256()
             for part in codec.decode(coded):
                 again.update(part)
@@ -290,7 +293,15 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", id
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     fields += [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] * ids
     # the more words are replayed together, the less a replay costs: a stretch is bounded by its bytes alone
-    return append_columns(docs, make, T.StructType(fields), [] if text_stays else [text_col], rows=1 << 30, size=STRETCH, end=lambda: Codec.of(ranks, pattern).forget())
+    return append_columns(docs, make, T.StructType(fields), [] if text_stays else [text_col], rows=1 << 30, size=STRETCH, end=lambda: codec_of().forget())
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ids: bool = False, text_stays: bool = True) -> DataFrame:
+    """docs with n_tokens, ids_sha256 and decoded_sha256 (of the ids decoded again), and with ids also token_ids.
+
+    ranks: path of a rank file that every executor has, as the installed vocabularies are.
+    """
+    return encode_by(docs, lambda: Codec.of(ranks, pattern), text_col, ids, text_stays)
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:

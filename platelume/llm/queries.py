@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, language, quality, sharding, simhash, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, html_text, language, pieces, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -60,7 +60,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, text_stays=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_exact_dedup, op3_toxicity, op4_language, op5_quality, op6_jump_shards, op7_chat_format, op8_decontaminate, op9_byte_bpe, op10_simhash)}
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), text_stays=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_exact_dedup, op3_toxicity, op4_language, op5_quality, op6_jump_shards, op7_chat_format, op8_decontaminate, op9_byte_bpe, op10_simhash, op13_pieces)}
 
 ORACLE = {
     "op2_exact_dedup": """
