@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, language, pieces, quality, sharding, simhash, toxicity
+from . import bpe, chat, codes, decontaminate, exact_dedup, html_text, language, pieces, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -60,14 +60,42 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, text_stays=False)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return codes.fit(rows)[0].drop("label")
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), text_stays=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_exact_dedup, op3_toxicity, op4_language, op5_quality, op6_jump_shards, op7_chat_format, op8_decontaminate, op9_byte_bpe, op10_simhash, op13_pieces)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_exact_dedup, op3_toxicity, op4_language, op5_quality, op6_jump_shards, op7_chat_format, op8_decontaminate, op9_byte_bpe, op10_simhash, op12_vector_codes, op13_pieces)}
+
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Every part against every entry, for each round and once more; parts of four components."""
+    xs = ("x1", "x2", "x3", "x4")
+    gap = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in xs)
+    steps = ["""kept AS (
+            SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
+        "parts AS MATERIALIZED (SELECT r, p, " + ", ".join(f"v[4 * p + {j + 1}] AS {x}" for j, x in enumerate(xs)) + " FROM kept CROSS JOIN range(16) t(p))",
+        "book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x1, x2, x3, x4 FROM parts WHERE r <= 64)"]
+    for n in range(rounds + 1):
+        steps.append(f"near{n} AS MATERIALIZED (SELECT a.r, a.p, min(({gap}) * 64 + b.e) AS k FROM parts a JOIN book{n} b USING (p) GROUP BY a.r, a.p)")
+        if n < rounds:
+            mean = ", ".join(f"coalesce(s.{x}, b.{x}) AS {x}" for x in xs)
+            sums = ", ".join(f"CAST(floor(sum({x}) / count(*)) AS BIGINT) AS {x}" for x in xs)
+            steps.append(f"book{n + 1} AS MATERIALIZED (SELECT b.p, b.e, {mean} FROM book{n} b LEFT JOIN (SELECT p, k % 64 AS e, {sums} FROM near{n} JOIN parts USING (r, p) GROUP BY ALL) s USING (p, e))")
+    steps.append(f"coded AS (SELECT r, string_agg(printf('%02x', k % 64), '' ORDER BY p) AS code, CAST(sum(k // 64) AS BIGINT) AS error FROM near{rounds} GROUP BY r)")
+    digest = f"(SELECT sha256(string_agg(concat_ws(',', x1, x2, x3, x4), ',' ORDER BY p, e)) FROM book{rounds})"
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, {digest} AS codebooks_sha256 FROM kept JOIN coded USING (r)"
+
 
 ORACLE = {
+    "op12_vector_codes": _codes_sql(),
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
