@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, codes, decontaminate, exact_dedup, html_text, language, pieces, quality, sharding, simhash, toxicity
+from . import bpe, chat, codes, decontaminate, exact_dedup, html_text, language, pieces, quality, sharding, simhash, toxicity, trie
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, text_stays=False)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     return codes.fit(rows)[0].drop("label")
@@ -70,7 +74,7 @@ def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), text_stays=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_exact_dedup, op3_toxicity, op4_language, op5_quality, op6_jump_shards, op7_chat_format, op8_decontaminate, op9_byte_bpe, op10_simhash, op12_vector_codes, op13_pieces)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_exact_dedup, op3_toxicity, op4_language, op5_quality, op6_jump_shards, op7_chat_format, op8_decontaminate, op9_byte_bpe, op10_simhash, op11_prefix_trie, op12_vector_codes, op13_pieces)}
 
 
 
@@ -95,6 +99,33 @@ def _codes_sql(rounds: int = 2) -> str:
 
 
 ORACLE = {
+    # each rebuilt conversation as a list of turns, each prefix as a list; a node's ancestors are the prefixes of its least member
+    "op11_prefix_trie": """
+        WITH crc_table AS (SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+        own AS (
+            SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        heads AS (
+            SELECT conv_id, s, conv_id - conv_id % 5 AS base,
+                   xor(list_reduce([ascii(c) for c in string_split(CAST(conv_id AS VARCHAR), '')], lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8), CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h
+            FROM own CROSS JOIN crc_table),
+        rebuilt AS (SELECT a.conv_id AS c, list_concat(coalesce(b.s[1:a.h], []), a.s[a.h + 1:]) AS s FROM heads a LEFT JOIN own b ON b.conv_id = a.base),
+        members AS MATERIALIZED (SELECT c, d, s[1:d] AS p, len(s) AS n FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM rebuilt)),
+        nodes AS MATERIALIZED (
+            SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '') AS ends,
+                   CASE WHEN d > 0 THEN (count(*) - 1) * octet_length(encode(p[d].text)) ELSE 0 END AS saved
+            FROM members GROUP BY d, p),
+        node_of AS MATERIALIZED (SELECT c, m.d, conv_id FROM members m JOIN nodes USING (d, p)),
+        linked AS MATERIALIZED (SELECT nodes.*, u.conv_id AS parent FROM nodes LEFT JOIN node_of u ON u.c = nodes.conv_id AND u.d = nodes.d - 1),
+        children AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS n FROM linked WHERE parent IS NOT NULL GROUP BY ALL),
+        sums AS (
+            SELECT o.conv_id, o.d, count(*) FILTER (children.n IS NULL) AS n_leaves, sum(u.saved) AS saved
+            FROM linked u LEFT JOIN children USING (conv_id, d) JOIN node_of o ON o.c = u.conv_id AND o.d <= u.d GROUP BY ALL)
+        SELECT l.conv_id, l.d AS depth, parent AS parent_conv_id, n_convs, coalesce(children.n, 0) AS n_children, n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256,
+               CASE WHEN l.d = 0 THEN NULL WHEN l.d <= b.n THEN base ELSE l.conv_id END AS source_conv_id,
+               CASE WHEN l.d = 0 THEN NULL WHEN l.d <= b.n THEN l.d ELSE l.d - b.n + h END AS source_turn
+        FROM linked l LEFT JOIN children USING (conv_id, d) JOIN sums USING (conv_id, d)
+        JOIN (SELECT a.conv_id, a.base, a.h, least(a.h, coalesce(len(b.s), 0)) AS n FROM heads a LEFT JOIN own b ON b.conv_id = a.base) b ON b.conv_id = l.conv_id""",
     "op12_vector_codes": _codes_sql(),
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
