@@ -1,72 +1,16 @@
-"""Components of pixels: labelled in tiles by numpy, joined over tile borders by star contraction in Spark."""
+"""Components of pixels, by way of their runs."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from . import contract
-from .scratch import keep
+from . import runs
 
-TILE = 512
 
-
-def label_pixels(y: np.ndarray, x: np.ndarray, connectivity: int) -> np.ndarray:
-    """For each pixel the place of its component's first pixel in raster order. Pixels must be in raster order and distinct."""
-    n, wide = len(y), np.int64(1) << 32
-    key = y.astype(np.int64) * wide + x
-    a, b = [], []
-    for dy, dx in ((0, 1), (1, 0), *(((1, 1), (1, -1)) if connectivity == 8 else ())):
-        at = np.searchsorted(key, key + dy * wide + dx)
-        ok = (at < n) & (key[np.minimum(at, n - 1)] == key + dy * wide + dx)
-        a.append(np.flatnonzero(ok))
-        b.append(at[ok])
-    a, b, up = np.concatenate(a), np.concatenate(b), np.arange(n)
-    while True:
-        ra, rb = up[a], up[b]
-        differ = ra != rb
-        if not differ.any():
-            return up
-        np.minimum.at(up, np.maximum(ra, rb)[differ], np.minimum(ra, rb)[differ])
-        while (up[up] != up).any():
-            up = up[up]
-
-
-def components(mask: DataFrame, connectivity: int = 8, tile: int = TILE, frame: DataFrame | None = None) -> DataFrame:
+def components(mask: DataFrame, connectivity: int = 8, tile: int = runs.TILE) -> DataFrame:
     """mask (image_id, .., y, x) -> with first: a struct (y, x) of its component's first pixel in raster order.
 
-    frame (image_id, height, width), where the caller has it, tells whether any image is larger than a tile without a look at the mask.
-
     Columns besides image_id, y and x are taken as part of what separates masks (such as a class or a mask key).
     """
-    if connectivity not in (4, 8):
-        raise ValueError("connectivity is 4 or 8")
-    key = [c for c in mask.columns if c not in ("y", "x")]
-    own = mask.select(*key, "y", "x").distinct()
-    types = {f.name: f.dataType.simpleString() for f in mask.schema.fields}
-    own = own.withColumns({"ty": F.floor(F.col("y") / tile).cast("int"), "tx": F.floor(F.col("x") / tile).cast("int")})
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"], ignore_index=True)
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        root = label_pixels(y, x, connectivity)
-        return pdf.assign(fy=y[root], fx=x[root])
-
-    schema = ", ".join(f"`{c}` {types[c]}" for c in key) + ", y int, x int, ty int, tx int, fy int, fx int"
-    local = own.groupBy(*key, "ty", "tx").applyInPandas(run, schema)
-    size = frame.agg(F.max(F.greatest("height", "width"))).first()[0] if frame is not None else (mask.agg(F.max(F.greatest("y", "x"))).first()[0] or 0) + 1
-    if size is not None and size > tile:
-        local = keep(local, "tiles")
-        edge = lambda c: (F.col(c) % tile == 0) | (F.col(c) % tile == tile - 1)
-        rim = local.filter(edge("y") | edge("x"))
-        steps = [(0, 1), (1, 0), *(((1, 1), (1, -1)) if connectivity == 8 else ())]
-        to = rim.select("*", F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps])).alias("s"))
-        to = to.select(*key, F.struct("fy", "fx").alias("fa"), (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.col("ty").alias("ty0"), F.col("tx").alias("tx0"))
-        pairs = to.join(rim.select(*key, "y", "x", "ty", "tx", F.struct("fy", "fx").alias("fb")), [*key, "y", "x"]).filter("ty <> ty0 OR tx <> tx0")
-        node = lambda f: F.struct(*[F.col(k) for k in key], F.col(f).alias("f"))
-        found = contract.components(pairs.select(node("fa").alias("a"), node("fb").alias("b")))
-        merged = found.select(*[F.col(f"node.{k}").alias(k) for k in key], F.col("node.f.fy").alias("fy"), F.col("node.f.fx").alias("fx"), F.col("root.f").alias("g"))
-        local = local.join(merged, [*key, "fy", "fx"], "left").withColumns({"fy": F.coalesce("g.fy", "fy"), "fx": F.coalesce("g.fx", "fx")}).drop("g")
-    return local.select(*key, "y", "x", F.struct(F.col("fy").alias("y"), F.col("fx").alias("x")).alias("first"))
+    found = runs.decode(runs.components(runs.encode(mask), connectivity, tile))
+    return found.select(*runs.keys(mask), "y", "x", "first")

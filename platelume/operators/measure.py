@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import runs
 from ..functions.neighbours import frame_of
 from ..sources.files import channel_name
 from .intensity import z_project
@@ -51,29 +50,13 @@ def particle_stats(lab: DataFrame, pl: DataFrame) -> DataFrame:
     )
 
 
-def _neighbours(lab: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """lab's pixels with n4 and n8: how many of their offsets hold a border pixel of the same label, by side or corner."""
-    key = _label_key(lab)
-    to = lab.select(*key, "y", "x", F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in offsets])).alias("s"))
-    return to.select(*key, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.abs(F.col("s.dy") * F.col("s.dx")).alias("corner"))
-
-
-SIDES = [(-1, 0), (1, 0), (0, -1), (0, 1)]
-CORNERS = [(-1, -1), (-1, 1), (1, -1), (1, 1)]
 #: What a border pixel adds to the perimeter, by 1 + 2 * border neighbours at its sides + 10 * at its corners.
 PERIMETER = {5: 1.0, 7: 1.0, 15: 1.0, 17: 1.0, 25: 1.0, 27: 1.0, 21: math.sqrt(2), 33: math.sqrt(2), 13: (1 + math.sqrt(2)) / 2, 23: (1 + math.sqrt(2)) / 2}
 
 
 def particle_perimeter(lab: DataFrame) -> DataFrame:
     """(.., label, perimeter_px), from the border pixels (those with a side outside the label) and how they adjoin."""
-    key = _label_key(lab)
-    held = lab.select(*key, "y", "x").distinct()
-    inner = _neighbours(held, SIDES).groupBy(*key, "y", "x").agg(F.count("*").alias("n")).filter("n = 4")
-    border = held.join(inner, [*key, "y", "x"], "left_anti")
-    near = _neighbours(border, SIDES + CORNERS).groupBy(*key, "y", "x").agg(F.sum(F.when(F.col("corner") == 0, 2).otherwise(10)).alias("code"))
-    code = F.coalesce("code", F.lit(0)) + 1
-    coded = border.join(near, [*key, "y", "x"], "left").withColumn("worth", F.coalesce(F.get(F.array(*[F.lit(PERIMETER.get(i, 0.0)) for i in range(50)]), code.cast("int")), F.lit(0.0)))
-    return coded.groupBy(*key).agg(F.sum("worth").alias("perimeter_px"))
+    return runs.perimeters(runs.encode(lab), PERIMETER).withColumnRenamed("perimeter", "perimeter_px")
 
 
 def particle_circularity(stats: DataFrame) -> DataFrame:
@@ -94,38 +77,9 @@ def particle_eccentricity(lab: DataFrame) -> DataFrame:
     return m.select(*key, F.when(l1 <= 0, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), 1 - l2 / l1))).alias("eccentricity"))
 
 
-def hull_pixels(y: np.ndarray, x: np.ndarray) -> int:
-    """Pixels whose centre lies in the convex hull of the pixels' edge midpoints (y, x being each line's extreme pixels)."""
-    pts = np.unique(np.concatenate([np.stack((y + dy, x + dx), axis=1) for dy, dx in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5))]), axis=0).tolist()
-
-    def chain(points: list) -> list:
-        out: list = []
-        for p in points:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    hull = chain(pts) + chain(pts[::-1])
-    gy, gx = np.mgrid[y.min() : y.max() + 1, x.min() : x.max() + 1]
-    inside = np.ones(gy.shape, bool)
-    for (y1, x1), (y2, x2) in zip(hull, hull[1:] + hull[:1], strict=True):
-        inside &= (y2 - y1) * (gx - x1) - (x2 - x1) * (gy - y1) >= -1e-9
-    return int(inside.sum())
-
-
 def particle_solidity(lab: DataFrame) -> DataFrame:
-    """(.., label, solidity): area over the pixel area of the convex hull. Only each line's extremes go to the hull (Andrew 1979)."""
-    key = _label_key(lab)
-    types = {f.name: f.dataType.simpleString() for f in lab.schema.fields}
-    ends = lab.groupBy(*key, "y").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("n"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.concatenate((pdf["y"], pdf["y"]))
-        x = np.concatenate((pdf["a"], pdf["b"]))
-        return pdf[key].head(1).assign(solidity=float(pdf["n"].sum()) / hull_pixels(y, x))
-
-    return ends.groupBy(*key).applyInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in key) + ", solidity double")
+    """(.., label, solidity): area over the pixel area of the convex hull."""
+    return runs.hull_areas(runs.encode(lab)).withColumn("solidity", F.col("area") / F.col("hull")).drop("area", "hull")
 
 
 def particle_filter(stats: DataFrame, min_size_um2: float = 0.5, max_size_um2: float = 5000.0, min_circularity: float = 0.0) -> DataFrame:

@@ -6,14 +6,12 @@ pixels that are set. Ties are in raster order throughout.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.graph import components, label_pixels
+from ..functions import forest, runs
 from ..functions.neighbours import frame_of, frame_pixels
 from ..functions.scratch import drop, keep
 from .intensity import gaussian_blur, z_project
@@ -38,7 +36,8 @@ def histogram(pl: DataFrame) -> DataFrame:
 def _windows() -> tuple:
     """Bins up to and with this one, bins after it, and all bins of a plane."""
     whole = Window.partitionBy("image_id", "channel")
-    return whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), whole.orderBy("bin").rowsBetween(1, Window.unboundedFollowing), whole
+    # a frame that grows from the last bin on takes one step a bin; one that reaches to the end takes one for each bin after it
+    return whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), whole.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1), whole
 
 
 def _best(scored: DataFrame, score: Column, centre: Column | None = None) -> DataFrame:
@@ -155,29 +154,28 @@ def auto_threshold(px: DataFrame, channel: int | None = None, method: str = "ots
 
 def remove_small_objects(mask: DataFrame, max_size: int) -> DataFrame:
     """mask without the 4-connected objects of max_size pixels or fewer."""
-    key = [c for c in mask.columns if c not in ("y", "x")]
-    lab = components(mask, 4)
-    large = lab.groupBy(*key, "first").count().filter(F.col("count") > max_size)
-    return lab.join(large, [*key, "first"], "left_semi").select(*mask.columns)
+    key = runs.keys(mask)
+    lab = runs.components(runs.encode(mask), 4)
+    large = lab.groupBy(*key, "first").agg(F.sum(F.col("b") - F.col("a") + 1).alias("n")).filter(F.col("n") > max_size)
+    return runs.decode(lab.join(large, [*key, "first"], "left_semi")).select(*mask.columns)
 
 
 def connected_components(mask: DataFrame, connectivity: int = 8) -> DataFrame:
     """mask with label: 1..n in each image, in raster order of the objects' first pixels."""
-    key = [c for c in mask.columns if c not in ("y", "x")]
-    lab = components(mask, connectivity)
-    number = lab.select(*key, "first").distinct().withColumn("label", F.row_number().over(Window.partitionBy(*key).orderBy("first")))
-    return lab.join(number, [*key, "first"]).select(*mask.columns, "label")
+    lab = runs.components(runs.encode(mask), connectivity)
+    numbered = lab.withColumn("label", F.dense_rank().over(Window.partitionBy(*runs.keys(mask)).orderBy("first")))
+    return runs.decode(numbered).select(*mask.columns, "label")
 
 
 def fill_holes(mask: DataFrame, frame: DataFrame) -> DataFrame:
     """mask with the background that is not 4-connected to the frame's edge."""
-    key = [c for c in mask.columns if c not in ("y", "x")]
-    every = mask.select(*key).distinct().join(frame, "image_id")
-    rows = every.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-    out = components(rows.select(*mask.columns).join(mask, mask.columns, "left_anti"), 4).join(frame, "image_id")
-    edge = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x") == F.col("width") - 1)
-    open_ = out.filter(edge).select(*key, "first").distinct()
-    return mask.unionByName(out.join(open_, [*key, "first"], "left_anti").select(*mask.columns))
+    key = runs.keys(mask)
+    own = keep(runs.encode(mask), "runs")
+    out = runs.components(runs.gaps(own, frame), 4).join(frame, "image_id")
+    edge = (F.col("y") == 0) | (F.col("a") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("b") == F.col("width") - 1)
+    open_ = out.groupBy(*key, "first").agg(F.max(edge).alias("open")).filter("open").drop("open")
+    filled = out.join(open_, [*key, "first"], "left_anti").select(*own.columns)
+    return runs.decode(own.unionByName(filled)).select(*mask.columns)
 
 
 def envelope(g: np.ndarray) -> np.ndarray:
@@ -231,98 +229,25 @@ def distance_transform(mask: DataFrame, frame: DataFrame) -> DataFrame:
     return mask.join(found, [*key, "y", "x"]).withColumn("d2", F.when(~F.isnan("d2"), F.col("d2")).cast("long"))
 
 
-def peaks_of(y: np.ndarray, x: np.ndarray, d2: np.ndarray, min_distance: int, height: int, width: int) -> np.ndarray:
-    """Places of one object's distance peaks: highest in the square of min_distance around them, not that near the frame's edge, and,
-    from the highest down (raster order among equals), that far from those taken before."""
-    top, left = y.min() - min_distance, x.min() - min_distance
-    box = np.zeros((y.max() - top + min_distance + 1, x.max() - left + min_distance + 1))
-    box[y - top, x - left] = d2
-    high = box.copy()
-    for axis in (0, 1):
-        base = high
-        high = base.copy()
-        for s in range(1, min_distance + 1):
-            a, b = [slice(None)] * 2, [slice(None)] * 2
-            a[axis], b[axis] = slice(s, None), slice(None, -s)
-            high[tuple(a)] = np.maximum(high[tuple(a)], base[tuple(b)])
-            high[tuple(b)] = np.maximum(high[tuple(b)], base[tuple(a)])
-    edge = min_distance
-    ok = (d2 > 0) & (d2 == high[y - top, x - left]) & (y >= edge) & (x >= edge) & (y < height - edge) & (x < width - edge)
-    at = np.flatnonzero(ok)
-    at = at[np.lexsort((x[at], y[at], -d2[at]))]
-    # a cell as wide as the spacing holds one peak at most, and only those in the cells around it can be too near
-    taken: list[int] = []
-    cells: dict[tuple[int, int], int] = {}
-    side = min_distance + 1
-    for i in at.tolist():
-        a, b = int(y[i]) // side, int(x[i]) // side
-        near = [cells[c] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (c := (a + dy, b + dx)) in cells]
-        if all(max(abs(y[i] - y[j]), abs(x[i] - x[j])) > min_distance for j in near):
-            taken.append(i)
-            cells[a, b] = i
-    return np.array(taken, np.int64)
-
-
-def flood(y: np.ndarray, x: np.ndarray, d2: np.ndarray, markers: np.ndarray) -> np.ndarray:
-    """Priority flood (Meyer 1994) of one object from its markers, 4-connected, farthest from the background first; equals in order of arrival."""
-    at = {(int(a), int(b)): i for i, (a, b) in enumerate(zip(y, x, strict=True))}
-    label = markers.copy()
-    order = 0
-    queue = []
-    for i in np.flatnonzero(markers).tolist():
-        heapq.heappush(queue, (-d2[i], order, i))
-        order += 1
-    while queue:
-        _, _, i = heapq.heappop(queue)
-        for dy, dx in ((-1, 0), (0, -1), (0, 1), (1, 0)):
-            j = at.get((int(y[i]) + dy, int(x[i]) + dx))
-            if j is not None and not label[j]:
-                label[j] = label[i]
-                heapq.heappush(queue, (-d2[j], order, j))
-                order += 1
-    return label
-
-
-def _by_object(mask: DataFrame, frame: DataFrame, min_distance: int, whole: bool) -> DataFrame:
-    """(.., y, x, seed) per pixel of a part, or per peak: work goes object by object, as no flood leaves one."""
-    key = [c for c in mask.columns if c not in ("y", "x")]
-    types = {f.name: f.dataType.simpleString() for f in mask.schema.fields}
-    mask = keep(mask)  # read for its objects, its background and its pixels
-    lab = components(mask, 4)
-    rows = distance_transform(mask, frame).join(lab, [*key, "y", "x"]).join(frame, "image_id")
-    rows = rows.select(*key, "y", "x", F.coalesce("d2", F.lit(0)).alias("d2"), F.col("first.y").alias("fy"), F.col("first.x").alias("fx"), "height", "width")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"], ignore_index=True)
-        y, x, d2 = (pdf[c].to_numpy() for c in ("y", "x", "d2"))
-        at = peaks_of(y, x, d2, min_distance, int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0]))
-        marks = np.zeros(len(y), np.int64)
-        marks[at] = at + 1
-        if whole:
-            # neighbouring peaks are one marker
-            at = np.sort(at)
-            if len(at):
-                marks[at] = at[label_pixels(y[at], x[at], 4)] + 1
-            marks = flood(y, x, d2, marks)
-        out = pdf.loc[marks > 0, [*key, "y", "x"]].copy()
-        out["sy"], out["sx"], out["d2"] = y[marks[marks > 0] - 1], x[marks[marks > 0] - 1], d2[marks > 0]
-        return out
-
-    schema = ", ".join(f"`{c}` {types[c]}" for c in key) + ", y int, x int, sy int, sx int, d2 long"
-    return rows.groupBy(*key, "fy", "fx").applyInPandas(run, schema)
-
-
 def local_peaks(mask: DataFrame, frame: DataFrame, min_distance: int = 5) -> DataFrame:
-    """mask's distance peaks with their d2."""
-    return _by_object(mask, frame, min_distance, False).drop("sy", "sx")
+    """mask's distance peaks with their d2: see forest.peaks."""
+    return forest.peaks(distance_transform(mask, frame).filter("d2 IS NOT NULL"), frame, min_distance)
 
 
-def watershed_split(mask: DataFrame, frame: DataFrame, min_distance: int = 5) -> DataFrame:
-    """mask with label: touching objects are split at their distance peaks; objects without a peak are left out. Labels 1..n in raster order of their seeds."""
-    key = [c for c in mask.columns if c not in ("y", "x")]
-    parts = _by_object(mask, frame, min_distance, True)
-    number = parts.select(*key, "sy", "sx").distinct().withColumn("label", F.row_number().over(Window.partitionBy(*key).orderBy("sy", "sx")))
-    return parts.join(number, [*key, "sy", "sx"]).select(*mask.columns, "label")
+def watershed_split(mask: DataFrame, frame: DataFrame, min_distance: int = 5, tile: int = forest.TILE) -> DataFrame:
+    """mask with label: touching objects are split at their distance peaks; objects without a peak are left out. Labels 1..n in raster order of their peaks.
+
+    Neighbouring peaks (by side) are one. Each pixel goes with the peak of its tree in the forest of the best edges, see forest.flood.
+    """
+    key = runs.keys(mask)
+    heights = keep(distance_transform(mask, frame).withColumn("d2", F.coalesce("d2", F.lit(0).cast("long"))), "heights")
+    found = runs.encode(forest.peaks(heights, frame, min_distance, tile).drop("d2"))
+    seeds = runs.components(found, 4)
+    at = F.col("first.y").cast("long") * (1 << 32) + F.col("first.x")
+    marks = runs.decode(seeds.withColumn("mark", at)).select(*key, "y", "x", "mark")
+    parts = forest.flood(heights.join(marks, [*key, "y", "x"], "left").select(*key, "y", "x", "d2", "mark"), tile)
+    number = seeds.withColumn("mark", at).select(*key, "mark").distinct().withColumn("label", F.row_number().over(Window.partitionBy(*key).orderBy("mark")))
+    return parts.join(number, [*key, "mark"]).select(*mask.columns, "label")
 
 
 # ---- regions ---------------------------------------------------------------------------------
@@ -430,20 +355,10 @@ def class_masks(classes: DataFrame, n: int = 3) -> DataFrame:
 
 
 def dilate_mask(lab: DataFrame, um: float, images: DataFrame, frame: DataFrame) -> DataFrame:
-    """lab (image_id, label, y, x), each label grown by um in steps to the four neighbours; labels may overlap afterwards.
-
-    Each pixel gives one run a line, and a line's runs are united before they are laid out, so no pixel of a label comes out twice.
-    """
-    key = [c for c in lab.columns if c not in ("y", "x")]
+    """lab (image_id, label, y, x), each label grown by um in steps to the four neighbours; labels may overlap afterwards, and no pixel of a label comes out twice."""
     px = F.bround(F.lit(float(um)) / F.col("pixel_size_um"), 0).cast("int")
-    own = lab.join(images.select("image_id", px.alias("n")), "image_id").join(frame, "image_id")
-    # a column's reach along x shrinks by one a line
-    rows = own.select(*key, "y", "x", "n", "height", "width", F.explode(F.sequence(-F.col("n"), F.col("n"))).alias("dy"))
-    rows = rows.select(*key, (F.col("y") + F.col("dy")).alias("y"), "height", F.greatest(F.lit(0), F.col("x") - F.col("n") + F.abs("dy")).alias("a"), F.least(F.col("width") - 1, F.col("x") + F.col("n") - F.abs("dy")).alias("b"))
-    rows = rows.filter("y >= 0 AND y < height AND a <= b").distinct()
-    before = F.max("b").over(Window.partitionBy(*key, "y").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
-    free = rows.withColumn("done", before).withColumn("a", F.greatest(F.col("a"), F.coalesce(F.col("done") + 1, F.col("a")))).filter("a <= b")
-    return free.select(*key, F.col("y").cast("int").alias("y"), F.explode(F.sequence("a", "b")).alias("x")).select(*lab.columns)
+    own = runs.encode(lab).join(images.select("image_id", px.alias("n")), "image_id")
+    return runs.decode(runs.dilate(own, frame)).select(*lab.columns)
 
 
 def mask_coverage(mask: DataFrame, frame: DataFrame) -> DataFrame:

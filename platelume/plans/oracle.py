@@ -190,6 +190,44 @@ PARTS["hull"] = (
       FROM (SELECT DISTINCT image_id, label, y FROM lab) k JOIN rim p ON p.image_id=k.image_id AND p.label=k.label AND p.py<=k.y JOIN rim q ON q.image_id=k.image_id AND q.label=k.label AND q.py>=k.y GROUP BY ALL""",
 )
 
+PARTS["dist"] = (
+    "m, frame",
+    f"""SELECT a.image_id, a.y, a.x, CAST(min((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) AS BIGINT) AS d2 FROM m a
+      JOIN (SELECT image_id, y, x FROM frame CROSS JOIN {_range(SIDE, "y")} CROSS JOIN {_range(SIDE, "x")} ANTI JOIN m USING (image_id, y, x)) b USING (image_id) GROUP BY ALL""",
+)
+#: Peaks are at least this far apart: from the highest down, those that are near none of the peaks already taken.
+SPACING = 3
+PARTS["cand"] = (
+    "dist",
+    f"""SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY d2 DESC, y, x) AS k FROM dist a WHERE y>={SPACING} AND x>={SPACING} AND y<{SIDE - SPACING} AND x<{SIDE - SPACING}
+      AND NOT EXISTS (SELECT 1 FROM dist b WHERE b.image_id=a.image_id AND b.d2>a.d2 AND abs(b.y-a.y)<={SPACING} AND abs(b.x-a.x)<={SPACING})""",
+)
+PARTS["greedy"] = (
+    "cand",
+    f"""SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(y INT, x INT)[]) AS taken FROM cand UNION ALL
+      SELECT g.image_id, c.k, CASE WHEN len([t for t in taken if abs(t.y-c.y)<{SPACING} AND abs(t.x-c.x)<{SPACING}])=0 THEN list_append(taken, {{'y': c.y, 'x': c.x}}) ELSE taken END
+      FROM greedy g JOIN cand c ON c.image_id=g.image_id AND c.k=g.k+1""",
+)
+PARTS["peaks"] = ("greedy, dist", "SELECT image_id, y, x, d2 FROM (SELECT image_id, t.y AS y, t.x AS x FROM (SELECT image_id, unnest(arg_max(taken, k)) AS t FROM greedy GROUP BY 1)) JOIN dist USING (image_id, y, x)")
+# an edge at a time, best first: part[i] is the part of an image's i-th pixel, less than 0 where it has a peak
+PARTS["nodes"] = (
+    "dist, peaks",
+    """SELECT d.*, row_number() OVER (PARTITION BY d.image_id ORDER BY d.y, d.x) AS i, p.n FROM dist d
+      LEFT JOIN (SELECT image_id, y, x, row_number() OVER (PARTITION BY image_id ORDER BY y, x) AS n FROM peaks) p USING (image_id, y, x)""",
+)
+PARTS["edges"] = (
+    "nodes",
+    """SELECT a.image_id, a.i AS i, b.i AS j, row_number() OVER (PARTITION BY a.image_id ORDER BY least(a.d2, b.d2) DESC, greatest(a.d2, b.d2) DESC, a.y, a.x, b.y) AS k
+      FROM nodes a JOIN nodes b ON a.image_id=b.image_id AND ((b.y=a.y AND b.x=a.x+1) OR (b.y=a.y+1 AND b.x=a.x))""",
+)
+PARTS["forest"] = (
+    "edges, nodes",
+    """SELECT image_id, CAST(0 AS BIGINT) AS k, list(coalesce(-n, i) ORDER BY i) AS part FROM nodes GROUP BY 1 UNION ALL
+      SELECT f.image_id, e.k, CASE WHEN part[i]=part[j] OR (part[i]<0 AND part[j]<0) THEN part
+        ELSE [CASE WHEN c=(CASE WHEN part[i]<0 THEN part[j] ELSE part[i] END) THEN (CASE WHEN part[i]<0 THEN part[i] ELSE part[j] END) ELSE c END for c in part] END
+      FROM forest f JOIN edges e ON e.image_id=f.image_id AND e.k=f.k+1""",
+)
+
 # Li's fixed point: a round a row, from the mean, over each plane's distinct values less its lowest
 PARTS["vals"] = ("plane, rng", "SELECT image_id, channel, value-lo AS v, CAST(count(*) AS DOUBLE) AS n FROM plane JOIN rng USING (image_id, channel) GROUP BY ALL")
 PARTS["tols"] = ("vals", "SELECT image_id, channel, coalesce(min(gap)/2, 0) AS tol, sum(v*n)/sum(n) AS mean FROM (SELECT *, v-lag(v) OVER (PARTITION BY image_id, channel ORDER BY v) AS gap FROM vals) GROUP BY ALL")

@@ -14,7 +14,7 @@ from ..operators import intensity, measure, plate, segment
 from ..sources import files, fixtures, results
 from ..sources.bitmaps import write_bitmaps
 from . import jobs
-from .oracle import DOWN, MOSAIC, STRIDE, sql
+from .oracle import DOWN, MOSAIC, SPACING, STRIDE, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -478,19 +478,19 @@ def mosaic_components(spark, d):
     return segment.connected_components(_mosaic(_mask(spark, d)), 8)
 
 
-@query(sql("m, frame", "SELECT a.image_id, a.y, a.x, CAST(min((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) AS BIGINT) AS d2 FROM m a JOIN (SELECT image_id, y, x FROM frame CROSS JOIN (SELECT CAST(range AS INT) AS y FROM range(32)) CROSS JOIN (SELECT CAST(range AS INT) AS x FROM range(32)) ANTI JOIN m USING (image_id, y, x)) b USING (image_id) GROUP BY ALL"))
+@query(sql("dist", "SELECT * FROM dist"))
 def distance_transform(spark, d):
     return segment.distance_transform(_mask(spark, d), frame_of(fixtures.pixels(spark, d)))
 
 
-@query()
+@query(sql("peaks", "SELECT * FROM peaks"))
 def local_peaks(spark, d):
-    return segment.local_peaks(_mask(spark, d), frame_of(fixtures.pixels(spark, d)), 3)
+    return segment.local_peaks(_mask(spark, d), frame_of(fixtures.pixels(spark, d)), SPACING)
 
 
-@query()
+@query(sql("forest, nodes", "SELECT image_id, y, x, CAST(-part[i] AS INT) AS label FROM (SELECT image_id, arg_max(part, k) AS part FROM forest GROUP BY 1) JOIN nodes USING (image_id) WHERE part[i]<0"))
 def watershed_split(spark, d):
-    return segment.watershed_split(_mask(spark, d), frame_of(fixtures.pixels(spark, d)), 3)
+    return segment.watershed_split(_mask(spark, d), frame_of(fixtures.pixels(spark, d)), SPACING)
 
 
 @query(sql("filled", "SELECT * FROM filled"))

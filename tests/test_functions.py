@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from platelume.functions import contract, graph, scratch
+from platelume.functions import contract, graph, runs, scratch
 from platelume.operators import intensity, segment
 from platelume.plans import queries
 from platelume.sources import bitmaps, results
@@ -88,22 +88,6 @@ def test_envelope():
             assert np.array_equal(segment.envelope(g), np.array(want), equal_nan=True)
 
 
-def test_peaks():
-    """Greedy spacing with cells against all pairs."""
-    rng = np.random.default_rng(8)
-    for d in (1, 2, 4):
-        y, x = (a.ravel() for a in np.mgrid[0:20, 0:23])
-        d2 = rng.integers(1, 6, len(y))
-        box = np.pad(d2.reshape(20, 23), d, constant_values=0)
-        high = np.array([box[a : a + 2 * d + 1, b : b + 2 * d + 1].max() for a, b in zip(y, x, strict=True)])
-        ok = (d2 == high) & (y >= d) & (x >= d) & (y < 20 - d) & (x < 23 - d)
-        taken = []
-        for i in sorted(np.flatnonzero(ok), key=lambda i: (-d2[i], y[i], x[i])):
-            if all(max(abs(y[i] - y[j]), abs(x[i] - x[j])) > d for j in taken):
-                taken.append(i)
-        assert segment.peaks_of(y, x, d2, d, 20, 23).tolist() == taken
-
-
 def test_polygons(spark):
     """Random polygons, crossing themselves too, against the even-odd rule pixel by pixel; ROIs without an image go to each."""
     rng = np.random.default_rng(9)
@@ -145,14 +129,12 @@ def test_bitmap_bytes():
 
 def test_components_of_large_frames(spark):
     """Frames wider than a tile's side: a line, a frame's edge and a diagonal that cross several tiles of the standard size."""
-    side = graph.TILE * 2 + 40
+    side = runs.TILE * 2 + 40
     line = [(1, 3, x) for x in range(side)] + [(1, 4, x) for x in range(0, side, 2)] + [(2, i, i) for i in range(side)] + [(3, y, 7) for y in range(side)] + [(3, 600, 900)]
     mask = spark.createDataFrame(line, "image_id long, y int, x int")
-    frame = spark.createDataFrame([(i, side, side) for i in (1, 2, 3)], "image_id long, height int, width int")
     for connectivity, want in ((8, {1: 1, 2: 1, 3: 2}), (4, {1: 1, 2: side, 3: 2})):
-        for f in (None, frame):
-            got = graph.components(mask, connectivity, frame=f).groupBy("image_id").agg(F.count_distinct("first").alias("n")).collect()
-            assert {r.image_id: r.n for r in got} == want
+        got = graph.components(mask, connectivity).groupBy("image_id").agg(F.count_distinct("first").alias("n")).collect()
+        assert {r.image_id: r.n for r in got} == want
 
 
 def test_stream_batches_replace_themselves(spark):
