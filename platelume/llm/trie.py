@@ -129,12 +129,13 @@ def _split(parts: DataFrame, value: list[str], before: Callable[[list[tuple]], l
     """
     ends = parts.groupBy("part").agg(F.min("conv_id").alias("x"), F.max("conv_id").alias("y"))
     both = ends.select("part", F.explode(F.array("x", "y")).alias("conv_id")).distinct().groupBy("conv_id").count().filter("count > 1").select("conv_id")
+    names = T.StructType.fromDDL(schema).names
     last = parts.join(F.broadcast(both), "conv_id", "left_semi").groupBy("part", "conv_id").agg(F.max("k").alias("k"), *[F.max_by(v, "k").alias(v) for v in value])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part", ignore_index=True)
         made = before(list(pdf[["k", *value]].itertuples(index=False, name=None)))
-        return pd.DataFrame([(p, c, *m) for p, c, m in zip(pdf["part"], pdf["conv_id"], made, strict=True)], columns=T.StructType.fromDDL(schema).names)
+        return pd.DataFrame([(p, c, *m) for p, c, m in zip(pdf["part"], pdf["conv_id"], made, strict=True)], columns=names)
 
     return F.broadcast(last.groupBy("conv_id").applyInPandas(one, schema))
 

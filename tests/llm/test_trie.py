@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pytest
 from platelume.llm import queries, trie
 from pyspark.sql import functions as F
 
@@ -50,7 +51,18 @@ def _got(df):
     return set(map(tuple, rows))
 
 
-def test_against_rebuilt_conversations(spark):
+@pytest.fixture(params=["one part", "many parts"])
+def parts(spark, request):
+    """Small parts are joined, unless this is switched off: then conversations lie in several."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, str(request.param == "one part").lower())
+    spark.conf.set("spark.sql.shuffle.partitions", "7" if request.param == "many parts" else "4")
+    yield
+    spark.conf.unset(setting)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_against_rebuilt_conversations(spark, parts):
     """Negative ids, bases that are absent or short, nulls, ties, repeated rows, chains that hang on chains, a conversation over several parts and one met by a third of all."""
     rng = random.Random(8)
     words = ["", "a", "b", "ê", "long " * 40]
