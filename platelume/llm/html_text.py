@@ -18,6 +18,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 
@@ -39,12 +42,12 @@ PAGE_BYTES = 1 << 18
 CELLS, STEPS = 1 << 14, 1 << 11
 OUT = ("text", "n_chars")
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>]).*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    r"|(?P<title><title(?=[\s/>])[^>]*>(?:(?!<(?:/?title|/?svg|/head|body)(?=[\s/>])).)*</title(?=[\s/>])[^>]*>)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: What may begin here: a comment, an element whose content is no markup, a tag, a declaration.
+_BEGIN = re.compile(r"<!--|<(?P<raw>script|style)(?=[\s/>])|<(?P<title>title)(?=[\s/>])|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)|<[!?]", re.I)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style")}
+_TITLE = re.compile(r"<title(?=[\s/>])[^>]*>(?:(?!<(?:/?title|/?svg|/head|body)(?=[\s/>])).)*</title(?=[\s/>])[^>]*>", re.S | re.I)
+_STOP = re.compile(r"[=>]")
+_AFTER_STOP = re.compile(r"=\s*([\"'])?")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Tags that do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -61,6 +64,22 @@ IN_HEAD = frozenset("html head title base basefont bgsound link meta noscript no
 # ---- blocks --------------------------------------------------------------------------------
 
 
+class Path:
+    """Where a block stands: the path above it, and what its innermost tag adds. Blocks share what is above them."""
+
+    __slots__ = ("above", "parts")
+
+    def __init__(self, above: Path | None, parts: tuple[str, ...]):
+        self.above, self.parts = above, parts
+
+    def __iter__(self) -> Iterator[str]:
+        up, own = [], self
+        while own is not None:
+            up.append(own.parts)
+            own = own.above
+        return (p for parts in reversed(up) for p in parts)
+
+
 def path_parts(tag: str, attrs: str) -> tuple[str, ...]:
     """What a tag brings to the path of the blocks in it."""
     parts = [tag]
@@ -69,41 +88,106 @@ def path_parts(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(parts)
 
 
+class _Tags:
+    """Where tags end: at the first > that is not in a quoted value, and a quote counts only where a value begins.
+
+    What a = or > means for a tag that is open there doesn't depend on where the tag began, so each is looked at once.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.stops = [m.start() for m in _STOP.finditer(html)]
+        self.known: dict[int, int] = {}
+
+    def end(self, at: int) -> int:
+        """The place after the tag that is open at this place; -1 if it isn't closed."""
+        seen = []
+        while True:
+            k = bisect_left(self.stops, at)
+            if k == len(self.stops) or k in self.known:
+                found = self.known.get(k, -1)
+                break
+            seen.append(k)
+            place = self.stops[k]
+            if self.html[place] == ">":
+                found = place + 1
+                break
+            m = _AFTER_STOP.match(self.html, place)
+            at = m.end()
+            if m[1]:
+                at = self.html.find(m[1], at) + 1
+                if not at:
+                    found = -1
+                    break
+        self.known.update(dict.fromkeys(seen, found))
+        return found
+
+
+def tokens(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag, whether it is an end tag, attributes) in order; tag is None for comments and declarations, and \"\" for elements without text of their own."""
+    tags, at, last = _Tags(html), 0, html.rfind(">")
+    while m := _BEGIN.search(html, at):
+        start, at = m.start(), m.end()
+        if m["tag"]:
+            end = tags.end(at)
+            if end >= 0:
+                yield start, end, m["tag"].lower(), bool(m["end"]), html[at : end - 1]
+                at = end
+        elif m["raw"]:
+            close = _RAW_END[m["raw"].lower()].search(html, at)
+            at = close.end() if close else len(html)
+            yield start, at, "", False, ""
+        elif m["title"]:
+            whole = _TITLE.match(html, start)
+            end = whole.end() if whole else tags.end(at)
+            if end >= 0:
+                yield start, end, "" if whole else "title", False, "" if whole else html[at : end - 1]
+                at = end
+        else:
+            end = html.find("-->", at) + 3 if m[0] == "<!--" else html.find(">", at) + 1 if at <= last else 0
+            if m[0] == "<!--" and end < 3:
+                end = len(html)
+            if end:
+                yield start, end, None, False, ""
+                at = end
+
+
 def skipped(html: str) -> dict[int, int]:
     """Where each element of SKIPPED that has an end tag starts, and where that end tag ends."""
     out: dict[int, int] = {}
     open_: dict[str, list[int]] = {}
-    for m in _TOKEN.finditer(html) if _SKIPPED.search(html) else ():
-        tag = (m["tag"] or "").lower()
+    for start, end, tag, closes, attrs in tokens(html) if _SKIPPED.search(html) else ():
         if tag not in SKIPPED:
             continue
-        if not m["end"]:
-            if tag != "svg" or not m["attrs"].rstrip().endswith("/"):
-                open_.setdefault(tag, []).append(m.start())
+        if not closes:
+            if tag != "svg" or not attrs.rstrip().endswith("/"):
+                open_.setdefault(tag, []).append(start)
         elif open_.get(tag):
-            out[open_[tag].pop()] = m.end()
+            out[open_[tag].pop()] = end
     return out
 
 
-def blocks(html: str) -> list[tuple[tuple, str, int]]:
+def blocks(html: str) -> list[tuple[Path | None, str, int]]:
     """(path, text, characters in links) of each block that has text, in page order."""
-    out: list[tuple[tuple, str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    out: list[tuple[Path | None, str, int]] = []
+    stack: list[tuple[str, Path]] = []
     text: list[str] = []
-    links = open_links = heads = 0
+    links = heads = 0
+    count: Counter[str] = Counter()  # open tags
 
     def flush() -> None:
         nonlocal text, links
         if text:
             joined = " ".join(unescape("".join(text)).split())
             if joined and not heads:
-                out.append((tuple(p for _, parts in stack for p in parts), joined, links))
+                out.append((stack[-1][1] if stack else None, joined, links))
             text, links = [], 0
 
     def pop(at: int) -> None:
-        nonlocal open_links, heads
-        open_links -= sum(t == "a" for t, _ in stack[at:])
-        heads -= sum(t in HEAD for t, _ in stack[at:])
+        nonlocal heads
+        for t, _ in stack[at:]:
+            count[t] -= 1
+            heads -= t in HEAD
         del stack[at:]
 
     def end_head() -> None:
@@ -115,26 +199,24 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
         if heads and stack[-1][0] == "head" and part.strip():
             end_head()
         text.append(part)
-        links += len(part) * (open_links > 0)
+        links += len(part) * (count["a"] > 0)
 
     at, ends_at = 0, skipped(html)
-    for m in _TOKEN.finditer(html):
-        if m.start() < at:
+    for start, end, tag, closes, attrs in tokens(html):
+        if start < at:
             continue
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m["raw"] or m["title"]:
+        if start > at:
+            add(html[at:start])
+        at = end
+        if not tag:
+            if tag is not None:
                 flush()
             continue
-        tag = tag.lower()
-        if heads and not m["end"] and tag not in IN_HEAD:
+        if heads and not closes and tag not in IN_HEAD:
             end_head()
         if tag in SKIPPED:
             flush()
-            at = ends_at.get(m.start(), at)
+            at = ends_at.get(start, at)
             continue
         if tag == "br":
             text.append(" ")
@@ -142,8 +224,8 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
         inline = tag in INLINE
         if not inline:
             flush()
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
+        if closes:
+            for k in range(len(stack) - 1, -1, -1) if count[tag] else ():
                 if stack[k][0] == tag:
                     pop(k)
                     break
@@ -158,12 +240,12 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
                         break
                     if stack[k][0] not in INLINE:
                         break
-            stack.append((tag, path_parts(tag, m["attrs"])))
-            open_links += tag == "a"
+            stack.append((tag, Path(stack[-1][1] if stack else None, path_parts(tag, attrs))))
+            count[tag] += 1
             heads += tag in HEAD
     if at < len(html):
         rest = html[at:]
-        add(rest[: rest.rindex("<")] if re.search(r"<[/a-zA-Z!][^>]*\Z", rest) else rest)
+        add(rest[: rest.rindex("<")] if re.search(r"<[/a-zA-Z!]", rest[rest.rfind(">") + 1 :]) else rest)
     flush()
     return out
 
@@ -172,18 +254,81 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
 
 
 @lru_cache(maxsize=1 << 16)
-def _path_ids(path: tuple) -> np.ndarray:
-    """Places of the path's tags, classes and ids, and of the words in these names (reader-comments has comment)."""
-    words = [f"~{w.rstrip('s')}" for p in path if p[0] in ".#" for w in re.split(r"[-_:]+", p[1:]) if w]
-    return np.array([zlib.crc32(p.encode()) % PATHS for p in (*path, *words)] or [0])
+def _path_ids(parts: tuple[str, ...]) -> np.ndarray:
+    """Places of tags, classes and ids, and of the words in these names (reader-comments has comment)."""
+    words = [f"~{w.rstrip('s')}" for p in parts if p[0] in ".#" for w in re.split(r"[-_:]+", p[1:]) if w]
+    return np.array([zlib.crc32(p.encode()) % PATHS for p in (*parts, *words)] or [0])
+
+
+class Chains:
+    """A page's paths: each node's places and the node above it (-1: none), and each block's node. A path's vector is summed from node to node, so that
+    blocks far down cost no more than their own tags."""
+
+    def __init__(self, above: list[int], ids: list[np.ndarray], at: list[int]):
+        self.above, self.at = np.array(above, np.int64), np.array(at, np.int64)
+        self.own = np.array(list(map(len, ids)), np.int64)
+        self.flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        depth = [0] * len(above)
+        for i, a in enumerate(above):
+            depth[i] = depth[a] + 1 if a >= 0 else 0
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.cumsum(np.bincount(depth, minlength=1))[:-1])[1:] if len(above) else []
+        self.size = self.down(self.own.copy())
+
+    @classmethod
+    def of(cls, paths: list[Path | None]) -> Chains:
+        number: dict[int, int] = {}
+        above, ids, at = [], [], []
+        for p in paths:
+            new = []
+            own = p
+            while own is not None and id(own) not in number:
+                new.append(own)
+                own = own.above
+            for one in reversed(new):
+                number[id(one)] = len(above)
+                above.append(number[id(one.above)] if one.above is not None else -1)
+                ids.append(_path_ids(one.parts))
+            if p is None and 0 not in number:
+                number[0] = len(above)
+                above.append(-1)
+                ids.append(_path_ids(()))
+            at.append(number[id(p) if p is not None else 0])
+        return cls(above, ids, at)
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def down(self, own: np.ndarray) -> np.ndarray:
+        """Each node's own values and those of all above it."""
+        for level in self.levels:
+            own[level] += own[self.above[level]]
+        return own
+
+    def up(self, values: np.ndarray) -> np.ndarray:
+        """Each node's values and those of all below it."""
+        for level in reversed(self.levels):
+            np.add.at(values, self.above[level], values[level])
+        return values
+
+    def means(self, table: np.ndarray) -> np.ndarray:
+        """Each block's path vector: its places' vectors summed, over the root of their number."""
+        sums = self.down(np.add.reduceat(table[self.flat], np.cumsum(self.own) - self.own))
+        return (sums / np.sqrt(self.size)[:, None])[self.at]
+
+    def spread(self, gradient: np.ndarray, table: np.ndarray) -> None:
+        """Adds to table what the blocks' gradients of means say of its vectors."""
+        node = np.zeros((len(self.own), gradient.shape[1]), gradient.dtype)
+        np.add.at(node, self.at, gradient / np.sqrt(self.size[self.at])[:, None].astype(gradient.dtype))
+        np.add.at(table, self.flat, np.repeat(self.up(node), self.own, axis=0))
 
 
 _SPACE = np.array([b not in (9, 10, 11, 12, 13, 32) for b in range(256)])
 _WORD_VECTORS = np.random.default_rng(17).normal(0, 1, (WORDS, WORD_DIM)).astype(np.float32)
 
 
-def features(pages: list[list[tuple[tuple, str, int]]]) -> list[tuple[list[np.ndarray], np.ndarray]]:
-    """For each page its blocks' path places, and the means of their words' vectors with their counts."""
+def features(pages: list[list[tuple[Path | None, str, int]]]) -> list[tuple[Chains, np.ndarray]]:
+    """For each page its blocks' paths, and the means of their words' vectors with their counts."""
     flat = [b for page in pages for b in page]
     rest = np.zeros((len(flat), WORD_DIM + COUNTS), np.float32)
     for a, b in slices([len(x[1]) for x in flat]):
@@ -203,7 +348,7 @@ def features(pages: list[list[tuple[tuple, str, int]]]) -> list[tuple[list[np.nd
         rest[a:b, WORD_DIM + 4] = np.log1p(size / n) / 3
     out, at = [], 0
     for page in pages:
-        out.append(([_path_ids(p) for p, _, _ in page], rest[at : at + len(page)]))
+        out.append((Chains.of([p for p, _, _ in page]), rest[at : at + len(page)]))
         at += len(page)
     return out
 
@@ -225,15 +370,13 @@ class Labeller:
             self.p[f"b{d}"] = np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)  # gates: in, forget, out, new
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def inputs(self, pages: list[tuple[list, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, pages: list[tuple[Chains, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Padded to the longest page: (steps, pages, IN), and which are real."""
         steps = max(len(p[0]) for p in pages)
         x, real = np.zeros((steps, len(pages), IN), np.float32), np.zeros((steps, len(pages)), np.float32)
         for j, (paths, rest) in enumerate(pages):
             n = len(paths)
-            flat = np.concatenate(paths)
-            size = np.array(list(map(len, paths)))
-            x[:n, j, :PATH_DIM] = np.add.reduceat(self.p["path"][flat], np.cumsum(size) - size) / np.sqrt(size)[:, None]
+            x[:n, j, :PATH_DIM] = paths.means(self.p["path"])
             x[:n, j, PATH_DIM:] = rest
             real[:n, j] = 1
         return x, real
@@ -279,7 +422,7 @@ class Labeller:
             dh, dc = dz @ wh.T, dc * f
         return dx
 
-    def fit(self, pages: list[tuple[list, np.ndarray]], labels: list[np.ndarray], rounds: int = 16, size: int = 24, rate: float = 0.01, seed: int = 3) -> None:
+    def fit(self, pages: list[tuple[Chains, np.ndarray]], labels: list[np.ndarray], rounds: int = 16, size: int = 24, rate: float = 0.01, seed: int = 3) -> None:
         """Adam on the mean log loss over blocks."""
         rng = np.random.default_rng(seed)
         m, v, n = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
@@ -301,18 +444,17 @@ class Labeller:
                 dh = dz[:, :, None] * self.p["out"]
                 dx = self._back(x, dh[:, :, :HIDDEN], tf, "f", grad) + self._back(x, dh[:, :, HIDDEN:], tb, "b", grad)
                 for j, (paths, _) in enumerate(own):
-                    part = np.array(list(map(len, paths)))
-                    np.add.at(grad["path"], np.concatenate(paths), np.repeat(dx[: len(paths), j, :PATH_DIM] / np.sqrt(part)[:, None], part, axis=0))
+                    paths.spread(dx[: len(paths), j, :PATH_DIM], grad["path"])
                 n += 1
                 for key, g in grad.items():
                     m[key] = 0.9 * m[key] + 0.1 * g
                     v[key] = 0.999 * v[key] + 0.001 * g * g
                     self.p[key] -= (rate * (m[key] / (1 - 0.9**n)) / (np.sqrt(v[key] / (1 - 0.999**n)) + 1e-6)).astype(np.float32)
 
-    def label(self, pages: list[tuple[list, np.ndarray]], size: int = 64, cells: int = CELLS) -> list[np.ndarray]:
+    def label(self, pages: list[tuple[Chains, np.ndarray]], size: int = 64, cells: int = CELLS) -> list[np.ndarray]:
         """Each block's probability of being main text; all pages, in their order. size pages of cells blocks, padding included, at once, or one page."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if pages[i][0]), key=lambda i: len(pages[i][0]))
+        order = sorted((i for i in range(len(pages)) if len(pages[i][0])), key=lambda i: len(pages[i][0]))
         while order:
             n = 1
             while n < min(size, len(order)) and (n + 1) * len(pages[order[n]][0]) <= cells:
@@ -332,16 +474,30 @@ OTHER = [("nav", "ul", "li", "a"), ("header",), ("footer",), ("aside",), ("div",
 _OTHER_PARTS = {p for path in OTHER for p in path} - {p for path in MAIN for p in path} - {"ul", "ol", "li", "a", "label", "table", "tr", "td", "div", "section"}
 
 
-def markup_labels(page: list[tuple[tuple, str, int]]) -> np.ndarray:
+def markup_labels(page: list[tuple[Path | None, str, int]]) -> np.ndarray:
     """What the markup says outright: in an article or main element, and in nothing else's container there."""
+    # of each path: the elements of the two that were met, and whether another container was since
+    known: dict[int, tuple[frozenset, bool]] = {}
     out = []
     for path, _, _ in page:
-        at = max((path.index(t) for t in ("article", "main") if t in path), default=-1)
-        out.append(at >= 0 and not _OTHER_PARTS.intersection(path[at + 1 :]))
+        new = []
+        own = path
+        while own is not None and id(own) not in known:
+            new.append(own)
+            own = own.above
+        for one in reversed(new):
+            met, other = known[id(one.above)] if one.above is not None else (frozenset(), False)
+            for p in one.parts:
+                if p in ("article", "main") and p not in met:
+                    met, other = met | {p}, False
+                other = other or p in _OTHER_PARTS
+            known[id(one)] = met, other
+        met, other = known[id(path)] if path is not None else (frozenset(), False)
+        out.append(bool(met) and not other)
     return np.array(out, np.float32)
 
 
-def layout(page: list[tuple[tuple, str, int]], labels: np.ndarray, rng: np.random.Generator) -> tuple[list, np.ndarray]:
+def layout(page: list[tuple[Path | None, str, int]], labels: np.ndarray, rng: np.random.Generator) -> tuple[list, np.ndarray]:
     """The page's texts in a made-up layout."""
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     main = [t for (_, t, _), y in zip(page, labels, strict=True) if y] or ["Text."]
@@ -370,7 +526,7 @@ def layout(page: list[tuple[tuple, str, int]], labels: np.ndarray, rng: np.rando
         aside(body)
     for _ in range(int(rng.integers(0, 4))):
         aside(outer)
-    return [m[:3] for m in made], np.array([m[3] for m in made], np.float32)
+    return [(Path(None, path), t, n) for path, t, n, _ in made], np.array([m[3] for m in made], np.float32)
 
 
 def train(pages: DataFrame, most: int = PAGES, layouts: int = LAYOUTS, id_col: str = "page_id", html_col: str = "html") -> Labeller:
@@ -384,7 +540,7 @@ def train(pages: DataFrame, most: int = PAGES, layouts: int = LAYOUTS, id_col: s
     rows = rows.groupBy("__id").agg(F.min("html").alias("html")).collect()  # most rows at most
     rng, shown, labels = np.random.default_rng(9), [], []
     sources = [blocks(r.html or "") for r in sorted(rows, key=lambda r: r[0])]
-    sources = [p for p in sources if p] or [[(("html", "body", "article", "p"), "Some text.", 0), (("html", "body", "nav", "a"), "Menu", 4)]]
+    sources = [p for p in sources if p] or [[(Path(None, ("html", "body", "article", "p")), "Some text.", 0), (Path(None, ("html", "body", "nav", "a")), "Menu", 4)]]
     for page in sources:
         own = markup_labels(page)
         if own.any():
