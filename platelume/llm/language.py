@@ -1,8 +1,7 @@
 """Language ID by compression: the language whose raw-content zstandard dictionary makes the text smallest.
 
 Each language's dictionary is DICT_BYTES of its own sampled text, lower-cased like the texts. A text is compressed as a whole
-with each dictionary, at the same level (a text of SHORT bytes at most at several levels, whose sizes are summed, as one size
-in whole bytes tells too little); the smallest wins (ties: the alphabetically first), and the lead over the second, as a share of
+with each dictionary at a few levels, whose sizes are summed, as one size in whole bytes tells too little; the smallest wins (ties: the alphabetically first), and the lead over the second, as a share of
 the second's size, is the margin. A margin under REJECT marks the row rejected; the best guess is still given.
 
 A language with little text keeps its small dictionary and the others keep theirs whole. As a larger dictionary compresses any
@@ -20,22 +19,22 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_columns, held_out
 
 DICT_BYTES = 110 << 10
-#: Sampled rows of a language that its dictionary is cut from, about; of each PIECE characters at most, from a hashed place on.
+#: Twice ROWS texts of a language at most, chosen by a hash, are what its dictionary is cut from; of each PIECE characters at most, from a hashed place on.
 ROWS, PIECE = 150, 4000
-LEVEL = 6
-SHORT, SHORT_LEVELS = 400, (1, 3, 6, 12, 19)
+#: A text's size is the sum of its sizes at these levels: one size in whole bytes often ties.
+LEVELS = (1, 3, 6)
 REJECT = 0.004
 #: A score of one half stands for this margin.
 HALF = 0.01
-#: Text lengths in bytes that a smaller dictionary's miss is measured at (up to SHORT and beyond), larger dictionaries that it is measured on, and texts of each.
-LENGTHS, LARGER, TRIED = (25, 50, 100, 200, 400, 401, 800, 1600, 3200), 4, 8
+#: Text lengths in bytes that a smaller dictionary's miss is measured at, larger dictionaries that it is measured on, and texts of each.
+LENGTHS, LARGER, TRIED = (25, 50, 100, 200, 400, 800, 1600, 3200), 4, 8
 OUT = ("held_out", "lang_pred", "score", "margin", "rejected")
 _LETTER = regex.compile(r"\p{L}")
 
@@ -52,7 +51,7 @@ def _compressors(dictionaries: tuple[bytes, ...], level: int) -> list:
 
 def _sizes(raw: bytes, dictionaries: tuple[bytes, ...]) -> list[int]:
     sizes = [0] * len(dictionaries)
-    for level in SHORT_LEVELS if len(raw) <= SHORT else (LEVEL,):
+    for level in LEVELS:
         for i, c in enumerate(_compressors(dictionaries, level)):
             sizes[i] += len(c.compress(raw))
     return sizes
@@ -103,22 +102,25 @@ def judge(text: str | None, languages: list[str], dictionaries: tuple[bytes, ...
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Each language's dictionary, from a bounded sample of rows outside the held-out quarter."""
     own = docs.filter(~held_out(F.col(id_col), 4, 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in own.groupBy(lang_col).count().collect()}  # a row a language
+    # by the text, so that its copies, whatever their ids, are drawn once and give one piece
+    own = own.select(F.col(lang_col).alias("__lang"), F.xxhash64(F.lit(11), text_col).alias("draw"), F.xxhash64(F.lit(12), text_col).alias("place"), F.col(text_col).alias("__text"))
+    counts = {r[0]: r[1] for r in own.groupBy("__lang").agg(F.approx_count_distinct("draw", 0.02)).collect()}  # a row a language
     if not counts:
         return {}
-    share = docs.sparkSession.createDataFrame([(k, min(1.0, 2 * ROWS / n)) for k, n in counts.items()], "__lang string, __share double")
-    draw = F.pmod(F.xxhash64(F.lit(11), id_col), F.lit(1 << 30)) / float(1 << 30)
-    # by the text, so that copies give the same piece
-    place = F.pmod(F.xxhash64(F.lit(12), text_col), F.lit(1 << 30)) / float(1 << 30)
-    start = F.floor(place * F.greatest(F.length(text_col) - PIECE + 1, F.lit(1))).cast("int") + 1
-    piece = F.lower(F.substring(F.col(text_col), start, F.lit(PIECE)))
-    rows = own.select(F.col(lang_col).alias("__lang"), draw.alias("draw"), place.alias("place"), piece.alias("piece")).join(F.broadcast(share), "__lang").filter("draw < __share")
-    pieces: dict[str, list[tuple[float, str, float]]] = {}
-    for r in rows.select("__lang", "draw", "piece", "place").limit(4 * ROWS * len(counts)).toLocalIterator():
-        pieces.setdefault(r[0], []).append((r[1], r[2], r[3]))
+    unit = lambda c: F.pmod(F.col(c), F.lit(1 << 30)) / float(1 << 30)
+    # more than enough are drawn, and the first of them by their hash are taken
+    share = docs.sparkSession.createDataFrame([(k, min(1.0, 3 * ROWS / max(n, 1))) for k, n in counts.items()], "__lang string, __share double")
+    start = F.floor(unit("place") * F.greatest(F.length("__text") - PIECE + 1, F.lit(1))).cast("int") + 1
+    piece = F.lower(F.substring(F.col("__text"), start, F.lit(PIECE)))
+    drawn = own.join(F.broadcast(share), "__lang").filter(unit("draw") < F.col("__share")).select("__lang", unit("draw").alias("u"), "draw", unit("place").alias("place"), piece.alias("piece"))
+    once = drawn.groupBy("__lang", "u", "draw").agg(F.min("place").alias("place"), F.min("piece").alias("piece"))
+    nth = F.row_number().over(Window.partitionBy("__lang").orderBy("u", "draw"))
+    pieces: dict[str, list[tuple[str, float]]] = {}
+    for r in once.withColumn("nth", nth).filter(F.col("nth") <= 2 * ROWS).orderBy("__lang", "nth").collect():
+        pieces.setdefault(r["__lang"], []).append((r.piece, r.place))
     made = {}
     for lang in sorted(pieces):
-        seen = list(dict.fromkeys((p, at) for _, p, at in sorted(pieces[lang])))
+        seen = pieces[lang]
         # an even cut of each piece, so that no long one fills the dictionary, from the same hashed place in it
         each = max(256, 2 * DICT_BYTES // max(1, len(seen)))
         made[lang] = "\n".join(p[int(at * max(0, len(p) - each + 1)) :][:each] for p, at in seen).encode()[:DICT_BYTES]
