@@ -351,6 +351,8 @@ class Stream:
         self.items, self.ahead, self.begun = iter(items), [], False
 
     def __iter__(self) -> Iterator:
+        if self.begun:
+            raise TemplateError("messages are a stream: one loop over them, or a part of them, is all there can be")
         self.begun = True
         while self.ahead:
             yield self.ahead.pop(0)

@@ -433,6 +433,9 @@ def test_template_language_of_chat_templates():
     assert render("{% for m in ms %}{% set n = m %}{% if loop.first %}<{% endif %}{{ n }}{% endfor %}{{ n is defined }}", ms=["a", "b"]) == "<abFalse"
     assert render("a {{- ' b ' -}}  c {%- if true -%} d {%- endif %} e") == "a b cd e"
     assert chat.fold(chat.parse("{{ 1 + 1 == 2 }}{% if 'a' in 'b' %}x{% endif %}")) == [("text", "True")]
+    twice = chat.compile_template("{% for m in messages %}{{ m.role }}{% endfor %}{% for m in messages %}{{ m.text }}{% endfor %}")
+    with pytest.raises(chat.TemplateError, match="one loop"):
+        list(twice({"messages": chat.Stream(turns)}))
     with pytest.raises(chat.TemplateError):
         render("{% for m in ms %}{{ ms[0] }}{% endfor %}", ms=iter(["a"]))
 
