@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.contract import hot_keys, join_by
 from ..functions.scratch import drop, keep
 from .common import LOWER, Words, append_columns, numbered, slices, small_batches, texts_of
 
@@ -73,7 +74,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int = WIN
     # windows with the same words are one window of several items, whose ids are dealt over parts
     size = rows.groupBy("words").agg(F.ceil(F.count("*") / ITEMS).cast("int").alias("parts"))
     many = size.filter("parts > 1")
-    dealt = rows.join(many, "words", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("item"), F.col("parts")), F.lit(0)))
+    dealt = join_by(rows, many, "words", hot_keys(rows, "words")).withColumn("part", F.coalesce(F.pmod(F.xxhash64("item"), F.col("parts")), F.lit(0)))
     return dealt.groupBy("words", "width", "part").agg(F.first("tokens").alias("tokens"), F.array_sort(F.collect_list("item")).alias("items")).drop("part")
 
 
