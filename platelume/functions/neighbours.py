@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -108,6 +109,36 @@ def shifted_extreme(block: np.ndarray, offsets: list[tuple[int, int, float]], la
     return out
 
 
+def disk_extreme(block: np.ndarray, radius: int, largest: bool = False) -> np.ndarray:
+    """At each place the least (or largest) value of a flat disk inside the frame; NaN is outside.
+
+    A disk is a chord on each line: extremes of windows of 1, 2, 4, .. places are made once, two of them overlap to a chord of any
+    length, and lines are then shifted on each other, so that the work grows with the radius and not with the disk's area.
+    """
+    h, w = block.shape
+    far = -np.inf if largest else np.inf
+    pick = np.maximum if largest else np.minimum
+    wide = np.full((h, w + 2 * radius), far)
+    wide[:, radius : radius + w] = np.where(np.isnan(block), far, block)
+    windows, n = [wide], 1
+    while 2 * n <= 2 * radius + 1:
+        windows.append(pick(windows[-1][:, :-n], windows[-1][:, n:]))
+        n *= 2
+    chords: dict[int, np.ndarray] = {}
+    out = np.full((h, w), far)
+    for dy in range(-radius, radius + 1):
+        half = math.isqrt(radius * radius - dy * dy)
+        if half not in chords:
+            size, k = 2 * half + 1, (2 * half + 1).bit_length() - 1
+            left = radius - half
+            chords[half] = pick(windows[k][:, left : left + w], windows[k][:, left + size - (1 << k) : left + size - (1 << k) + w])
+        a, b = max(0, -dy), min(h, h - dy)
+        if a < b:
+            pick(out[a:b], chords[half][a + dy : b + dy], out=out[a:b])
+    out[np.isnan(block)] = np.nan
+    return out
+
+
 def disk(radius: float) -> list[tuple[int, int]]:
     r = int(radius)
     return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= radius * radius]

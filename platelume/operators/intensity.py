@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.neighbours import TILE, convolve, disk, gaussian_weights, lines, plane_keys, shifted_extreme, tiled, unline
+from ..functions.neighbours import TILE, convolve, disk, disk_extreme, gaussian_weights, lines, plane_keys, shifted_extreme, tiled, unline
+from ..functions.ranges import running
+from ..functions.scratch import keep
 
 PROJECTIONS = {"min": F.min, "max": F.max, "mean": F.avg, "sum": F.sum}
 STATS = {"avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "sd": F.stddev_samp, "median": F.median}
@@ -26,19 +28,29 @@ def z_projections(px: DataFrame, methods: dict[str, str], channel: int | None =
     return own.groupBy("image_id", "channel", "y", "x").agg(*[PROJECTIONS[m]("value").alias(name) for name, m in methods.items()])
 
 
-def percentiles(px: DataFrame, shares: list[float], value: Column | None = None) -> DataFrame:
+#: Distinct values of a channel that are ranked in one task; more are ranked in ranges.
+RANKED = 1 << 18
+
+
+def percentiles(px: DataFrame, shares: list[float], value: Column | None = None, ranked: int = RANKED) -> DataFrame:
     """(image_id, channel, p): exact percentiles of each channel's values that are not null, between neighbours linear.
 
-    Values are counted before they are shuffled, and ranked by a running sum over the sorted counts, so that no task holds a channel's values.
+    Values are counted before they are shuffled, and ranked by a running sum over the sorted counts: in one task where all channels
+    are known to have few distinct values, else in ranges of them.
     """
     key = ["image_id", "channel"]
     counts = px.select(*key, (F.col("value") if value is None else value).alias("v")).filter("v IS NOT NULL").groupBy(*key, "v").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto).join(counts.groupBy(*key).agg(F.sum("n").alias("total")), key)
+    counts = keep(counts, "counts")
+    totals = keep(counts.groupBy(*key).agg(F.sum("n").alias("total"), F.count("*").alias("distinct")), "totals")
+    if totals.filter(F.col("distinct") > ranked).isEmpty():
+        ranks = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        ranks = running(counts, key, "v", ["n"]).withColumnRenamed("upto_n", "upto")
+    known = ranks.join(totals.drop("distinct"), key)
     place = lambda share: F.lit(share) * (F.col("total") - 1)
     at = lambda k: F.max(F.when((F.col("upto") - F.col("n") <= k) & (k < F.col("upto")), F.col("v")))
     both = [F.struct(at(F.floor(place(s))).alias("a"), at(F.ceil(place(s))).alias("b"), F.max(place(s) - F.floor(place(s))).alias("f")) for s in shares]
-    return ranked.groupBy(*key).agg(F.array(*both).alias("s")).select(*key, F.transform("s", lambda x: x["a"] + x["f"] * (x["b"] - x["a"])).alias("p"))
+    return known.groupBy(*key).agg(F.array(*both).alias("s")).select(*key, F.transform("s", lambda x: x["a"] + x["f"] * (x["b"] - x["a"])).alias("p"))
 
 
 def z_project_stats(px: DataFrame, methods: tuple[str, ...] = ()) -> DataFrame:
@@ -99,14 +111,13 @@ def background_subtract(px: DataFrame, channel: int | None = None, radius: float
     if method not in ("rolling_ball", "tophat"):
         raise ValueError(f"unknown background method {method!r}")
     own = px if channel is None else px.filter(F.col("channel") == channel)
-    flat = [(dy, dx, 0.0) for dy, dx in disk(int(radius) if method == "tophat" else radius)]
-    ball = [(dy, dx, radius - float(np.sqrt(radius * radius - dy * dy - dx * dx))) for dy, dx, _ in flat]
+    ball = [(dy, dx, radius - float(np.sqrt(radius * radius - dy * dy - dx * dx))) for dy, dx in disk(radius)]
 
     def rolled(block: np.ndarray) -> np.ndarray:
         return np.maximum(0, block - shifted_extreme(block, ball))
 
     def tophat(block: np.ndarray) -> np.ndarray:
-        return block - shifted_extreme(shifted_extreme(block, flat), flat, largest=True)
+        return block - disk_extreme(disk_extreme(block, int(radius)), int(radius), largest=True)
 
     halo = int(radius) * (2 if method == "tophat" else 1)
     out = tiled(own, halo, tophat if method == "tophat" else rolled, tile).select(*px.columns)

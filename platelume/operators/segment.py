@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import forest, runs
 from ..functions.neighbours import frame_of, frame_pixels
+from ..functions.ranges import running
 from ..functions.scratch import drop, keep
 from .intensity import gaussian_blur, z_project
 
@@ -95,37 +96,63 @@ def threshold_isodata(pl: DataFrame) -> DataFrame:
     return h.groupBy("image_id", "channel").agg(F.coalesce(F.min(F.when(ok, F.col("centre"))), F.min("lo")).alias("threshold"))
 
 
-#: Rounds of the fixed point between two looks at whether all planes have settled.
-ROUNDS = 6
+#: Distinct values of a plane that are one row of sums, which the fixed point looks its means up in.
+BLOCK = 1 << 16
 
 
-def threshold_li(pl: DataFrame, rounds: int = 200) -> DataFrame:
+def _li_steps(t: float, tol: float, v: np.ndarray, n: np.ndarray, s: np.ndarray, end: float, total_n: float, total_s: float, done: int, most: int) -> tuple[float, int, bool]:
+    """The fixed point's steps from t while it lies in this block, where n and s are the sums up to each of the values v and end is the next
+    block's first value: (t, steps made, whether it has settled)."""
+    while done < most:
+        if not v[0] <= t < end:
+            return t, done, False
+        at = np.searchsorted(v, t, side="right") - 1
+        back, fore = s[at] / n[at], (total_s - s[at]) / (total_n - n[at]) if total_n > n[at] else np.nan
+        log = np.log(back) - np.log(fore) if back > 0 and fore > 0 else 0.0
+        new = (back - fore) / log if log else t
+        done += 1
+        moved, t = abs(new - t), new
+        if moved <= tol:
+            return t, done, True
+    return t, done, True
+
+
+def threshold_li(pl: DataFrame, rounds: int = 200, block: int = BLOCK) -> DataFrame:
     """Li and Tam 1998: the fixed point of minimum cross entropy, from the mean; over each plane's distinct values and their counts.
 
-    A round sums the values above and below each plane's threshold, in each task before the shuffle; planes that have settled take no part.
+    Counts and moments are summed up once, in ranges of values. A row holds the sums of block values, and a plane's steps go on in it until they leave
+    it for another row: one look at a row for planes of up to block distinct values, and a few for others.
     """
     key = ["image_id", "channel"]
     lo = pl.groupBy(*key).agg(F.min("value").alias("lo"))
     counts = pl.groupBy(*key, "value").agg(F.count("*").cast("double").alias("n")).join(lo, key)
-    counts = keep(counts.select(*key, "lo", (F.col("value") - F.col("lo")).alias("v"), "n"), "values")
-    gap = F.col("v") - F.lag("v").over(Window.partitionBy(*key).orderBy("v"))
-    start = counts.withColumn("gap", gap).groupBy(*key).agg(F.min("lo").alias("lo"), F.coalesce(F.min("gap") / 2, F.lit(0.0)).alias("tol"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("t"))
-    now = keep(start.withColumn("done", F.lit(False)), "start")
-    v, n, t = F.col("v"), F.col("n"), F.col("t")
-    part = lambda on: F.sum(F.when(on, v * n)) / F.nullif(F.sum(F.when(on, n)), F.lit(0.0))
-    for _ in range(0, rounds, ROUNDS):
-        state = now
-        for _ in range(ROUNDS):
-            means = counts.select(*key, "v", "n").join(state.filter(~F.col("done")).select(*key, "t"), key).groupBy(*key).agg(part(v > t).alias("fore"), part(v <= t).alias("back"))
-            back, fore = F.col("back"), F.col("fore")
-            new = F.when((back <= 0) | fore.isNull() | back.isNull(), t).otherwise((back - fore) / F.nullif(F.log(back) - F.log(fore), F.lit(0.0)))
-            state = state.join(means, key, "left").withColumn("new", F.coalesce(new, t))
-            state = state.select(*key, "lo", "tol", F.when(F.col("done"), t).otherwise(F.col("new")).alias("t"), (F.col("done") | (F.abs(F.col("new") - t) <= F.col("tol"))).alias("done"))
-        before, now = now, keep(state, "settled")
+    counts = keep(counts.select(*key, "lo", (F.col("value") - F.col("lo")).alias("v"), "n", ((F.col("value") - F.col("lo")) * F.col("n")).alias("s")), "values")
+    sums = running(counts.select(*key, "v", "n", "s"), key, "v", ["n", "s"]).withColumn("block", F.floor((F.col("nth") - 1) / block))
+    rows = sums.groupBy(*key, "block").agg(F.array_sort(F.collect_list(F.struct("v", F.col("upto_n").alias("n"), F.col("upto_s").alias("s")))).alias("r"))
+    column = lambda c: F.transform("r", lambda x: x[c]).alias(c)
+    rows = keep(rows.select(*key, "block", *map(column, ("v", "n", "s"))), "blocks")
+    whole = counts.groupBy(*key).agg(F.min("lo").alias("lo"), F.sum("n").alias("total_n"), F.sum("s").alias("total_s"))
+    # the least gap of values: within blocks, and from each block to the next
+    edges = rows.select(*key, "block", F.col("v")[0].alias("first"), F.element_at("v", -1).alias("end"), F.array_min(F.zip_with(F.slice("v", 2, block), "v", lambda b, a: b - a)).alias("gap"))
+    after = F.lead("first").over(Window.partitionBy(*key).orderBy("block"))
+    edges = keep(edges.withColumn("next", after), "edges")  # a row a block
+    tol = edges.groupBy(*key).agg((F.min(F.least("gap", F.col("next") - F.col("end"))) / 2).alias("tol"))
+    now = whole.join(tol, key).select(*key, "lo", "total_n", "total_s", F.coalesce("tol", F.lit(0.0)).alias("tol"), (F.col("total_s") / F.col("total_n")).alias("t"), F.lit(0).alias("made"), F.lit(False).alias("settled"))
+    now = keep(now, "state")
+
+    @F.pandas_udf("t double, made int, settled boolean")
+    def steps(t: pd.Series, tol: pd.Series, v: pd.Series, n: pd.Series, s: pd.Series, end: pd.Series, total_n: pd.Series, total_s: pd.Series, made: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_li_steps(*row, rounds) for row in zip(t, tol, v, n, s, end.fillna(np.inf), total_n, total_s, made, strict=True)], columns=["t", "made", "settled"])
+
+    first = ["lo", "total_n", "total_s", "tol"]
+    while not now.filter("NOT settled").isEmpty():
+        # a plane waits in the block whose values t lies among
+        here = now.filter("NOT settled").join(edges.select(*key, "block", "first", "next"), key).filter((F.col("t") >= F.col("first")) & (F.col("next").isNull() | (F.col("t") < F.col("next"))))
+        done = here.join(rows, [*key, "block"]).withColumn("got", steps("t", "tol", "v", "n", "s", "next", "total_n", "total_s", "made"))
+        state = now.filter("settled").unionByName(done.select(*key, *first, "got.t", "got.made", "got.settled"))
+        before, now = now, keep(state, "state")
         drop(before)
-        if now.filter(~F.col("done")).isEmpty():
-            break
-    return now.select(*key, (F.col("lo") + t).alias("threshold"))
+    return now.select(*key, (F.col("lo") + F.col("t")).alias("threshold"))
 
 
 THRESHOLDS = {"otsu": threshold_otsu, "yen": threshold_yen, "triangle": threshold_triangle, "isodata": threshold_isodata, "li": threshold_li}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,15 +55,15 @@ def register_images(files: DataFrame, info: DataFrame, experiment: str = "", tim
     return with_defaults(out.withColumn("run_timestamp", timestamp if timestamp is not None else F.current_timestamp()), "images")
 
 
-def write_results(tables: dict[str, DataFrame], out: str, experiment: str, batch: int | None = None) -> None:
-    """Appends each table under out, partitioned by experiment; a run's earlier rows stay. A batch of a stream that is written again replaces its own rows."""
+def write_results(tables: dict[str, DataFrame], out: str, experiment: str, batch: str | None = None) -> None:
+    """Appends each table under out, a partition an experiment and a write; earlier rows stay. A batch of a stream that is written again replaces its own rows.
+
+    batch: a name that only this write has, and that is no number; a new one where it is not given.
+    """
+    batch = batch or f"write-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        own = with_defaults(df, name).withColumn("experiment", F.lit(experiment))
-        if batch is None:
-            own.write.mode("append").partitionBy("experiment").parquet(f"{out}/{name}")
-        else:
-            writer = own.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            writer.partitionBy("experiment", "batch").parquet(f"{out}/{name}")
+        own = with_defaults(df, name).withColumns({"experiment": F.lit(experiment), "batch": F.lit(batch)})
+        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("experiment", "batch").parquet(f"{out}/{name}")
 
 
 def read_results(spark: SparkSession, out: str, name: str) -> DataFrame:

@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.scratch import drop, keep
+from ..functions.scratch import keep, passing
 from ..plans.jobs import Frames, run_pipeline
 from ..sources import results
 
 PIXELS = "image_id long, channel int, z int, y int, x int, value double"
 
 
+def run_name(spark: SparkSession, checkpoint: str) -> str:
+    """The name of a checkpoint's runs, which lies beside it: another checkpoint, or one made anew, has another, so that its batches, which
+    are counted from 0 again, are not taken for these."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/run-name")
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.text(f"{checkpoint}/run-name")
+    return spark.read.text(f"{checkpoint}/run-name").first().value
+
+
 def watch_folder(spark: SparkSession, folder: str, spec: dict, out: str, checkpoint: str, experiment: str = "", files_per_batch: int = 64) -> StreamingQuery:
     """Runs spec on each batch of new Parquet pixel files in folder and writes its result tables under out, a partition a batch.
 
     An image must lie in one file: one whose pixels come in two batches is measured twice, each time in part. The checkpoint remembers which files are
-    done, so a restart takes up the rest; a batch that failed half-way is run again under its own number and replaces what it had written.
+    done, so a restart takes up the rest; a batch that failed half-way is run again under its own name and replaces what it had written. Several
+    streams, and plain writes, may share out.
     """
     arriving = spark.readStream.schema(PIXELS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    run = run_name(spark, checkpoint)
 
-    def batch(px: DataFrame, n: int) -> None:
+    def measure(px: DataFrame, n: int) -> None:
         own = keep(px, "arrived")
         images = own.select("image_id").distinct().withColumns({"path": F.lit(folder), "channel_names": F.array().cast("array<string>"), "pixel_size_um": F.lit(1.0), "z_step_um": F.lit(1.0)})
         done = run_pipeline(spec, Frames(own, images))
-        results.write_results({k: done.table(k) for k in done.tables}, out, experiment, batch=n)
-        drop(own)
+        results.write_results({k: done.table(k) for k in done.tables}, out, experiment, batch=f"stream-{run}-{n}")
 
-    return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return arriving.writeStream.foreachBatch(lambda px, n: passing(lambda: measure(px, n))).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from platelume.functions import contract, graph, runs, scratch
+from platelume.functions import contract, graph, neighbours, ranges, runs, scratch
 from platelume.operators import intensity, segment
 from platelume.plans import queries
 from platelume.sources import bitmaps, results
@@ -137,17 +137,72 @@ def test_components_of_large_frames(spark):
         assert {r.image_id: r.n for r in got} == want
 
 
-def test_stream_batches_replace_themselves(spark):
+def test_streams_and_writes_share_a_folder(spark):
+    """A batch that is run again replaces its rows; another stream, a checkpoint made anew and a plain write add theirs."""
     place = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     px = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").limit(2).selectExpr("s_suppkey AS image_id")
     px = px.selectExpr("image_id", "explode(sequence(0, 99)) AS i").selectExpr("image_id", "0 AS channel", "0 AS z", "CAST(i / 10 AS INT) AS y", "i % 10 AS x", "CAST(i * 1.0 AS DOUBLE) AS value")
     px.coalesce(1).write.parquet(f"{place}/in")
-    spec = {"name": "s", "steps": [{"type": "IntensityMeasurement", "channel": 0}]}
-    watch.watch_folder(spark, f"{place}/in", spec, f"{place}/out", f"{place}/checkpoint").awaitTermination()
-    first = results.read_results(spark, f"{place}/out", "intensity_measurements").count()
-    # the same batch once more, as after a failure between writing and noting it
-    watch.watch_folder(spark, f"{place}/in", spec, f"{place}/out", f"{place}/checkpoint-lost").awaitTermination()
-    assert first == results.read_results(spark, f"{place}/out", "intensity_measurements").count() == 2
+    px.selectExpr("image_id + 100 AS image_id", "channel", "z", "y", "x", "value").coalesce(1).write.parquet(f"{place}/other")
+    spec = {"name": "s", "steps": [{"type": "AutoThreshold", "channel": 0, "min_size": 0}, {"type": "IntensityMeasurement", "channel": 0}]}
+    name = "intensity_measurements"
+    held = set(scratch._PATHS)
+
+    def watched(folder, checkpoint):
+        watch.watch_folder(spark, f"{place}/{folder}", spec, f"{place}/out", f"{place}/{checkpoint}").awaitTermination()
+        return sorted(r.image_id for r in results.read_results(spark, f"{place}/out", name).collect())
+
+    first = watched("in", "one")
+    assert len(first) == 2 and watched("in", "one") == first
+    # the state is lost, the checkpoint's name is not: the same batch once more, as after a failure between writing and noting it
+    os.rename(f"{place}/one/state", f"{place}/lost")
+    assert watched("in", "one") == first
+    both = watched("other", "two")
+    assert both == sorted([*first, *(i + 100 for i in first)])
+    assert watched("other", "anew") == sorted([*both, *(i + 100 for i in first)])
+    results.write_results({name: results.read_results(spark, f"{place}/out", name).limit(1).drop("batch")}, f"{place}/out", "")
+    assert results.read_results(spark, f"{place}/out", name).count() == 7
+    assert not set(scratch._PATHS) - held
+
+
+@pytest.mark.parametrize("joined", [True, False])
+def test_running_sums_over_ranges(spark, joined):
+    rng = np.random.default_rng(3)
+    rows = [(g, int(v), float(n), 1.0) for g, size in ((1, 900), (2, 1), (None, 40), (3, 300)) for v, n in zip(rng.permutation(5000)[:size], rng.integers(1, 9, size), strict=True)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(joined).lower())
+    try:
+        df = spark.createDataFrame(rows, "g int, v long, n double, one double")
+        got = {(r.g, r.v): (r.nth, r.upto_n) for r in ranges.running(df, ["g"], "v", ["n"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for g in (1, 2, None, 3):
+        total = 0.0
+        for k, (_, v, n, _) in enumerate(sorted(r for r in rows if r[0] == g), 1):
+            total += n
+            want[g, v] = (k, total)
+    assert got == want
+
+
+def test_ranks_and_fixed_points_in_ranges(spark):
+    """Many distinct values: ranks over ranges, and Li's steps from block to block, as with all values in one."""
+    rng = np.random.default_rng(5)
+    planes = {1: np.concatenate((rng.normal(20, 5, 400), rng.normal(90, 9, 200))), 2: rng.integers(0, 9, 300).astype(float), 3: np.full(50, 4.0)}
+    pl = spark.createDataFrame([(i, 0, 0, k, float(v)) for i, vs in planes.items() for k, v in enumerate(vs)], "image_id long, channel int, y int, x int, value double")
+    for ranked in (1, 1000):
+        got = {r.image_id: list(r.p) for r in intensity.percentiles(pl, [0.01, 0.5, 0.995], ranked=ranked).collect()}
+        assert all(got[i] == pytest.approx(np.percentile(vs, [1, 50, 99.5])) for i, vs in planes.items())
+    whole, parts = ({r.image_id: r.threshold for r in segment.threshold_li(pl, block=b).collect()} for b in (1 << 16, 25))
+    assert whole == pytest.approx(parts) and set(whole) == set(planes)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 5, 17, 50])
+def test_flat_disk_by_chords(radius):
+    block = np.random.default_rng(radius).normal(0, 9, (61, 83))
+    block[40:, :20] = np.nan
+    flat = [(dy, dx, 0.0) for dy, dx in neighbours.disk(radius)]
+    for largest in (False, True):
+        assert np.array_equal(neighbours.disk_extreme(block, radius, largest), neighbours.shifted_extreme(block, flat, largest), equal_nan=True)
 
 
 def test_threshold_plan_reads_pixels_once(spark, sf):
