@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,53 @@ from pyspark.sql import types as T
 from .scratch import keep
 
 
+def begins(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Which rows differ from the one before in a key; the first does. Nulls are alike."""
+    first = np.zeros(len(batch), bool)
+    first[0] = True
+    for k in keys:
+        col = batch.column(batch.schema.get_field_index(k))
+        same = pc.fill_null(pc.equal(col[1:], col[:-1]), False).to_numpy(zero_copy_only=False)
+        both = pc.and_(pc.is_null(col[1:]), pc.is_null(col[:-1])).to_numpy(zero_copy_only=False)
+        first[1:] |= ~(same | both)
+    return first
+
+
+def grouped(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.RecordBatch, np.ndarray], dict[str, pa.Array | np.ndarray]], schema: str) -> DataFrame:
+    """The columns of schema that work(batch, first) makes of many whole groups at once, sorted by keys and order; first tells where a group begins.
+
+    As a call for each group costs more than a small group's work, what a batch holds of groups is worked on together.
+    """
+    names = T.StructType.fromDDL(schema).names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.concat_batches(parts)
+            made = work(whole, begins(whole, keys))
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (made[n] for n in names)], names=names)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            # the last group may go on in the next batch; one that has gone on to here may be all there is
+            start = np.flatnonzero(begins(pa.concat_batches([held[-1].slice(len(held[-1]) - 1), batch]) if held else batch, keys))[1:]
+            start = start - 1 if held else start
+            cut = int(start[-1]) if len(start) else None
+            if cut is None:
+                held.append(batch)
+                continue
+            parts = [*held, batch.slice(0, cut)] if cut else held
+            if parts:
+                yield done(parts)
+            held = [batch.slice(cut)]
+        if held:
+            yield done(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def running(df: DataFrame, keys: list[str], by: str, values: list[str]) -> DataFrame:
     """df with nth (from 1) and upto_{value} (this row included) within each key, in order of by, which is unique in a key.
 
@@ -32,15 +79,9 @@ def running(df: DataFrame, keys: list[str], by: str, values: list[str]) -> DataF
             n = len(batch)
             if not n:
                 continue
-            first = np.zeros(n, bool)
-            for k in keys:
-                col = batch.column(batch.schema.get_field_index(k))
-                same = pc.fill_null(pc.equal(col[1:], col[:-1]), False).to_numpy(zero_copy_only=False)
-                both = pc.and_(pc.is_null(col[1:]), pc.is_null(col[:-1])).to_numpy(zero_copy_only=False)
-                first[1:] |= ~(same | both)
+            first = begins(batch, keys)
             own = [batch.column(batch.schema.get_field_index(k)) for k in keys]
             goes_on = last is not None and [c[0].as_py() for c in own] == last
-            first[0] = True
             start = np.flatnonzero(first)
             size = np.diff(np.append(start, n))
             sums = []

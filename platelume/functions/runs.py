@@ -7,15 +7,15 @@ their borders is joined in Spark.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import contract
-from .scratch import drop, keep
+from .ranges import grouped
+from .scratch import keep
 
 #: Side of a tile that components are labelled in, and lines of a band.
 TILE = 512
@@ -94,20 +94,15 @@ def components(runs: DataFrame, connectivity: int = 8, tile: int = TILE) -> Data
     at = lambda c: F.floor(F.col(c) / tile).cast("int")
     pieces = runs.select(*key, "y", "a", "b", at("y").alias("ty"), F.explode(F.sequence(at("a"), at("b"))).alias("tx"))
     pieces = pieces.withColumns({"a": F.greatest("a", F.col("tx") * tile), "b": F.least("b", F.col("tx") * tile + tile - 1)})
-    # masks of one tile of an image are labelled together: one group a mask would be many small ones
-    apart = [c for c in key if c != "image_id"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*apart, "y", "a"], ignore_index=True)
-        y = pdf["y"].to_numpy().astype(np.int64)
-        if apart:  # each mask's lines lie apart from the others'
-            nth = pdf.groupby(apart, sort=False, dropna=False).ngroup().to_numpy().astype(np.int64)
-            y = y - y.min() + nth * (tile + 2)
-        root = label_runs(y, pdf["a"].to_numpy(), pdf["b"].to_numpy(), connectivity)
-        return pdf.assign(fy=pdf["y"].to_numpy()[root], fx=pdf["a"].to_numpy()[root])
-
-    group = ["image_id", "ty", "tx"] if "image_id" in key else [*key, "ty", "tx"]
-    local = keep(pieces.groupBy(*group).applyInPandas(run, ddl(runs, key) + ", y int, a int, b int, ty int, tx int, fy int, fx int"), "tiles")
+
+    def label(batch: pa.RecordBatch, first: np.ndarray) -> dict[str, pa.Array | np.ndarray]:
+        y, left, right, ty = _ints(batch, "y", "a", "b", "ty")
+        # each tile of each mask has lines of its own, apart from the others'
+        root = label_runs((np.cumsum(first) - 1) * (tile + 2) + y - ty * tile, left, right, connectivity)
+        return {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names} | {"fy": y[root].astype(np.int32), "fx": left[root].astype(np.int32)}
+
+    local = grouped(pieces, [*key, "ty", "tx"], ["y", "a"], label, ddl(runs, key) + ", y int, a int, b int, ty int, tx int, fy int, fx int")
+    local = keep(local, "tiles")
     if not local.filter("ty <> 0 OR tx <> 0").isEmpty():  # with one tile an image all is said
         reach = 1 if connectivity == 8 else 0
         other = local.select(*key, F.col("y").alias("y2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("ty").alias("ty2"), F.col("tx").alias("tx2"), F.struct("fy", "fx").alias("g"))
@@ -132,16 +127,12 @@ def in_bands(runs: DataFrame, halo: str | int = 0, band: int = BAND) -> DataFram
     return runs.withColumn("band", F.explode(F.sequence(F.floor((F.col("y") - h) / band).cast("int"), F.floor((F.col("y") + h) / band).cast("int"))))
 
 
-def by_mask(pdf: pd.DataFrame, apart: list[str]) -> Iterator[tuple[dict, pd.DataFrame]]:
-    """A band's masks one after the other: their keys, and their runs in raster order."""
-    pdf = pdf.sort_values([*apart, "y", "a"], ignore_index=True)
-    if not apart:
-        yield {}, pdf
-        return
-    nth = pdf.groupby(apart, sort=False, dropna=False).ngroup().to_numpy()
-    cut = np.flatnonzero(np.diff(nth, prepend=-1, append=-2))
-    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        yield {c: pdf[c].iloc[i] for c in apart}, pdf.iloc[i:j]
+def _ints(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+
+
+def _keys_at(batch: pa.RecordBatch, key: list[str], at: np.ndarray) -> dict[str, pa.Array]:
+    return {c: batch.column(batch.schema.get_field_index(c)).take(pa.array(at)) for c in key}
 
 
 def united(y: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,25 +150,23 @@ def united(y: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.
 def dilate(runs: DataFrame, frame: DataFrame, band: int = BAND) -> DataFrame:
     """runs (image_id, .., n, y, a, b) grown by n steps to the four neighbours within frame. Each run is sent to the bands within its reach."""
     key = [c for c in keys(runs) if c != "n"]
-    apart = [c for c in key if c != "image_id"]
-    near = in_bands(runs.join(frame, "image_id"), "n", band).filter("band >= 0 AND band * %d < height" % band)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        height, width, n, top = (int(pdf[c].iloc[0]) for c in ("height", "width", "n", "band"))
-        first, last = top * band, min(top * band + band, height) - 1
-        out = []
-        for own, rows in by_mask(pdf, apart):
-            y, a, b = (rows[c].to_numpy().astype(np.int64) for c in ("y", "a", "b"))
-            parts = []
-            for d in range(-n, n + 1):
-                ok = (y + d >= first) & (y + d <= last)
-                parts.append((y[ok] + d, np.maximum(a[ok] - (n - abs(d)), 0), np.minimum(b[ok] + (n - abs(d)), width - 1)))
-            y, a, b = united(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            out.append(pd.DataFrame({**own, "y": y, "a": a, "b": b}))
-        made = pd.concat(out, ignore_index=True)
-        return made.assign(image_id=pdf["image_id"].iloc[0])
-
-    return near.groupBy("image_id", "n", "band").applyInPandas(run, ddl(runs, key) + ", y int, a int, b int")
+    near = in_bands(runs.join(frame, "image_id"), "n", band).filter(f"band >= 0 AND band * {band} < height")
+
+    def grow(batch: pa.RecordBatch, first: np.ndarray) -> dict[str, pa.Array | np.ndarray]:
+        y, a, b, n, height, width, top = _ints(batch, "y", "a", "b", "n", "height", "width", "band")
+        start, group = np.flatnonzero(first), np.cumsum(first) - 1
+        line = group * band + y - top * band  # groups lie one below the other
+        low, high = group * band, group * band + np.minimum(band, height - top * band) - 1
+        parts = []
+        for d in range(-int(n.max()), int(n.max()) + 1):
+            ok = (n >= abs(d)) & (line + d >= low) & (line + d <= high)
+            reach = n[ok] - abs(d)
+            parts.append((line[ok] + d, np.maximum(a[ok] - reach, 0), np.minimum(b[ok] + reach, width[ok] - 1)))
+        line, a, b = united(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        of = start[line // band]
+        return _keys_at(batch, key, of) | {"y": (line % band + top[of] * band).astype(np.int32), "a": a.astype(np.int32), "b": b.astype(np.int32)}
+
+    return grouped(near, [*key, "band"], ["y", "a"], grow, ddl(runs, key) + ", y int, a int, b int")
 
 
 def line_sums(lines: dict[int, int], first: int, last: int, worth: dict[int, float]) -> float:
@@ -213,29 +202,25 @@ def line_sums(lines: dict[int, int], first: int, last: int, worth: dict[int, flo
     return total
 
 
-def bits(rows: pd.DataFrame) -> dict[int, int]:
-    """Lines as numbers whose bits are set pixels, counted from two left of the first."""
-    left = int(rows["a"].min()) - 2
-    out: dict[int, int] = {}
-    for y, a, b in zip(rows["y"].tolist(), rows["a"].tolist(), rows["b"].tolist(), strict=True):
-        out[y] = out.get(y, 0) | ((1 << (b - a + 1)) - 1) << (a - left)
-    return out
-
-
 def perimeters(runs: DataFrame, worth: dict[int, float], band: int = BAND) -> DataFrame:
     """(.., perimeter): the summed worth of each mask's border pixels."""
     key = keys(runs)
-    apart = [c for c in key if c != "image_id"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        top = int(pdf["band"].iloc[0]) * band
-        out = []
-        for own, rows in by_mask(pdf, apart):
-            first, last = max(top, int(rows["y"].min())), min(top + band - 1, int(rows["y"].max()))
-            out.append({**own, "part": line_sums(bits(rows), first, last, worth)})
-        return pd.DataFrame(out).assign(image_id=pdf["image_id"].iloc[0])
-
-    parts = in_bands(runs, 2, band).groupBy("image_id", "band").applyInPandas(run, ddl(runs, key) + ", part double")
+    def measure(batch: pa.RecordBatch, first: np.ndarray) -> dict[str, pa.Array | np.ndarray]:
+        y, a, b, top = _ints(batch, "y", "a", "b", "band")
+        start = np.flatnonzero(first)
+        left = np.minimum.reduceat(a, start) - 2
+        parts = []
+        ys, begin, size = y.tolist(), (a - np.repeat(left, np.diff(np.append(start, len(a))))).tolist(), (b - a + 1).tolist()
+        for i, j in zip(start.tolist(), [*start[1:].tolist(), len(y)], strict=True):
+            lines: dict[int, int] = {}
+            for k in range(i, j):
+                lines[ys[k]] = lines.get(ys[k], 0) | ((1 << size[k]) - 1) << begin[k]
+            low = int(top[i]) * band
+            parts.append(line_sums(lines, max(low, ys[i]), min(low + band - 1, ys[j - 1]), worth))
+        return _keys_at(batch, key, start) | {"part": np.array(parts)}
+
+    parts = grouped(in_bands(runs, 2, band), [*key, "band"], ["y", "a"], measure, ddl(runs, key) + ", part double")
     return parts.groupBy(*key).agg(F.sum("part").alias("perimeter"))
 
 
@@ -279,19 +264,18 @@ def hull_pixels(points: list[tuple[int, int]]) -> int:
 def hull_areas(runs: DataFrame, band: int = BAND) -> DataFrame:
     """(.., area, hull): each mask's pixels, and those in the convex hull of its pixels' edge midpoints. Bands give the corners of their parts' hulls."""
     key = keys(runs)
-    apart = [c for c in key if c != "image_id"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for own, rows in by_mask(pdf, apart):
-            line = rows.groupby("y").agg(a=("a", "min"), b=("b", "max"))
-            y, a, b = (v.astype(int).tolist() for v in (line.index.to_numpy(), line["a"].to_numpy(), line["b"].to_numpy()))
-            points = [(2 * v + d, 2 * e + f) for v, p, q in zip(y, a, b, strict=True) for e in (p, q) for d, f in ((1, 0), (-1, 0), (0, 1), (0, -1))]
-            found = hull(points)
-            out.append({**own, "area": int((rows["b"] - rows["a"] + 1).sum()), "ys": [p[0] for p in found], "xs": [p[1] for p in found]})
-        return pd.DataFrame(out).assign(image_id=pdf["image_id"].iloc[0])
-
-    parts = in_bands(runs, 0, band).groupBy("image_id", "band").applyInPandas(run, ddl(runs, key) + ", area long, ys array<long>, xs array<long>")
+
+    def corners(batch: pa.RecordBatch, first: np.ndarray) -> dict[str, pa.Array | np.ndarray]:
+        y, a, b = _ints(batch, "y", "a", "b")
+        start = np.flatnonzero(first)
+        line = np.flatnonzero(first | np.concatenate(([True], y[1:] != y[:-1])))
+        rows = list(zip(y[line].tolist(), np.minimum.reduceat(a, line).tolist(), np.maximum.reduceat(b, line).tolist(), strict=True))
+        cut = np.searchsorted(line, np.append(start, len(y))).tolist()
+        found = [hull([(2 * v + d, 2 * e + f) for v, p, q in rows[i:j] for e in (p, q) for d, f in ((1, 0), (-1, 0), (0, 1), (0, -1))]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        longs = pa.list_(pa.int64())
+        return _keys_at(batch, key, start) | {"area": np.add.reduceat(b - a + 1, start), "ys": pa.array([[p[0] for p in f] for f in found], longs), "xs": pa.array([[p[1] for p in f] for f in found], longs)}
+
+    parts = grouped(in_bands(runs, 0, band), [*key, "band"], ["y", "a"], corners, ddl(runs, key) + ", area long, ys array<long>, xs array<long>")
     whole = parts.groupBy(*key).agg(F.sum("area").alias("area"), F.flatten(F.collect_list("ys")).alias("ys"), F.flatten(F.collect_list("xs")).alias("xs"))
 
     @F.pandas_udf("long")
