@@ -287,6 +287,10 @@ def extract_roi(px: DataFrame, channel: int, sigma: float = 20.0, method: str =
     return fill_holes(above(pl, found).select("image_id", "y", "x"), frame_of(px))
 
 
+#: ROIs that hold for every image and are broadcast, at most.
+EVERYWHERE = 10_000
+
+
 def rasterize_polygons(rois: DataFrame, frame: DataFrame) -> DataFrame:
     """rois (image_id or none for every image, vertices array<struct<row, col>>) -> mask (image_id, y, x).
 
@@ -294,7 +298,11 @@ def rasterize_polygons(rois: DataFrame, frame: DataFrame) -> DataFrame:
     outline's vertices or edges; ROIs of fewer than three vertices are left out, and an image's ROIs are united.
     """
     own = rois.filter(F.size("vertices") >= 3)
-    own = own.join(frame, "image_id") if "image_id" in rois.columns else frame.crossJoin(F.broadcast(own))  # ROIs for every image are few
+    if "image_id" in rois.columns:
+        own = own.join(frame, "image_id")
+    else:  # ROIs for every image: sent to the frames if they are counted few
+        few = own.limit(EVERYWHERE + 1).count() <= EVERYWHERE
+        own = frame.crossJoin(F.broadcast(own) if few else own)
     clip = lambda v, size: F.greatest(F.lit(0), F.least(v.cast("int"), F.col(size) - 1))
     own = own.withColumn("vs", F.transform("vertices", lambda s: F.struct(clip(s["row"], "height").alias("r"), clip(s["col"], "width").alias("c"))))
     own = own.withColumn("edges", F.zip_with("vs", F.concat(F.slice("vs", 2, F.size("vs")), F.slice("vs", 1, 1)), lambda a, b: F.struct(a["r"].alias("r1"), a["c"].alias("c1"), b["r"].alias("r2"), b["c"].alias("c2"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import inspect
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.neighbours import frame_of
-from ..functions.scratch import keep
+from ..functions.scratch import keep, passing
 from ..operators import intensity, measure, segment
 from ..sources import files, results
 
@@ -230,20 +231,26 @@ def step_trace(spec: dict | str, frames: Frames) -> DataFrame:
 
 
 def batch_directory(spark: SparkSession, spec: dict, root: str, out: str, experiment: str = "", export: bool = False) -> dict[str, DataFrame]:
-    """The spec over all bitmaps under root: result tables and the run log are appended under out. Files that can't be read are logged as errors."""
-    listed = files.scan_files(spark, root, list(files.BITMAPS))
-    px = keep(files.read_bitmaps(spark, root).withColumn("image_id", F.xxhash64("path")))
-    images = px.select("image_id", "path").distinct().withColumns({"channel_names": F.array().cast("array<string>"), "pixel_size_um": F.lit(1.0), "z_step_um": F.lit(1.0)})
-    done = run_pipeline(spec, Frames(px.drop("path"), images))
-    tables = {k: done.table(k) for k in done.tables}
-    info = files.image_info(px.drop("path"), images).drop("channels")
-    registered = results.register_images(images.select("path", "image_id"), info, experiment)
-    failed = listed.withColumn("image_id", F.xxhash64("path")).join(images.select("image_id"), "image_id", "left_anti").select("image_id", F.concat(F.lit("not readable: "), "path").alias("error"))
-    tables |= {"images": registered, "pipeline_runs": results.run_log(images, failed, spec.get("name", "pipeline"), json.dumps(spec))}
-    results.write_results(tables, out, experiment)
-    if export:
-        results.export_parquet(tables, f"{out}/export")
-    return tables
+    """The spec over all bitmaps under root: result tables and the run log are appended under out, and what was written is returned. Files that can't be read are logged as errors."""
+    batch, names = f"folder-{uuid.uuid4().hex}", []
+
+    def run() -> None:
+        listed = files.scan_files(spark, root, list(files.BITMAPS))
+        px = keep(files.read_bitmaps(spark, root).withColumn("image_id", F.xxhash64("path")))
+        images = px.select("image_id", "path").distinct().withColumns({"channel_names": F.array().cast("array<string>"), "pixel_size_um": F.lit(1.0), "z_step_um": F.lit(1.0)})
+        done = run_pipeline(spec, Frames(px.drop("path"), images))
+        tables = {k: done.table(k) for k in done.tables}
+        info = files.image_info(px.drop("path"), images).drop("channels")
+        registered = results.register_images(images.select("path", "image_id"), info, experiment)
+        failed = listed.withColumn("image_id", F.xxhash64("path")).join(images.select("image_id"), "image_id", "left_anti").select("image_id", F.concat(F.lit("not readable: "), "path").alias("error"))
+        tables |= {"images": registered, "pipeline_runs": results.run_log(images, failed, spec.get("name", "pipeline"), json.dumps(spec))}
+        results.write_results(tables, out, experiment, batch)
+        if export:
+            results.export_parquet(tables, f"{out}/export")
+        names.extend(tables)
+
+    passing(run)
+    return {k: results.read_results(spark, out, k).filter(F.col("batch") == batch).drop("batch").select(*results.schema_names(k)) for k in names}
 
 
 def well_plan(wells: DataFrame, resolved: DataFrame, selections: DataFrame) -> DataFrame:

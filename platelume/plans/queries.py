@@ -98,14 +98,13 @@ def scan_files(spark, d):
 def _bitmaps(spark, d, place):
     """Each image's projected channels as a colour bitmap in a folder."""
     line = _plane(spark, d).groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "channel", F.col("value").cast("int").alias("v")))).alias("px"))
-    lines = line.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "px"))), lambda s: F.transform(s["px"], lambda p: p["v"])).alias("rows"))
-    return write_bitmaps(lines, place)
+    return write_bitmaps(line.select("image_id", "y", F.transform("px", lambda p: p["v"]).alias("values")), place)
 
 
 @query(sql("plane", "SELECT image_id, channel, count(*) AS n, sum(value) AS total FROM (SELECT * FROM plane UNION ALL SELECT image_id, 2, y, x, 0 FROM p0) GROUP BY ALL".replace("FROM p0", "FROM plane WHERE channel=0")))
 def read_bitmaps(spark, d):
-    """Bitmaps of the images read back as pixels."""
-    back = files.read_bitmaps(spark, _bitmaps(spark, d, f"{folder(spark)}/bitmaps/{uuid.uuid4().hex}"))
+    """Bitmaps of the images read back as pixels, each in several tasks."""
+    back = files.read_bitmaps(spark, _bitmaps(spark, d, f"{folder(spark)}/bitmaps/{uuid.uuid4().hex}"), 1024)
     return back.groupBy("path", "channel").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.regexp_extract("path", r"img_(\d+)", 1).cast("long").alias("image_id"), "channel", "n", "total")
 
 
@@ -735,7 +734,7 @@ def centroids_um(spark, d):
 
 #: The sample job with radii that fit the frames.
 SPEC = {
-    "name": "synapse_analysis",
+    "name": "spots of two channels",
     "steps": [
         {"type": "BackgroundSubtraction", "channel": 0, "radius": 5.0},
         {"type": "BackgroundSubtraction", "channel": 1, "radius": 5.0},

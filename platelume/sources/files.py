@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bitmaps
+
 BITMAPS = (".png", ".jpg", ".jpeg", ".bmp", ".gif")
 
 
@@ -43,30 +45,22 @@ def scan_files(spark: SparkSession, root: str, extensions: list[str], contains:
     return select_files(found.select(_path("path").alias("path"), "length", F.col("modificationTime").alias("modified")), extensions, contains).orderBy("path")
 
 
-#: Pixel values of one batch of rows that a bitmap is laid out in.
-VALUES = 1 << 18
-
-
 def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Images (origin, height, width, nChannels, data) as pixel rows, some lines at a time."""
+    """Decoded images (path, height, width, nChannels, data) as pixel rows, some lines at a time."""
     for batch in batches:
         for i in range(len(batch)):
-            origin, height, width, n = (batch.column(c)[i].as_py() for c in range(4))
-            values = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint8).reshape(height, width, n)
-            order = np.array([2 - c if n >= 3 and c < 3 else c for c in range(n)], np.int32)  # stored blue first
-            step = max(1, VALUES // max(1, width * n))
-            for top in range(0, height, step):
-                part = values[top : top + step]
-                y, x, c = np.indices(part.shape, np.int32)
-                size = part.size
-                yield pa.RecordBatch.from_arrays([pa.repeat(origin, size), pa.array(order[c.ravel()]), pa.repeat(pa.scalar(0, pa.int32()), size), pa.array(y.ravel() + np.int32(top)), pa.array(x.ravel()), pa.array(part.ravel().astype(float))], names=["path", "channel", "z", "y", "x", "value"])
-
-
-def read_bitmaps(spark: SparkSession, path: str) -> DataFrame:
-    """(path, channel, z, y, x, value) of bitmaps; the channels, stored blue first, come out red first. Files that can't be read give no rows."""
-    raw = spark.read.format("image").option("dropInvalid", "true").load(path)
+            path, *shape = (batch.column(c)[i].as_py() for c in range(4))
+            yield from bitmaps.pixel_rows(path, 0, np.frombuffer(batch.column(4)[i].as_buffer(), np.uint8).reshape(shape))
+
+
+def read_bitmaps(spark: SparkSession, path: str, chunk: int = bitmaps.CHUNK) -> DataFrame:
+    """(path, channel, z, y, x, value) of the images under path; the channels come out red first. Files that can't be read give no rows.
+
+    BMP files are read in ranges of chunk bytes, each a task's; what must be decoded as a whole (PNG, JPEG, GIF) by Spark's image source.
+    """
+    raw = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pPjJgG][nNpPiI]*").load(path)
     raw = raw.select(_path("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
-    return raw.mapInArrow(_laid_out, "path string, channel int, z int, y int, x int, value double")
+    return bitmaps.read_bmp(spark, path, chunk).unionByName(raw.mapInArrow(_laid_out, bitmaps.PIXELS))
 
 
 def pixels_ingest(raw: DataFrame, scene: int = 0) -> DataFrame:

@@ -26,6 +26,10 @@ def schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(TABLES[name])
 
 
+def schema_names(name: str) -> list[str]:
+    return schema(name).names
+
+
 def _default(field: T.StructField) -> Column:
     if field.name in DEFAULTS:
         return F.lit(DEFAULTS[field.name])

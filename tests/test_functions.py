@@ -2,6 +2,7 @@
 
 import math
 import os
+import struct
 import tempfile
 import threading
 
@@ -116,17 +117,42 @@ def test_polygons(spark):
     assert every.groupBy("image_id").count().select("count").distinct().collect()[0][0] == 8 and every.count() == 8 * len(shapes)
 
 
-def test_bitmap_bytes():
+def test_bitmap_lines():
     for channels, row in ((1, [5, 300, -2]), (2, [1, 2, 3, 4, 5, 6]), (3, [1, 2, 3, 4, 5, 6, 7, 8, 9])):
-        raw = bitmaps.bmp([row, [0] * len(row)], channels)
-        wide = 12  # 3 pixels of 3 bytes, filled up to 12
-        assert len(raw) == 54 + 2 * wide
-        first = raw[54 + wide : 54 + wide + 9]  # lines stand from the last to the first
+        first = bitmaps.line_bytes(np.array(row), channels)
+        assert len(first) == 12  # 3 pixels of 3 bytes, filled up to 12
         for x in range(3):
             own = [min(255, max(0, v)) for v in row[x * channels : x * channels + channels]] + [0] * (3 - channels)
             assert list(first[3 * x : 3 * x + 3]) == own[::-1]
 
 
+def test_bitmaps_in_ranges(spark, tmp_path):
+    """Files of 24, 32 and 8 bits, top down too, in ranges of any size, as Spark's image source decodes them; broken and foreign files give no rows."""
+    rng = np.random.default_rng(2)
+    want = rng.integers(0, 256, (7, 5, 3))
+    lines = spark.createDataFrame([(i, y, want[y].ravel().tolist()) for i in (1, 2) for y in range(7)], "image_id long, y int, values array<int>")
+    bitmaps.write_bitmaps(lines.repartition(3), str(tmp_path / "in"), 3)
+    raw = (tmp_path / "in" / "img_1.bmp").read_bytes()
+    assert raw[:54] == bitmaps.header(7, 5)
+    (tmp_path / "in" / "cut.bmp").write_bytes(raw[:-9])
+    (tmp_path / "in" / "text.bmp").write_bytes(b"BM no bitmap")
+    (tmp_path / "in" / "empty.bmp").write_bytes(b"")
+    head = lambda bits, first, height: struct.pack("<2sIHHI", b"BM", 0, 0, 0, first) + struct.pack("<IiiHHIIiiII", 40, 5, height, 1, bits, 0, 0, 1, 1, 256 if bits == 8 else 0, 0)
+    (tmp_path / "in" / "down.BMP").write_bytes(head(32, 54, -7) + np.concatenate((want[:, :, ::-1], np.full((7, 5, 1), 9)), 2).astype(np.uint8).tobytes())
+    palette, at = rng.integers(0, 256, (256, 4)).astype(np.uint8), rng.integers(0, 256, (7, 8)).astype(np.uint8)
+    (tmp_path / "in" / "eight.bmp").write_bytes(head(8, 54 + 1024, 7) + palette.tobytes() + at.tobytes())
+    for chunk in (1, 37, 1 << 20):
+        got = {}
+        for r in bitmaps.read_bmp(spark, str(tmp_path / "in"), chunk).collect():
+            assert (r.path, r.channel, r.y, r.x) not in got
+            got[r.path.rsplit("/", 1)[1], r.channel, r.y, r.x] = r.value
+        whole = {(n, c, y, x): float(want[y, x, c]) for n in ("img_1.bmp", "img_2.bmp", "down.BMP") for y in range(7) for x in range(5) for c in range(3)}
+        whole |= {("eight.bmp", c, y, x): float(palette[at[6 - y, x], 2 - c]) for y in range(7) for x in range(5) for c in range(3)}
+        assert got == whole
+    image = spark.read.format("image").load(str(tmp_path / "in" / "img_1.bmp")).select("image.*").first()
+    assert np.array_equal(np.frombuffer(image.data, np.uint8).reshape(7, 5, 3)[:, :, ::-1], want)
+
+
 def test_components_of_large_frames(spark):
     """Frames wider than a tile's side: a line, a frame's edge and a diagonal that cross several tiles of the standard size."""
     side = runs.TILE * 2 + 40
