@@ -22,16 +22,18 @@ BINS = 256
 # ---- automatic thresholds --------------------------------------------------------------------
 
 
-def histogram(pl: DataFrame) -> DataFrame:
-    """(image_id, channel, lo, hi, bin, n, centre), all BINS bins of each plane's own range."""
+def histogram(pl: DataFrame, empty: bool = True) -> DataFrame:
+    """(image_id, channel, lo, hi, bin, n, centre), BINS bins of each plane's own range: all, or those that hold a pixel."""
     key = ["image_id", "channel"]
     rng = pl.groupBy(*key).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     span = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     at = F.least(F.lit(BINS - 1), F.coalesce(F.floor((F.col("value") - F.col("lo")) / span * BINS), F.lit(0))).cast("int")
-    counts = pl.join(rng, key).groupBy(*key, at.alias("bin")).agg(F.count("*").alias("n"))
-    bins = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
+    counts = pl.join(rng, key).groupBy(*key, "lo", "hi", at.alias("bin")).agg(F.count("*").alias("n"))
     centre = F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / BINS
-    return bins.join(counts, [*key, "bin"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "centre": centre})
+    if not empty:
+        return counts.withColumn("centre", centre)
+    bins = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
+    return bins.join(counts.drop("lo", "hi"), [*key, "bin"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "centre": centre})
 
 
 def _windows() -> tuple:
@@ -50,10 +52,10 @@ def _best(scored: DataFrame, score: Column, centre: Column | None = None) -> Dat
 
 
 def threshold_otsu(pl: DataFrame) -> DataFrame:
-    """(image_id, channel, threshold), Otsu 1979: the largest variance between classes."""
+    """(image_id, channel, threshold), Otsu 1979: the largest variance between classes. An empty bin parts the pixels as the bin before it does, so it is never the first."""
     upto, after, _ = _windows()
     nc = F.col("n") * F.col("centre")
-    h = histogram(pl).withColumns({"w1": F.sum("n").over(upto), "w2": F.sum("n").over(after), "s1": F.sum(nc).over(upto), "s2": F.sum(nc).over(after)})
+    h = histogram(pl, empty=False).withColumns({"w1": F.sum("n").over(upto), "w2": F.sum("n").over(after), "s1": F.sum(nc).over(upto), "s2": F.sum(nc).over(after)})
     gap = F.col("s1") / F.nullif(F.col("w1"), F.lit(0)) - F.col("s2") / F.nullif(F.col("w2"), F.lit(0))
     return _best(h.filter(f"bin < {BINS - 1}"), F.col("w1").cast("double") * F.col("w2") * gap * gap)
 
@@ -62,7 +64,7 @@ def threshold_yen(pl: DataFrame) -> DataFrame:
     """Yen 1995: the largest correlation criterion."""
     upto, after, whole = _windows()
     p = F.col("n") / F.sum("n").over(whole)
-    h = histogram(pl).withColumn("p", p)
+    h = histogram(pl, empty=False).withColumn("p", p)
     h = h.withColumns({"p1": F.sum("p").over(upto), "q1": F.sum(F.col("p") * F.col("p")).over(upto), "q2": F.sum(F.col("p") * F.col("p")).over(after)})
     top = F.col("p1") * (1 - F.col("p1"))
     return _best(h.filter(f"bin < {BINS - 1}"), top * top / F.nullif(F.col("q1") * F.col("q2"), F.lit(0.0)))
