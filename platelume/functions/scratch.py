@@ -36,6 +36,16 @@ def _at(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
+
+
 def folder(spark: SparkSession) -> str:
     """This application's own folder; Hadoop removes it when the driver ends."""
     place = f"{scratch(spark)}/platelume/{spark.sparkContext.applicationId}"
@@ -61,8 +71,7 @@ def keep(df: DataFrame, label: str = "table") -> DataFrame:
 def _remove(spark: SparkSession, path: str) -> None:
     if path in _PATHS:
         _PATHS.discard(path)
-        fs, where = _at(spark, path)
-        fs.delete(where, True)
+        remove(spark, path)
 
 
 def drop(*tables: DataFrame | None) -> None:

@@ -211,6 +211,16 @@ def run_pipeline(spec: dict | str, frames: Frames, trace: Callable[[int, str, Fr
     return frames
 
 
+def preview(spec: dict | str, frames: Frames, image_id: int, steps: int | None = None, z: int | None = None) -> Frames:
+    """One image, or one slice of it, through the first steps of a job (all, if not said): only its rows are read, planned and written."""
+    spec = check_spec(spec)
+    one = lambda df: df.filter(F.col("image_id") == image_id) if df is not None and "image_id" in df.columns else df
+    px = one(frames.px)
+    px = px if z is None else px.filter(F.col("z") == z).withColumn("z", F.lit(0))
+    own = replace(frames, px=px, images=one(frames.images), masks={k: one(m) for k, m in frames.masks.items()}, rois=one(frames.rois), prob=one(frames.prob))
+    return run_pipeline({**spec, "steps": spec["steps"][:steps]}, own)
+
+
 def step_trace(spec: dict | str, frames: Frames) -> DataFrame:
     """(step, type, image_id, n_mask_pixels, value_sum): what each step left, for a preview."""
     parts: list[DataFrame] = []

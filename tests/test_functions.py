@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from platelume.functions import contract, graph, neighbours, ranges, runs, scratch
 from platelume.operators import intensity, segment
-from platelume.plans import queries
+from platelume.plans import jobs, queries
 from platelume.sources import bitmaps, results
 from platelume.streaming import watch
 
@@ -191,6 +191,38 @@ def test_streams_and_writes_share_a_folder(spark):
     assert not set(scratch._PATHS) - held
 
 
+def test_images_that_come_in_parts(spark):
+    """Two images over three files, a batch each: each is measured once, when it is whole; what is measured no longer waits."""
+    place = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = [(i, 0, 0, y, x, float(10 * i + y)) for i in (1, 2, 3) for y in range(4) for x in range(3)]
+    table = lambda part: spark.createDataFrame(part, watch.PIXELS).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    sizes = spark.createDataFrame([(1, 12), (2, 12), (3, 13)], "image_id long, n_pixels long")
+    spec = {"name": "s", "steps": [{"type": "IntensityMeasurement", "channel": 0}]}
+    seen = []
+    for part in (rows[:20], rows[20:24], rows[24:]):
+        table(part)
+        watch.watch_folder(spark, f"{place}/in", spec, f"{place}/out", f"{place}/cp", files_per_batch=1, sizes=sizes).awaitTermination()
+        seen.append({r.image_id: r.sum_intensity for r in results.read_results(spark, f"{place}/out", "intensity_measurements").collect()})
+    want = {i: sum(r[5] for r in rows if r[0] == i) for i in (1, 2)}
+    assert seen == [{1: want[1]}, want, want]
+    assert results.read_results(spark, f"{place}/out", "intensity_measurements").count() == 2
+    table([(3, 0, 0, 9, 9, 1.0)])
+    watch.watch_folder(spark, f"{place}/in", spec, f"{place}/out", f"{place}/cp", files_per_batch=1, sizes=sizes).awaitTermination()
+    got = {r.image_id: r.sum_intensity for r in results.read_results(spark, f"{place}/out", "intensity_measurements").collect()}
+    assert got == {**want, 3: sum(r[5] for r in rows if r[0] == 3) + 1}
+    assert {r.batch for r in spark.read.parquet(f"{place}/cp/images/waiting").select("batch").distinct().collect()} <= {"b2", "b3"}
+
+
+def test_preview(spark):
+    px = spark.createDataFrame([(i, 0, z, y, x, float(i + z + (y == x) * 50)) for i in (1, 2) for z in (0, 1) for y in range(5) for x in range(5)], watch.PIXELS)
+    images = spark.createDataFrame([(i, "a", ["A"], 1.0, 1.0) for i in (1, 2)], "image_id long, path string, channel_names array<string>, pixel_size_um double, z_step_um double")
+    spec = {"steps": [{"type": "AutoThreshold", "channel": 0, "min_size": 0}, {"type": "IntensityMeasurement", "channel": 0}]}
+    seen = jobs.preview(spec, jobs.Frames(px, images), 2, 1, 1)
+    assert not seen.tables and {(r.image_id, r.y, r.x) for r in seen.mask("mask_ch0").collect()} == {(2, k, k) for k in range(5)}
+    assert {(r.image_id, r.z) for r in seen.px.collect()} == {(2, 0)}
+    assert [r.image_id for r in jobs.preview(spec, jobs.Frames(px, images), 1).table("intensity_measurements").collect()] == [1]
+
+
 @pytest.mark.parametrize("joined", [True, False])
 def test_running_sums_over_ranges(spark, joined):
     rng = np.random.default_rng(3)
