@@ -109,6 +109,47 @@ def shifted_extreme(block: np.ndarray, offsets: list[tuple[int, int, float]], la
     return out
 
 
+#: Offsets of a ball are looked at in squares of this side, but for those this near.
+SQUARE, NEAR = 8, 6
+
+
+def ball_least(block: np.ndarray, radius: float) -> np.ndarray:
+    """At each place the least of value + height of a ball's lower side above its lowest point, inside the frame; NaN is outside.
+
+    Near offsets come first, then squares of offsets from the flattest on: where a square's least value, found for all places at once, cannot
+    lie below what is known even at the ball's least height in it, none of its offsets is tried.
+    """
+    h, w = block.shape
+    r = int(radius)
+    offsets = [(dy, dx, radius - math.sqrt(radius * radius - dy * dy - dx * dx)) for dy, dx in disk(radius)]
+    near = [o for o in offsets if o[0] ** 2 + o[1] ** 2 <= NEAR * NEAR]
+    outside = np.isnan(block)
+    out = shifted_extreme(block, near)
+    out[outside] = -np.inf
+    wide = np.full((h + 2 * (r + SQUARE), w + 2 * (r + SQUARE)), np.inf)
+    wide[r : r + h, r : r + w] = np.where(outside, np.inf, block)
+    low, n = wide, 1
+    while n < SQUARE:
+        low = np.minimum(low[:-n], low[n:])
+        low = np.minimum(low[:, :-n], low[:, n:])
+        n *= 2
+    squares: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+    for dy, dx, height in offsets:
+        if dy * dy + dx * dx > NEAR * NEAR:
+            squares.setdefault(((dy + r) // SQUARE * SQUARE, (dx + r) // SQUARE * SQUARE), []).append((dy, dx, height))
+    flat, source = out.ravel(), wide.ravel()
+    place = (np.arange(h)[:, None] * wide.shape[1] + np.arange(w)).ravel()
+    for (top, left), own in sorted(squares.items(), key=lambda s: min(o[2] for o in s[1])):
+        at = np.flatnonzero((low[top : top + h, left : left + w] + min(o[2] for o in own) < out).ravel())
+        if len(at):
+            best, here = flat[at], place[at]
+            for dy, dx, height in own:
+                np.minimum(best, source[here + (dy + r) * wide.shape[1] + dx + r] + height, out=best)
+            flat[at] = best
+    out[outside] = np.nan
+    return out
+
+
 def disk_extreme(block: np.ndarray, radius: int, largest: bool = False) -> np.ndarray:
     """At each place the least (or largest) value of a flat disk inside the frame; NaN is outside.
 

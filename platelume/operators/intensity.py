@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.neighbours import TILE, convolve, disk, disk_extreme, gaussian_weights, lines, plane_keys, shifted_extreme, tiled, unline
+from ..functions.neighbours import TILE, ball_least, convolve, disk_extreme, gaussian_weights, lines, plane_keys, tiled, unline
 from ..functions.ranges import running
 from ..functions.scratch import keep
 
@@ -111,10 +111,8 @@ def background_subtract(px: DataFrame, channel: int | None = None, radius: float
     if method not in ("rolling_ball", "tophat"):
         raise ValueError(f"unknown background method {method!r}")
     own = px if channel is None else px.filter(F.col("channel") == channel)
-    ball = [(dy, dx, radius - float(np.sqrt(radius * radius - dy * dy - dx * dx))) for dy, dx in disk(radius)]
-
     def rolled(block: np.ndarray) -> np.ndarray:
-        return np.maximum(0, block - shifted_extreme(block, ball))
+        return np.maximum(0, block - ball_least(block, radius))
 
     def tophat(block: np.ndarray) -> np.ndarray:
         return block - disk_extreme(disk_extreme(block, int(radius)), int(radius), largest=True)

@@ -263,6 +263,15 @@ def test_flat_disk_by_chords(radius):
         assert np.array_equal(neighbours.disk_extreme(block, radius, largest), neighbours.shifted_extreme(block, flat, largest), equal_nan=True)
 
 
+@pytest.mark.parametrize("radius", [1.0, 3.0, 6.5, 20.0, 50.0])
+def test_ball_by_squares(radius):
+    rng = np.random.default_rng(int(radius))
+    ball = [(dy, dx, radius - math.sqrt(radius * radius - dy * dy - dx * dx)) for dy, dx in neighbours.disk(radius)]
+    for block in (rng.normal(100, 3, (61, 83)), rng.integers(0, 255, (61, 83)).astype(float), np.where(rng.random((61, 83)) < 0.02, 5000.0, 7.0)):
+        block[40:, :20] = np.nan
+        assert np.array_equal(neighbours.ball_least(block, radius), neighbours.shifted_extreme(block, ball), equal_nan=True)
+
+
 def test_threshold_plan_reads_pixels_once(spark, sf):
     plan = queries.QUERIES["auto_threshold"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert "supplier.parquet" not in plan  # the plane is written once, and read from there
