@@ -1,6 +1,7 @@
 """Trained operators by held-out accuracy, chat formatting by round trip, and the pipeline stage by stage."""
 
 import hashlib
+import math
 import shutil
 import tempfile
 import time
@@ -146,6 +147,40 @@ def test_language_against_plain_calls():
         assert lang == min(k for k, n in zip(known, sizes, strict=True) if n == first) and 0 <= score <= 1
 
 
+def test_language_query_against_plain_calls(spark, sf):
+    """Every document of sf0.001: its sizes with each trained dictionary by calls of the library, and the least."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    made = language.train(docs)
+    plain = {k: [zstandard.ZstdCompressor(level=n, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for n in language.LEVELS] for k, d in made.items()}
+    assert not any(map(any, language.misses(tuple(made.values())))) or len(set(map(len, made.values()))) > 1
+    missed = dict(zip(made, language.misses(tuple(made.values())), strict=True))
+    texts = dict(docs.select("doc_id", "text").collect())
+    for r in queries.op4_language(spark, sf).collect():
+        text = texts[r.doc_id] or ""
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        raw = text.lower().encode()
+        sizes = {k: sum(len(c.compress(raw)) for c in cs) - np.interp(len(raw), (0, *language.LENGTHS), (0.0, *missed[k])) for k, cs in plain.items()}
+        assert sizes[r.lang_pred] == min(sizes.values()) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_toxicity_query_against_plain_sums(spark, sf):
+    """Every document of sf0.001: the weights of its character n-grams, one by one."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet"))
+    texts, ring = dict(docs.select("doc_id", "text").collect()), (1 << 64) - 1
+    for r in queries.op3_toxicity(spark, sf).collect():
+        low, found = (texts[r.doc_id] or "").lower(), set()
+        for i in range(len(low)):
+            h = 0
+            for n, c in enumerate(low[i : i + 5], 1):
+                h = (h * 0x100000001B3 + ord(c)) & ring
+                found.add(((((h ^ h >> 29) * 0x9E3779B97F4A7C15 + n) & ring) * 0x9E3779B97F4A7C15 & ring) >> 46)
+        z = model.intercept + sum(float(model.weights[b]) for b in found)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-min(60, max(-60, z)))), abs=1e-9) and r.predicted == int(r.score >= 0.5)
+
+
 def test_empty_tables_of_models(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, toxic int, quality int")
     assert language.train(none) == {} and language.identify(none.drop("lang"), {"aa": b"abc"}).count() == 0
