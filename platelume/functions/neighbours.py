@@ -23,12 +23,6 @@ def frame_of(px: DataFrame) -> DataFrame:
     return px.groupBy("image_id").agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"))
 
 
-def frame_pixels(frame: DataFrame) -> DataFrame:
-    """(image_id, y, x) of every pixel of each frame."""
-    rows = frame.select("image_id", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-    return rows.select("image_id", "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
-
-
 def lines(df: DataFrame, along: str, value: str = "value") -> tuple[DataFrame, list[str]]:
     """Dense rows -> one row a line with vals, in order of along; and the line's key."""
     other = "y" if along == "x" else "x"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import forest, runs
-from ..functions.neighbours import frame_of, frame_pixels
+from ..functions.neighbours import frame_of
 from ..functions.ranges import running
 from ..functions.scratch import drop, keep
 from .intensity import gaussian_blur, z_project
@@ -229,33 +229,37 @@ def envelope(g: np.ndarray) -> np.ndarray:
     return (x - own) ** 2 + g[own] ** 2
 
 
-def _line_distance(dense: DataFrame, key: list[str]) -> DataFrame:
-    """d2 of each pixel of rows (key, x, g), g being the distance along y to the nearest background or null."""
-
-    @F.pandas_udf("array<double>")
-    def best(gs: pd.Series) -> pd.Series:
-        return gs.map(lambda g: envelope(np.asarray(g, float)))
-
-    whole = dense.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("x", F.coalesce("g", F.lit(float("nan"))).alias("g")))), lambda s: s["g"]).alias("gs"))
-    return whole.withColumn("d", best("gs")).select(*key, F.posexplode("d").alias("x", "d2"))
+def _line_distances(xs: np.ndarray, gs: np.ndarray, width: int) -> np.ndarray:
+    """d2 of a line's set pixels xs, whose distances to the background along y are gs. Background beyond a run's ends is never nearer than the ends themselves."""
+    out = np.empty(len(xs))
+    cut = np.flatnonzero(np.diff(xs) > 1) + 1
+    for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(xs)], strict=True):
+        left, right = int(xs[i] > 0), int(xs[j - 1] < width - 1)
+        own = np.concatenate((np.zeros(left), gs[i:j], np.zeros(right)))
+        out[i:j] = envelope(own)[left : len(own) - right]
+    return out
 
 
 def distance_transform(mask: DataFrame, frame: DataFrame) -> DataFrame:
     """mask with d2, the exact squared distance to the nearest background pixel of the frame; null in a frame without background.
 
-    Two passes (Felzenszwalb and Huttenlocher 2012): down each column, then along each line.
+    Two passes (Felzenszwalb and Huttenlocher 2012): down each column, where a run of set pixels tells all distances, then along each line, run by run.
+    Only columns and lines that the mask touches are looked at.
     """
-    key = [c for c in mask.columns if c not in ("y", "x")]
-    every = mask.select(*key).distinct().join(frame_pixels(frame), "image_id")
-    dense = every.join(mask.withColumn("on", F.lit(True)), [*key, "y", "x"], "left")
-    col = Window.partitionBy(*key, "x").orderBy("y")
-    off = F.when(F.col("on").isNull(), F.col("y"))
-    up = F.last(off, ignorenulls=True).over(col.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(off, ignorenulls=True).over(col.rowsBetween(0, Window.unboundedFollowing))
-    g = F.least(F.col("y") - F.col("up"), F.col("down") - F.col("y")).cast("double")
-    cols = dense.withColumns({"up": up, "down": down}).withColumn("g", g)
-    found = _line_distance(cols.select(*key, "y", "x", "g"), [*key, "y"])
-    return mask.join(found, [*key, "y", "x"]).withColumn("d2", F.when(~F.isnan("d2"), F.col("d2")).cast("long"))
+    key = runs.keys(mask)
+    turned = runs.encode(mask.select(*key, F.col("x").alias("y"), F.col("y").alias("x"))).join(frame, "image_id")
+    px = turned.select(*key, F.col("y").alias("x"), "a", "b", "height", "width", F.explode(F.sequence("a", "b")).alias("y"))
+    g = F.least(F.when(F.col("a") > 0, F.col("y") - F.col("a") + 1), F.when(F.col("b") < F.col("height") - 1, F.col("b") - F.col("y") + 1)).cast("double")
+    line = px.groupBy(*key, "y").agg(F.first("width").alias("width"), F.array_sort(F.collect_list(F.struct("x", F.coalesce(g, F.lit(float("nan"))).alias("g")))).alias("r"))
+
+    @F.pandas_udf("array<double>")
+    def best(xs: pd.Series, gs: pd.Series, width: pd.Series) -> pd.Series:
+        return pd.Series([_line_distances(np.asarray(x), np.asarray(v), w) for x, v, w in zip(xs, gs, width, strict=True)])
+
+    xs, gs = F.transform("r", lambda s: s["x"]), F.transform("r", lambda s: s["g"])
+    found = line.select(*key, "y", xs.alias("x"), best(xs, gs, "width").alias("d")).select(*key, "y", F.explode(F.arrays_zip("x", "d")).alias("p"))
+    d = F.col("p.d")
+    return found.select(*key, "y", F.col("p.x").alias("x"), F.when(~F.isnan(d), d).cast("long").alias("d2")).select(*mask.columns, "d2")
 
 
 def local_peaks(mask: DataFrame, frame: DataFrame, min_distance: int = 5) -> DataFrame:

