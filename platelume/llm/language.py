@@ -29,7 +29,7 @@ DICT_BYTES = 110 << 10
 #: Twice ROWS texts of a language at most, chosen by a hash, are what its dictionary is cut from; of each PIECE characters at most, from a hashed place on.
 ROWS, PIECE = 150, 4000
 #: A text's size is the sum of its sizes at these levels: one size in whole bytes often ties.
-LEVELS = (1, 3, 6)
+LEVELS = (2, 6)
 REJECT = 0.004
 #: A score of one half stands for this margin.
 HALF = 0.01
