@@ -220,13 +220,20 @@ PARTS["edges"] = (
     """SELECT a.image_id, a.i AS i, b.i AS j, row_number() OVER (PARTITION BY a.image_id ORDER BY least(a.d2, b.d2) DESC, greatest(a.d2, b.d2) DESC, a.y, a.x, b.y) AS k
       FROM nodes a JOIN nodes b ON a.image_id=b.image_id AND ((b.y=a.y AND b.x=a.x+1) OR (b.y=a.y+1 AND b.x=a.x))""",
 )
-PARTS["forest"] = (
-    "edges, nodes",
-    """SELECT image_id, CAST(0 AS BIGINT) AS k, list(coalesce(-n, i) ORDER BY i) AS part FROM nodes GROUP BY 1 UNION ALL
-      SELECT f.image_id, e.k, CASE WHEN part[i]=part[j] OR (part[i]<0 AND part[j]<0) THEN part
-        ELSE [CASE WHEN c=(CASE WHEN part[i]<0 THEN part[j] ELSE part[i] END) THEN (CASE WHEN part[i]<0 THEN part[i] ELSE part[j] END) ELSE c END for c in part] END
-      FROM forest f JOIN edges e ON e.image_id=f.image_id AND e.k=f.k+1""",
-)
+PARTS["edgelist"] = ("edges", "SELECT image_id, list({'i': i, 'j': j} ORDER BY k) AS es FROM edges GROUP BY 1")
+
+
+def _merges(n: int) -> str:
+    """A step of the forest: n edges, one after the other."""
+    rows = "SELECT f.image_id, k, part, es FROM forest f JOIN edgelist USING (image_id) WHERE k < len(es)"
+    for s in range(1, n + 1):
+        rows = f"""SELECT image_id, k, es, CASE WHEN p IS NULL OR p=q OR (p<0 AND q<0) THEN part
+          ELSE [CASE WHEN c=(CASE WHEN p<0 THEN q ELSE p END) THEN (CASE WHEN p<0 THEN p ELSE q END) ELSE c END for c in part] END AS part
+          FROM (SELECT *, part[es[k+{s}].i] AS p, part[es[k+{s}].j] AS q FROM ({rows}))"""
+    return f"SELECT image_id, k+{n} AS k, part FROM ({rows})"
+
+
+PARTS["forest"] = ("edgelist, nodes", f"SELECT image_id, CAST(0 AS BIGINT) AS k, list(coalesce(-n, i) ORDER BY i) AS part FROM nodes GROUP BY 1 UNION ALL {_merges(16)}")
 
 # Li's fixed point: a round a row, from the mean, over each plane's distinct values less its lowest
 PARTS["vals"] = ("plane, rng", "SELECT image_id, channel, value-lo AS v, CAST(count(*) AS DOUBLE) AS n FROM plane JOIN rng USING (image_id, channel) GROUP BY ALL")
