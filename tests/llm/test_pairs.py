@@ -262,6 +262,30 @@ def test_contamination_of_common_windows(spark, monkeypatch):
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out} == {i: slow_hits(t, items) for i, t in enumerate(texts)}
 
 
+def test_contamination_beyond_broadcasts(spark, sf, monkeypatch):
+    """Every item joined in place of broadcast, by a sieve that lets much through and counts sent on often: the same rows."""
+    monkeypatch.setattr(decontaminate, "GATHER", 40)
+    monkeypatch.setattr(decontaminate, "SIEVE", 15)
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    more = given.selectExpr("concat('d', doc_id) AS item_id", "text").filter("length(text) < 400")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("CAST(item_id AS STRING) AS item_id", "text").unionByName(more)
+    one, other = (decontaminate.contamination(given, items, block=b, text_stays=False) for b in (0, 1_000_000))
+    assert one.dtypes == other.dtypes
+    rows = sorted(map(tuple, one.collect()))
+    assert rows == sorted(map(tuple, other.collect())) and sum(r[-1] for r in rows) > 10
+    left = decontaminate.drop_contaminated(given, items, block=0)
+    assert left.columns == given.columns and left.count() == sum(not r[-1] for r in rows)
+
+
+def test_contamination_beside_very_long_words(spark):
+    """A word of a million characters next to a passage, and a document that is one: nothing is lost, with or without a broadcast."""
+    passage = " ".join(f"p{i}" for i in range(14))
+    texts = [f"{'é' * 1_000_000} {passage} {'y' * 1_000_000}", "z" * 1_000_000, passage, None, ""]
+    for block in (0, 100):
+        out = decontaminate.contamination(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]), spark.createDataFrame([(5, passage)], "item_id long, text string"), block=block).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in out} == {0: (16, 14, 1), 1: (1, 0, 0), 2: (14, 14, 1), 3: (0, 0, 0), 4: (0, 0, 0)}
+
+
 def test_contamination_defined_cases(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     out = decontaminate.contamination(docs(spark), none).collect()
