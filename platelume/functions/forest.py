@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import contract
 from .runs import ddl
-from .scratch import drop, keep
+from .scratch import drop, keep_pixels
 
 TILE = 256
 
@@ -83,7 +83,7 @@ def peaks(heights: DataFrame, frame: DataFrame, spacing: int, tile: int = TILE)
 
     schema = f"{types}, y int, x int, d2 long, state int"
     while True:
-        before, state = state, keep(_tiles(state, spacing, tile).groupBy(*group).applyInPandas(decide, schema), "peaks")
+        before, state = state, keep_pixels(_tiles(state, spacing, tile).groupBy(*group).applyInPandas(decide, schema), "peaks")
         drop(before)
         if state.filter("state = 0").isEmpty():
             return state.filter("state = 1").select(*key, "y", "x", "d2")
@@ -171,7 +171,7 @@ def flood(pixels: DataFrame, tile: int = TILE) -> DataFrame:
         return pd.concat([made, *out], ignore_index=True)[names]
 
     pixels = pixels.withColumn("mark", F.coalesce("mark", F.lit(-1)).cast("long"))
-    local = keep(_tiles(pixels, 1, tile).groupBy(*key, "ty", "tx").applyInPandas(run, schema), "parts")
+    local = keep_pixels(_tiles(pixels, 1, tile).groupBy(*key, "ty", "tx").applyInPandas(run, schema), "parts")
     own = local.filter("kind = 0").withColumn("mark", F.when(F.col("mark") >= 0, F.col("mark")))
     if local.filter("kind = 1").isEmpty():
         return own.filter("mark IS NOT NULL").select(*key, "y", "x", "mark")
@@ -179,20 +179,20 @@ def flood(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     border = (F.col("y") % tile).isin(0, tile - 1) | (F.col("x") % tile).isin(0, tile - 1)
     other = own.filter(border | ((F.col("y") == F.col("cy")) & (F.col("x") == F.col("cx")))).select(*key, "y", "x", node.alias("b"), F.col("mark").alias("bmark"))
     edges = local.filter("kind = 1").select(*key, "y", "x", node.alias("a"), F.struct(*_ORDER).alias("e")).join(other, [*key, "y", "x"]).select("a", "b", "bmark", "e")
-    edges = keep(edges, "edges")
-    at = keep(edges.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("root"), F.lit(None).cast("long").alias("mark")), "waiting")
+    edges = keep_pixels(edges, "edges")
+    at = keep_pixels(edges.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("root"), F.lit(None).cast("long").alias("mark")), "waiting")
     while not edges.isEmpty():
-        picks = keep(edges.groupBy("a").agg(F.min(F.struct("e", "b", "bmark")).alias("s")).select("a", F.col("s.b").alias("b"), F.col("s.bmark").alias("bmark")), "picks")
+        picks = keep_pixels(edges.groupBy("a").agg(F.min(F.struct("e", "b", "bmark")).alias("s")).select("a", F.col("s.b").alias("b"), F.col("s.bmark").alias("bmark")), "picks")
         groups = contract.components(picks.filter("bmark IS NULL").select("a", "b"))
         known = picks.select("a", "bmark").join(groups.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
         marks = known.groupBy("root").agg(F.max("bmark").alias("mark"))
-        now = keep(known.select("a", "root").join(marks, "root"), "now")  # (root, a, mark)
+        now = keep_pixels(known.select("a", "root").join(marks, "root"), "now")  # (root, a, mark)
         here = now.select(F.col("a").alias("root"), F.col("root").alias("to"), F.col("mark").alias("more"))
-        after = keep(at.join(here, "root", "left").select("node", F.coalesce("to", "root").alias("root"), F.coalesce("mark", "more").alias("mark")), "waiting")
+        after = keep_pixels(at.join(here, "root", "left").select("node", F.coalesce("to", "root").alias("root"), F.coalesce("mark", "more").alias("mark")), "waiting")
         left = edges.join(now.filter("mark IS NULL").select("a", F.col("root").alias("ra")), "a")
         left = left.join(now.select(F.col("a").alias("b"), F.col("root").alias("rb"), F.col("mark").alias("mb")), "b", "left")
         left = left.select(F.col("ra").alias("a"), F.coalesce("rb", "b").alias("b"), F.coalesce("bmark", "mb").alias("bmark"), "e").filter("a <> b")
-        left = keep(left, "edges")
+        left = keep_pixels(left, "edges")
         drop(edges, at, picks, now)
         edges, at = left, after
     waited = at.filter("mark IS NOT NULL").select(*[F.col(f"node.{c}").alias(c) for c in (*key, "cy", "cx")], F.col("mark").alias("found"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import runs
 from ..functions.neighbours import frame_of
+from ..functions.scratch import apart
 from ..sources.files import channel_name
 from .intensity import z_project
 from .segment import above, connected_components, dilate_mask, threshold_otsu
@@ -16,7 +17,7 @@ from .segment import above, connected_components, dilate_mask, threshold_otsu
 
 def apply_roi(rows: DataFrame, roi: DataFrame | None) -> DataFrame:
     """The rows inside the region; a label that it cuts stays one label."""
-    return rows if roi is None else rows.join(roi.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi").select(*rows.columns)
+    return rows if roi is None else rows.join(apart(roi.select("image_id", "y", "x")), ["image_id", "y", "x"], "left_semi").select(*rows.columns)
 
 
 def zero_outside(pl: DataFrame, roi: DataFrame | None) -> DataFrame:
@@ -24,7 +25,7 @@ def zero_outside(pl: DataFrame, roi: DataFrame | None) -> DataFrame:
     if roi is None:
         return pl
     inside = roi.select("image_id", "y", "x").distinct().withColumn("in_roi", F.lit(True))
-    return pl.join(inside, ["image_id", "y", "x"], "left").withColumn("value", F.when(F.col("in_roi"), F.col("value")).otherwise(0.0)).select(*pl.columns)
+    return pl.join(apart(inside), ["image_id", "y", "x"], "left").withColumn("value", F.when(F.col("in_roi"), F.col("value")).otherwise(0.0)).select(*pl.columns)
 
 
 def _label_key(lab: DataFrame) -> list[str]:
@@ -35,7 +36,7 @@ def particle_stats(lab: DataFrame, pl: DataFrame) -> DataFrame:
     """A row a label: area, intensities, centroid and half-open bounding box."""
     key = _label_key(lab)
     on = ["image_id", *(["channel"] if "channel" in key else []), "y", "x"]
-    own = lab.join(pl.select(*on, "value"), on)
+    own = lab.join(apart(pl.select(*on, "value")), on)
     return own.groupBy(*key).agg(
         F.count("*").alias("area_px"),
         F.avg("value").alias("mean_intensity"),
@@ -115,7 +116,7 @@ def particle_analysis(px: DataFrame, lab: DataFrame, images: DataFrame, channel:
     stats = particle_stats(own, z_project(px, projection, channel).drop("channel"))
     shape = [particle_perimeter(own), particle_eccentricity(own), particle_solidity(own)]
     for s in shape:
-        stats = stats.join(s, ["image_id", "label"], "left")
+        stats = stats.join(apart(s), ["image_id", "label"], "left")
     stats = particle_circularity(stats).join(images.select("image_id", "channel_names", "pixel_size_um"), "image_id")
     stats = stats.withColumn("area_um2", F.col("area_px") * F.col("pixel_size_um") * F.col("pixel_size_um"))
     stats = _named(particle_filter(stats, min_size_um2, max_size_um2, min_circularity), images, channel)
@@ -123,7 +124,7 @@ def particle_analysis(px: DataFrame, lab: DataFrame, images: DataFrame, channel:
 
 
 def surviving_labels(lab: DataFrame, particles: DataFrame) -> DataFrame:
-    return lab.join(particles.select("image_id", "label"), ["image_id", "label"], "left_semi").select(*lab.columns)
+    return lab.join(apart(particles.select("image_id", "label")), ["image_id", "label"], "left_semi").select(*lab.columns)
 
 
 def intensity_measurement(px: DataFrame, images: DataFrame, channel: int = 0, projection: str = "max", roi: DataFrame | None = None, roi_name: str = "", roi_path: str = "") -> DataFrame:
@@ -144,14 +145,14 @@ _TINY = 1e-10
 def manders(p: DataFrame, s: DataFrame, lab: DataFrame) -> DataFrame:
     """(image_id, m1, m2): the share of each plane's sum that lies in the primary mask."""
     inside = lab.select("image_id", "y", "x").distinct().withColumn("on", F.lit(True))
-    both = p.select("image_id", "y", "x", F.col("value").alias("a")).join(s.select("image_id", "y", "x", F.col("value").alias("b")), ["image_id", "y", "x"]).join(inside, ["image_id", "y", "x"], "left")
+    both = p.select("image_id", "y", "x", F.col("value").alias("a")).join(apart(s.select("image_id", "y", "x", F.col("value").alias("b"))), ["image_id", "y", "x"]).join(apart(inside), ["image_id", "y", "x"], "left")
     share = lambda c: F.coalesce(F.sum(F.when(F.col("on"), F.col(c))), F.lit(0.0)) / (F.sum(c) + _TINY)
     return both.groupBy("image_id").agg(share("a").alias("m1"), share("b").alias("m2"))
 
 
 def pearson(p: DataFrame, s: DataFrame) -> DataFrame:
     """(image_id, r) over all pixels; 0 for constant planes."""
-    both = p.select("image_id", "y", "x", F.col("value").alias("a")).join(s.select("image_id", "y", "x", F.col("value").alias("b")), ["image_id", "y", "x"])
+    both = p.select("image_id", "y", "x", F.col("value").alias("a")).join(apart(s.select("image_id", "y", "x", F.col("value").alias("b"))), ["image_id", "y", "x"])
     sums = both.groupBy("image_id").agg(F.count("*").alias("n"), *[F.sum(e).alias(k) for k, e in (("sa", F.col("a")), ("sb", F.col("b")), ("saa", F.col("a") * F.col("a")), ("sbb", F.col("b") * F.col("b")), ("sab", F.col("a") * F.col("b")))])
     n = F.col("n")
     va, vb = F.col("saa") - F.col("sa") * F.col("sa") / n, F.col("sbb") - F.col("sb") * F.col("sb") / n
@@ -177,7 +178,7 @@ def coloc_per_particle(px: DataFrame, lab: DataFrame, images: DataFrame, primary
     own = apply_roi(lab.select("image_id", "label", "y", "x"), roi)
     grown = dilate_mask(own, dilation_um, images, frame) if dilation_um > 0 else own
     s = zero_outside(z_project(px, projection, secondary).select("image_id", "y", "x", "value"), roi)
-    got = grown.join(s, ["image_id", "y", "x"]).groupBy("image_id", "label").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 0).alias("hit"), F.avg("value").alias("m"), F.max("value").alias("top"))
+    got = grown.join(apart(s), ["image_id", "y", "x"]).groupBy("image_id", "label").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 0).alias("hit"), F.avg("value").alias("m"), F.max("value").alias("top"))
     got = _named(_named(got.join(images, "image_id"), images, primary, "primary_channel"), images, secondary, "secondary_channel")
     return got.select("image_id", "primary_channel", "secondary_channel", F.lit(roi_name or "whole_image").alias("roi_mask"), F.col("label").alias("primary_label"), (F.col("n") * F.col("pixel_size_um") * F.col("pixel_size_um")).alias("primary_area_um2"), F.col("hit").alias("n_secondary_pixels"), F.col("m").alias("secondary_mean_intensity"), F.col("top").alias("secondary_max_intensity"), (F.col("hit") / F.col("n")).alias("overlap_fraction"))
 

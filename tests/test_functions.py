@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from platelume.functions import contract, graph, neighbours, ranges, runs, scratch
-from platelume.operators import intensity, segment
+from platelume.operators import intensity, measure, segment
 from platelume.plans import jobs, queries
-from platelume.sources import bitmaps, results
+from platelume.sources import bitmaps, fixtures, results
 from platelume.streaming import watch
 
 
@@ -275,3 +275,25 @@ def test_ball_by_squares(radius):
 def test_threshold_plan_reads_pixels_once(spark, sf):
     plan = queries.QUERIES["auto_threshold"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert "supplier.parquet" not in plan  # the plane is written once, and read from there
+
+
+def test_pixels_are_many_tasks(spark, tmp_path):
+    """A small file of many images makes as many tasks as their pixels need, and no image is in two."""
+    spark.range(1000).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    px = fixtures.pixels(spark, str(tmp_path)).select("image_id", F.spark_partition_id().alias("part")).groupBy("image_id").agg(F.min("part").alias("a"), F.max("part").alias("b"))
+    rows = px.collect()
+    assert len({r.a for r in rows}) == 1000 // fixtures.STACKS + 1 and all(r.a == r.b for r in rows)
+
+
+def test_pixels_are_not_broadcast(spark, sf):
+    """The tables are small files, and what is made of them is not: no join of theirs sends pixels through the driver."""
+    px = fixtures.pixels(spark, sf)
+    pl = intensity.z_project(px, "max", 0)
+    kept = scratch.keep_pixels(pl)
+    mask = segment.above(kept, segment.threshold_otsu(kept))
+    roi = segment.rasterize_bbox(kept.groupBy("image_id").agg(F.lit(1).alias("top"), F.lit(1).alias("left"), F.lit(9).alias("bottom"), F.lit(9).alias("right")), neighbours.frame_of(px))
+    plane = lambda c: intensity.z_project(px, "max", c).drop("channel")
+    made = [intensity.rescale_uint8(px), intensity.normalize(px), segment.thresholds(pl, "otsu"), segment.thresholds(pl, "isodata"), mask, measure.apply_roi(pl, roi), measure.pearson(measure.zero_outside(plane(0), roi), measure.zero_outside(plane(1), roi)), measure.manders_random(plane(0), plane(1), mask, neighbours.frame_of(px))]
+    for df in made:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
