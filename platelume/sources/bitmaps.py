@@ -49,10 +49,19 @@ def line_bytes(values: np.ndarray, channels: int) -> bytes:
     return wide.tobytes()
 
 
-def write_bitmaps(lines: DataFrame, root: str, channels: int = 2) -> str:
-    """lines (image_id, y, values: of all channels, x by x) -> img_{id}.bmp under root. A file is one task's, which holds some lines of it at a time."""
+def by_file(lines: DataFrame, channels: int) -> DataFrame:
+    """lines with their file's height and width, a file's lines together in one partition, from the last to the first.
+
+    Partitions go by a key of their own: Spark leaves out a partitioning that a join has already, and may then turn that join into one that keeps no key together.
+    """
     size = lines.groupBy("image_id").agg((F.max("y") + 1).cast("int").alias("height"), (F.max(F.size("values")) / channels).cast("int").alias("width"))
     rows = lines.join(size, "image_id").select("image_id", "y", "height", "width", "values")
+    return rows.repartition(F.xxhash64("image_id")).sortWithinPartitions("image_id", F.desc("y"))
+
+
+def write_bitmaps(lines: DataFrame, root: str, channels: int = 2) -> str:
+    """lines (image_id, y, values: of all channels, x by x) -> img_{id}.bmp under root. A file is one task's, which holds some lines of it at a time."""
+    rows = by_file(lines, channels)
     place = root.rstrip("/")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +82,7 @@ def write_bitmaps(lines: DataFrame, root: str, channels: int = 2) -> str:
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    # lines stand from the last to the first
-    rows.repartition("image_id").sortWithinPartitions("image_id", F.desc("y")).mapInArrow(put, "n long").agg(F.sum("n")).first()
+    rows.mapInArrow(put, "n long").agg(F.sum("n")).first()
     return root
 
 

@@ -7,7 +7,9 @@ import tempfile
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from platelume.functions import contract, graph, neighbours, ranges, runs, scratch
@@ -277,6 +279,22 @@ def test_threshold_plan_reads_pixels_once(spark, sf):
     assert "supplier.parquet" not in plan  # the plane is written once, and read from there
 
 
+def test_bitmaps_of_a_changed_join(spark):
+    """A file stays one task's where the join with the sizes is planned by sorting and turns out small."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        lines = spark.range(40 * 32, numPartitions=6).select(F.floor(F.col("id") / 32).alias("image_id"), (F.col("id") * 7 % 32).cast("int").alias("y"), F.array_repeat(F.lit(3), 10).alias("values"))
+        lines = lines.repartition(5, "y").groupBy("image_id", "y").agg(F.first("values").alias("values"))
+        at = lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array([TaskContext.get().partitionId()] * len(b), pa.int32())], names=["image_id", "part"]) for b in batches)
+        rows = bitmaps.by_file(lines, 2).mapInArrow(at, "image_id long, part int").collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert len(rows) == 40 * 32 and len({(r.image_id, r.part) for r in rows}) == 40
+
+
 def test_pixels_are_many_tasks(spark, tmp_path):
     """A small file of many images makes as many tasks as their pixels need, and no image is in two."""
     spark.range(1000).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
