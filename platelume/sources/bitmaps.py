@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a file that are one task's, and pixel values of a batch of rows.
 CHUNK, VALUES = 32 << 20, 1 << 18
+#: What opening a file counts for, in bytes, where files are dealt out to tasks.
+OPENING = 128 << 10
 #: Header sizes of a bitmap, and bits a pixel that are read.
 HEADER, DEPTHS = 54, (8, 24, 32)
 PIXELS = "path string, channel int, z int, y int, x int, value double"
@@ -133,11 +135,13 @@ def _range_rows(path: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
 def read_bmp(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """(path, channel, z, y, x, value) of the BMP files under path, each in ranges of chunk bytes; files that are none give no rows."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[bB][mM][pP]").load(path).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "length")
-    parts = found.filter("length > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(chunk).cast("long"))).alias("start"))
+    parts = found.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(chunk).cast("long"))).alias("start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for p, start in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 yield from _range_rows(p, start, start + chunk)
 
-    return parts.repartition("path", "start").mapInArrow(read, PIXELS)
+    # names are few bytes, whatever the files hold: without a number they would all be one task's
+    work = parts.agg(F.count("*") * OPENING + F.sum(F.least(F.lit(chunk), F.col("length") - F.col("start")))).first()[0] or 0
+    return parts.repartition(max(1, -(-work // CHUNK)), "path", "start").mapInArrow(read, PIXELS)

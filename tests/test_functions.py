@@ -295,6 +295,15 @@ def test_bitmaps_of_a_changed_join(spark):
     assert len(rows) == 40 * 32 and len({(r.image_id, r.part) for r in rows}) == 40
 
 
+def test_bitmaps_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Names of files are few bytes; their content is still dealt out."""
+    monkeypatch.setattr(bitmaps, "OPENING", bitmaps.CHUNK // 10, raising=False)
+    lines = spark.range(60 * 4).select(F.floor(F.col("id") / 4).alias("image_id"), (F.col("id") % 4).cast("int").alias("y"), F.array_repeat(F.lit(3), 10).alias("values"))
+    bitmaps.write_bitmaps(lines, str(tmp_path / "in"))
+    rows = bitmaps.read_bmp(spark, str(tmp_path / "in")).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in rows) == 60 * 4 * 5 * 3 and len(rows) > 4
+
+
 def test_pixels_are_many_tasks(spark, tmp_path):
     """A small file of many images makes as many tasks as their pixels need, and no image is in two."""
     spark.range(1000).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
