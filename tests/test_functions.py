@@ -324,3 +324,17 @@ def test_pixels_are_not_broadcast(spark, sf):
     for df in made:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_pixels_are_counted_by_compiled_code(spark, sf, monkeypatch):
+    """The JVM compiles no method of over 8,000 bytes, and runs it some ten times slower: the pixels' formula isn't repeated for the test of nulls."""
+    counted = []
+    monkeypatch.setattr(intensity, "keep_pixels", lambda df, label="table": counted.append(df) or scratch.keep_pixels(df, label))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in [intensity.contrast_limits(fixtures.pixels(spark, sf)), *counted]:
+            code = df._jdf.queryExecution().debug().codegenToSeq()
+            assert code.size() and max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) <= 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(counted) == 2
