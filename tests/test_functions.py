@@ -338,3 +338,10 @@ def test_pixels_are_counted_by_compiled_code(spark, sf, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert len(counted) == 2
+
+
+def test_thresholds_sort_no_pixels(spark, sf):
+    """What a row a plane is joined to is neither sorted nor broadcast: a task's memory doesn't go by the pixels it reads."""
+    pl = scratch.keep(intensity.z_project(fixtures.pixels(spark, sf), "max", 0))
+    plan = segment.above(pl, segment.threshold_otsu(pl))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == plan.count("BuildRight") == 2 and "SortMergeJoin" not in plan and "Broadcast" not in plan
