@@ -345,3 +345,42 @@ def test_thresholds_sort_no_pixels(spark, sf):
     pl = scratch.keep(intensity.z_project(fixtures.pixels(spark, sf), "max", 0))
     plan = segment.above(pl, segment.threshold_otsu(pl))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ShuffledHashJoin") == plan.count("BuildRight") == 2 and "SortMergeJoin" not in plan and "Broadcast" not in plan
+
+
+def _all_bins(vs):
+    """Isodata's and the triangle's thresholds of a plane, over all bins one by one."""
+    lo, hi = min(vs), max(vs)
+    if hi <= lo:
+        return lo, lo
+    n = np.zeros(256, int)
+    for v in vs:
+        n[min(255, math.floor((v - lo) / (hi - lo) * 256))] += 1
+    c = [lo + (k + 0.5) * (hi - lo) / 256 for k in range(256)]
+    off = lambda k: (n[: k + 1] @ c[: k + 1] / n[: k + 1].sum() + n[k + 1 :] @ c[k + 1 :] / n[k + 1 :].sum()) / 2 - c[k]
+    iso = next((c[k] for k in range(255) if 0 <= off(k) < (hi - lo) / 256), lo)
+    peak, low, high = int(n.argmax()), int(np.flatnonzero(n)[0]), int(np.flatnonzero(n)[-1])
+    flip = peak - low < high - peak
+    width = high - peak if flip else peak - low
+    places = [(high - k if flip else k - low, k) for k in range(256)]
+    norm = math.hypot(n[peak], width)
+    far = max((n[peak] / norm * x - width / norm * n[k], -x, k) for x, k in places if 0 <= x < max(1, width))
+    return iso, c[far[2]]
+
+
+def test_thresholds_over_empty_bins(spark):
+    """Isodata and the triangle, which may choose an empty bin, against all bins one by one."""
+    rng = np.random.default_rng(8)
+    planes = [rng.normal(50, 9, 300), rng.integers(0, 7, 90), np.r_[rng.normal(0, 1, 200), rng.normal(40, 2, 50)], np.r_[rng.normal(90, 3, 300), [0.0, 2.5]], np.full(5, 3.0), np.array([1.0, 9.0]), np.r_[np.zeros(30), 5.0, np.full(40, 100.0)], rng.exponential(20, 500)]
+    rows = [(i, 0, float(v)) for i, vs in enumerate(planes) for v in vs]
+    pl = spark.createDataFrame(rows, "image_id long, channel int, value double")
+    for nth, method in enumerate(("isodata", "triangle")):
+        got = {r.image_id: r.threshold for r in segment.thresholds(pl, method).collect()}
+        assert got == pytest.approx({i: _all_bins([float(v) for v in vs])[nth] for i, vs in enumerate(planes)})
+
+
+def test_empty_bins_are_no_rows(spark, sf):
+    """A task's memory goes by the bins that hold pixels: no row for each of a plane's 256 bins is joined and sorted."""
+    pl = scratch.keep(intensity.z_project(fixtures.pixels(spark, sf), "max", 0))
+    for method in ("isodata", "triangle"):
+        plan = segment.thresholds(pl, method)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ShuffledHashJoin") == 1 and "SortMergeJoin" not in plan
