@@ -384,3 +384,9 @@ def test_empty_bins_are_no_rows(spark, sf):
     for method in ("isodata", "triangle"):
         plan = segment.thresholds(pl, method)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ShuffledHashJoin") == 1 and "SortMergeJoin" not in plan
+
+
+def test_threshold_queries_sort_no_pixels(spark, sf):
+    for method in ("otsu", "yen", "triangle", "isodata"):
+        plan = queries.QUERIES[f"threshold_{method}"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ShuffledHashJoin") == 1 and "SortMergeJoin" not in plan and "Broadcast" not in plan
