@@ -390,3 +390,10 @@ def test_threshold_queries_sort_no_pixels(spark, sf):
     for method in ("otsu", "yen", "triangle", "isodata"):
         plan = queries.QUERIES[f"threshold_{method}"](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ShuffledHashJoin") == 1 and "SortMergeJoin" not in plan and "Broadcast" not in plan
+
+
+def test_pixels_pass_by_their_ranges(spark, sf):
+    for name in ("rescale_uint8", "extract_slice", "contrast_stretch", "normalize_minmax", "normalize_percentile"):
+        plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan()
+        pixels = [line for line in plan.toString().split("\n") if "HashJoin" in line or "SortMergeJoin" in line][0]
+        assert "ShuffledHashJoin" in pixels and "BuildRight" in pixels, name
