@@ -6,11 +6,13 @@ Both decide in a tile all that its own pixels (and a halo) decide, and leave the
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import contract
+from .neighbours import tile_places
+from .ranges import grouped, ints, keys_at, spans
 from .runs import ddl
 from .scratch import drop, keep_pixels
 
@@ -23,8 +25,7 @@ def _keys(df: DataFrame, other: tuple[str, ...]) -> list[str]:
 
 def _tiles(df: DataFrame, halo: int, tile: int) -> DataFrame:
     """Each pixel in its own tile and in those whose halo holds it."""
-    reach = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile).cast("int"), F.floor((F.col(c) + halo) / tile).cast("int"))
-    return df.withColumn("ty", F.explode(reach("y"))).withColumn("tx", F.explode(reach("x")))
+    return df.withColumn("ty", F.explode(tile_places("y", halo, tile))).withColumn("tx", F.explode(tile_places("x", halo, tile)))
 
 
 # ---- peaks ------------------------------------------------------------------------------------
@@ -53,37 +54,37 @@ def peaks(heights: DataFrame, frame: DataFrame, spacing: int, tile: int = TILE)
     group = [*key, "ty", "tx"]
     types, cell = ddl(heights, key), max(spacing, 1)
 
-    def inside(pdf: pd.DataFrame) -> np.ndarray:
-        ty, tx = int(pdf["ty"].iloc[0]), int(pdf["tx"].iloc[0])
-        return ((pdf["y"] // tile == ty) & (pdf["x"] // tile == tx)).to_numpy()
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x, d2 = (pdf[c].to_numpy() for c in ("y", "x", "d2"))
-        return pdf.iloc[_highest(y, x, d2, inside(pdf), spacing)][[*key, "y", "x", "d2"]]
+    def find(batch: pa.RecordBatch, first: np.ndarray) -> dict[str, pa.Array | np.ndarray]:
+        y, x, d2, ty, tx = ints(batch, "y", "x", "d2", "ty", "tx")
+        own = (y // tile == ty) & (x // tile == tx)
+        at = np.concatenate([i + _highest(y[i:j], x[i:j], d2[i:j], own[i:j], spacing) for i, j in spans(first)])
+        return keys_at(batch, key, at) | {"y": y[at].astype(np.int32), "x": x[at].astype(np.int32), "d2": d2[at]}
 
-    found = _tiles(heights.filter("d2 > 0"), spacing, tile).groupBy(*group).applyInPandas(find, f"{types}, y int, x int, d2 long").join(frame, "image_id")
+    found = grouped(_tiles(heights.filter("d2 > 0"), spacing, tile), group, [], find, f"{types}, y int, x int, d2 long").join(frame, "image_id")
     clear = (F.col("y") >= spacing) & (F.col("x") >= spacing) & (F.col("y") < F.col("height") - spacing) & (F.col("x") < F.col("width") - spacing)
     state = found.filter(clear).select(*key, "y", "x", "d2", F.lit(0).alias("state"))  # 0 waits, 1 is taken, 2 is refused
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = inside(pdf)
-        order = np.lexsort((pdf["x"], pdf["y"], -pdf["d2"].to_numpy()))
-        y, x = pdf["y"].tolist(), pdf["x"].tolist()
-        status = pdf["state"].tolist()
-        cells: dict[tuple[int, int], list[int]] = {}
+    def decide(batch: pa.RecordBatch, first: np.ndarray) -> dict[str, pa.Array | np.ndarray]:
+        ys, xs, d2, state, ty, tx = ints(batch, "y", "x", "d2", "state", "ty", "tx")
+        own = (ys // tile == ty) & (xs // tile == tx)
+        of = np.cumsum(first)
+        order = np.lexsort((xs, ys, -d2, of))
+        y, x, g, status = ys.tolist(), xs.tolist(), of.tolist(), state.tolist()
+        cells: dict[tuple[int, int, int], list[int]] = {}
         for i in order.tolist():
             if status[i] != 2:
                 a, b = y[i] // cell, x[i] // cell
-                near = [j for dy in (-1, 0, 1) for dx in (-1, 0, 1) for j in cells.get((a + dy, b + dx), ()) if max(abs(y[i] - y[j]), abs(x[i] - x[j])) < spacing]
+                near = [j for dy in (-1, 0, 1) for dx in (-1, 0, 1) for j in cells.get((g[i], a + dy, b + dx), ()) if max(abs(y[i] - y[j]), abs(x[i] - x[j])) < spacing]
                 if status[i] == 0 and own[i]:
                     status[i] = 2 if any(status[j] == 1 for j in near) else 0 if near else 1
                 if status[i] != 2:
-                    cells.setdefault((a, b), []).append(i)
-        return pdf.assign(state=np.array(status, np.int32))[own][[*key, "y", "x", "d2", "state"]]
+                    cells.setdefault((g[i], a, b), []).append(i)
+        at = np.flatnonzero(own)
+        return keys_at(batch, key, at) | {"y": ys[at].astype(np.int32), "x": xs[at].astype(np.int32), "d2": d2[at], "state": np.array(status, np.int32)[at]}
 
     schema = f"{types}, y int, x int, d2 long, state int"
     while True:
-        before, state = state, keep_pixels(_tiles(state, spacing, tile).groupBy(*group).applyInPandas(decide, schema), "peaks")
+        before, state = state, keep_pixels(grouped(_tiles(state, spacing, tile), group, [], decide, schema), "peaks")
         drop(before)
         if state.filter("state = 0").isEmpty():
             return state.filter("state = 1").select(*key, "y", "x", "d2")
@@ -135,22 +136,19 @@ def flood(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     """
     key = _keys(pixels, ("d2", "mark"))
     types = ddl(pixels, key)
-    names = [*key, "kind", "y", "x", "cy", "cx", "mark", *_ORDER]
     schema = f"{types}, kind int, y int, x int, cy int, cx int, mark long, lo long, hi long, py int, px int, down int"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"], ignore_index=True)
-        ty, tx = int(pdf["ty"].iloc[0]), int(pdf["tx"].iloc[0])
-        y, x, d2 = (pdf[c].to_numpy() for c in ("y", "x", "d2"))
-        mark = pdf["mark"].to_numpy()
+    def run(batch: pa.RecordBatch, first: np.ndarray) -> dict[str, pa.Array | np.ndarray]:
+        y, x, d2, mark, ty, tx = ints(batch, "y", "x", "d2", "mark", "ty", "tx")
         own = (y // tile == ty) & (x // tile == tx)
-        top, left = int(y.min()), int(x.min())
-        place = np.full((int(y.max()) - top + 2, int(x.max()) - left + 2), -1)
-        place[y - top, x - left] = np.arange(len(y))
-        right, below = place[y - top, x - left + 1], place[y - top + 1, x - left]
-        u = np.concatenate((np.flatnonzero(right >= 0), np.flatnonzero(below >= 0)))
-        v = np.concatenate((right[right >= 0], below[below >= 0]))
-        down = np.repeat([0, 1], [int((right >= 0).sum()), int((below >= 0).sum())])
+        # tiles lie one below the other, a line and a column apart, and so share no edge
+        wide = tile + 3
+        place = (np.cumsum(first) * wide + y - ty * tile + 1) * wide + x - tx * tile + 1
+        right, below = (np.searchsorted(place, place + step, side="right") - 1 for step in (1, wide))
+        on, under = place[right] == place + 1, place[below] == place + wide
+        u = np.concatenate((np.flatnonzero(on), np.flatnonzero(under)))
+        v = np.concatenate((right[on], below[under]))
+        down = np.repeat([0, 1], [int(on.sum()), int(under.sum())])
         some = own[u] | own[v]
         u, v, down = u[some], v[some], down[some]
         lo, hi = np.minimum(d2[u], d2[v]), np.maximum(d2[u], d2[v])
@@ -158,20 +156,23 @@ def flood(pixels: DataFrame, tile: int = TILE) -> DataFrame:
         u, v, down, lo, hi = u[order], v[order], down[order], lo[order], hi[order]
         part, marks = _merge(len(y), u, v, own, np.where(own, mark, -1))
         got = marks[part]
-        made = pdf.loc[own, key].assign(kind=0, y=y[own], x=x[own], cy=y[part[own]], cx=x[part[own]], mark=got[own], lo=0, hi=0, py=0, px=0, down=0)
         # what a part without a mark may still choose: its best edge to each other part or foreign pixel
         a, b = part[u], part[v]
         out = []
         for one, two in ((a, b), (b, a)):
             at = np.flatnonzero((one != two) & own[one] & (got[one] < 0))
-            pair = np.unique(one[at] * np.int64(len(y)) + two[at], return_index=True)[1]  # edges are in order: the first is the best
-            at = at[pair]
-            if len(at):
-                out.append(pd.DataFrame({**{c: np.full(len(at), pdf[c].iloc[0]) for c in key}, "kind": 1, "y": y[two[at]], "x": x[two[at]], "cy": y[one[at]], "cx": x[one[at]], "mark": -1, "lo": -lo[at], "hi": -hi[at], "py": y[u[at]], "px": x[u[at]], "down": down[at]}))
-        return pd.concat([made, *out], ignore_index=True)[names]
+            at = at[np.unique(one[at] * np.int64(len(y)) + two[at], return_index=True)[1]]  # edges are in order: the first is the best
+            out.append((one[at], two[at], at))
+        one, two, at = map(np.concatenate, zip(*out, strict=True))
+        mine, none = np.flatnonzero(own), np.zeros(int(own.sum()), np.int64)
+        node = np.concatenate((part[mine], one))
+        made = {"kind": np.repeat([0, 1], [len(mine), len(one)]), "y": y[np.concatenate((mine, two))], "x": x[np.concatenate((mine, two))], "cy": y[node], "cx": x[node]}
+        made |= {"py": np.concatenate((none, y[u[at]])), "px": np.concatenate((none, x[u[at]])), "down": np.concatenate((none, down[at]))}
+        longs = {"mark": np.concatenate((got[mine], np.full(len(one), -1))), "lo": np.concatenate((none, -lo[at])), "hi": np.concatenate((none, -hi[at]))}
+        return keys_at(batch, key, node) | {c: v.astype(np.int32) for c, v in made.items()} | longs
 
     pixels = pixels.withColumn("mark", F.coalesce("mark", F.lit(-1)).cast("long"))
-    local = keep_pixels(_tiles(pixels, 1, tile).groupBy(*key, "ty", "tx").applyInPandas(run, schema), "parts")
+    local = keep_pixels(grouped(_tiles(pixels, 1, tile), [*key, "ty", "tx"], ["y", "x"], run, schema), "parts")
     own = local.filter("kind = 0").withColumn("mark", F.when(F.col("mark") >= 0, F.col("mark")))
     if local.filter("kind = 1").isEmpty():
         return own.filter("mark IS NOT NULL").select(*key, "y", "x", "mark")

@@ -27,6 +27,20 @@ def begins(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return first
 
 
+def ints(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+
+
+def keys_at(batch: pa.RecordBatch, key: list[str], at: np.ndarray) -> dict[str, pa.Array]:
+    return {c: batch.column(batch.schema.get_field_index(c)).take(pa.array(at)) for c in key}
+
+
+def spans(first: np.ndarray) -> list[tuple[int, int]]:
+    """Where each group begins and ends."""
+    start = np.flatnonzero(first).tolist()
+    return list(zip(start, [*start[1:], len(first)], strict=True))
+
+
 def grouped(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.RecordBatch, np.ndarray], dict[str, pa.Array | np.ndarray]], schema: str) -> DataFrame:
     """The columns of schema that work(batch, first) makes of many whole groups at once, sorted by keys and order; first tells where a group begins.
 

@@ -172,9 +172,9 @@ def manders_random(p: DataFrame, s: DataFrame, lab: DataFrame, frame: DataFrame)
     return frame.select("image_id").join(got, "image_id", "left")
 
 
-def coloc_per_particle(px: DataFrame, lab: DataFrame, images: DataFrame, primary: int = 0, secondary: int = 1, dilation_um: float = 0.0, projection: str = "max", roi: DataFrame | None = None, roi_name: str = "") -> DataFrame:
+def coloc_per_particle(px: DataFrame, lab: DataFrame, images: DataFrame, primary: int = 0, secondary: int = 1, dilation_um: float = 0.0, projection: str = "max", roi: DataFrame | None = None, roi_name: str = "", frame: DataFrame | None = None) -> DataFrame:
     """A row a primary label, grown by dilation_um: its area and what of the secondary plane it holds, zeros included."""
-    frame = frame_of(px)
+    frame = frame_of(px) if frame is None else frame
     own = apply_roi(lab.select("image_id", "label", "y", "x"), roi)
     grown = dilate_mask(own, dilation_um, images, frame) if dilation_um > 0 else own
     s = zero_outside(z_project(px, projection, secondary).select("image_id", "y", "x", "value"), roi)
@@ -183,9 +183,9 @@ def coloc_per_particle(px: DataFrame, lab: DataFrame, images: DataFrame, primary
     return got.select("image_id", "primary_channel", "secondary_channel", F.lit(roi_name or "whole_image").alias("roi_mask"), F.col("label").alias("primary_label"), (F.col("n") * F.col("pixel_size_um") * F.col("pixel_size_um")).alias("primary_area_um2"), F.col("hit").alias("n_secondary_pixels"), F.col("m").alias("secondary_mean_intensity"), F.col("top").alias("secondary_max_intensity"), (F.col("hit") / F.col("n")).alias("overlap_fraction"))
 
 
-def coloc_global(px: DataFrame, lab: DataFrame, images: DataFrame, primary: int = 0, secondary: int = 1, projection: str = "max", roi: DataFrame | None = None, roi_name: str = "") -> DataFrame:
+def coloc_global(px: DataFrame, lab: DataFrame, images: DataFrame, primary: int = 0, secondary: int = 1, projection: str = "max", roi: DataFrame | None = None, roi_name: str = "", frame: DataFrame | None = None) -> DataFrame:
     """A row an image that has primary particles: Manders, Pearson, and Manders against the turned secondary."""
-    frame = frame_of(px)
+    frame = frame_of(px) if frame is None else frame
     own = apply_roi(lab.select("image_id", "label", "y", "x"), roi)
     p, s = (zero_outside(z_project(px, projection, c).select("image_id", "y", "x", "value"), roi) for c in (primary, secondary))
     n = own.groupBy("image_id").agg(F.countDistinct("label").alias("n_primary_particles"))

@@ -1,7 +1,9 @@
 """Shared parts against plain code: hub keys, contraction, scratch tables, percentiles, envelopes, peaks, polygons, bitmaps, streams."""
 
+import dataclasses
 import math
 import os
+import re
 import struct
 import tempfile
 import threading
@@ -397,3 +399,42 @@ def test_pixels_pass_by_their_ranges(spark, sf):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan()
         pixels = [line for line in plan.toString().split("\n") if "HashJoin" in line or "SortMergeJoin" in line][0]
         assert "ShuffledHashJoin" in pixels and "BuildRight" in pixels, name
+
+
+def test_steps_on_channels_do_not_repeat_each_other(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, c, 0, y, x, float(rng.integers(0, 99))) for i in range(2) for c in range(2) for y in range(9) for x in range(9)]
+    px = spark.createDataFrame(rows, "image_id long, channel int, z int, y int, x int, value double")
+    steps = [lambda p, c: intensity.background_subtract(p, c, 3.0, tile=4), lambda p, c: intensity.gaussian_blur(p, c, 1.0)]
+    done = px
+    for step in steps:
+        for c in (0, 1):
+            done = step(done, c)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("MapInArrow|FlatMapGroupsInPandas", plan)) == 2 and plan.count("ArrowEvalPython") == 4
+    assert done.schema["channel"].dataType == px.schema["channel"].dataType
+    got = {tuple(r)[:-1]: r.value for r in done.collect()}
+    want = {tuple(r)[:-1]: r.value for c in (0, 1) for r in steps[1](steps[0](px.filter(F.col("channel") == c), None), None).collect()}
+    assert got == want and len(got) == len(rows)
+
+
+def test_sizes_are_of_the_same_pixels(spark):
+    px = spark.createDataFrame([(0, 0, 0, y, x, 1.0) for y in range(4) for x in range(5)], "image_id long, channel int, z int, y int, x int, value double")
+    one = jobs.Frames(px, spark.createDataFrame([(0,)], "image_id long")).sized()
+    assert one.sized().sizes is one.sizes
+    cropped = dataclasses.replace(one, px=px.filter("y < 2 AND x < 3"), changed=True)
+    assert [tuple(r) for f in (one, cropped.sized()) for r in f.sizes.collect()] == [(0, 4, 5), (0, 2, 3)]
+
+
+def test_lines_of_any_length_are_convolved(spark):
+    rng = np.random.default_rng(5)
+    vals = [rng.random(int(n)).tolist() for n in rng.choice([1, 2, 7, 30], 40)]
+    weights = neighbours.gaussian_weights(1.5)
+    r = len(weights) // 2
+    got = neighbours.convolve(spark.createDataFrame(list(enumerate(vals)), "id int, vals array<double>"), weights).collect()
+    for row in got:
+        wide = np.pad(np.array(vals[row.id]), r, mode="symmetric")
+        want = wide[: len(vals[row.id])] * weights[0]
+        for k in range(1, len(weights)):
+            want = want + wide[k : k + len(vals[row.id])] * weights[k]
+        assert row.vals == want.tolist()
