@@ -8,6 +8,7 @@ import struct
 import tempfile
 import threading
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -438,3 +439,16 @@ def test_lines_of_any_length_are_convolved(spark):
         for k in range(1, len(weights)):
             want = want + wide[k : k + len(vals[row.id])] * weights[k]
         assert row.vals == want.tolist()
+
+
+def test_regions_before_an_empty_bin(spark, tmp_path):
+    """Images whose best Otsu bin is followed by an empty one: on one thread, where its sums have one order, the SQL takes the lower bin too."""
+    spark.createDataFrame([(k,) for k in (203, 248, 392, 1274, 1319, 1463)], "s_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    con.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    got = queries.QUERIES["extract_roi"](spark, str(tmp_path)).select("image_id", "y", "x").collect()
+    rows = sorted(map(tuple, got))
+    assert rows == sorted(con.sql(f"SELECT image_id, y, x FROM ({queries.ORACLE['extract_roi']})").fetchall())
+    of = {k: [r[1:] for r in rows if r[0] == k] for k in (203, 248, 392, 1274, 1319, 1463)}
+    assert all(of[k] and len(of[k]) == len(of[k + 1071]) for k in (203, 248, 392))
