@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import runs
@@ -142,21 +142,31 @@ def intensity_measurement(px: DataFrame, images: DataFrame, channel: int = 0, pr
 _TINY = 1e-10
 
 
+def _paired(p: DataFrame, s: DataFrame, lab: DataFrame | None = None) -> DataFrame:
+    """(image_id, y, x, a, b): both planes' values, and on where lab has a pixel."""
+    both = p.select("image_id", "y", "x", F.col("value").alias("a")).join(apart(s.select("image_id", "y", "x", F.col("value").alias("b"))), ["image_id", "y", "x"])
+    return both if lab is None else both.join(apart(lab.select("image_id", "y", "x").distinct().withColumn("on", F.lit(True))), ["image_id", "y", "x"], "left")
+
+
+def _shares() -> list[Column]:
+    share = lambda c: F.coalesce(F.sum(F.when(F.col("on"), F.col(c))), F.lit(0.0)) / (F.sum(c) + _TINY)
+    return [share("a").alias("m1"), share("b").alias("m2")]
+
+
+def _correlation() -> Column:
+    n, sa, sb = F.count("*"), F.sum("a"), F.sum("b")
+    va, vb = F.sum(F.col("a") * F.col("a")) - sa * sa / n, F.sum(F.col("b") * F.col("b")) - sb * sb / n
+    return ((F.sum(F.col("a") * F.col("b")) - sa * sb / n) / (F.sqrt(F.greatest(F.lit(0.0), va * vb)) + _TINY)).alias("r")
+
+
 def manders(p: DataFrame, s: DataFrame, lab: DataFrame) -> DataFrame:
     """(image_id, m1, m2): the share of each plane's sum that lies in the primary mask."""
-    inside = lab.select("image_id", "y", "x").distinct().withColumn("on", F.lit(True))
-    both = p.select("image_id", "y", "x", F.col("value").alias("a")).join(apart(s.select("image_id", "y", "x", F.col("value").alias("b"))), ["image_id", "y", "x"]).join(apart(inside), ["image_id", "y", "x"], "left")
-    share = lambda c: F.coalesce(F.sum(F.when(F.col("on"), F.col(c))), F.lit(0.0)) / (F.sum(c) + _TINY)
-    return both.groupBy("image_id").agg(share("a").alias("m1"), share("b").alias("m2"))
+    return _paired(p, s, lab).groupBy("image_id").agg(*_shares())
 
 
 def pearson(p: DataFrame, s: DataFrame) -> DataFrame:
     """(image_id, r) over all pixels; 0 for constant planes."""
-    both = p.select("image_id", "y", "x", F.col("value").alias("a")).join(apart(s.select("image_id", "y", "x", F.col("value").alias("b"))), ["image_id", "y", "x"])
-    sums = both.groupBy("image_id").agg(F.count("*").alias("n"), *[F.sum(e).alias(k) for k, e in (("sa", F.col("a")), ("sb", F.col("b")), ("saa", F.col("a") * F.col("a")), ("sbb", F.col("b") * F.col("b")), ("sab", F.col("a") * F.col("b")))])
-    n = F.col("n")
-    va, vb = F.col("saa") - F.col("sa") * F.col("sa") / n, F.col("sbb") - F.col("sb") * F.col("sb") / n
-    return sums.select("image_id", ((F.col("sab") - F.col("sa") * F.col("sb") / n) / (F.sqrt(F.greatest(F.lit(0.0), va * vb)) + _TINY)).alias("r"))
+    return _paired(p, s).groupBy("image_id").agg(_correlation())
 
 
 def rotate90(pl: DataFrame, frame: DataFrame) -> DataFrame:
@@ -189,8 +199,9 @@ def coloc_global(px: DataFrame, lab: DataFrame, images: DataFrame, primary: int
     own = apply_roi(lab.select("image_id", "label", "y", "x"), roi)
     p, s = (zero_outside(z_project(px, projection, c).select("image_id", "y", "x", "value"), roi) for c in (primary, secondary))
     n = own.groupBy("image_id").agg(F.countDistinct("label").alias("n_primary_particles"))
+    both = _paired(p, s, own).groupBy("image_id").agg(*_shares(), _correlation())  # one join for all
     turned = manders_random(p, s, own, frame).withColumnsRenamed({"m1": "manders_m1_random", "m2": "manders_m2_random"})
-    out = n.join(manders(p, s, own).withColumnsRenamed({"m1": "manders_m1", "m2": "manders_m2"}), "image_id").join(pearson(p, s).withColumnRenamed("r", "pearson_r"), "image_id").join(turned, "image_id").join(images, "image_id")
+    out = n.join(both.withColumnsRenamed({"m1": "manders_m1", "m2": "manders_m2", "r": "pearson_r"}), "image_id").join(turned, "image_id").join(images, "image_id")
     out = _named(_named(out, images, primary, "primary_channel"), images, secondary, "secondary_channel")
     return out.select("image_id", "primary_channel", "secondary_channel", F.lit(roi_name or "whole_image").alias("roi_mask"), "manders_m1", "manders_m2", "pearson_r", "manders_m1_random", "manders_m2_random", "n_primary_particles")
 

@@ -419,12 +419,17 @@ def test_steps_on_channels_do_not_repeat_each_other(spark):
     assert got == want and len(got) == len(rows)
 
 
-def test_sizes_are_of_the_same_pixels(spark):
-    px = spark.createDataFrame([(0, 0, 0, y, x, 1.0) for y in range(4) for x in range(5)], "image_id long, channel int, z int, y int, x int, value double")
-    one = jobs.Frames(px, spark.createDataFrame([(0,)], "image_id long")).sized()
-    assert one.sized().sizes is one.sizes
-    cropped = dataclasses.replace(one, px=px.filter("y < 2 AND x < 3"), changed=True)
-    assert [tuple(r) for f in (one, cropped.sized()) for r in f.sizes.collect()] == [(0, 4, 5), (0, 2, 3)]
+def test_sizes_and_planes_are_of_the_same_pixels(spark):
+    px = spark.createDataFrame([(0, c, z, y, x, 1.0 + c + z) for c in range(2) for z in range(2) for y in range(4) for x in range(5)], "image_id long, channel int, z int, y int, x int, value double")
+    one = jobs.Frames(px, spark.createDataFrame([(0,)], "image_id long"))
+    assert one.sizes() is one.sizes()
+    cropped = dataclasses.replace(one, px=px.filter("y < 2 AND x < 3"))
+    assert [tuple(r) for f in (one, cropped, one) for r in f.sizes().collect()] == [(0, 4, 5), (0, 2, 3), (0, 4, 5)]
+    for f, n in ((one, 20), (cropped, 6)):
+        both = f.plane(0, "max").unionByName(f.plane(1, "max"))
+        for c in (0, 1):
+            own = intensity.z_project(both, "max", c)
+            assert {(r.channel, r.value) for r in own.collect()} == {(c, 2.0 + c)} and own.count() == n
 
 
 def test_lines_of_any_length_are_convolved(spark):
@@ -452,3 +457,14 @@ def test_regions_before_an_empty_bin(spark, tmp_path):
     assert rows == sorted(con.sql(f"SELECT image_id, y, x FROM ({queries.ORACLE['extract_roi']})").fetchall())
     of = {k: [r[1:] for r in rows if r[0] == k] for k in (203, 248, 392, 1274, 1319, 1463)}
     assert all(of[k] and len(of[k]) == len(of[k + 1071]) for k in (203, 248, 392))
+
+
+def test_a_job_projects_a_channel_once(spark, sf, monkeypatch):
+    made = []
+    monkeypatch.setattr(jobs, "keep", lambda df, label="table": made.append(label) or scratch.keep(df, label))
+    steps = [s for s in queries.SPEC["steps"] if s["type"] in ("AutoThreshold", "ParticleAnalysis", "ColocalizationAnalysis")]
+    px = fixtures.pixels(spark, sf).filter("image_id < 2")
+    frames = jobs.Frames(px, fixtures.images(spark, sf))
+    done = jobs.run_pipeline({"steps": [{k: v for k, v in s.items() if k != "roi_mask"} for s in steps]}, frames)
+    assert done.table("colocalization_results").count() == 2
+    assert sorted(made) == ["plane", "plane", "sizes"] and not frames.known
